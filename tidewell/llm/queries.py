@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, mixing, sharding
+from . import licenses, line_dedup, mixing, ngram_join, sharding
 from .common import table
 from .oracles import ORACLES
 
@@ -18,6 +18,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = ngram_join.jaccard_join(table(spark, sf_dir, "documents"), width=3, threshold=ngram_join.Threshold(90, 100))
+    return members
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,7 +47,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_line_dedup, op6_mixing, op8_license_scan)}
+    return {f.__name__: f for f in (op1_sharding, op3_ngram_join, op4_line_dedup, op6_mixing, op8_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
