@@ -61,7 +61,7 @@ def running_total(
     order: Sequence[str],
     value: str,
     into: str,
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 4_000,
 ) -> DataFrame:
     """Adds ``into``: the sum of ``value`` over the rows that come before within ``group``.
 

@@ -16,4 +16,23 @@ SELECT d.doc_id, p.n_lines, p.n_dropped, sha256(p.kept) AS kept_sha256
 FROM per p JOIN (SELECT row_number() OVER () AS rowid, doc_id FROM documents) d ON d.rowid = p.r
 """
 
-ORACLES = {"op4_line_dedup": OP4}
+OP7 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT DISTINCT item_id, w, least(len(w), 13) AS k FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM items)
+), places AS (
+  SELECT d.r, l.k, p.s, array_to_string(d.w[p.s : p.s + l.k - 1], ' ') AS g
+  FROM docs d, (SELECT DISTINCT k FROM items) l, LATERAL (SELECT unnest(range(1, len(d.w) - l.k + 2)) AS s) p
+), hits AS (SELECT p.r, p.s, p.k, v.item_id FROM places p JOIN windows v ON p.k = v.k AND p.g = v.g),
+covered AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + k)) AS pos FROM (SELECT DISTINCT r, s, k FROM hits)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.names, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN covered c ON c.r = d.r LEFT JOIN named n ON n.r = d.r
+"""
+
+ORACLES = {"op7_decontamination": OP7, "op4_line_dedup": OP4}
