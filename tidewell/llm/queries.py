@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, mixing, ngram_join, sharding
+from . import decontaminate, licenses, line_dedup, mixing, ngram_join, sharding, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -51,8 +51,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chars, judge = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), chars, judge)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_ngram_join, op4_line_dedup, op6_mixing, op7_decontamination, op8_license_scan)}
+    return {f.__name__: f for f in (op1_sharding, op3_ngram_join, op4_line_dedup, op6_mixing, op7_decontamination, op8_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
