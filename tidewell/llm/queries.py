@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, mixing, ngram_join, sharding, toxicity
+from . import decontaminate, licenses, line_dedup, mixing, ngram_join, sharding, top_inner_products, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -18,6 +18,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archived(table(spark, sf_dir, "pages"), min_bytes=100)
+    measured = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("digest"))
+    return back.select(
+        F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", measured.alias("payload_digest"),
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = ngram_join.jaccard_join(table(spark, sf_dir, "documents"), width=3, threshold=ngram_join.Threshold(90, 100))
     return members
@@ -28,6 +37,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -59,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_ngram_join, op4_line_dedup, op6_mixing, op7_decontamination, op8_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, op8_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
