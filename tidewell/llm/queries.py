@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, mixing, ngram_join, sharding, top_inner_products, toxicity, warc
+from . import decontaminate, licenses, line_dedup, mixing, ngram_join, sharding, token_counts, top_inner_products, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -64,6 +64,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = token_counts.build_trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    edited = token_counts.apply_edits(trees.withColumn("edits", token_counts.scripted_edits()))
+    return edited.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", "n_recut", F.size("leaf_tokens").cast("long").alias("n_leaves"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chars, judge = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -72,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, op8_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, op8_license_scan, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
