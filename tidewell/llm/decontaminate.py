@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, written
+from .common import ascii_lower, free_name, written
 
 #: Everything that ends a word, before lower-casing.
 BREAKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -157,3 +157,11 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, within: int = 20, id_
         .withColumn("first_pos", F.array_min(F.transform(F.array_distinct(F.col("recent.t")), lambda t: F.array_max(F.transform(F.filter("recent", lambda r: r["t"] == t), lambda r: r["pos"])))))
         .select(F.col("q").alias(id_column), "doc_id", "h", "first_pos", F.col("pos").alias("last_pos"))
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, columns as they are."""
+    dirty = written(contamination(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("h").alias("t")).distinct(), "dirty")
+    own = free_name(docs, "_h")
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    return rows.join(_small(dirty, 1_000_000), rows["doc_id"].eqNullSafe(dirty["d"]) & (rows[own] == dirty["t"]), "left_anti").drop(own)

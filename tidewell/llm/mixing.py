@@ -152,6 +152,6 @@ def mixed_corpus(docs: DataFrame, mix: Mix = CURRICULUM) -> DataFrame:
     )
     read = copies(mix_sizes(rows, mix, order=["doc_id", "key", "size"]), mix.max_epochs)
     ordered = read.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
-    lead = F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){"), F.col("words").cast("string"), F.lit("}"))
-    text = F.when(F.col("words") < F.col("size"), F.regexp_extract(F.col("row.text"), lead, F.lit(0))).otherwise(F.col("row.text"))
+    lead = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    text = F.when(F.col("words") < F.col("size"), lead).otherwise(F.col("row.text"))
     return ordered.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 from .components import connected_components
 
 U64 = np.uint64
@@ -299,17 +299,21 @@ def _blocks(members: DataFrame, sets: DataFrame, t: Threshold, block: int) -> Da
     return links.unionByName(more.select("a", "b"))
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100), block: int = 400_000) -> tuple[DataFrame, DataFrame]:
+def node_of() -> F.Column:
+    """The node of a row: its id, or a negative number from the text of a row without one."""
+    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2))
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100), block: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Membership and links of the documents (doc_id, text) whose shingle sets are similar enough.
 
     Membership: one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links,
-    itself included), class_size (rows with an equal set). Links: (a, b) between class representatives, enough to
+    itself included), class_size (rows with an equal set), node and keeper (the row's node, and that of its component's
+    smallest id). Links: (a, b) between class representatives, enough to
     connect every two linked classes. Texts that are null, empty or blank have no shingles and link with nothing; rows
     that share an id are one node, rows without an id are nodes of their own and their component may have a null id.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    node = F.coalesce("doc_id", -1 - F.abs(F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    keyed = base.select(node.alias("node"), "text")
+    keyed = docs.select(node_of().alias("node"), "text")
     signed = written(_signed(keyed, width, threshold), "signed")
     full = signed.filter("n > 0")
     classes = written(full.groupBy("digest").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("signs").alias("signs")), "classes")
@@ -328,8 +332,26 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Thresho
     parts = connected_components(links, "a", "b")
     named = classes.select("digest", "node", "class_size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     real = named.groupBy("component").agg(F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("component_id"))
-    named = named.join(real, "component").select("digest", "component_id", "class_size")
+    named = named.join(real, "component").select("digest", "component_id", "class_size", F.coalesce("component_id", "component").alias("keeper"))
     out = signed.select("node", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("node") >= 0, F.col("node"))
-    members_out = out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    members_out = out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "node", F.coalesce("keeper", "node").alias("keeper"))
     return members_out, links
+
+
+def one_of_each(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100)) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component, the row with the smallest id stays.
+
+    Rows without shingles stay, each text or id once. Columns are as in ``docs``.
+    """
+    members, _ = jaccard_join(docs, width, threshold)
+    members = written(members.select("node", "keeper"), "kept")
+    lost = members.filter("node <> keeper").select("node").distinct()
+    own = free_name(docs, "_node")
+    rows = docs.withColumn(own, node_of())
+    n_lost = lost.count()
+    lost = lost.select(F.col("node").alias(own))
+    rows = rows.join(F.broadcast(lost) if n_lost <= BROADCAST_NODES else lost, own, "left_anti")
+    if members.groupBy("node").count().filter("count > 1").take(1):  # rows that share an id, or a text without one
+        rows = rows.dropDuplicates([own])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

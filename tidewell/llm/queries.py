@@ -29,7 +29,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = ngram_join.jaccard_join(table(spark, sf_dir, "documents"), width=3, threshold=ngram_join.Threshold(90, 100))
-    return members
+    return members.select("doc_id", "n_shingles", "component_id", "class_size")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,14 +53,14 @@ def assign_shards(
     return out.withColumns(added).drop(best)
 
 
-def with_slots(df: DataFrame, order: Sequence[str], shard: str = "shard", slot: str = "slot", name: str = "slots") -> DataFrame:
+def with_slots(df: DataFrame, order: Sequence[str], shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Adds ``slot``: a number from 0 without gaps within each shard, in order of a hash of the ``order`` columns.
 
-    Rows are split by shard and hash bucket, so no shard is one task. ``df`` is written to the shared folder first.
+    Rows are split by shard and hash bucket, so no shard is one task. ``df`` is read twice; hand in what comes from a
+    written table by steps that give the same rows again.
     """
     one = free_name(df, "_one")
-    rows = written(df.withColumn(one, F.lit(1).cast("long")), name)
-    return running_total(rows, [shard], order, one, slot).drop(one)
+    return running_total(df.withColumn(one, F.lit(1).cast("long")), [shard], order, one, slot).drop(one)
 
 
 def shard_documents(docs: DataFrame, n_shards: int, weights: Sequence[float] | None = None) -> DataFrame:
@@ -79,3 +79,10 @@ def shard_documents(docs: DataFrame, n_shards: int, weights: Sequence[float] | N
         F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("copies") - 1)).alias("slot"),
         "grown_shard", "copies",
     )
+
+
+def sharded_corpus(docs: DataFrame, n_shards: int, weights: Sequence[float] | None = None) -> DataFrame:
+    """``docs`` with shard and slot beside its columns (columns of these names are replaced); rows as they are."""
+    h = free_name(docs, "_text_hash")
+    rows = assign_shards(docs.drop("slot"), ["doc_id"], n_shards, weights).withColumn(h, F.xxhash64("text"))
+    return with_slots(rows, ["doc_id", h]).drop(h)
