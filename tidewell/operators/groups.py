@@ -29,3 +29,61 @@ def threshold_codebook(df: DataFrame, barcode: str, member: str, min_depth: int,
     kept = df.groupBy(barcode).agg(F.count(F.lit(1)).alias("depth"), F.array_sort(F.collect_list(member)).alias("members"))
     kept = kept.filter(F.col("depth") >= min_depth)
     return dense_index(kept, [barcode], index)
+
+
+def best_rows(df: DataFrame, group: Sequence[str], quality: str, n: int, tiebreak: Sequence[str], salt: int = 0) -> DataFrame:
+    """The ``n`` rows of highest quality per group, nulls last (TOP1). With ``salt``, each group is first cut to its best
+    ``n`` within that many parts, so one group's rows do not meet in one task."""
+    order = [F.col(quality).desc_nulls_last(), *map(F.col, tiebreak)]
+    rows = df
+    if salt > 1:
+        part = F.pmod(F.xxhash64(*tiebreak), F.lit(salt))
+        inside = Window.partitionBy(*group, "_salt").orderBy(*order)
+        rows = rows.withColumn("_salt", part).withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
+    over = Window.partitionBy(*group).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= n)
+
+
+def limit_group_content(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], n: int) -> DataFrame:
+    """Beyond the first ``n`` rows of a group the given columns become null; the rows stay (PRJ14)."""
+    over = Window.partitionBy(*group).orderBy(*order)
+    out = df.withColumn("_rank", F.row_number().over(over))
+    return out.withColumns({c: F.when(F.col("_rank") <= n, F.col(c)) for c in columns}).drop("_rank")
+
+
+def base_counts(df: DataFrame, group: Sequence[str], seq: str) -> DataFrame:
+    """Rows per group, position (from 0) and base."""
+    bases = df.select(*group, F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias("position", "base"))
+    return bases.groupBy(*group, "position", "base").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_vote(df: DataFrame, group: Sequence[str], seq: str, into: str = "consensus") -> DataFrame:
+    """The majority base at every position, ties to the alphabet (AGG4)."""
+    counts = base_counts(df, group, seq)
+    # the largest count, then the smallest base: one pass over narrow rows
+    best = counts.groupBy(*group, "position").agg(F.min(F.struct((-F.col("n")).alias("m"), "base")).alias("top"))
+    joined = best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("position", F.col("top.base").alias("base")))).alias("parts"))
+    return joined.select(*group, F.array_join(F.col("parts.base"), "").alias(into))
+
+
+def ambiguous_positions(df: DataFrame, group: Sequence[str], seq: str, share: float = 0.1, pseudo: float = 0.001) -> DataFrame:
+    """Share of a group's positions whose second most frequent base is above ``share`` of the reads (AGG5)."""
+    counts = base_counts(df, group, seq)
+    per = counts.groupBy(*group, "position").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
+    second = F.coalesce(F.get("ns", 1), F.lit(0))
+    return per.withColumn("f", (second + pseudo) / (F.col("total") + pseudo)).groupBy(*group).agg(F.avg(F.when(F.col("f") > share, 1.0).otherwise(0.0)).alias("ambiguous_share"))
+
+
+def consensus_per_group(df: DataFrame, group: str, func, schema: str, max_group: int, quality: str, name: str = "name") -> DataFrame:
+    """A user's consensus over the best ``max_group`` reads of each group (AGG3, UDF1): ``func(pandas) -> dict`` of the
+    schema's columns beside the group; a single read is handed over like any other. Bounded before Python sees it."""
+    import pandas as pd
+
+    best = best_rows(df.filter(F.col(group).isNotNull()), [group], quality, max_group, [name], salt=8).drop("rank")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{group: pdf[group].iloc[0], **func(pdf)}])
+
+    kind = df.schema[group].dataType.simpleString()
+    named = best.groupBy(group).agg(F.concat(F.lit("consensus_"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list(name))), 256)).alias("consensus_name"))
+    return best.groupBy(group).applyInPandas(run, f"{group} {kind}, {schema}").join(named, group)

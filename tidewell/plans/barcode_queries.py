@@ -1,10 +1,12 @@
-"""Queries on barcode groups, over the driver's tables."""
+"""Queries on reads, barcodes and codebooks (workloads A and B), over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import groups
+from ..functions import cigar, keys, paths, sequences
+from ..operators import groups, hamming, joins, pairing, stats
+from ..operators import filters as flt
 from ..session import table
 from .registry import query
 
@@ -18,6 +20,460 @@ from .registry import query
     """,
 )
 def barcode_depth(spark, sf_dir):
+    """AGG1: groups of at least 3 rows, densely numbered, with their members."""
     reads = table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("barcode"), "event_id")
     book = groups.threshold_codebook(reads, "barcode", "event_id", 3)
     return book.withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
+
+
+@query(
+    "depth_columns",
+    """
+    SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey) AS path_depth,
+           CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey) AS BIGINT) AS path_duplex_depth FROM lineitem
+    """,
+)
+def depth_columns(spark, sf_dir):
+    """AGG2: depth and duplex depth of each row's group."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return groups.with_depth(rows, ["l_partkey"], F.col("l_returnflag") == "R", prefix="path_").select("l_orderkey", "l_linenumber", "path_depth", "path_duplex_depth")
+
+
+@query(
+    "best_rows_per_group",
+    """
+    SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 5
+    """,
+)
+def best_rows_per_group(spark, sf_dir):
+    """TOP1: the best five rows of each group, in two stages."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return groups.best_rows(rows, ["l_partkey"], "l_extendedprice", 5, ["l_orderkey", "l_linenumber"], salt=4)
+
+
+@query(
+    "limited_group_content",
+    """
+    SELECT event_id, user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 10 THEN props END AS props FROM events
+    """,
+)
+def limited_group_content(spark, sf_dir):
+    """PRJ14: heavy columns beyond the first ten rows of a group are null."""
+    return groups.limit_group_content(table(spark, sf_dir, "events").select("event_id", "user_id", "props"), ["user_id"], ["event_id"], ["props"], 10)
+
+
+@query(
+    "asof_pairs",
+    """
+    WITH l AS (SELECT user_id, event_id, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS t FROM events),
+    r AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2)
+    SELECT l.user_id, l.event_id, CASE WHEN epoch_us(r.ts) - epoch_us(l.t) <= 3600000000 THEN r.event_id END AS match_event_id
+    FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND r.ts >= l.t
+    """,
+)
+def asof_pairs(spark, sf_dir):
+    """JON2: the first event of the same user after an event's end, within an hour."""
+    events = table(spark, sf_dir, "events")
+    left = events.select("user_id", "event_id", keys.later(F.col("ts"), F.col("value")).alias("t"))
+    return pairing.asof_forward(left, events.select("user_id", F.col("event_id"), "ts"), ["user_id"], "t", "ts", "event_id", 3_600_000_000).select("user_id", "event_id", "match_event_id")
+
+
+@query(
+    "parent_validity",
+    """
+    WITH rows AS (
+      SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS name, l_returnflag AS path, l_linestatus = 'F' AS rc FROM lineitem
+      UNION ALL SELECT o_orderkey || '-1;' || o_orderkey || '-2', o_orderstatus, false FROM orders
+      UNION ALL SELECT o_orderkey || '-2;' || o_orderkey || '-3', 'A', false FROM orders WHERE o_orderkey % 3 = 0
+    ), duplex AS (SELECT name AS d, path, unnest(string_split(name, ';')) AS p FROM rows WHERE contains(name, ';')),
+    judged AS (SELECT d, count(r.path) = 2 AND coalesce(bool_and(r.path = duplex.path), false) AND coalesce(sum(CAST(r.rc AS INT)), 0) = 1 AS ok
+               FROM duplex LEFT JOIN rows r ON r.name = duplex.p GROUP BY d),
+    used AS (SELECT p, bool_or(ok) AS ok FROM (SELECT DISTINCT d, p FROM duplex) JOIN judged USING (d) GROUP BY p)
+    SELECT name, CASE WHEN contains(name, ';') THEN coalesce(j.ok, false) ELSE NOT coalesce(u.ok, false) END AS is_valid
+    FROM rows LEFT JOIN judged j ON j.d = name LEFT JOIN used u ON u.p = name
+    """,
+)
+def parent_validity(spark, sf_dir):
+    """JON3: orders as duplex reads of their first lines."""
+    line = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"), F.col("l_returnflag").alias("path"), (F.col("l_linestatus") == "F").alias("rc"))
+    orders = table(spark, sf_dir, "orders")
+    pair = lambda a, b: F.concat(F.col("o_orderkey").cast("string"), F.lit(f"-{a};"), F.col("o_orderkey").cast("string"), F.lit(f"-{b}"))
+    one = orders.select(pair(1, 2).alias("name"), F.col("o_orderstatus").alias("path"), F.lit(False).alias("rc"))
+    two = orders.filter("o_orderkey % 3 = 0").select(pair(2, 3).alias("name"), F.lit("A").alias("path"), F.lit(False).alias("rc"))
+    return pairing.flag_valid_duplex(line.unionByName(one).unionByName(two), "name", "path", "rc").select("name", "is_valid")
+
+
+@query(
+    "primary_rows",
+    """
+    SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AND props IS NOT NULL AS is_primary_alignment, count(*) OVER (PARTITION BY user_id) > 1 AS is_duplicated FROM events
+    """,
+)
+def primary_rows(spark, sf_dir):
+    """WIN12: the first row of each name."""
+    return pairing.primary_alignments(table(spark, sf_dir, "events").select("event_id", "user_id", "props"), "user_id", "event_id", "props").select("event_id", "is_primary_alignment", "is_duplicated")
+
+
+@query(
+    "reads_and_alignments",
+    "SELECT o_orderkey, o_orderpriority, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey",
+)
+def reads_and_alignments(spark, sf_dir):
+    """JON1: orders as reads, lines as alignments; an unknown name would raise."""
+    reads = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return pairing.join_reads_and_alignments(reads, lines, "o_orderkey")
+
+
+_CODES = """codes AS (SELECT vec_id, label, array_to_string(list_transform(embedding[1:30], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS barcode FROM embeddings)"""
+
+
+def _codes(spark, sf_dir):
+    bits = F.array_join(F.transform(F.slice("embedding", 1, 30), lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", bits.alias("barcode"))
+
+
+@query(
+    "nearest_hamming",
+    f"""
+    WITH {_CODES}, d AS (
+      SELECT q.vec_id AS query_id, c.vec_id, hamming(q.barcode, c.barcode) AS distance FROM codes q JOIN codes c ON q.vec_id % 2 = 1 AND c.vec_id % 2 = 0
+    )
+    SELECT query_id, vec_id, CAST(distance AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM d WHERE distance <= 5) WHERE r = 1
+    """,
+)
+def nearest_hamming(spark, sf_dir):
+    """JON5: odd vectors as decoded barcodes, even ones as the codebook, at most 5 of 30 bits apart."""
+    codes = _codes(spark, sf_dir).withColumn("code", hamming.pack_bits(F.col("barcode")))
+    q = codes.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), "code")
+    return hamming.nearest_within(q, codes.filter("vec_id % 2 = 0"), "query_id", "code", "vec_id", "code", 30, 5)
+
+
+@query(
+    "closest_other",
+    f"""
+    WITH {_CODES}, d AS (SELECT q.vec_id, c.vec_id AS nearest_vec_id, hamming(q.barcode, c.barcode) AS distance FROM codes q JOIN codes c ON q.vec_id <> c.vec_id)
+    SELECT vec_id, nearest_vec_id, CAST(distance AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest_vec_id) AS r FROM d WHERE distance <= 6) WHERE r = 1
+    """,
+)
+def closest_other(spark, sf_dir):
+    """JON6: the closest other barcode of the codebook."""
+    codes = _codes(spark, sf_dir).withColumn("code", hamming.pack_bits(F.col("barcode")))
+    return hamming.nearest_within(codes, codes, "vec_id", "code", "vec_id", "code", 30, 6, other_than_self=True)
+
+
+@query(
+    "exact_lookup",
+    f"""
+    WITH {_CODES.replace('[1:30]', '[1:8]')}, book AS (SELECT barcode, min(vec_id) AS barcodeid FROM codes WHERE label = 0 GROUP BY barcode)
+    SELECT vec_id, barcode, barcodeid FROM codes JOIN book USING (barcode)
+    """,
+)
+def exact_lookup(spark, sf_dir):
+    """JON4: barcodes of eight bits that the codebook holds."""
+    codes = _codes(spark, sf_dir).withColumn("barcode", F.substring("barcode", 1, 8))
+    book = codes.filter("label = 0").groupBy("barcode").agg(F.min("vec_id").alias("barcodeid"))
+    return joins.exact_lookup(codes.select("vec_id", "barcode"), book, "barcode")
+
+
+@query(
+    "bits_removed",
+    f"""
+    WITH {_CODES.replace('[1:30]', '[1:12]')}, cut AS (SELECT vec_id, barcode[1:3] || barcode[6:12] AS barcode FROM codes), lone AS (SELECT barcode FROM cut GROUP BY barcode HAVING count(*) = 1)
+    SELECT vec_id, barcode, row_number() OVER (ORDER BY barcode) - 1 AS barcodeid FROM cut JOIN lone USING (barcode)
+    """,
+)
+def bits_removed(spark, sf_dir):
+    """SET5: two bits removed, barcodes that coincide dropped, the rest numbered."""
+    codes = _codes(spark, sf_dir).select("vec_id", F.substring("barcode", 1, 12).alias("barcode"))
+    return flt.remove_bits(codes, "barcode", [3, 4])
+
+
+@query(
+    "signal_barcode",
+    """
+    SELECT vec_id, array_to_string(list_transform(range(1, 31), lambda i: CASE WHEN i <> 3 AND embedding[i] > 0.05 THEN '1' ELSE '0' END), '') AS barcode FROM embeddings
+    """,
+)
+def signal_barcode(spark, sf_dir):
+    """SCL6: signals over thresholds, one cycle removed."""
+    signal = F.transform(F.slice("embedding", 1, 30), lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", paths.signal_barcode(signal, [0.05] * 30, removed=[2]).alias("barcode"))
+
+
+@query(
+    "signal_sum",
+    """
+    WITH v AS (SELECT vec_id, unnest(range(1, 31)) AS p, unnest(embedding[1:30]) AS x FROM embeddings),
+    w AS (SELECT vec_id, p, CASE WHEN p = 3 THEN 0.0 ELSE CAST(x AS DOUBLE) END AS x FROM v),
+    m AS (SELECT p, quantile_cont(x, 0.5) AS mid FROM w GROUP BY p)
+    SELECT vec_id, round(sum(x / (mid + 1)), 6) AS signal_sum FROM w JOIN m USING (p) GROUP BY vec_id
+    """,
+)
+def signal_sum(spark, sf_dir):
+    """AGG35: signals over their position's median, summed."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 30)).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("p"), F.col("x").cast("double").alias("x"))
+    return stats.signal_sum(rows, "vec_id", "p", "x", 30, removed=[3], eps=1.0).withColumn("signal_sum", F.round("signal_sum", 6))
+
+
+_PATHS = """p AS (SELECT user_id, list(CASE WHEN value > 60 THEN '<' ELSE '>' END || event_type ORDER BY event_id) AS path FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 4 GROUP BY user_id)"""
+
+
+def _paths(spark, sf_dir):
+    """Per user the first four events as an oriented path."""
+    from pyspark.sql.window import Window
+
+    rows = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("r <= 4")
+    step = F.concat(F.when(F.col("value") > 60, "<").otherwise(">"), "event_type")
+    return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("r", step.alias("s")))).alias("x")).select("user_id", F.col("x.s").alias("path"))
+
+
+@query(
+    "path_normalize",
+    f"""
+    WITH {_PATHS}, f AS (
+      SELECT user_id, path, list_has_any(path, ['>click', '>view', '>purchase']) AS f, list_has_any(path, ['<click', '<view', '<purchase']) AS b,
+             list_filter(path, lambda s: s[2:] IN ('click', 'view', 'purchase')) AS kept FROM p)
+    SELECT user_id, CASE WHEN b AND NOT f THEN true WHEN f AND NOT b THEN false END AS reverse_complement,
+           CASE WHEN b AND NOT f THEN array_to_string(list_reverse(list_transform(kept, lambda s: translate(s[1], '<>', '><') || s[2:])), '') WHEN f AND NOT b THEN array_to_string(kept, '') END AS path,
+           array_to_string(path, '') AS full_path FROM f
+    """,
+)
+def path_normalize(spark, sf_dir):
+    """PRJ1: paths of three kinds of segment, turned forward."""
+    out = paths.normalize_paths(_paths(spark, sf_dir), ["click", "view", "purchase"])
+    return out.select("user_id", "reverse_complement", F.when(F.col("path").isNotNull(), F.array_join("path", "")).alias("path"), F.array_join("full_path", "").alias("full_path"))
+
+
+@query(
+    "end_to_end",
+    f"WITH {_PATHS} SELECT user_id, list_has_any(path, ['>click', '<click']) AND list_has_any(path, ['>view', '<view', '>error', '<error']) AS end_to_end FROM p",
+)
+def end_to_end(spark, sf_dir):
+    """PRJ2: paths that hold a segment of each end."""
+    return paths.flag_end_to_end(_paths(spark, sf_dir), (["click"], ["view", "error"])).select("user_id", "end_to_end")
+
+
+@query("unique_segments", f"WITH {_PATHS} SELECT DISTINCT unnest(list_transform(path, lambda s: s[2:])) AS segment FROM p")
+def unique_segments(spark, sf_dir):
+    """PRJ5: segments that the paths use."""
+    return paths.unique_segments(_paths(spark, sf_dir), "path")
+
+
+@query(
+    "barcode_string",
+    f"WITH {_PATHS}, q AS (SELECT user_id, list_transform(path, lambda s: s || CASE WHEN s[1] = '>' THEN '=1' ELSE '=0' END) AS path FROM p) SELECT user_id, CASE WHEN list_contains(path, '>click=1') THEN '1' ELSE '0' END || CASE WHEN list_contains(path, '>view=1') THEN '1' ELSE '0' END || CASE WHEN list_contains(path, '>error=1') THEN '1' ELSE '0' END AS barcode FROM q",
+)
+def barcode_string(spark, sf_dir):
+    """SCL3: forward segments as ones."""
+    marked = F.transform("path", lambda s: F.concat(s, F.when(s.startswith(">"), "=1").otherwise("=0")))
+    return _paths(spark, sf_dir).select("user_id", paths.barcode_string(marked, ["click", "view", "error"]).alias("barcode"))
+
+
+@query(
+    "mismatched_bits",
+    f"""
+    WITH {_PATHS}, v AS (SELECT user_id, list_distinct(list_transform(path, lambda s: '>' || s[2:] || CASE WHEN s[1] = '>' THEN '=1' ELSE '=0' END)) AS v FROM p),
+    a AS (SELECT x.user_id, list_transform(list_filter(x.v, lambda s: NOT list_contains(y.v, s)), lambda s: string_split(s[2:], '=')[1]) AS l, list_transform(list_filter(y.v, lambda s: NOT list_contains(x.v, s)), lambda s: string_split(s[2:], '=')[1]) AS r FROM v x JOIN v y ON y.user_id = x.user_id + 1)
+    SELECT user_id, array_to_string(list_sort(list_distinct(list_intersect(l, r))), ',') AS bits FROM a
+    """,
+)
+def mismatched_bits(spark, sf_dir):
+    """SET4: bits that two users' paths hold with different values."""
+    own = F.transform("path", lambda s: F.concat(F.lit(">"), F.substring(s, F.lit(2), F.length(s)), F.when(s.startswith(">"), "=1").otherwise("=0")))
+    a = _paths(spark, sf_dir).select("user_id", own.alias("a"))
+    b = a.select((F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b"))
+    return a.join(b, "user_id").select("user_id", F.array_join(paths.mismatched_bits(F.col("a"), F.col("b")), ",").alias("bits"))
+
+
+@query(
+    "column_vote",
+    """
+    WITH b AS (SELECT source, unnest(range(0, 50)) AS position, unnest(string_split(rpad(text, 50, '-'), '')[1:50]) AS base FROM (SELECT source, substring(text, 1, 50) AS text FROM documents)),
+    c AS (SELECT source, position, base, count(*) AS n FROM b GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY source, position ORDER BY n DESC, base) AS r FROM c)
+    SELECT source, string_agg(base, '' ORDER BY position) AS consensus FROM t WHERE r = 1 GROUP BY source
+    """,
+)
+def column_vote(spark, sf_dir):
+    """AGG4: the majority character at each of the first 50 places, by source."""
+    reads = table(spark, sf_dir, "documents").select("source", F.rpad(F.substring("text", 1, 50), 50, "-").alias("seq"))
+    return groups.column_vote(reads, ["source"], "seq")
+
+
+@query(
+    "ambiguous_positions",
+    """
+    WITH b AS (SELECT source, unnest(range(0, 50)) AS position, unnest(string_split(rpad(text, 50, '-'), '')[1:50]) AS base FROM (SELECT source, substring(text, 1, 50) AS text FROM documents)),
+    c AS (SELECT source, position, base, count(*) AS n FROM b GROUP BY ALL),
+    t AS (SELECT source, position, sum(n) AS total, list_sort(list(n), 'DESC') AS ns FROM c GROUP BY 1, 2)
+    SELECT source, round(avg(CASE WHEN (coalesce(ns[2], 0) + 0.001) / (total + 0.001) > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS ambiguous_share FROM t GROUP BY source
+    """,
+)
+def ambiguous_positions(spark, sf_dir):
+    """AGG5: share of places with a strong second character."""
+    reads = table(spark, sf_dir, "documents").select("source", F.rpad(F.substring("text", 1, 50), 50, "-").alias("seq"))
+    return groups.ambiguous_positions(reads, ["source"], "seq").withColumn("ambiguous_share", F.round("ambiguous_share", 6))
+
+
+_NT = "translate(substring(text, 1, 200), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC')"
+
+
+def _nucleotides(spark, sf_dir):
+    """Documents as nucleotide strings: letters onto ACGT, other characters as they are."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate(F.substring("text", 1, 200), letters, "ACGT" * 6 + "AC" + "ACGT" * 6 + "AC").alias("seq"))
+
+
+@query("reverse_complement", f"SELECT doc_id, translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn') AS rc FROM (SELECT doc_id, {_NT} AS s FROM documents)")
+def reverse_complement(spark, sf_dir):
+    """SCL1."""
+    return _nucleotides(spark, sf_dir).select("doc_id", sequences.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(
+    "umi_by_handle",
+    f"SELECT doc_id, CASE WHEN instr(s, 'GTA') > 1 AND instr(s, 'GTA') + 3 + 8 - 1 <= length(s) THEN substring(s, instr(s, 'GTA') + 3, 8) END AS umi FROM (SELECT doc_id, {_NT} AS s FROM documents)",
+)
+def umi_by_handle(spark, sf_dir):
+    """SCL14: eight bases after a handle."""
+    return _nucleotides(spark, sf_dir).select("doc_id", sequences.umi_by_handle(F.col("seq"), "GTA", 8).alias("umi"))
+
+
+@query(
+    "motif_sites",
+    f"""
+    WITH d AS (SELECT doc_id, {_NT} AS s FROM documents), e AS (SELECT doc_id, s, translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn') AS r, unnest(range(1, length(s) - 2)) AS i FROM d WHERE length(s) >= 4)
+    SELECT doc_id, '+' AS strand, CAST(i - 1 AS INTEGER) AS start FROM e WHERE substring(s, i, 4) = 'GATC' UNION ALL
+    SELECT doc_id, '-', CAST(length(s) - (i - 1) - 4 AS INTEGER) FROM e WHERE substring(r, i, 4) = 'GATC'
+    """,
+)
+def motif_sites(spark, sf_dir):
+    """SCL17: a motif on both strands."""
+    return sequences.motif_sites(_nucleotides(spark, sf_dir), "seq", "GATC").select("doc_id", "strand", "start")
+
+
+@query(
+    "pam_sites",
+    f"""
+    WITH d AS (SELECT doc_id, {_NT} AS s FROM documents), e AS (SELECT doc_id, s, translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn') AS r, unnest(range(0, length(s) - 22)) AS i FROM d WHERE length(s) >= 23)
+    SELECT doc_id, '+' AS strand, CAST(i + 3 AS INTEGER) AS start, CAST(i + 23 AS INTEGER) AS "end", substring(s, i + 4, 20) AS target FROM e WHERE substring(s, i + 1, 2) = 'CC' UNION ALL
+    SELECT doc_id, '-', CAST(length(s) - i - 23 AS INTEGER), CAST(length(s) - i - 3 AS INTEGER), substring(r, i + 4, 20) FROM e WHERE substring(r, i + 1, 2) = 'CC'
+    """,
+)
+def pam_sites(spark, sf_dir):
+    """SCL16: targets behind PAMs on both strands."""
+    return sequences.pam_sites(_nucleotides(spark, sf_dir), "seq").select("doc_id", "strand", "start", "end", "target")
+
+
+@query(
+    "site_flags",
+    f"SELECT doc_id, contains(s, 'GAGC') OR contains(translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn'), 'GAGC') OR contains(s, 'CGCT') OR contains(translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn'), 'CGCT') AS has_site, s[-5:] NOT IN ('ACGTA', 'CACAC') AS good_seed FROM (SELECT doc_id, {_NT} AS s FROM documents)",
+)
+def site_flags(spark, sf_dir):
+    """SCL15, SCL19: restriction sites and bad seeds."""
+    s = F.col("seq")
+    return _nucleotides(spark, sf_dir).select("doc_id", sequences.has_any_site(s, ["GAGC", "CGCT"]).alias("has_site"), sequences.good_seed(s, ["ACGTA", "CACAC"]).alias("good_seed"))
+
+
+def _cigar_reads(spark, sf_dir):
+    """Alignments made from order lines: (q)= (1)X (n)I (2)D 20= over two segments of fitting length."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"))
+    rows = rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"), "q", F.col("l_linenumber").alias("n"))
+    ref = F.col("q") + 1 + 2 + 20
+    return rows.select(
+        "name", F.array(F.concat(F.lit(">s"), F.col("q").cast("string")), F.lit("<tail")).alias("path"), F.lit(0).alias("path_start"), ref.alias("path_end"), ref.alias("path_length"),
+        F.lit(2).alias("query_start"), (F.col("q") + 1 + F.col("n") + 20 + 2).alias("query_end"), (F.col("q") + 1 + F.col("n") + 20 + 2).alias("query_length"),
+        F.concat(F.col("q").cast("string"), F.lit("=1X"), F.col("n").cast("string"), F.lit("I2D20=")).alias("cg"),
+    )
+
+
+@query(
+    "segment_counts",
+    """
+    WITH c AS (SELECT l_orderkey || '-' || l_linenumber AS name, CAST(min(l_quantity) AS INTEGER) AS q, l_linenumber AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+    SELECT name, CAST(0 AS INTEGER) AS position, 's' || q AS segment, q AS matches, CAST(1 AS INTEGER) AS mismatches, CAST(n AS INTEGER) AS insertions, CAST(1 AS INTEGER) AS deletions, CAST(2 AS INTEGER) AS query_start, CAST(q + 3 + n AS INTEGER) AS query_end FROM c UNION ALL
+    SELECT name, CAST(1 AS INTEGER), 'tail', CAST(20 AS INTEGER), CAST(0 AS INTEGER), CAST(0 AS INTEGER), CAST(1 AS INTEGER), CAST(q + 3 + n AS INTEGER), CAST(q + 3 + n + 20 AS INTEGER) FROM c UNION ALL
+    SELECT name, NULL, 'upstream', CAST(0 AS INTEGER), CAST(0 AS INTEGER), CAST(2 AS INTEGER), CAST(0 AS INTEGER), CAST(0 AS INTEGER), CAST(2 AS INTEGER) FROM c
+    """,
+)
+def segment_counts(spark, sf_dir):
+    """SEG1: alignments cut at a boundary that runs through a deletion."""
+    reads = _cigar_reads(spark, sf_dir)
+    lengths = spark.range(1, 51).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), (F.col("id") + 2).cast("int").alias("length"))
+    lengths = lengths.unionByName(spark.range(1).select(F.lit("tail").alias("name"), F.lit(21).alias("length")))
+    cut = cigar.cut_by_segment(reads, lengths)
+    return cut.select("name", "position", "segment", "matches", "mismatches", "insertions", "deletions", "query_start", "query_end")
+
+
+@query(
+    "divergence",
+    """
+    SELECT l_orderkey || '-' || l_linenumber AS name, round(greatest((1 + l_linenumber + 1) / CAST(CAST(min(l_quantity) AS INTEGER) + 2 + l_linenumber AS DOUBLE), 1.0 / 21), 9) AS max_divergence FROM lineitem GROUP BY l_orderkey, l_linenumber
+    """,
+)
+def divergence(spark, sf_dir):
+    """PRJ3: the largest divergence over a read's segments."""
+    reads = _cigar_reads(spark, sf_dir)
+    lengths = spark.range(1, 51).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), (F.col("id") + 2).cast("int").alias("length"))
+    lengths = lengths.unionByName(spark.range(1).select(F.lit("tail").alias("name"), F.lit(21).alias("length")))
+    cut = cigar.cut_by_segment(reads, lengths).filter(F.col("position").isNotNull())
+    return flt.max_divergence(cut).withColumn("max_divergence", F.round("max_divergence", 9))
+
+
+@query(
+    "edit_distance",
+    """
+    SELECT d.doc_id, CAST(levenshtein(regexp_replace(substring(d.text, 1, 60), '[^ -~]', '?', 'g'), regexp_replace(substring(b.text, 1, 60), '[^ -~]', '?', 'g')) AS INTEGER) AS distance
+    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+    """,
+)
+def edit_distance(spark, sf_dir):
+    """SEG2, SEG4: edit distance of a text's start to its reference's."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "?").alias("a"))
+    b = joins.sized_broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "?").alias("b")))
+    return d.join(b, "item_id").select("doc_id", F.levenshtein("a", "b").alias("distance"))
+
+
+@query(
+    "path_hash_groups",
+    "SELECT count(*) AS n FROM (SELECT DISTINCT user_id FROM events)",
+)
+def path_hash_groups(spark, sf_dir):
+    """TOP5: eight hash groups hold every path once."""
+    p = _paths(spark, sf_dir).withColumn("g", keys.hash_group(F.col("path"), 8))
+    return p.groupBy("g").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n"))
+
+
+@query(
+    "lineage_pairs",
+    """
+    WITH RECURSIVE n AS (SELECT o_custkey AS g, 1 + o_orderkey % 31 AS node FROM orders GROUP BY ALL),
+    up AS (SELECT g, node AS descendant, node AS anc FROM n UNION ALL SELECT up.g, descendant, anc >> 1 FROM up JOIN n ON n.g = up.g AND n.node = (up.anc >> 1) WHERE anc > 1)
+    SELECT g, anc AS ancestor, descendant FROM up WHERE anc <> descendant
+    """,
+)
+def lineage_pairs(spark, sf_dir):
+    """SCL27: ancestors through existing nodes of a binary lineage, per customer."""
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), (1 + F.col("o_orderkey") % 31).alias("node"))
+    return keys.descendants(nodes, ["g"])
+
+
+@query(
+    "bit_frequency",
+    f"WITH {_CODES}, b AS (SELECT unnest(range(0, 30)) AS position, unnest(string_split(barcode, '')) AS bit FROM codes) SELECT CAST(position AS INTEGER) AS position, round(avg(CASE WHEN bit = '1' THEN 1.0 ELSE 0.0 END), 9) AS frequency FROM b GROUP BY 1",
+)
+def bit_frequency(spark, sf_dir):
+    """AGG30."""
+    return stats.bit_frequency(_codes(spark, sf_dir), "barcode").withColumn("frequency", F.round("frequency", 9))
+
+
+@query(
+    "composite_keys",
+    "SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || lpad(CAST(l_linenumber AS VARCHAR), 4, '0') || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS key, sha256(l_returnflag || l_linestatus) AS digest FROM lineitem",
+)
+def composite_keys(spark, sf_dir):
+    """SCL9, SCL10."""
+    parts = [(F.col("l_orderkey"), 8), (F.col("l_linenumber"), 4), (F.col("l_suppkey"), 4)]
+    return table(spark, sf_dir, "lineitem").select(keys.composite_key(parts).alias("key"), keys.names_digest(F.array("l_returnflag", "l_linestatus")).alias("digest"))
