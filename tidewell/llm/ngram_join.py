@@ -28,8 +28,10 @@ from .common import free_name, written
 from .components import connected_components
 
 U64 = np.uint64
-#: At most so many 8-byte node numbers are broadcast; beyond that, the join shuffles.
+#: At most so many 8-byte node numbers, or places of classes in blocks (40 bytes each), are broadcast; beyond that,
+#: the join shuffles.
 BROADCAST_NODES = 1_000_000
+BROADCAST_PLACES = 500_000
 GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -197,64 +199,147 @@ def links_in_block(nodes: np.ndarray, asks: np.ndarray, held: np.ndarray, sets:
     return links, group
 
 
-def _signed(docs: DataFrame, width: int, t: Threshold) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _classed(docs: DataFrame, width: int) -> DataFrame:
+    """node, h (hash of the text), n (set size), digest (of the set, null if empty) of every row."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, signs = [], [], []
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                s = shingle_set(text, width)
-                sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                signs.append(signatures(s, t).view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in signs])))
-            flat = np.concatenate(signs) if signs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["node", "n", "digest", "signs"],
-            )
+            sets = [shingle_set(t, width) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            sums = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.binary())], names=["node", "h", "n", "digest"])
 
-    return docs.mapInArrow(sign, "node long, n long, digest binary, signs array<long>")
+    return docs.select("node", F.xxhash64("text").alias("h"), "text").mapInArrow(digest, "node long, h long, n long, digest binary")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def class_number(digest: bytes) -> int:
+    """A class's number: the first eight bytes of its digest."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal values."""
+    start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+    return start, np.diff(np.append(start, len(values)))
+
+
+def _packed(sign: np.ndarray, number: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Rows (bucket, classes, counts, signs): per bucket of the signatures' upper bits, their next 40 bits by class."""
+    bucket = (sign >> U64(64 - bits)).astype(np.int64)
+    order = np.lexsort((number, bucket))
+    bucket, number = bucket[order], number[order]
+    low = ((sign[order] << U64(bits)) >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    at, size = _runs(bucket)
+    for s, n in zip(at, size):
+        c, k = _runs(number[s : s + n])
+        yield int(bucket[s]), number[s : s + n][c].astype("<i8").tobytes(), k.astype("<u2").tobytes(), low[s : s + n].tobytes()
+
+
+def _stars(sign: np.ndarray, number: np.ndarray, at_least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (sign, number) pairs in that order: group (smallest number of the sign) and member for all signs that so many
+    classes share, each pair once; and which pairs stand in no such sign or first in one."""
+    at, size = _runs(sign)
+    shared = np.repeat(size >= at_least, size)
+    first = np.zeros(len(sign), bool)
+    first[at] = True
+    group = np.repeat(number[at], size)
+    pairs = np.stack([group, number], 1)[shared & ~first & (group != number)]
+    pairs = np.unique(pairs, axis=0) if len(pairs) else np.empty((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1], ~shared | first
+
+
+#: In one batch of rows, signatures of at least so many classes are combined before they are sent.
+COMBINE = 16
+
+
+def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bucket: int = 3_000_000) -> DataFrame:
+    """(grp, cls) of classes that share a signature with the smaller class grp, each pair once."""
+    share = (t.den - t.num) / t.num * 2.2
+    bits = int(max(6, np.ceil(np.log2(max(1, n_shingles * share / per_bucket)))))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, width).view(np.int64) for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], names=["node", "shingles"])
+            signs, numbers = [np.empty(0, U64)], [np.empty(0, np.int64)]
+            known = set()
+            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
+                s = shingle_set(text, width)
+                if len(s) and (number := class_number(xxhash.xxh3_128_digest(s.tobytes()))) not in known:
+                    known.add(number)
+                    signs.append(signatures(s, t))
+                    numbers.append(np.full(len(signs[-1]), number))
+            sign, number = np.concatenate(signs), np.concatenate(numbers)
+            order = np.lexsort((number, sign))
+            sign, number = sign[order], number[order]
+            grp, cls, sent = _stars(sign, number, COMBINE)
+            rows = list(_packed(sign[sent], number[sent], bits))
+            rows += [(-1, grp.astype("<i8").tobytes(), b"", cls.astype("<i8").tobytes())] if len(grp) else []
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["bucket", "classes", "counts", "signs"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, signs, numbers = None, [], []
+
+        def pairs_of():
+            sign, number = np.concatenate(signs), np.concatenate(numbers)
+            order = np.lexsort((number, sign))
+            return batch_of(*_stars(sign[order], number[order])[:2], False)
+
+        def batch_of(grp, cls, local):
+            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(cls, pa.int64()), pa.array(np.full(len(grp), local))], names=["grp", "cls", "local"])
 
-    return docs.mapInArrow(shingle, "node long, shingles array<long>")
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] == -1:
+                    yield batch_of(np.frombuffer(r["classes"], "<i8"), np.frombuffer(r["signs"], "<i8"), True)
+                    continue
+                if r["bucket"] != at:
+                    if signs:
+                        yield pairs_of()
+                    at, signs, numbers = r["bucket"], [], []
+                raw = np.frombuffer(r["signs"], np.uint8).reshape(-1, 5)
+                wide = np.zeros((len(raw), 8), np.uint8)
+                wide[:, :5] = raw
+                signs.append(wide.view("<u8").ravel())
+                numbers.append(np.repeat(np.frombuffer(r["classes"], "<i8"), np.frombuffer(r["counts"], "<u2")))
+        if signs:
+            yield pairs_of()
+
+    sent = docs.select("text").mapInArrow(sign, "bucket int, classes binary, counts binary, signs binary")
+    # rows of local pairs have nothing to meet: they go anywhere
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("signs")).otherwise(F.col("bucket").cast("long"))
+    dealt = sent.repartition(1 << bits, spread).sortWithinPartitions("bucket")
+    met = written(dealt.mapInArrow(meet, "grp long, cls long, local boolean").distinct(), "met")
+    local, wide = met.filter("local").select("grp", "cls"), met.filter(~F.col("local")).select("grp", "cls")
+    # who was combined into a class goes where that class goes
+    along = local.withColumnsRenamed({"grp": "via"}).join(wide.withColumnsRenamed({"cls": "via"}), "via").select("grp", "cls")
+    return local.unionByName(wide).unionByName(along.filter("grp <> cls")).distinct()
 
 
 def _search_blocks(rows: DataFrame, t: Threshold, n_parts: int) -> DataFrame:
-    """rows: block columns grp, i, j; node; asks, held; shingles. Out: (a, b, open): links, and with open the rows
-    of star blocks that are not linked to the first row's tree (a: group, b: node)."""
+    """rows: block columns grp, i, j; cls; asks, held; shingles. Out: (a, b, open): links, and with open the rows
+    of star blocks that are not linked to the group's first (a: group, b: class)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held_rows = None, []
+        key, block = None, {}
 
         def done():
-            nodes = np.array([r[0] for r in held_rows])
-            asks, held = np.array([r[1] for r in held_rows]), np.array([r[2] for r in held_rows])
-            links, group = links_in_block(nodes, asks, held, [r[3] for r in held_rows], t)
+            nodes = np.array(list(block))
+            asks, held = np.array([r[0] for r in block.values()]), np.array([r[1] for r in block.values()])
+            links, group = links_in_block(nodes, asks, held, [r[2] for r in block.values()], t)
             a, b, o = [x for x, _ in links], [y for _, y in links], [False] * len(links)
-            if key[1] < 0:  # a star block
-                hub = np.flatnonzero(asks)[0]
-                rest = nodes[group != group[hub]]
+            if key[1] < 0 and asks.any():  # a star block
+                rest = nodes[group != group[np.flatnonzero(asks)[0]]]
                 a, b, o = [*a, *[key[0]] * len(rest)], [*b, *rest.tolist()], [*o, *[True] * len(rest)]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(o, pa.bool_())], names=["a", "b", "open"])
 
         for batch in batches:
-            lists = batch.column("shingles")
-            flat, at = lists.values.to_numpy(zero_copy_only=False).view(U64), lists.offsets.to_numpy()
-            cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "node", "asks", "held")]
-            for x, (g, i, j, node, asks, held) in enumerate(zip(*cols)):
+            sets = batch.column("shingles").to_pylist()
+            for g, i, j, cls, asks, held, s in zip(*[batch.column(c).to_pylist() for c in ("grp", "i", "j", "cls", "asks", "held")], sets):
                 if (g, i, j) != key:
                     if key is not None:
                         yield done()
-                    key, held_rows = (g, i, j), []
-                held_rows.append((node, asks, held, flat[at[x] : at[x + 1]].copy()))
+                    key, block = (g, i, j), {}
+                old = block.get(cls, (False, False, None))
+                block[cls] = (asks or old[0], held or old[1], np.frombuffer(s, "<u8"))
         if key is not None:
             yield done()
 
@@ -262,40 +347,61 @@ def _search_blocks(rows: DataFrame, t: Threshold, n_parts: int) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long, open boolean")
 
 
-def _blocks(members: DataFrame, sets: DataFrame, t: Threshold, block: int) -> DataFrame:
-    """All links between members of a group. members: grp, node, n."""
-    spark = members.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def _with_sets(places: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``places`` (cls and block columns) with the class's shingles (packed). The text comes from the class's
+    representative; texts under its id that are not of the class are passed over. Places go to the texts by broadcast
+    where they are few enough, so that only sets are shuffled."""
+    per = places.join(classes.select("cls", "node"), "cls").groupBy("node").agg(F.collect_list(F.struct(*places.columns)).alias("places"))
+    per = written(per, "places")
+    few = (per.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
+    met = docs.select("node", "text").join(F.broadcast(per) if few else per, "node")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, numbers = [], []
+            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
+                s = shingle_set(text, width)
+                sets.append(s.astype("<u8").tobytes())
+                numbers.append(class_number(xxhash.xxh3_128_digest(s.tobytes())) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("places"), pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], names=["places", "number", "shingles"])
+
+    kind = met.schema["places"].dataType.simpleString()
+    out = met.select("text", "places").mapInArrow(shingle, f"places {kind}, number long, shingles binary")
+    return out.select(F.explode("places").alias("p"), "number", "shingles").filter(F.col("p.cls") == F.col("number")).select("p.*", "shingles")
+
+
+def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t: Threshold, block: int) -> DataFrame:
+    """Links between classes that meet in a group. members: grp, cls, n."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    yes, no = F.lit(True), F.lit(False)
     total = members.groupBy("grp").agg(F.sum("n").alias("total"))
     sized = members.join(total, "grp")
-    small = sized.filter(F.col("total") <= block).select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.lit(True).alias("asks"), F.lit(True).alias("held"))
+    small = sized.filter(F.col("total") <= block).select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), "cls", yes.alias("asks"), yes.alias("held"))
     big = written(sized.filter(F.col("total") > block), "big")
     salts = F.ceil(F.col("total") * 2 / block).cast("int")
-    spoke = big.filter("node <> grp").select("grp", (-1 - F.pmod(F.xxhash64("node"), salts)).cast("int").alias("i"), F.lit(0).alias("j"), "node", F.lit(False).alias("asks"), F.lit(True).alias("held"))
-    hubs = big.filter("node = grp").select("grp", F.explode(F.sequence(-salts, F.lit(-1))).alias("i"), F.lit(0).alias("j"), "node", F.lit(True).alias("asks"), F.lit(False).alias("held"))
-    first = small.unionByName(spoke).unionByName(hubs).join(sets, "node")
-    found = written(_search_blocks(first, t, parts), "links")
+    spokes = big.filter("cls <> grp").select("grp", (-1 - F.pmod(F.xxhash64("cls"), salts)).cast("int").alias("i"), F.lit(0).alias("j"), "cls", no.alias("asks"), yes.alias("held"))
+    hubs = big.filter("cls = grp").select("grp", F.explode(F.sequence(-salts, F.lit(-1))).alias("i"), F.lit(0).alias("j"), "cls", yes.alias("asks"), no.alias("held"))
+    first = small.unionByName(spokes).unionByName(hubs)
+    found = written(_search_blocks(_with_sets(first, classes, docs, width), t, parts), "links")
     links = found.filter(~F.col("open")).select("a", "b")
-    unlinked = found.filter("open").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
+    unlinked = written(found.filter("open").select(F.col("a").alias("grp"), F.col("b").alias("cls")).distinct(), "unlinked")
     if not unlinked.take(1):
         return links
-    rest = big.join(unlinked.withColumn("asks", F.lit(True)), ["grp", "node"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    rest = big.join(unlinked.withColumn("asks", yes), ["grp", "cls"], "left").withColumn("asks", F.coalesce("asks", no))
     rest = rest.join(unlinked.select("grp").distinct(), "grp", "left_semi")
-    # cells: size band (ratio: the least partner) and a hash part of it; a query meets the cells of partners' bands
-    log = F.ln(F.col("n")) / np.log(t.den / t.num)
-    per_band = rest.withColumn("band", F.floor(log).cast("int"))
-    load = per_band.groupBy("grp", "band").agg(F.ceil(F.sum("n") * 2 / block).cast("int").alias("cells"))
-    cells = per_band.join(load, ["grp", "band"])
-    cell = F.pmod(F.xxhash64("node", F.lit(1)), F.col("cells")).cast("int")
-    placed = cells.withColumn("cell", cell)
-    # an index cell's number and a query cell's number name the block; the query goes to every cell near its band
+    # cells: a band of sizes (each the least partner of the next) and a hash part of it; an asking class meets the
+    # cells of the bands that may hold partners
+    banded = written(rest.withColumn("band", F.floor(F.ln("n") / float(np.log(t.den / t.num))).cast("int")), "rest")
+    load = banded.groupBy("grp", "band").agg(F.ceil(F.sum("n") * 2 / block).cast("int").alias("cells"))
+    placed = banded.join(load, ["grp", "band"]).withColumn("cell", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("cells")).cast("int"))
+    name = lambda band, cell: F.col(band).cast("long") * 1_000_000 + F.col(cell)
     slots = load.select("grp", F.col("band").alias("at"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("c"))
-    asks = placed.filter("asks").select("grp", "node", F.explode(F.array(*[F.col("band") + d for d in (-2, -1, 0, 1, 2)])).alias("at"), (F.col("band") * 100_000 + F.col("cell")).cast("int").alias("j"))
-    query_rows = asks.join(slots, ["grp", "at"]).select("grp", (F.col("at") * 100_000 + F.col("c")).cast("int").alias("i"), "j", "node", F.lit(True).alias("asks"), F.lit(False).alias("held"))
-    pairs = query_rows.select("grp", "i", "j").distinct()
-    held = placed.select("grp", (F.col("band") * 100_000 + F.col("cell")).cast("int").alias("i"), "node").join(pairs, ["grp", "i"])
-    held = held.select("grp", "i", "j", "node", F.lit(False).alias("asks"), F.lit(True).alias("held"))
-    more = _search_blocks(query_rows.unionByName(held).join(sets, "node"), t, parts * 2)
+    near = placed.filter("asks").select("grp", "cls", F.explode(F.array(*[F.col("band") + d for d in (-2, -1, 0, 1, 2)])).alias("at"), name("band", "cell").alias("j"))
+    asking = near.join(slots, ["grp", "at"]).select("grp", name("at", "c").alias("i"), "j", "cls", yes.alias("asks"), no.alias("held"))
+    pairs = asking.select("grp", "i", "j").distinct()
+    held = placed.select("grp", name("band", "cell").alias("i"), "cls").join(pairs, ["grp", "i"]).select("grp", "i", "j", "cls", no.alias("asks"), yes.alias("held"))
+    both = asking.unionByName(held).groupBy("grp", "i", "j", "cls").agg(F.bool_or("asks").alias("asks"), F.bool_or("held").alias("held"))
+    more = _search_blocks(_with_sets(both, classes, docs, width), t, parts * 2)
     return links.unionByName(more.select("a", "b"))
 
 
@@ -308,50 +414,45 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Thresho
     """Membership and links of the documents (doc_id, text) whose shingle sets are similar enough.
 
     Membership: one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links,
-    itself included), class_size (rows with an equal set), node and keeper (the row's node, and that of its component's
-    smallest id). Links: (a, b) between class representatives, enough to
-    connect every two linked classes. Texts that are null, empty or blank have no shingles and link with nothing; rows
-    that share an id are one node, rows without an id are nodes of their own and their component may have a null id.
+    itself included), class_size (rows with an equal set), and component (a number of its own, null without shingles),
+    node and h, which name the row. Links: (a, b) between class numbers, enough to connect every two linked classes.
+    Texts that are null, empty or blank have no shingles and link with nothing. Rows are told apart by their texts:
+    those that share an id are not linked by it, those without an id can be linked but give no component its name. Ids
+    are not negative.
     """
     keyed = docs.select(node_of().alias("node"), "text")
-    signed = written(_signed(keyed, width, threshold), "signed")
-    full = signed.filter("n > 0")
-    classes = written(full.groupBy("digest").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"), F.first("signs").alias("signs")), "classes")
-    exploded = classes.select(F.explode("signs").alias("sign"), "node")
-    shared = exploded.groupBy("sign").agg(F.min("node").alias("grp"), F.max("node").alias("top")).filter("grp <> top").select("sign", "grp")
-    members = exploded.join(shared, "sign").select("grp", "node").distinct()
-    members = written(members.join(classes.groupBy("node").agg(F.max("n").alias("n")), "node"), "members")
-    wanted = members.select("node").distinct()
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    sets = _sets(keyed.join(wanted, "node", "left_semi"), width)
-    if full.groupBy("node", "digest").count().filter("count > 1").take(1):  # rows that repeat an id and a text
-        sets = sets.distinct()
-    sets = written(sets, "sets")
-    links = written(_blocks(members, sets, threshold, block), "found")
-    parts = connected_components(links, "a", "b")
-    named = classes.select("digest", "node", "class_size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    real = named.groupBy("component").agg(F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("component_id"))
-    named = named.join(real, "component").select("digest", "component_id", "class_size", F.coalesce("component_id", "component").alias("keeper"))
-    out = signed.select("node", "n", "digest").join(named, "digest", "left")
+    rows = written(_classed(keyed, width), "rows")
+    number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("first_id"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"))
+    classes = written(classes.withColumn("cls", number), "classes")
+    n_shingles = classes.agg(F.sum("n")).first()[0] or 0
+    met = _meetings(keyed, width, threshold, n_shingles)
+    members = written(met.unionByName(met.select("grp", F.col("grp").alias("cls"))).distinct().join(classes.select("cls", "n"), "cls"), "members")
+    links = written(_links(members, classes, keyed, width, threshold, block), "found")
+    parts = connected_components(links, "a", "b").withColumnRenamed("node", "cls")
+    named = classes.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    real = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = named.select("digest", "class_size", "component").join(real, "component")
+    out = rows.join(named, "digest", "left")
     own = F.when(F.col("node") >= 0, F.col("node"))
-    members_out = out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "node", F.coalesce("keeper", "node").alias("keeper"))
+    members_out = out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "component", "node", "h")
     return members_out, links
 
 
 def one_of_each(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100)) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component, the row with the smallest id stays.
 
-    Rows without shingles stay, each text or id once. Columns are as in ``docs``.
+    Rows without shingles stay; rows that repeat an id and a text are one. Columns are as in ``docs``.
     """
     members, _ = jaccard_join(docs, width, threshold)
-    members = written(members.select("node", "keeper"), "kept")
-    lost = members.filter("node <> keeper").select("node").distinct()
-    own = free_name(docs, "_node")
-    rows = docs.withColumn(own, node_of())
-    n_lost = lost.count()
-    lost = lost.select(F.col("node").alias(own))
-    rows = rows.join(F.broadcast(lost) if n_lost <= BROADCAST_NODES else lost, own, "left_anti")
-    if members.groupBy("node").count().filter("count > 1").take(1):  # rows that share an id, or a text without one
-        rows = rows.dropDuplicates([own])
+    members = written(members.select("component", "node", "h"), "kept")
+    first = members.filter("component is not null").groupBy("component").agg(F.min(F.struct("node", "h")).alias("first"))
+    linked = members.join(first, "component")
+    lost = linked.filter((F.col("node") != F.col("first.node")) | (F.col("h") != F.col("first.h"))).select(F.col("node").alias("lost_node"), F.col("h").alias("lost_h")).distinct()
+    node, h = free_name(docs, "_node"), free_name(docs, "_h")
+    rows = docs.withColumns({node: node_of(), h: F.xxhash64("text")})
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_NODES else lost
+    rows = rows.join(lost, (F.col(node) == F.col("lost_node")) & (F.col(h) == F.col("lost_h")), "left_anti")
+    if members.groupBy("node", "h").count().filter("count > 1").take(1):  # rows that repeat an id and a text
+        rows = rows.dropDuplicates([node, h])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
