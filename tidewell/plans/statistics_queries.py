@@ -365,10 +365,10 @@ def pr_threshold(spark, sf_dir):
 @query(
     "fluctuation_bins",
     """
-    WITH q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, value AS y FROM events), r AS (SELECT * FROM q WHERE q.t < 10),
-    s AS (SELECT user_id, arg_min(y, t) AS y0, CAST(floor(arg_min(y, t) / 25.0) AS BIGINT) AS bin FROM r GROUP BY 1),
+    WITH q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value AS y FROM events), r AS (SELECT user_id, k - 1 AS t, y FROM q WHERE k <= 10),
+    s AS (SELECT user_id, arg_min(y, r.t) AS y0, CAST(floor(arg_min(y, r.t) / 25.0) AS BIGINT) AS bin FROM r GROUP BY 1),
     l AS (SELECT bin, count(*) AS k, avg(y0) AS mean0 FROM s GROUP BY 1 HAVING count(*) > 3),
-    g AS (SELECT bin, t, count(*) AS n, avg(y) AS mean, var_pop(y) AS variance, avg(y / nullif(y0, 0)) AS p, any_value(mean0) AS mean0 FROM r JOIN s USING (user_id) JOIN l USING (bin) GROUP BY 1, 2)
+    g AS (SELECT bin, r.t AS t, count(*) AS n, avg(y) AS mean, var_pop(y) AS variance, avg(y / nullif(y0, 0)) AS p, any_value(mean0) AS mean0 FROM r JOIN s USING (user_id) JOIN l USING (bin) GROUP BY bin, r.t)
     SELECT bin, t, n, round(mean, 5) AS mean, round(variance, 5) AS variance, round(p, 5) AS p, round(variance / mean0, 5) AS scaled_variance FROM g
     """,
 )
