@@ -204,9 +204,12 @@ def _classed(docs: DataFrame, width: int) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            sums = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.binary())], names=["node", "h", "n", "digest"])
+            sizes, sums = [], []
+            for text in batch.column("text").cast(pa.large_binary()):
+                s = shingle_set(text.as_py(), width)
+                sizes.append(len(s))
+                sums.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(sums, pa.binary())], names=["node", "h", "n", "digest"])
 
     return docs.select("node", F.xxhash64("text").alias("h"), "text").mapInArrow(digest, "node long, h long, n long, digest binary")
 
@@ -247,33 +250,41 @@ def _stars(sign: np.ndarray, number: np.ndarray, at_least: int = 2) -> tuple[np.
     return pairs[:, 0], pairs[:, 1], ~shared | first
 
 
-#: In one batch of rows, signatures of at least so many classes are combined before they are sent.
+#: Among so many signatures of one task, those of at least COMBINE classes are combined before they are sent.
+FLUSH = 400_000
 COMBINE = 16
 
 
-def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bucket: int = 3_000_000) -> DataFrame:
+def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bucket: int = 1_000_000) -> DataFrame:
     """(grp, cls) of classes that share a signature with the smaller class grp, each pair once."""
     share = (t.den - t.num) / t.num * 2.2
     bits = int(max(6, np.ceil(np.log2(max(1, n_shingles * share / per_bucket)))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signs, numbers = [np.empty(0, U64)], [np.empty(0, np.int64)]
-            known = set()
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                s = shingle_set(text, width)
-                if len(s) and (number := class_number(xxhash.xxh3_128_digest(s.tobytes()))) not in known:
-                    known.add(number)
-                    signs.append(signatures(s, t))
-                    numbers.append(np.full(len(signs[-1]), number))
-            sign, number = np.concatenate(signs), np.concatenate(numbers)
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+        def flushed(signs: list, numbers: list) -> pa.RecordBatch:
+            sign, number = np.concatenate([np.empty(0, U64), *signs]), np.concatenate([np.empty(0, np.int64), *numbers])
             order = np.lexsort((number, sign))
             sign, number = sign[order], number[order]
             grp, cls, sent = _stars(sign, number, COMBINE)
             rows = list(_packed(sign[sent], number[sent], bits))
             rows += [(-1, grp.astype("<i8").tobytes(), b"", cls.astype("<i8").tobytes())] if len(grp) else []
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["bucket", "classes", "counts", "signs"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["bucket", "classes", "counts", "signs"])
+
+        for batch in batches:
+            signs, numbers, known, held = [], [], set(), 0
+            for text in batch.column("text").cast(pa.large_binary()):
+                s = shingle_set(text.as_py(), width)
+                if len(s) and (number := class_number(xxhash.xxh3_128_digest(s.tobytes()))) not in known:
+                    known.add(number)
+                    signs.append(signatures(s, t))
+                    numbers.append(np.full(len(signs[-1]), number))
+                    held += len(signs[-1])
+                    if held > FLUSH:
+                        yield flushed(signs, numbers)
+                        signs, numbers, held = [], [], 0
+            yield flushed(signs, numbers)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, signs, numbers = None, [], []
@@ -359,8 +370,8 @@ def _with_sets(places: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, numbers = [], []
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                s = shingle_set(text, width)
+            for text in batch.column("text").cast(pa.large_binary()):
+                s = shingle_set(text.as_py(), width)
                 sets.append(s.astype("<u8").tobytes())
                 numbers.append(class_number(xxhash.xxh3_128_digest(s.tobytes())) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("places"), pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], names=["places", "number", "shingles"])

@@ -140,7 +140,7 @@ def features(word: str) -> list[str]:
 class Restorer:
     """Features of texts by way of a bounded memory of tokens seen before."""
 
-    def __init__(self, model: CharModel, size: int = 300_000) -> None:
+    def __init__(self, model: CharModel, size: int = 60_000) -> None:
         self.model, self.size, self.seen = model, size, {}
 
     def of(self, token: str) -> list[str]:
@@ -201,7 +201,8 @@ def char_model(docs: DataFrame) -> CharModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BASE**3)
         for batch in batches:
-            total += trigram_counts(batch.column(0).to_pylist())
+            for s in range(0, batch.num_rows, 1000):
+                total += trigram_counts(batch.column(0).slice(s, 1000).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64))], names=["at", "n"])
 
@@ -231,11 +232,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> tuple
     def counts(wanted, toxic: bool) -> dict[str, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             restorer, total = Restorer(chars.value), Counter()
+
+            def counted() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
+
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    found = restorer.of_text(t)
+                for t in batch.column(0):
+                    found = restorer.of_text(t.as_py())
                     total.update(found & wanted.value if wanted else found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
+                    if len(total) > 200_000:
+                        yield counted()
+                        total.clear()
+            yield counted()
 
         rows = sample.filter(F.col("toxic") == toxic).select("text").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
         return {r["f"]: r["n"] for r in rows.filter(F.col("n") >= (1 if wanted else 4)).collect()}
@@ -270,12 +278,12 @@ def score_documents(docs: DataFrame, chars: CharModel, judge: Judge, into: str =
         seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             scores = []
-            for t in batch.column("text").to_pylist():
+            for t in batch.column("text"):
                 found = set()
-                for token in raw_tokens(t):
+                for token in raw_tokens(t.as_py()):
                     hit = seen.get(token)
                     if hit is None:
-                        if len(seen) >= 300_000:
+                        if len(seen) >= 150_000:
                             seen.clear()
                         word = chars.restore(token)
                         hit = seen[token] = tuple(f for f in features(word) if f in judge.weights) if word else ()
