@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import barcode_queries, cell_queries, io_queries, statistics_queries  # noqa: F401
+    from . import barcode_queries, cell_queries, io_queries, more_queries, statistics_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
