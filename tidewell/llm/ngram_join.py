@@ -1,14 +1,16 @@
 """N-gram Jaccard join of whole texts, by T-occurrence search.
 
 1. Texts with equal shingle sets are one class (128-bit digest of the set).
-2. Classes meet by exact signatures: sets within the threshold differ in at most d shingles, so of d + 1 parts of the
+2. A class most of whose shingles no other class has can have no partner and is set aside; twice, since that leaves
+   more shingles unshared. Every shingle is sent once for this, in packed form.
+3. Classes meet by exact signatures: sets within the threshold differ in at most d shingles, so of d + 1 parts of the
    hash range at least one is equal in both. d grows with the size, so sizes are banded; a set signs its own band and
    the bands below that may hold partners. Classes that share a signature form the group of its smallest class.
-3. Within each group, T-occurrence search over an inverted index of shingles (DivideSkip): the short lists of a query
+4. Within each group, T-occurrence search over an inverted index of shingles (DivideSkip): the short lists of a query
    are merged, the longest ones are probed by binary search, and sets that reach the required overlap are linked.
    Groups beyond a size are cut into blocks by set size, and blocks that may hold partners meet pairwise, after
    all members were compared with the group's first: what is linked to that needs no other comparison.
-4. Components of the links, by distributed star steps.
+5. Components of the links, by distributed star steps.
 
 Shingles are compared by 64-bit hash, sets within a few thousand such hashes at a time.
 """
@@ -255,36 +257,118 @@ FLUSH = 400_000
 COMBINE = 16
 
 
+PACKED = (("bucket", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary()), ("signs", pa.binary()))
+
+
+def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(PACKED)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, PACKED)], names=[n for n, _ in PACKED])
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Signs (their 40 bits) and class numbers of a packed row."""
+    raw = np.frombuffer(row["signs"], np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :5] = raw
+    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["classes"], "<i8"), np.frombuffer(row["counts"], "<u2"))
+
+
+def _new_classes(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Class number and shingles of each class in the batch, once."""
+    known = set()
+    for text in batch.column("text").cast(pa.large_binary()):
+        s = shingle_set(text.as_py(), width)
+        if len(s) and (number := class_number(xxhash.xxh3_128_digest(s.tobytes()))) not in known:
+            known.add(number)
+            yield number, s
+
+
+def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_000_000) -> DataFrame:
+    """(cls, unshared): how many of a class's shingles no other class of these texts has. Classes without any are left
+    out. Every shingle is sent once a task, packed; only counts come back."""
+    bits = int(max(6, np.ceil(np.log2(max(1, n_shingles / per_bucket)))))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, numbers, held = [], [], 0
+            for number, s in _new_classes(batch, width):
+                sets.append(s)
+                numbers.append(np.full(len(s), number))
+                held += len(s)
+                if held > FLUSH:
+                    yield _packed_batch(list(_packed(np.concatenate(sets), np.concatenate(numbers), bits)))
+                    sets, numbers, held = [], [], 0
+            if sets:
+                yield _packed_batch(list(_packed(np.concatenate(sets), np.concatenate(numbers), bits)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+
+        def alone() -> pa.RecordBatch:
+            sign, number = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((number, sign))
+            sign, number = sign[order], number[order]
+            fresh = np.concatenate(([True], (sign[1:] != sign[:-1]) | (number[1:] != number[:-1])))
+            sign, number = sign[fresh], number[fresh]
+            start, size = _runs(sign)
+            cls, n = np.unique(number[start[size == 1]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64())], names=["cls", "n"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != at:
+                    if parts:
+                        yield alone()
+                    at, parts = r["bucket"], []
+                parts.append(_unpacked(r))
+        if parts:
+            yield alone()
+
+    sent = docs.select("text").mapInArrow(send, "bucket int, classes binary, counts binary, signs binary")
+    dealt = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("unshared"))
+
+
+def _with_partners(classes: DataFrame, docs: DataFrame, width: int, t: Threshold, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The classes, and texts of their representatives, that may have a partner at all: a linked set holds at least
+    num / den of a class's shingles, so a class with more unshared ones has none. What goes in one round unshares more
+    shingles for the next."""
+    for _ in range(rounds):
+        n = classes.agg(F.sum("n")).first()[0] or 0
+        alone = _unshared(docs, width, n)
+        kept = classes.join(alone, "cls", "left").filter((F.col("n") - F.coalesce("unshared", F.lit(0))) * t.den >= F.col("n") * t.num).drop("unshared")
+        classes = written(kept, "sharing")
+        nodes = classes.select("node").distinct()
+        docs = docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi")
+    return classes, docs
+
+
 def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bucket: int = 1_000_000) -> DataFrame:
     """(grp, cls) of classes that share a signature with the smaller class grp, each pair once."""
     share = (t.den - t.num) / t.num * 2.2
     bits = int(max(6, np.ceil(np.log2(max(1, n_shingles * share / per_bucket)))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-
         def flushed(signs: list, numbers: list) -> pa.RecordBatch:
-            sign, number = np.concatenate([np.empty(0, U64), *signs]), np.concatenate([np.empty(0, np.int64), *numbers])
+            sign, number = np.concatenate(signs), np.concatenate(numbers)
             order = np.lexsort((number, sign))
             sign, number = sign[order], number[order]
             grp, cls, sent = _stars(sign, number, COMBINE)
             rows = list(_packed(sign[sent], number[sent], bits))
             rows += [(-1, grp.astype("<i8").tobytes(), b"", cls.astype("<i8").tobytes())] if len(grp) else []
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["bucket", "classes", "counts", "signs"])
+            return _packed_batch(rows)
 
         for batch in batches:
-            signs, numbers, known, held = [], [], set(), 0
-            for text in batch.column("text").cast(pa.large_binary()):
-                s = shingle_set(text.as_py(), width)
-                if len(s) and (number := class_number(xxhash.xxh3_128_digest(s.tobytes()))) not in known:
-                    known.add(number)
-                    signs.append(signatures(s, t))
-                    numbers.append(np.full(len(signs[-1]), number))
-                    held += len(signs[-1])
-                    if held > FLUSH:
-                        yield flushed(signs, numbers)
-                        signs, numbers, held = [], [], 0
-            yield flushed(signs, numbers)
+            signs, numbers, held = [], [], 0
+            for number, s in _new_classes(batch, width):
+                signs.append(signatures(s, t))
+                numbers.append(np.full(len(signs[-1]), number))
+                held += len(signs[-1])
+                if held > FLUSH:
+                    yield flushed(signs, numbers)
+                    signs, numbers, held = [], [], 0
+            if signs:
+                yield flushed(signs, numbers)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, signs, numbers = None, [], []
@@ -306,11 +390,9 @@ def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bu
                     if signs:
                         yield pairs_of()
                     at, signs, numbers = r["bucket"], [], []
-                raw = np.frombuffer(r["signs"], np.uint8).reshape(-1, 5)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :5] = raw
-                signs.append(wide.view("<u8").ravel())
-                numbers.append(np.repeat(np.frombuffer(r["classes"], "<i8"), np.frombuffer(r["counts"], "<u2")))
+                sign, number = _unpacked(r)
+                signs.append(sign)
+                numbers.append(number)
         if signs:
             yield pairs_of()
 
@@ -436,10 +518,10 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Thresho
     number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("first_id"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"))
     classes = written(classes.withColumn("cls", number), "classes")
-    n_shingles = classes.agg(F.sum("n")).first()[0] or 0
-    met = _meetings(keyed, width, threshold, n_shingles)
-    members = written(met.unionByName(met.select("grp", F.col("grp").alias("cls"))).distinct().join(classes.select("cls", "n"), "cls"), "members")
-    links = written(_links(members, classes, keyed, width, threshold, block), "found")
+    sharing, texts = _with_partners(classes.select("cls", "node", "n"), keyed, width, threshold)
+    met = _meetings(texts, width, threshold, sharing.agg(F.sum("n")).first()[0] or 0)
+    members = written(met.unionByName(met.select("grp", F.col("grp").alias("cls"))).distinct().join(sharing.select("cls", "n"), "cls"), "members")
+    links = written(_links(members, sharing, texts, width, threshold, block), "found")
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "cls")
     named = classes.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     real = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
