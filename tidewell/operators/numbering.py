@@ -37,4 +37,4 @@ def _bounds(df: DataFrame, order: Sequence[str]) -> list:
     sample = df.select(*order).sample(fraction=min(1.0, 64 * 200 / n), seed=7).limit(64 * 400)
     rows = sorted(sample.collect(), key=lambda r: tuple((x is not None, x) for x in r))
     picks = rows[:: max(1, len(rows) // parts)][1:]
-    return [F.struct(*[F.lit(x) for x in r]) for r in picks]
+    return [F.struct(*[F.lit(x).cast(df.schema[c].dataType).alias(c) for c, x in zip(order, r)]) for r in picks]
