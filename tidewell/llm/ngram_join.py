@@ -8,7 +8,7 @@
    the bands below that may hold partners. Classes that share a signature form the group of its smallest class.
 4. Within each group, T-occurrence search over an inverted index of shingles (DivideSkip): the short lists of a query
    are merged, the longest ones are probed by binary search, and sets that reach the required overlap are linked.
-   Groups beyond a size are cut into blocks by set size, and blocks that may hold partners meet pairwise, after
+   Groups within another are left out; groups beyond a size are cut into blocks by set size, and blocks that may hold partners meet pairwise, after
    all members were compared with the group's first: what is linked to that needs no other comparison.
 5. Components of the links, by distributed star steps.
 
@@ -407,6 +407,16 @@ def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bu
     return local.unionByName(wide).unionByName(along.filter("grp <> cls")).distinct()
 
 
+def _largest_groups(members: DataFrame) -> DataFrame:
+    """``members`` without the groups that lie whole within the group of the smallest class that their first class is
+    in: every pair of theirs meets there."""
+    above = members.filter("cls <> grp").groupBy(F.col("cls").alias("grp")).agg(F.min("grp").alias("above"))
+    placed = members.select("grp", "cls").join(above, "grp")
+    there = members.select(F.col("grp").alias("above"), "cls").withColumn("there", F.lit(1))
+    inside = placed.join(there, ["above", "cls"], "left").groupBy("grp").agg(F.min(F.coalesce("there", F.lit(0))).alias("whole")).filter("whole = 1")
+    return members.join(inside.select("grp"), "grp", "left_anti")
+
+
 def _search_blocks(rows: DataFrame, t: Threshold, n_parts: int) -> DataFrame:
     """rows: block columns grp, i, j; cls; asks, held; shingles. Out: (a, b, open): links, and with open the rows
     of star blocks that are not linked to the group's first (a: group, b: class)."""
@@ -503,7 +513,7 @@ def node_of() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2))
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100), block: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100), block: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """Membership and links of the documents (doc_id, text) whose shingle sets are similar enough.
 
     Membership: one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links,
@@ -521,6 +531,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Thresho
     sharing, texts = _with_partners(classes.select("cls", "node", "n"), keyed, width, threshold)
     met = _meetings(texts, width, threshold, sharing.agg(F.sum("n")).first()[0] or 0)
     members = written(met.unionByName(met.select("grp", F.col("grp").alias("cls"))).distinct().join(sharing.select("cls", "n"), "cls"), "members")
+    members = written(_largest_groups(members), "groups")
     links = written(_links(members, sharing, texts, width, threshold, block), "found")
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "cls")
     named = classes.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
