@@ -17,12 +17,12 @@ NAMES = sorted(registry.queries())
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return ""
-        if isinstance(v, (bool,)) or type(v).__name__ == "bool_":
-            return str(bool(v))
+        if isinstance(v, bool) or "bool" in type(v).__name__:
+            return str(float(v))
         try:
-            return f"{float(v):.6g}" if not isinstance(v, str) else v
+            return str(float(f"{float(v):.6g}")) if not isinstance(v, str) else v
         except (TypeError, ValueError):
             return str(v)
 
