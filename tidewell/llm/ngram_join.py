@@ -182,7 +182,7 @@ class Index:
 
 
 def links_in_block(nodes: np.ndarray, asks: np.ndarray, held: np.ndarray, sets: list[np.ndarray], t: Threshold) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links that join the block's linked sets (a spanning forest), and the group number of each row.
+    """Links that join the block's linked sets, each to the smallest of its tree, and the tree's number of each row.
 
     Rows that ``asks`` are queries, rows that are ``held`` are indexed; a row can be both. A pair in one tree already
     is not looked for again.
@@ -191,14 +191,16 @@ def links_in_block(nodes: np.ndarray, asks: np.ndarray, held: np.ndarray, sets:
     inside = order[held[order]]
     index = Index([sets[i] for i in inside])
     group = np.arange(len(sets))
-    links: list[tuple[int, int]] = []
     for q in order[asks[order]]:
         for y in index.search(sets[q], t, group[inside] == group[q]):
             y = inside[y]
             if group[y] != group[q]:
-                links.append((int(nodes[q]), int(nodes[y])))
                 group[group == group[y]] = group[q]
-    return links, group
+    smallest = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, group, nodes)
+    root = smallest[group]
+    linked = np.flatnonzero(root != nodes)
+    return list(zip(nodes[linked].tolist(), root[linked].tolist())), group
 
 
 def _classed(docs: DataFrame, width: int) -> DataFrame:
