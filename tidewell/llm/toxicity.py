@@ -283,7 +283,7 @@ def score_documents(docs: DataFrame, chars: CharModel, judge: Judge, into: str =
                 for token in raw_tokens(t.as_py()):
                     hit = seen.get(token)
                     if hit is None:
-                        if len(seen) >= 150_000:
+                        if len(seen) >= 400_000:
                             seen.clear()
                         word = chars.restore(token)
                         hit = seen[token] = tuple(f for f in features(word) if f in judge.weights) if word else ()
