@@ -256,6 +256,19 @@ def test_contamination(spark, docs, none, tmp_path):
     assert decontaminate.without_contaminated(docs, bench).columns == docs.columns
 
 
+def test_contamination_of_texts_that_start_inside_an_item(spark, tmp_path):
+    common = ["of", "the", "and", "to", "in", "a", "is", "that", "it", "was", "for", "on"]
+    words = [*common, *(f"rare{i}" for i in range(20))]
+    items = [(1, " ".join(words)), (2, " ".join([*common[:6], *(f"odd{i}" for i in range(9)), *common, "end"]))]
+    texts = [(100 * item + k, " ".join(it.split()[k:]) + tail) for item, it in items for k in range(1, 13) for tail in ("", " and more")]
+    texts += [(900 + i, " ".join(common[i:] + common[:i])) for i in range(12)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = decontaminate.contamination(spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id long, text string"))
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"]), r["contaminated"]) for r in got.collect())
+    assert got == brute_contamination(texts, items)
+    assert sum(n for row, n in got.items() if row[0] < 200 and row[2] >= 20) == 24
+
+
 def test_proximity(spark, docs):
     q = spark.createDataFrame([(1, "fox lazy"), (2, "fox today"), (3, None)], "item_id long, text string")
     out = {(r["item_id"], r["doc_id"], r["first_pos"], r["last_pos"]) for r in decontaminate.proximity_matches(docs, q, within=5).collect()}

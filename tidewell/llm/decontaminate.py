@@ -81,8 +81,10 @@ def _met(docs: DataFrame, items: DataFrame, lists: int) -> DataFrame:
     met = shifted.groupBy("doc_id", "h", "item", "shift").agg(F.collect_set("p").alias("ps"))
     windows = anchors.groupBy("item").agg(F.collect_list(F.struct("start", "at")).alias("windows"))
     here = F.filter("windows", lambda w: F.forall(w["at"], lambda p: F.array_contains(F.col("ps"), p)))
-    met = met.join(_small(windows), "item").withColumn("starts", F.transform(here, lambda w: w["start"]))
-    return met.filter((F.size("starts") > 0) & (F.col("shift") + F.array_min("starts") >= 0)).select("doc_id", "h", "item", "shift", "starts")
+    # Windows before the document's first word go one by one; the others of the alignment stay.
+    inside = F.filter(F.transform(here, lambda w: w["start"]), lambda s: s + F.col("shift") >= 0)
+    met = met.join(_small(windows), "item").withColumn("starts", inside)
+    return met.filter(F.size("starts") > 0).select("doc_id", "h", "item", "shift", "starts")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, lists: int = 2) -> DataFrame:
