@@ -214,6 +214,26 @@ def test_mixing(docs, none):
     assert sum(len((r["text"] or "").split()) for r in corpus.collect()) == sum(r["taken"] for r in out)
 
 
+def test_mixing_keeps_texts_whole(spark, tmp_path):
+    rng = random.Random(3)
+    names = [*(f"s{i}" for i in range(40)), None, "\uffff", "\U0001f600", ""]
+    rows = [(i, " ".join(f"w{j}" for j in range(rng.randint(1, 60))) + " end\n", name) for i, name in enumerate(names)]
+    rows += [(100 + i, " ".join(f"v{j}" for j in range(rng.randint(1, 60))), rng.choice(names[:3])) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = mixing.mix_documents(docs).collect()
+    sizes = {n: sum(r["size"] for r in out if r["source"] == n) for n in names}
+    order = sorted(names, key=lambda n: (n is None, n or ""))
+    want = dict(zip(order, mixing.share_out([sizes[n] for n in order], [[3, 1, 2][i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()), 2)))
+    assert all(abs(r["target"] - want[r["source"]]) < 1e-6 and r["source_size"] == sizes[r["source"]] for r in out)
+    for n in names:
+        own = [r for r in out if r["source"] == n]
+        assert abs(sum(r["taken"] for r in own) - want[n]) <= max(r["size"] for r in own) / 2 + 1
+    texts = {i: t for i, t, _ in rows}
+    read = Counter((r["doc_id"], r["text"]) for r in mixing.mixed_corpus(docs).collect())
+    assert read == Counter({(r["doc_id"], texts[r["doc_id"]]): r["taken"] // r["size"] for r in out if r["taken"]})
+
+
 def test_schedules_invert(spark):
     with pytest.raises(ValueError):
         mixing.checked([(0.0, 1.0), (0.5, 1.0)])

@@ -2,8 +2,8 @@
 
 Each source has a weight schedule, piecewise linear over training time 0 to 1. Its integral is the source's weight in
 the whole mix; targets share a word budget by these weights, none above ``max_epochs`` times what the source has. A
-source's documents follow each other in hash order, epoch after epoch, until its target is met. A document copy that
-starts at word ``o`` of its source's target T is read when the source's integrated schedule reaches o / T: inverting
+source's documents follow each other in hash order, epoch after epoch, until its target is met to the nearest whole
+document: texts are never cut. A document copy that starts at word ``o`` of its source's target T is read when the source's integrated schedule reaches o / T: inverting
 that gives the training position, and the mix is range-sorted by it.
 """
 
@@ -15,9 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import dense_index
 from .common import running_total, written
 
 Schedule = Sequence[tuple[float, float]]
+#: Up to so many sources are broadcast; beyond that, the join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def integral(schedule: Schedule) -> float:
@@ -34,7 +37,10 @@ def checked(schedule: Schedule) -> Schedule:
 
 
 def share_out(sizes: Sequence[int], weights: Sequence[float], budget: float, max_epochs: float) -> list[float]:
-    """Targets that share ``budget`` by weight; what exceeds max_epochs times a size is shared again by the others."""
+    """Targets that share ``budget`` by weight; what exceeds max_epochs times a size is shared again by the others.
+
+    For lists; ``_level`` does the same over a table.
+    """
     target = [0.0] * len(sizes)
     open_ = list(range(len(sizes)))
     while open_:
@@ -48,7 +54,8 @@ def share_out(sizes: Sequence[int], weights: Sequence[float], budget: float, max
             target[i] = max_epochs * sizes[i]
             budget -= target[i]
         budget = max(budget, 0.0)
-        open_ = [i for i in open_ if i not in set(over)]
+        closed = set(over)
+        open_ = [i for i in open_ if i not in closed]
     return target
 
 
@@ -59,8 +66,6 @@ class Mix:
     schedules: Sequence[Schedule]
     budget_share: float = 1.5
     max_epochs: float = 2.0
-    #: The catalogue of sources is read by the driver; more sources than this are refused, never dropped.
-    max_sources: int = 1_000_000
 
 
 #: Weights 3, 1 and 2 over the whole run: the first kind of source fades, the second grows, the third is level.
@@ -72,24 +77,45 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def _level(sources: DataFrame, weights: Sequence[float], budget_share: float, max_epochs: float) -> float:
+    """Words per unit of weight, so that targets min(max_epochs * source_size, level * weight) share the budget.
+
+    Each round counts the sources that are full at the level so far, one row a kind of schedule; the level only rises.
+    """
+    level = 0.0
+    while True:
+        full = F.col("source_size") * F.lit(float(max_epochs)) < F.lit(level) * F.col("weight")
+        sums = sources.groupBy("kind").agg(F.sum("source_size").alias("size"), F.sum(F.when(full, F.col("source_size")).otherwise(0)).alias("full"), F.count_if(~full).alias("open"))
+        rows = sorted(sums.collect(), key=lambda r: r["kind"])
+        open_weight = sum(r["open"] * weights[r["kind"]] for r in rows)
+        if not open_weight:
+            return float("inf")
+        risen = max(budget_share * sum(r["size"] for r in rows) - max_epochs * sum(r["full"] for r in rows), 0.0) / open_weight
+        if risen <= level:
+            return level
+        level = risen
+
+
 def _plan(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """One row a source: source, source_size, target, demand (whole words) and the schedule's segments."""
-    catalogue = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).limit(mix.max_sources + 1).collect()
-    if len(catalogue) > mix.max_sources:
-        raise ValueError(f"more than {mix.max_sources} sources")
-    catalogue.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    chosen = [mix.schedules[i % len(mix.schedules)] for i in range(len(catalogue))]
-    totals = [int(r["source_size"]) for r in catalogue]
-    targets = share_out(totals, [integral(s) for s in chosen], mix.budget_share * sum(totals), mix.max_epochs)
-    rows = []
-    for r, size, target, schedule in zip(catalogue, totals, targets, chosen):
-        area, segments = 0.0, []
+    """One row a source: source, source_size, target, demand (whole words), weight and the schedule's segments."""
+    weights, segments = [integral(s) for s in mix.schedules], []
+    for schedule, weight in zip(mix.schedules, weights):
+        area, parts = 0.0, []
         for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
-            segments.append((area / integral(schedule), t0, t1 - t0, w0, w1))
+            parts.append(F.struct(*[F.lit(float(x)).alias(n) for n, x in (("f", area / weight), ("t", t0), ("dt", t1 - t0), ("w0", w0), ("w1", w1))]))
             area += (t1 - t0) * (w0 + w1) / 2
-        rows.append((r["source"], size, float(target), min(round(target), int(mix.max_epochs * size)), integral(schedule), segments))
-    kind = "source string, source_size long, target double, demand long, weight double, segments array<struct<f:double,t:double,dt:double,w0:double,w1:double>>"
-    return sizes.sparkSession.createDataFrame(rows, kind)
+        segments.append(F.array(*parts))
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = written(sums.withColumn("unnamed", F.col("source").isNull().cast("int")).withColumn("name", F.coalesce("source", F.lit(""))), "sources")
+    kind = F.pmod(F.col("rank"), F.lit(len(weights))).cast("int")
+    ranked = dense_index(sums, ["unnamed", "name"], "rank").select("source", "source_size", kind.alias("kind"))
+    sources = written(ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("kind") + 1)), "ranked")
+    level = _level(sources, weights, mix.budget_share, mix.max_epochs)
+    most = F.col("source_size") * F.lit(float(mix.max_epochs))
+    plan = sources.withColumn("target", F.least(most, F.lit(level) * F.col("weight")))
+    plan = plan.withColumn("demand", F.least(F.rint("target"), F.floor(most)).cast("long"))
+    plan = plan.select("source", "source_size", "target", "demand", "weight", F.element_at(F.array(*segments), F.col("kind") + 1).alias("segments"))
+    return F.broadcast(plan) if sources.count() <= BROADCAST_ROWS else plan
 
 
 def _position(offset: Column, demand: Column, weight: Column, segments: Column) -> Column:
@@ -103,27 +129,29 @@ def _position(offset: Column, demand: Column, weight: Column, segments: Column)
     return F.least(seg["t"] + seg["dt"] * inside, F.lit(1.0))
 
 
-def mix_sizes(sized: DataFrame, mix: Mix, order: Sequence[str] = ("doc_id", "size")) -> DataFrame:
+def mix_sizes(sized: DataFrame, mix: Mix, order: Sequence[str] = ("doc_id", "key", "size")) -> DataFrame:
     """``sized`` (id columns, source, size) with source_size, target, taken, first_word (of its source) and demand.
 
-    Rows are put in order by a hash of the ``order`` columns, so reruns agree; rows equal in these take turns.
+    ``taken`` is a whole number of copies: the last copy of a source is read if at least half of it is still wanted,
+    and if no more than ``max_epochs`` times the source's words are read with it. Rows are put in order by a hash of the ``order`` columns, so reruns agree; rows equal in these take turns.
     Sources whose name is null are one source. A source without words has target 0. An empty table stays empty.
     """
     plan = _plan(sized, mix)
     before = running_total(sized, ["source"], list(order), "size", "first_word")
-    joined = before.alias("r").join(F.broadcast(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+    joined = before.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("demand") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("demand") - full * F.col("source_size")
-    taken = full * F.col("size") + F.greatest(F.least(rest - F.col("first_word"), F.col("size")), F.lit(0))
+    wanted = (rest - F.col("first_word")) * 2 >= F.col("size")
+    fits = full * F.col("source_size") + F.col("first_word") + F.col("size") <= F.col("source_size") * F.lit(float(mix.max_epochs))
+    taken = (full + F.when(wanted & fits, 1).otherwise(0)) * F.col("size")
     return joined.select("r.*", "p.source_size", "p.target", "p.demand", "p.weight", "p.segments", taken.cast("long").alias("taken"))
 
 
-def copies(mixed: DataFrame, max_epochs: float = 2.0) -> DataFrame:
-    """One row per copy that the mix reads: epoch, words (the last copy of a source may be cut short), position."""
-    epoch = F.explode(F.sequence(F.lit(0), F.lit(int(-(-max_epochs // 1)) - 1))).alias("epoch")
+def copies(mixed: DataFrame) -> DataFrame:
+    """One row per copy that the mix reads, always whole: epoch, position."""
+    epoch = F.explode(F.sequence(F.lit(0), F.expr("taken div size - 1").cast("int"))).alias("epoch")
+    rows = mixed.filter(F.col("taken") > 0).select("*", epoch)
     start = F.col("epoch") * F.col("source_size") + F.col("first_word")
-    rows = mixed.filter(F.col("taken") > 0).select("*", epoch).withColumn("words", F.least(F.col("demand") - start, F.col("size")))
-    rows = rows.filter(F.col("words") > 0)
     return rows.withColumn("position", _position(start, F.col("demand"), F.col("weight"), F.col("segments")))
 
 
@@ -131,9 +159,9 @@ def mix_documents(docs: DataFrame, mix: Mix = CURRICULUM) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source), range-sorted by ``position``, that of its first copy.
 
     Columns: doc_id, size, source_size, target, taken, source, position (null where the mix takes nothing).
-    Documents without words take nothing.
+    Documents without words take nothing. ``taken`` is what ``mixed_corpus`` reads of the row.
     """
-    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size")), "sizes")
+    sized = written(docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size")), "sizes")
     mixed = mix_sizes(sized, mix)
     at = F.when(F.col("taken") > 0, _position(F.col("first_word"), F.col("demand"), F.col("weight"), F.col("segments")))
     out = mixed.select("doc_id", "size", "source_size", "target", "taken", "source", at.alias("position"))
@@ -143,15 +171,13 @@ def mix_documents(docs: DataFrame, mix: Mix = CURRICULUM) -> DataFrame:
 def mixed_corpus(docs: DataFrame, mix: Mix = CURRICULUM) -> DataFrame:
     """The rows of ``docs`` as often as the mix reads them, in order of position, columns as in ``docs``.
 
-    The copy at which a source meets its target keeps as many leading words as are still wanted. ``docs`` is read
-    more than once; hand in a written table.
+    Texts stay whole: the copy at which a source meets its target is read or left out. ``docs`` is read more than
+    once; hand in a written table.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("key"),
         F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"),
     )
-    read = copies(mix_sizes(rows, mix, order=["doc_id", "key", "size"]), mix.max_epochs)
+    read = copies(mix_sizes(rows, mix))
     ordered = read.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
-    lead = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(F.col("words") < F.col("size"), lead).otherwise(F.col("row.text"))
-    return ordered.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
