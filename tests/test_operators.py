@@ -196,6 +196,21 @@ def test_student_t_and_mode():
     assert abs(kernels.half_range_mode(x) - 5) < 0.2
 
 
+def test_mode_counts_all_rows(spark):
+    rng = np.random.default_rng(4)
+    values = {
+        "a": np.round(np.concatenate([rng.normal(5, 1, 900), rng.uniform(-50, 50, 500)]), 2), "b": rng.exponential(3, 700), "c": np.array([1.0, 1.0, 2.0, 9.0]), "d": np.array([3.0]),
+        "e": np.repeat([1.0, 1e6, 1e6 + 1, 2e6], [3, 5, 5, 4]), "f": np.arange(64.0),
+    }
+    data = [(g, float(v)) for g, x in values.items() for v in x] + [("a", None), ("n", None)]
+    df = spark.createDataFrame(data, "g string, x double")
+    want = {g: kernels.half_range_mode(x) for g, x in values.items()}
+    for few in (8, 100_000):
+        got = {r["g"]: r["mode"] for r in kernels.mode_by(df.repartition(few % 7 + 1), "g", "x", max_rows=few).collect()}
+        assert got.pop("n") is None and got.keys() == want.keys()
+        assert all(math.isclose(got[g], want[g], rel_tol=1e-12) for g in want)
+
+
 def test_bit_thresholds_split(spark):
     rng = np.random.default_rng(2)
     data = [(0, float(v)) for v in np.concatenate([rng.normal(1, 0.1, 300), rng.normal(5, 0.2, 300)])]

@@ -9,6 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewell.session import scratch
 
 
 def half_range_mode(x: np.ndarray) -> float:
@@ -30,23 +33,91 @@ def half_range_mode(x: np.ndarray) -> float:
     return float(x.mean()) if len(x) else math.nan
 
 
+def half_range_mode_of_counts(v: np.ndarray, n: np.ndarray) -> float:
+    """``half_range_mode`` of the rising values ``v``, each of which stands ``n`` times."""
+    while n.sum() > 2 and len(v) > 1:
+        width = (v[-1] - v[0]) / 2
+        before = np.concatenate([[0], np.cumsum(n)])
+        end = np.searchsorted(v, v + width, "right")
+        count = before[end] - before[:-1]
+        best = np.flatnonzero(count == count.max())
+        i = min((v[end[i] - 1] - v[i], i) for i in best)[1]
+        if i == 0 and end[i] == len(v):
+            last = n[-1] == 1 and (n[0] > 1 or v[-1] - v[-2] > v[1] - v[0])
+            v, n = (v[:-1], n[:-1]) if last else (v[1:], n[1:])
+        else:
+            v, n = v[i : end[i]], n[i : end[i]]
+    return float(np.average(v, weights=n)) if len(v) > 1 else float(v[0]) if len(v) else math.nan
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "modes")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _fullest_half(counts: DataFrame, spans: DataFrame, parts: int) -> DataFrame:
+    """One round of halving: the rows (g, v, n) inside each group's fullest window of half its range.
+
+    Values and window ends are cut into ``parts`` ranges a group; sums of ranges first, then each range on its own.
+    """
+    x = counts.join(spans, "g").withColumn("q", F.col("v") + F.col("width"))
+    own = F.struct(F.col("v").alias("at"), F.lit(True).alias("own"))
+    end = F.struct(F.col("q").alias("at"), F.lit(False).alias("own"))
+    e = x.select("g", "v", "n", F.explode(F.when(F.col("q") < F.col("hi"), F.array(own, end)).otherwise(F.array(own))).alias("e")).select("g", "v", "n", "e.*")
+    bounds = e.groupBy("g").agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], F.lit(10_000)).alias("bounds"))
+    e = _written(e.join(bounds, "g").withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("at")))).drop("bounds"))
+    own_n, own_v = F.when(F.col("own"), F.col("n")).otherwise(0), F.when(F.col("own"), F.col("v"))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = e.groupBy("g", "part").agg(F.sum(own_n).alias("s"), F.max(own_v).alias("m"))
+    sums = sums.select("g", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"), F.max("m").over(before).alias("top"))
+    inside = Window.partitionBy("g", "part").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = e.withColumn("cum", F.sum(own_n).over(inside)).withColumn("last", F.max(own_v).over(inside)).join(sums, ["g", "part"])
+    run = run.select("g", "v", "n", "own", (F.col("cum") + F.col("base")).alias("cum"), F.greatest("last", "top").alias("last"))
+    back = run.groupBy("g", "v").agg(
+        F.max("n").alias("n"), F.max(F.when(F.col("own"), F.col("cum"))).alias("start"),
+        F.max(F.when(~F.col("own"), F.col("cum"))).alias("stop"), F.max(F.when(~F.col("own"), F.col("last"))).alias("last"),
+    ).join(spans, "g")
+    count = F.coalesce("stop", "total") - F.col("start") + F.col("n")
+    best = back.groupBy("g").agg(F.max(F.struct(count.alias("count"), (F.col("v") - F.coalesce("last", "hi")).alias("span"), (-F.col("v")).alias("v"))).alias("best"))
+    kept = counts.join(best.join(spans, "g").select("g", (-F.col("best.v")).alias("from_"), "width"), "g")
+    return kept.filter((F.col("v") >= F.col("from_")) & (F.col("v") <= F.col("from_") + F.col("width"))).select("g", "v", "n")
+
+
 def mode_by(df: DataFrame, group: str, value: str, boots: int = 0, seed: int = 0, max_rows: int = 100_000) -> DataFrame:
-    """Half-range mode per group, the mean over bootstrap draws if asked (AGG11).
+    """Half-range mode per group, the mean over bootstrap draws if asked (AGG11). All rows count.
 
-    A group of more than ``max_rows`` values is thinned by hash to about that many: the mode is an estimate, and its
-    sample size is this parameter.
+    Groups of more than ``max_rows`` distinct values are halved by aggregates until so few are left, then finished in
+    one call a group. Bootstrap draws are made in one call a group over its distinct values, however many.
+    Null and NaN values do not count; rows without a group are left out.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    u = F.pmod(F.xxhash64(F.col(value), F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
-    thin = df.select(group, F.col(value).cast("double").alias(value)).join(sizes, group).filter(u * F.col("_n") <= max_rows)
+    x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null")
+    counts = _written(x.filter("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")))
+    left, done, n_left = counts, [], None
+    while not boots:
+        spans = left.groupBy("g").agg(
+            F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.max("v").alias("hi"), ((F.max("v") - F.min("v")) / 2).alias("width")
+        )
+        spans = _written(spans)
+        large = spans.filter(F.col("k") > max_rows).drop("k")
+        n, most = spans.filter(F.col("k") > max_rows).agg(F.sum("k"), F.max("k")).first()
+        if n is None or n == n_left:
+            break
+        n_left = n
+        done.append(left.join(spans.filter(F.col("k") <= max_rows).select("g"), "g", "left_semi"))
+        left = _written(_fullest_half(left.join(large.select("g"), "g", "left_semi"), large, min(1000, -(-most // max(max_rows, 1)))))
+    for part in done:
+        left = left.unionByName(part)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].to_numpy())
+        pdf = pdf.sort_values("v")
+        v, n = pdf["v"].to_numpy(), pdf["n"].to_numpy()
         rng = np.random.default_rng(seed)
-        modes = [half_range_mode(rng.choice(x, len(x))) for _ in range(boots)] if boots else [half_range_mode(x)]
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "mode": [float(np.mean(modes))]})
+        draws = [rng.multinomial(n.sum(), n / n.sum()) for _ in range(boots)] if boots else [n]
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mode": [float(np.mean([half_range_mode_of_counts(v[d > 0], d[d > 0]) for d in draws]))]})
 
-    return thin.select(group, value).groupBy(group).applyInPandas(run, f"{group} {df.schema[group].dataType.simpleString()}, mode double")
+    modes = left.groupBy("g").applyInPandas(run, f"g {df.schema[group].dataType.simpleString()}, mode double")
+    return x.select("g").distinct().join(modes, "g", "left").withColumnRenamed("g", group)
 
 
 def _beta_fraction(a: float, b: float, x: np.ndarray) -> np.ndarray:
