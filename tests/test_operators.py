@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import cigar, keys, paths, sequences
+from tidewell.functions import cigar, keys, paths, sequences, udf_surface
 from tidewell.operators import filters, groups, hamming, joins, kernels, numbering, pairing, sampling, stats, traces, windows
+from tidewell.plans import registry
 
 
 def rows(df, *order):
@@ -227,3 +228,12 @@ def test_sampling_repeats_itself(spark):
 def test_tolerance_grid_at_delta(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 1.0), (1, 2.5), (1, 2.5)], "g int, x double")
     assert [r["i"] for r in filters.tolerance_grid(df, ["g"], "x", 1.0, "i").orderBy("x").collect()] == [0, 0, 1, 1]
+
+
+def test_median_vectors(spark, sf_dir):
+    rng = np.random.default_rng(5)
+    data = [(int(label), [float(x) for x in rng.integers(0, 9, 3)]) for label in [*[1] * 301, 2, *[3] * 40]]
+    got = {r["label"]: r["aggregate"] for r in udf_surface.median_vectors(spark.createDataFrame(data, "label int, v array<float>"), ["label"], "v").collect()}
+    assert got == {k: np.median([v for i, v in data if i == k], axis=0).tolist() for k in (1, 2, 3)}
+    plan = registry.queries()["user_vectors"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan

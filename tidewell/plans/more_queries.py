@@ -164,7 +164,7 @@ def user_rows(spark, sf_dir):
 def user_vectors(spark, sf_dir):
     """UDF3, UDF5, TSR5: medians of vectors by label, and a measurement of each vector."""
     e = udf_surface.measure_columns(table(spark, sf_dir, "embeddings").select("label", "embedding"), ["embedding"], np.max, "max")
-    out = udf_surface.aggregate_vectors(e, ["label"], "embedding", lambda m: np.median(m, axis=0))
+    out = udf_surface.median_vectors(e, ["label"], "embedding")
     n = e.filter("embedding_max is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return out.join(n, "label").select("label", "n", F.size("aggregate").alias("width"))
 
