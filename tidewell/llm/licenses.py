@@ -8,11 +8,13 @@ a kept detection of the same or a higher priority is suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -85,25 +87,108 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("cc-by", r"cc by|creative commons attribution", "cc by", "2 0|2 5|3 0|4 0"),
 ]
 
-#: Label, priority, keyword, expression of sentences that only one license has.
+#: Label, priority, keyword, expression of sentences, notices and short references of one license.
 SENTENCES: list[tuple[str, int, str, str]] = [
     ("mit", 80, "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 75, "without restriction", r"deal in the software without restriction including without limitation"),
+    ("mit", 75, "permission notice", r"above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", 70, "opensource org", r"opensource org licenses mit(?: license)?(?: php)?"),
+    ("mit", 70, "noninfringement", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit", 55, "mit", r"mit style licen[sc]e|mit x11(?: licen[sc]e)?|x11 mit"),
+    ("mit", 45, "mit", r"(?:see|under|is|the) (?:the )?mit (?:terms|file|text)"),
     ("isc", 80, "hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", 72, "author disclaims", r"software is provided as is and the author disclaims all warranties"),
+    ("isc", 70, "opensource org", r"opensource org licenses isc(?: license)?"),
     ("bsd", 70, "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 68, "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", 68, "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", 55, "bsd", r"bsd style licen[sc]e"),
+    ("bsd", 55, "berkeley", r"berkeley software distribution"),
+    ("bsd-2-clause", 70, "opensource org", r"opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", 70, "opensource org", r"opensource org licenses bsd 3 clause"),
     ("bsd-3-clause", 75, "endorse or promote", r"neither the name of .{1,80}? may be used to endorse or promote products"),
+    ("bsd-4-clause", 76, "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
     ("gpl", 80, "free software foundation", r"redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 74, "gnu general public", r"you should have received a copy of the gnu general public license"),
+    ("gpl", 74, "gnu general public", r"see the gnu general public license for more details"),
+    ("gpl", 60, "gnu org", r"gnu org licenses gpl(?: html)?"),
+    ("gpl-2", 76, "gnu org", r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3", 76, "gnu org", r"gnu org licenses gpl 3 0"),
+    ("gpl-2", 66, "gplv2", r"gplv2(?: (?:or later|only))?"),
+    ("gpl-3", 66, "gplv3", r"gplv3(?: (?:or later|only))?"),
     ("lgpl", 80, "free software foundation", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", 74, "general public", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lgpl-2.1", 66, "lgplv2", r"lgplv2 1(?: (?:or later|only))?"),
+    ("lgpl-3", 66, "lgplv3", r"lgplv3(?: (?:or later|only))?"),
+    ("lgpl", 60, "gnu org", r"gnu org licenses lgpl(?: html)?"),
+    ("agpl", 80, "affero", r"under the terms of the gnu affero general public license"),
+    ("agpl-3", 66, "agplv3", r"agplv3(?: (?:or later|only))?"),
+    ("agpl", 60, "gnu org", r"gnu org licenses agpl(?: html)?"),
+    ("gfdl", 78, "invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2", 80, "mozilla public", r"this source code form is subject to the terms of the mozilla public license(?: v(?:ersion)? 2 0)?"),
+    ("mpl-2", 72, "mozilla org", r"mozilla org mpl 2 0"),
+    ("mpl-1.1", 74, "mozilla org", r"mozilla org mpl 1 1"),
+    ("epl", 78, "eclipse public", r"accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl-2", 72, "eclipse org", r"eclipse org legal epl (?:2 0|v20)"),
+    ("epl-1", 72, "eclipse org", r"eclipse org legal epl (?:1 0|v10)"),
+    ("cddl", 78, "common development and distribution", r"subject to the terms of the common development and distribution license"),
+    ("apache-2", 80, "apache license", r"licensed under the apache license version 2 0 the license"),
+    ("apache-2", 74, "apache org", r"(?:www )?apache org licenses license 2 0(?: txt| html)?"),
+    ("apache-2", 72, "contributor license agreements", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2", 60, "apache", r"apache ?2(?: 0)?"),
+    ("apache-2", 60, "asl", r"asl ?2(?: 0)?"),
     ("zlib", 80, "provided as is without", r"this software is provided as is without any express or implied warranty"),
+    ("zlib", 76, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", 74, "altered source versions", r"altered source versions must be plainly marked as such"),
     ("unlicense", 80, "unencumbered software", r"free and unencumbered software released into the public domain"),
+    ("unlicense", 70, "unlicense org", r"unlicense org"),
     ("wtfpl", 80, "you want to", r"you just do what the \w+ you want to"),
-    ("public-domain", 60, "public domain", r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain"),
+    ("wtfpl", 70, "wtfpl net", r"wtfpl net"),
+    ("beerware", 78, "beer in return", r"you can buy me a beer in return"),
+    ("boost-1", 78, "boost software", r"distributed under the boost software license version 1 0"),
+    ("boost-1", 72, "boost org", r"boost org license 1 0(?: txt)?"),
+    ("python", 76, "psf", r"psf license agreement(?: for python)?"),
+    ("postgresql", 78, "without a written agreement", r"without fee and without a written agreement is hereby granted"),
+    ("openssl", 78, "openssl toolkit", r"software developed by the openssl project for use in the openssl toolkit"),
+    ("php", 76, "php net", r"php net license(?: \d \d\d)?"),
+    ("ncsa", 78, "with the software without restriction", r"to deal with the software without restriction"),
+    ("artistic-2", 76, "artistic", r"under the (?:terms of the )?artistic license(?: version)? 2 0"),
+    ("artistic", 70, "perl itself", r"under the same terms as perl itself"),
+    ("ruby", 70, "ruby s license", r"ruby s license"),
+    ("vim", 74, "vim license", r"distribute(?:d)? under the vim license"),
+    ("ofl-1.1", 78, "sil open font", r"this font software is licensed under the sil open font license version 1 1"),
+    ("ofl", 70, "scripts sil org", r"scripts sil org ofl"),
+    ("odbl", 74, "opendatacommons", r"opendatacommons org licenses odbl(?: \d \d)?"),
+    ("odc-by", 74, "opendatacommons", r"opendatacommons org licenses by(?: \d \d)?"),
+    ("pddl", 74, "opendatacommons", r"opendatacommons org licenses pddl(?: \d \d)?"),
+    ("sspl", 76, "server side public", r"under the terms of the server side public license"),
+    ("busl", 76, "change date", r"on the change date .{0,60}? under the terms of the change license"),
+    ("elastic-2", 72, "elastic co", r"elastic co licensing elastic license"),
+    ("commons-clause", 76, "right to sell", r"does not grant to you the right to sell the software"),
+    ("json", 80, "good not evil", r"shall be used for good not evil"),
+    ("eupl", 74, "joinup", r"joinup ec europa eu (?:software|collection) (?:page )?eupl"),
+    ("cecill", 74, "cecill info", r"cecill info(?: licences)?"),
+    ("llama", 74, "llama", r"llama \d(?: \d)? (?:is|materials are) licensed under the llama"),
+    ("openrail", 72, "use based restrictions", r"use based restrictions (?:as )?(?:referenced|set forth) in"),
+    ("public-domain", 60, "public domain", r"(?:released|dedicated|placed|put) (?:in|in to|into|to) the public domain"),
+    ("public-domain", 58, "public domain", r"this (?:work|file|software|text|document) is in the public domain"),
+    ("public-domain", 58, "no known copyright", r"no known copyright (?:restrictions?)?"),
     ("proprietary", 60, "rights reserved", r"all rights reserved"),
     ("proprietary", 60, "confidential", r"proprietary and confidential"),
-    ("cc-by", 65, "creativecommons", r"creativecommons org licenses by (?:\d \d)"),
-    ("cc-by-nc", 66, "creativecommons", r"creativecommons org licenses by nc (?:\d \d)"),
-    ("cc-by-sa", 66, "creativecommons", r"creativecommons org licenses by sa (?:\d \d)"),
-    ("cc0", 66, "creativecommons", r"creativecommons org publicdomain zero"),
-    ("apache-2", 70, "www apache org", r"www apache org licenses license 2 0"),
+    ("proprietary", 60, "unauthori", r"unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:of this \w+ )?(?:\w+ ){0,6}?(?:is )?(?:strictly )?prohibited"),
+    ("proprietary", 58, "may not be reproduced", r"may not be reproduced (?:\w+ ){0,8}?without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)"),
+    ("proprietary", 56, "end user licen", r"end user licen[sc]e agreement"),
+    ("non-commercial", 56, "commercial", r"for non ?commercial (?:use|purposes) only"),
+    ("non-commercial", 56, "personal use", r"for personal use only"),
+    ("research-only", 56, "research", r"for (?:academic )?research (?:use|purposes) only"),
+    ("cc-by", 65, "creativecommons", r"creativecommons org licenses by(?: \d \d)?"),
+    ("cc-by-nc", 66, "creativecommons", r"creativecommons org licenses by nc(?: \d \d)?"),
+    ("cc-by-sa", 66, "creativecommons", r"creativecommons org licenses by sa(?: \d \d)?"),
+    ("cc-by-nd", 66, "creativecommons", r"creativecommons org licenses by nd(?: \d \d)?"),
+    ("cc-by-nc-sa", 67, "creativecommons", r"creativecommons org licenses by nc sa(?: \d \d)?"),
+    ("cc-by-nc-nd", 67, "creativecommons", r"creativecommons org licenses by nc nd(?: \d \d)?"),
+    ("cc0", 66, "creativecommons", r"creativecommons org publicdomain zero(?: \d \d)?"),
+    ("cc0", 68, "waived all copyright", r"has waived all copyright and related or neighboring rights"),
     ("gpl", 50, "copyleft", r"copyleft"),
 ]
 
@@ -115,27 +200,42 @@ class Rule:
     keyword: str
     pattern: re.Pattern
     confidence: float
+    #: Places of a phrase are all reported, also where they overlap or lie within other detections.
+    phrase: bool = False
 
 
-@lru_cache(1)
-def rules() -> tuple[Rule, ...]:
-    """The ordered rules: six forms per family and version, then the sentences."""
+#: Words that introduce a license: "released under the terms of the ...".
+_UNDER = r"(?:licensed|released|distributed|available|published|provided|covered|governed) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+#: How a version stands after a name.
+_VERSION = r"(?:public )?(?:license |licence |licenses )?(?:version |ver |v ?)?"
+
+
+def _versioned(label: str, version: str) -> str:
+    """One label a license: the major version, with what follows it unless that is 0; Creative Commons has no versions."""
+    return label if label.startswith("cc") else f"{label}-" + version.replace(" ", ".").removesuffix(".0")
+
+
+@lru_cache(4)
+def rules(phrases: tuple[tuple[str, str], ...] = ()) -> tuple[Rule, ...]:
+    """The ordered rules: the phrases, five forms per family and version, then the sentences."""
     out = []
 
     def add(label: str, priority: int, keyword: str, pattern: str, confidence: float) -> None:
         out.append(Rule(label, priority, keyword, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), confidence))
 
+    for phrase, label in phrases:
+        out.append(Rule(label, 100, phrase, re.compile(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))"), 0.9, True))
     for label, name, spdx, versions in FAMILIES:
         words = _keywords(name)
         for v in [*versions.split("|")] if versions else []:
-            major = label + "-" + v.replace(" ", ".")
+            major = _versioned(label, v)
             for k in words:
-                add(major, 60, k, rf"(?:{name}) (?:license |licence )?(?:version |v ?)?{v}", 0.9)
-                add(major, 70, k, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:{name}) (?:license |licence )?(?:version |v ?)?{v}", 0.98)
+                add(major, 60, k, rf"(?:{name}) {_VERSION}{v}(?: or (?:any )?later(?: version)?| only)?", 0.9)
+                add(major, 70, k, rf"{_UNDER}(?:{name}) {_VERSION}{v}(?: or (?:any )?later(?: version)?| only)?", 0.98)
             add(major, 90, "spdx license identifier", rf"spdx license identifier {spdx} {v}(?: only| or later)?", 1.0)
         for k in words:
             add(label, 40, k, rf"(?:{name}) (?:public )?licen[sc]ed?", 0.8)
-            add(label, 50, k, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)?", 0.95)
+            add(label, 50, k, rf"{_UNDER}(?:{name})(?: licen[sc]e)?", 0.95)
         add(label, 85, "spdx license identifier", rf"spdx license identifier {spdx}", 0.99)
     for label, priority, keyword, pattern in SENTENCES:
         add(label, priority, keyword, pattern, 0.9)
@@ -157,10 +257,10 @@ def _keywords(name: str) -> list[str]:
     return list(dict.fromkeys(plain))
 
 
-@lru_cache(1)
-def _automaton() -> ahocorasick.Automaton:
+@lru_cache(4)
+def _automaton(phrases: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
     found: dict[str, list[int]] = {}
-    for i, r in enumerate(rules()):
+    for i, r in enumerate(rules(phrases)):
         found.setdefault(r.keyword, []).append(i)
     auto = ahocorasick.Automaton()
     for k, ids in found.items():
@@ -182,39 +282,62 @@ def normalised(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORD_BYTES).split()
 
 
-def detect(joined: str) -> list[Detection]:
-    """Detections over words joined by one space, in word numbers, after suppression."""
-    gated = sorted({i for _, ids in _automaton().iter(joined) for i in ids})
-    raw = []
+class _Cover:
+    """The furthest end of any interval that starts at or before a place (a Fenwick tree of maxima over starts)."""
+
+    def __init__(self, starts: list[int]) -> None:
+        self.starts = sorted(set(starts))
+        self.ends = [-1] * (len(self.starts) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start) + 1
+        while i < len(self.ends):
+            self.ends[i] = max(self.ends[i], end)
+            i += i & -i
+
+    def end_from(self, start: int) -> int:
+        i, best = bisect_left(self.starts, start) + 1, -1
+        while i:
+            best = max(best, self.ends[i])
+            i -= i & -i
+        return best
+
+
+def detect(words: Sequence[str], phrases: tuple[tuple[str, str], ...] = ()) -> tuple[list[tuple[str, int]], list[Detection]]:
+    """Places of the phrases (label, word number), and the other rules' detections after suppression, in word numbers.
+
+    A detection goes where an earlier one contains it: of higher priority, or the same and longer. Keywords are looked
+    for once; a rule of a found keyword runs once over the text; suppression and numbering are n log n.
+    """
+    joined = " ".join(words)
+    every = rules(phrases)
+    gated = sorted({i for _, ids in _automaton(phrases).iter(joined) for i in ids})
+    at = np.cumsum([0, *(len(w) + 1 for w in words)])
+    places, raw = [], []
     for i in gated:
-        r = rules()[i]
-        for m in r.pattern.finditer(joined):
-            raw.append((r.priority, m.start(), m.end(), r.label, r.confidence))
-    raw.sort(key=lambda x: (-x[0], x[1] - x[2], x[1], x[3]))
-    kept: list[tuple] = []
+        r = every[i]
+        if r.phrase:
+            places += [(r.label, int(w)) for w in np.searchsorted(at, [m.start() for m in r.pattern.finditer(joined)])]
+        else:
+            raw += [(r.priority, m.start(), m.end(), r.label, r.confidence) for m in r.pattern.finditer(joined)]
+    raw = sorted(set(raw), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3], -x[4]))
+    cover, kept = _Cover([d[1] for d in raw]), []
     for d in raw:
-        if not any(k[1] <= d[1] and d[2] <= k[2] for k in kept):
+        if cover.end_from(d[1]) < d[2]:
             kept.append(d)
-    return sorted((Detection(joined.count(" ", 0, s), joined.count(" ", 0, e) + 1, label, p, c) for p, s, e, label, c in kept), key=lambda d: (d.start, d.end, d.label))
-
-
-def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
-    """Word numbers at which the phrase's words stand; ``joined`` has a space at both ends. Places may overlap."""
-    want, at, out, words, last = b" " + phrase + b" ", -1, [], 0, 0
-    while (at := joined.find(want, at + 1)) >= 0:
-        words += joined.count(b" ", last, at)
-        last = at
-        out.append(words)
-    return out
+            cover.add(d[1], d[2])
+    first, last = (np.searchsorted(at, [d[k] for d in kept], "right") for k in (1, 2))
+    found = [Detection(int(s) - 1, int(e), label, p, c) for s, e, (p, _, _, label, c) in zip(first, last, kept)]
+    return places, sorted(found, key=lambda d: (d.start, d.end, d.label))
 
 
 def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]], id_column: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: its id, n_words, base (label, places), detections and score.
 
-    ``phrases`` are (phrase, label): these places are found beside the rules and are never suppressed. Null and empty
-    texts have no words, no detections and score 0. Whole texts are read; columns other than id and text are not.
+    ``phrases`` are (phrase, label), in normalised words: rules whose places are all kept. Null and empty texts have no
+    words, no detections and score 0. Whole texts are read; columns other than id and text are not.
     """
-    wanted = [(p.encode(), label) for p, label in phrases]
+    wanted = tuple((p, label) for p, label in phrases)
     detection = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int32()), ("confidence", pa.float64())])
     base = pa.struct([("label", pa.string()), ("word", pa.int64())])
 
@@ -222,10 +345,8 @@ def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]], id_column
         for batch in batches:
             n, bases, found, score = [], [], [], []
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-                words = normalised(text)
-                joined = b" ".join(words)
-                places = [(label, w) for p, label in wanted for w in phrase_places(b" " + joined + b" ", p)] if words else []
-                hits = detect(joined.decode("utf-8"))
+                words = [w.decode("utf-8") for w in normalised(text)]
+                places, hits = detect(words, wanted)
                 n.append(len(words))
                 bases.append([{"label": a, "word": w} for a, w in places])
                 found.append([vars(h) for h in hits])
