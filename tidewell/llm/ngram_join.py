@@ -34,6 +34,8 @@ U64 = np.uint64
 #: the join shuffles.
 BROADCAST_NODES = 1_000_000
 BROADCAST_PLACES = 500_000
+#: Shingles (8 bytes each) that a task of the search is given on average.
+TASK_SHINGLES = 2_000_000
 GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -204,7 +206,7 @@ def links_in_block(nodes: np.ndarray, asks: np.ndarray, held: np.ndarray, sets:
 
 
 def _classed(docs: DataFrame, width: int) -> DataFrame:
-    """node, h (hash of the text), n (set size), digest (of the set, null if empty) of every row."""
+    """node, id, h (hash of the text), n (set size), digest (of the set, null if empty) of every row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,9 +215,9 @@ def _classed(docs: DataFrame, width: int) -> DataFrame:
                 s = shingle_set(text.as_py(), width)
                 sizes.append(len(s))
                 sums.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(sums, pa.binary())], names=["node", "h", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(sums, pa.binary())], names=["node", "id", "h", "n", "digest"])
 
-    return docs.select("node", F.xxhash64("text").alias("h"), "text").mapInArrow(digest, "node long, h long, n long, digest binary")
+    return docs.select("node", "id", F.xxhash64("text").alias("h"), "text").mapInArrow(digest, "node long, id long, h long, n long, digest binary")
 
 
 def class_number(digest: bytes) -> int:
@@ -238,7 +240,7 @@ def _packed(sign: np.ndarray, number: np.ndarray, bits: int) -> Iterator[tuple]:
     at, size = _runs(bucket)
     for s, n in zip(at, size):
         c, k = _runs(number[s : s + n])
-        yield int(bucket[s]), number[s : s + n][c].astype("<i8").tobytes(), k.astype("<u2").tobytes(), low[s : s + n].tobytes()
+        yield int(bucket[s]), number[s : s + n][c].astype("<i8").tobytes(), k.astype("<u4").tobytes(), low[s : s + n].tobytes()
 
 
 def _stars(sign: np.ndarray, number: np.ndarray, at_least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +274,7 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(row["signs"], np.uint8).reshape(-1, 5)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :5] = raw
-    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["classes"], "<i8"), np.frombuffer(row["counts"], "<u2"))
+    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["classes"], "<i8"), np.frombuffer(row["counts"], "<u4"))
 
 
 def _new_classes(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -419,6 +421,12 @@ def _largest_groups(members: DataFrame) -> DataFrame:
     return members.join(inside.select("grp"), "grp", "left_anti")
 
 
+def _tasks(places: DataFrame, classes: DataFrame) -> int:
+    """Tasks for a search: as many as the shingles of its places fill at TASK_SHINGLES each, no fewer than shuffles have."""
+    n = places.join(classes.select("cls", "n"), "cls").agg(F.sum("n")).first()[0] or 0
+    return max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_SHINGLES), 1)
+
+
 def _search_blocks(rows: DataFrame, t: Threshold, n_parts: int) -> DataFrame:
     """rows: block columns grp, i, j; cls; asks, held; shingles. Out: (a, b, open): links, and with open the rows
     of star blocks that are not linked to the group's first (a: group, b: class)."""
@@ -477,41 +485,44 @@ def _with_sets(places: DataFrame, classes: DataFrame, docs: DataFrame, width: in
 
 def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t: Threshold, block: int) -> DataFrame:
     """Links between classes that meet in a group. members: grp, cls, n."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     yes, no = F.lit(True), F.lit(False)
     total = members.groupBy("grp").agg(F.sum("n").alias("total"))
     sized = members.join(total, "grp")
     small = sized.filter(F.col("total") <= block).select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), "cls", yes.alias("asks"), yes.alias("held"))
-    big = written(sized.filter(F.col("total") > block), "big")
+    # the hub is the smallest class left of the group: its namesake may have been set aside
+    hub = sized.groupBy("grp").agg(F.min("cls").alias("hub"))
+    big = written(sized.filter(F.col("total") > block).join(hub, "grp"), "big")
     salts = F.ceil(F.col("total") * 2 / block).cast("int")
-    spokes = big.filter("cls <> grp").select("grp", (-1 - F.pmod(F.xxhash64("cls"), salts)).cast("int").alias("i"), F.lit(0).alias("j"), "cls", no.alias("asks"), yes.alias("held"))
-    hubs = big.filter("cls = grp").select("grp", F.explode(F.sequence(-salts, F.lit(-1))).alias("i"), F.lit(0).alias("j"), "cls", yes.alias("asks"), no.alias("held"))
-    first = small.unionByName(spokes).unionByName(hubs)
-    found = written(_search_blocks(_with_sets(first, classes, docs, width), t, parts), "links")
+    spokes = big.filter("cls <> hub").select("grp", (-1 - F.pmod(F.xxhash64("cls"), salts)).cast("int").alias("i"), F.lit(0).alias("j"), "cls", no.alias("asks"), yes.alias("held"))
+    hubs = big.filter("cls = hub").select("grp", F.explode(F.sequence(-salts, F.lit(-1))).alias("i"), F.lit(0).alias("j"), "cls", yes.alias("asks"), no.alias("held"))
+    first = written(small.unionByName(spokes).unionByName(hubs), "first")
+    found = written(_search_blocks(_with_sets(first, classes, docs, width), t, _tasks(first, classes)), "links")
     links = found.filter(~F.col("open")).select("a", "b")
     unlinked = written(found.filter("open").select(F.col("a").alias("grp"), F.col("b").alias("cls")).distinct(), "unlinked")
     if not unlinked.take(1):
         return links
-    rest = big.join(unlinked.withColumn("asks", yes), ["grp", "cls"], "left").withColumn("asks", F.coalesce("asks", no))
+    rest = big.drop("hub").join(unlinked.withColumn("asks", yes), ["grp", "cls"], "left").withColumn("asks", F.coalesce("asks", no))
     rest = rest.join(unlinked.select("grp").distinct(), "grp", "left_semi")
     # cells: a band of sizes (each the least partner of the next) and a hash part of it; an asking class meets the
     # cells of the bands that may hold partners
     banded = written(rest.withColumn("band", F.floor(F.ln("n") / float(np.log(t.den / t.num))).cast("int")), "rest")
     load = banded.groupBy("grp", "band").agg(F.ceil(F.sum("n") * 2 / block).cast("int").alias("cells"))
     placed = banded.join(load, ["grp", "band"]).withColumn("cell", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("cells")).cast("int"))
-    name = lambda band, cell: F.col(band).cast("long") * 1_000_000 + F.col(cell)
+    name = lambda band, cell: F.col(band).cast("long") * (1 << 32) + F.col(cell)
     slots = load.select("grp", F.col("band").alias("at"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("c"))
     near = placed.filter("asks").select("grp", "cls", F.explode(F.array(*[F.col("band") + d for d in (-2, -1, 0, 1, 2)])).alias("at"), name("band", "cell").alias("j"))
     asking = near.join(slots, ["grp", "at"]).select("grp", name("at", "c").alias("i"), "j", "cls", yes.alias("asks"), no.alias("held"))
     pairs = asking.select("grp", "i", "j").distinct()
     held = placed.select("grp", name("band", "cell").alias("i"), "cls").join(pairs, ["grp", "i"]).select("grp", "i", "j", "cls", no.alias("asks"), yes.alias("held"))
     both = asking.unionByName(held).groupBy("grp", "i", "j", "cls").agg(F.bool_or("asks").alias("asks"), F.bool_or("held").alias("held"))
-    more = _search_blocks(_with_sets(both, classes, docs, width), t, parts * 2)
+    both = written(both, "cells")
+    more = _search_blocks(_with_sets(both, classes, docs, width), t, _tasks(both, classes))
     return links.unionByName(more.select("a", "b"))
 
 
 def node_of() -> F.Column:
-    """The node of a row: its id, or a negative number from the text of a row without one."""
+    """The node of a row: its id, or a number from the text of a row without one. It names rows, together with the text's
+    hash; ids are kept beside it."""
     return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2))
 
 
@@ -523,12 +534,12 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Thresho
     node and h, which name the row. Links: (a, b) between class numbers, enough to connect every two linked classes.
     Texts that are null, empty or blank have no shingles and link with nothing. Rows are told apart by their texts:
     those that share an id are not linked by it, those without an id can be linked but give no component its name. Ids
-    are not negative.
+    may be negative.
     """
-    keyed = docs.select(node_of().alias("node"), "text")
+    keyed = docs.select(node_of().alias("node"), F.col("doc_id").cast("long").alias("id"), "text")
     rows = written(_classed(keyed, width), "rows")
     number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("first_id"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"))
+    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n"))
     classes = written(classes.withColumn("cls", number), "classes")
     sharing, texts = _with_partners(classes.select("cls", "node", "n"), keyed, width, threshold)
     met = _meetings(texts, width, threshold, sharing.agg(F.sum("n")).first()[0] or 0)
@@ -540,19 +551,19 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: Threshold = Thresho
     real = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.select("digest", "class_size", "component").join(real, "component")
     out = rows.join(named, "digest", "left")
-    own = F.when(F.col("node") >= 0, F.col("node"))
-    members_out = out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "component", "node", "h")
+    members_out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "component", "node", "h")
     return members_out, links
 
 
 def one_of_each(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100)) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component, the row with the smallest id stays.
 
-    Rows without shingles stay; rows that repeat an id and a text are one. Columns are as in ``docs``.
+    Rows without an id give way to those with one. Rows without shingles stay; rows that repeat an id and a text are
+    one. Columns are as in ``docs``.
     """
     members, _ = jaccard_join(docs, width, threshold)
-    members = written(members.select("component", "node", "h"), "kept")
-    first = members.filter("component is not null").groupBy("component").agg(F.min(F.struct("node", "h")).alias("first"))
+    members = written(members.select("component", "node", "h", F.col("doc_id").isNull().alias("unnamed")), "kept")
+    first = members.filter("component is not null").groupBy("component").agg(F.min(F.struct("unnamed", "node", "h")).alias("first"))
     linked = members.join(first, "component")
     lost = linked.filter((F.col("node") != F.col("first.node")) | (F.col("h") != F.col("first.h"))).select(F.col("node").alias("lost_node"), F.col("h").alias("lost_h")).distinct()
     node, h = free_name(docs, "_node"), free_name(docs, "_h")
