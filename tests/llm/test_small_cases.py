@@ -94,6 +94,12 @@ def test_every_byte_range_owns_its_records():
     for step in (97, 1000, len(blob)):
         got = [m for s in range(0, len(blob), step) for m in warc.members_in(io.BytesIO(blob), s, min(s + step, len(blob)))]
         assert [warc.parse(m).payload for m in got] == payloads
+    inner = warc.EMPTY_MEMBER.join(warc.record("response", [("WARC-Record-ID", f"<urn:record:in{i}>")], rng.randbytes(300)) for i in range(9))
+    stored = [warc.record("resource", [("WARC-Record-ID", "<urn:record:outer>")], inner, level=0), *members[:5]]
+    blob = warc.EMPTY_MEMBER.join([members[0], *stored, stored[0]])
+    for step in range(4500, 9000, 500):  # ranges longer than the stored archive: none of its records comes out
+        got = [m for s in range(0, len(blob), step) for m in warc.members_in(io.BytesIO(blob), s, min(s + step, len(blob)))]
+        assert [warc.parse(m).payload for m in got] == [payloads[0], inner, *payloads[:5], inner]
     assert warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort") is None
 
 

@@ -21,12 +21,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of no bytes, as ISO-8859-1 text.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00" + bytes(8)
 READ = 1 << 20
+#: Up to so many revisits (about 200 bytes each) are broadcast to the pages; beyond that, pages meet them in a join.
+BROADCAST_COPIES = 100_000
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
 
 
@@ -65,30 +67,44 @@ def write_warc(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00
 
 
 class Range:
-    """Bytes of a file from a place on, read in pieces."""
+    """Bytes of a file from a place on, read in pieces; what lies before ``pos`` of the buffer is done with."""
 
     def __init__(self, file, start: int) -> None:
-        self.file, self.at, self.buffer = file, start, b""
+        self.file, self.base, self.buffer, self.pos = file, start, bytearray(), 0
         file.seek(start)
 
+    @property
+    def at(self) -> int:
+        return self.base + self.pos
+
     def more(self) -> bool:
+        if self.pos > 4 * READ:
+            del self.buffer[: self.pos]
+            self.base, self.pos = self.at, 0
         got = self.file.read(READ)
         self.buffer += got
         return bool(got)
 
-    def drop(self, n: int) -> None:
-        self.buffer, self.at = self.buffer[n:], self.at + n
-
-
-def _member(source: Range) -> tuple[bytes, int] | None:
-    """The member at the range's start and its length, or None if there is none: only a WARC header or nothing counts."""
-    gz, out, fed = zlib.decompressobj(31), [], 0
-    seen = b""
+    def find(self, what: bytes) -> bool:
+        """Goes to the next place of ``what``; False at the end of the file."""
+        while (found := self.buffer.find(what, self.pos)) < 0:
+            self.pos = max(self.pos, len(self.buffer) - len(what) + 1)
+            if not self.more():
+                return False
+        self.pos = found
+        return True
+
+
+def _member(source: Range) -> tuple[bytes, int] | None | bool:
+    """The member at the range's place and its length. None if there is none: only a WARC header or nothing counts.
+    False where the file ends inside it."""
+    gz, out, seen = zlib.decompressobj(31), [], b""
+    fed = 0
     while True:
-        piece = source.buffer[fed : fed + READ]
+        piece = bytes(memoryview(source.buffer)[source.pos + fed : source.pos + fed + READ])
         if not piece:
             if not source.more():
-                return None
+                return False
             continue
         fed += len(piece)
         try:
@@ -105,26 +121,42 @@ def _member(source: Range) -> tuple[bytes, int] | None:
 
 
 def members_in(file, start: int, end: int) -> Iterator[bytes]:
-    """The decoded members that start in [start, end)."""
-    source = Range(file, start)
+    """The decoded members that start in [start, end).
+
+    Members follow each other without gaps, up to the end of the file. A candidate found by its magic may stand within
+    the payload of a record that holds an archive itself; the chain of members from there breaks where that payload
+    ends. So what is found by magic is given out once its chain has reached the range's end and one member beyond, or
+    the file's end. An archive within a record is told apart where it ends inside the range.
+    """
+    source, sure = Range(file, start), start == 0
+    chain: list[bytes] = []
+    linked = start == 0
     while source.at < end:
-        found = source.buffer.find(MAGIC)
-        if found < 0:
-            keep = min(len(source.buffer), len(MAGIC) - 1)
-            source.drop(len(source.buffer) - keep)
-            if not source.more():
-                return
-            continue
-        source.drop(found)
-        if source.at >= end:
-            return
+        if not linked:
+            if not source.find(MAGIC) or source.at >= end:
+                break
         member = _member(source)
-        if member is None:
-            source.drop(1)
-        else:
-            source.drop(member[1])
-            if member[0]:
+        if member is False and linked and source.at < end:  # the file ends inside a member that a chain led to
+            break
+        if not member:
+            if linked:  # the chain broke: all of it lay within a payload, unless it began the file
+                yield from chain if sure else ()
+                chain, linked, sure = [], False, False
+            else:
+                source.pos += 1
+            continue
+        linked = True
+        source.pos += member[1]
+        if member[0]:
+            if sure:
                 yield member[0]
+            else:
+                chain.append(member[0])
+    if chain and not sure and linked and (source.at >= end):
+        rest = _member(source) if source.buffer[source.pos :] or source.more() else True
+        if rest is None:
+            chain = []
+    yield from chain
 
 
 @dataclass
@@ -151,7 +183,8 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = 4 << 20, glob
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length")
     splits = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start"))
-    splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("length"))).repartition(F.col("path"), F.col("start"))
+    splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("length")))
+    splits = splits.repartitionByRange(max(1, splits.count()), "path", "start")  # a task a range
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "uri", "record_type", "refers_to", "digest", "payload_bytes", "payload"]
@@ -197,11 +230,14 @@ def deduplicated(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     smallest id. Null html is an empty payload.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    narrow = pages.filter("page_id is not null").select("page_id", F.sha2(payload, 256).alias("d"), F.octet_length(payload).alias("n")).filter(F.col("n") >= min_bytes)
+    first = narrow.groupBy("d").agg(F.min("page_id").alias("first_id"), F.count("page_id").alias("copies")).filter("copies > 1").drop("copies")
+    copies = written(narrow.join(first, "d").filter("page_id <> first_id").select(F.col("page_id").alias("p"), "d", "first_id").distinct(), "revisits")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    narrow = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= min_bytes)
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("page_id").alias("copies")).filter("copies > 1").select(F.col("digest").alias("d"), "first_id")
-    joined = rows.join(first, rows["digest"] == first["d"], "left")
-    revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first_id"))
+    # payloads go by page, not by digest: no copy that is common makes a large group of payloads
+    joined = rows.join(copies, (rows["page_id"] == copies["p"]) & (rows["digest"] == copies["d"]), "left")
+    revisit = F.col("first_id").isNotNull()
     return joined.select(
         F.col("page_id").cast("string").alias("record_id"), F.col("url").alias("uri"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id").cast("string")).alias("refers_to"), "payload", "payload_bytes", "digest",
