@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, running_total, written
+from .common import free_name, hash60, running_total, written
 
 
 def _winner(keys: Sequence[Column], shards: range, weights: Sequence[float]) -> Column:
@@ -19,7 +19,7 @@ def _winner(keys: Sequence[Column], shards: range, weights: Sequence[float]) ->
     w = F.array(*[F.lit(float(weights[s])) for s in shards])
 
     def scored(s: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(*keys, s), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+        u = (F.shiftright(hash60(*keys, s), 8).cast("double") + 0.5) * F.lit(2.0**-52)
         return F.struct((-F.get(w, s - shards.start) / F.ln(u)).alias("score"), (-s).alias("minus"))
 
     return F.array_max(F.transform(F.sequence(F.lit(shards.start), F.lit(shards.stop - 1)), scored))
