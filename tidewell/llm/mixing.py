@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import dense_index
-from .common import running_total, written
+from .common import free_name, running_total, small, written
 
 Schedule = Sequence[tuple[float, float]]
-#: Up to so many sources are broadcast; beyond that, the join shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def integral(schedule: Schedule) -> float:
@@ -115,7 +113,7 @@ def _plan(sizes: DataFrame, mix: Mix) -> DataFrame:
     plan = sources.withColumn("target", F.least(most, F.lit(level) * F.col("weight")))
     plan = plan.withColumn("demand", F.least(F.rint("target"), F.floor(most)).cast("long"))
     plan = plan.select("source", "source_size", "target", "demand", "weight", F.element_at(F.array(*segments), F.col("kind") + 1).alias("segments"))
-    return F.broadcast(plan) if sources.count() <= BROADCAST_ROWS else plan
+    return small(plan)
 
 
 def _position(offset: Column, demand: Column, weight: Column, segments: Column) -> Column:
@@ -129,28 +127,40 @@ def _position(offset: Column, demand: Column, weight: Column, segments: Column)
     return F.least(seg["t"] + seg["dt"] * inside, F.lit(1.0))
 
 
-def mix_sizes(sized: DataFrame, mix: Mix, order: Sequence[str] = ("doc_id", "key", "size")) -> DataFrame:
-    """``sized`` (id columns, source, size) with source_size, target, taken, first_word (of its source) and demand.
+def mix_sizes(sized: DataFrame, mix: Mix, order: Sequence[str] = ("doc_id", "key", "size"), ties: Sequence[str] = ()) -> DataFrame:
+    """``sized`` (id columns, source, size, rows) with source_size, target, first_word (of its source), demand, ``full``
+    (copies that every row gets) and ``more`` (how many of the rows get one copy more).
 
-    ``taken`` is a whole number of copies: the last copy of a source is read if at least half of it is still wanted,
-    and if no more than ``max_epochs`` times the source's words are read with it. Rows are put in order by a hash of the ``order`` columns, so reruns agree; rows equal in these take turns.
-    Sources whose name is null are one source. A source without words has target 0. An empty table stays empty.
+    ``sized`` is one row for ``rows`` equal ones, which follow each other. The last copy of a source is read if at least
+    half of it is still wanted, and if no more than ``max_epochs`` times the source's words are read with it. Rows are
+    put in order by a hash of the ``order`` columns, so reruns agree. Sources whose name is null are one source. A
+    source without words has target 0. An empty table stays empty.
     """
-    plan = _plan(sized, mix)
-    before = running_total(sized, ["source"], list(order), "size", "first_word")
+    volume = free_name(sized, "_volume")
+    sized = sized.withColumn(volume, F.col("size") * F.col("rows"))
+    plan = _plan(sized.withColumn("size", F.col(volume)), mix)
+    before = running_total(sized, ["source"], list(order), volume, "first_word", ties=ties)
     joined = before.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("demand") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("demand") - full * F.col("source_size")
-    wanted = (rest - F.col("first_word")) * 2 >= F.col("size")
-    fits = full * F.col("source_size") + F.col("first_word") + F.col("size") <= F.col("source_size") * F.lit(float(mix.max_epochs))
-    taken = (full + F.when(wanted & fits, 1).otherwise(0)) * F.col("size")
-    return joined.select("r.*", "p.source_size", "p.target", "p.demand", "p.weight", "p.segments", taken.cast("long").alias("taken"))
+    joined = joined.select("r.*", "p.source_size", "p.target", "p.demand", "p.weight", "p.segments", full.alias("full")).drop(volume)
+    wanted = (F.col("demand") - F.col("full") * F.col("source_size") - F.col("first_word")) * 2 - F.col("size")
+    room = F.floor(F.col("source_size") * F.lit(float(mix.max_epochs))) - F.col("full") * F.col("source_size") - F.col("first_word") - F.col("size")
+    fitting = F.least("rows", F.expr("wanted_ div (2 * size)") + 1, F.expr("room_ div size") + 1)
+    more = F.when((F.col("size") > 0) & (F.col("wanted_") >= 0) & (F.col("room_") >= 0), fitting).otherwise(0)
+    return joined.withColumns({"wanted_": wanted, "room_": room}).withColumn("more", more.cast("long")).drop("wanted_", "room_")
 
 
-def copies(mixed: DataFrame) -> DataFrame:
+def each_row(mixed: DataFrame) -> DataFrame:
+    """One row per row again: first_word of its own, and ``taken``, a whole number of copies."""
+    rows = mixed.withColumn("turn_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    taken = (F.col("full") + F.when(F.col("turn_") < F.col("more"), 1).otherwise(0)) * F.col("size")
+    return rows.withColumns({"first_word": F.col("first_word") + F.col("turn_") * F.col("size"), "taken": taken.cast("long")}).drop("turn_", "rows", "full", "more")
+
+
+def copies(rows: DataFrame) -> DataFrame:
     """One row per copy that the mix reads, always whole: epoch, position."""
     epoch = F.explode(F.sequence(F.lit(0), F.expr("taken div size - 1").cast("int"))).alias("epoch")
-    rows = mixed.filter(F.col("taken") > 0).select("*", epoch)
+    rows = rows.filter(F.col("taken") > 0).select("*", epoch)
     start = F.col("epoch") * F.col("source_size") + F.col("first_word")
     return rows.withColumn("position", _position(start, F.col("demand"), F.col("weight"), F.col("segments")))
 
@@ -161,8 +171,9 @@ def mix_documents(docs: DataFrame, mix: Mix = CURRICULUM) -> DataFrame:
     Columns: doc_id, size, source_size, target, taken, source, position (null where the mix takes nothing).
     Documents without words take nothing. ``taken`` is what ``mixed_corpus`` reads of the row.
     """
-    sized = written(docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size")), "sizes")
-    mixed = mix_sizes(sized, mix)
+    named = docs.select("doc_id", F.md5("text").alias("key"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
+    sized = written(named.groupBy("doc_id", "key", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    mixed = each_row(mix_sizes(sized, mix))
     at = F.when(F.col("taken") > 0, _position(F.col("first_word"), F.col("demand"), F.col("weight"), F.col("segments")))
     out = mixed.select("doc_id", "size", "source_size", "target", "taken", "source", at.alias("position"))
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), F.col("doc_id"))
@@ -171,13 +182,19 @@ def mix_documents(docs: DataFrame, mix: Mix = CURRICULUM) -> DataFrame:
 def mixed_corpus(docs: DataFrame, mix: Mix = CURRICULUM) -> DataFrame:
     """The rows of ``docs`` as often as the mix reads them, in order of position, columns as in ``docs``.
 
-    Texts stay whole: the copy at which a source meets its target is read or left out. ``docs`` is read more than
-    once; hand in a written table.
+    Texts stay whole: the copy at which a source meets its target is read or left out. Positions are found on narrow
+    rows; texts move once to meet them and once into order. Rows equal in every column are one row with a count.
+    ``docs`` is read more than once; hand in a written table.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("key"),
-        F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"),
-    )
-    read = copies(mix_sizes(rows, mix))
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"], F.lit(1)))
+    same = F.md5(F.concat(F.coalesce(F.md5("text"), F.lit("")), others))
+    named = docs.select(same.alias("same"), "doc_id", F.md5("text").alias("key"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
+    sized = written(named.groupBy("same", "doc_id", "key", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    read = copies(each_row(mix_sizes(sized, mix, ties=["same"])))
+    places = written(read.select("same", "position"), "places")
+    rows = docs.select(same.alias("same"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if sized.filter("rows > 1").take(1):
+        rows = rows.groupBy("same").agg(F.first("row").alias("row"))
+    read = rows.join(places, "same").select("row", "position", F.col("row.doc_id").alias("doc_id"))
     ordered = read.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
     return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -55,4 +55,76 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}
+OP1 = r"""
+WITH hex AS (SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS digits FROM documents),
+crc AS (  -- half bytes, the lower one of each byte first
+  SELECT r, doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, 2 * (size - 8)), lambda i: strpos('0123456789ABCDEF', digits[(i // 2) * 2 + 2 - i % 2]) - 1)),
+    lambda c, d: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][1 + (xor(c, d) & 15)])), 4294967295) AS text_crc32 FROM hex
+), scored AS (
+  SELECT c.doc_id, s, -1.0 / ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(c.doc_id AS VARCHAR), '\N') || '|' || s), 1, 15) AS BIGINT) >> 8 AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS score
+  FROM (SELECT DISTINCT doc_id FROM crc) c, range(0, 25) t(s)
+), best AS (
+  SELECT a.doc_id, a.s AS shard, CASE WHEN b.score > a.score THEN 24 ELSE a.s END AS grown
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s) AS k FROM scored WHERE s < 24) WHERE k = 1) a
+  JOIN (SELECT * FROM scored WHERE s = 24) b ON a.doc_id IS NOT DISTINCT FROM b.doc_id
+), placed AS (
+  SELECT c.*, b.shard, b.grown, CAST('0x' || substr(md5(coalesce(CAST(c.doc_id AS VARCHAR), '\N') || '|' || size || '|' || text_crc32), 1, 15) AS BIGINT) AS h
+  FROM crc c JOIN best b ON c.doc_id IS NOT DISTINCT FROM b.doc_id
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard,
+       count(*) OVER (PARTITION BY doc_id, size, text_crc32) AS copies
+FROM placed
+"""
+
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' ')))) AS g FROM d WHERE len(w) > 0),
+class AS (SELECT min(doc_id) AS c, count(*) AS class_size, len(g) AS n, g FROM s GROUP BY g),
+one AS (SELECT c, n, unnest(g) AS x FROM class),
+pair AS (
+  SELECT a.c AS a, b.c AS b FROM one a JOIN one b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  WITH RECURSIVE walk(c, to_) AS (
+    SELECT c, c FROM class UNION SELECT w.c, e.v FROM walk w JOIN (SELECT a AS u, b AS v FROM pair UNION ALL SELECT b, a FROM pair) e ON e.u = w.to_
+  ) SELECT c, min(to_) AS component_id FROM walk GROUP BY c
+)
+SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles, coalesce(reach.component_id, d.doc_id) AS component_id, coalesce(k.class_size, 1) AS class_size
+FROM d LEFT JOIN s ON s.r = d.r LEFT JOIN class k ON k.g = s.g LEFT JOIN reach ON reach.c = k.c
+"""
+
+OP6 = r"""
+WITH d AS (SELECT doc_id, source, md5(text) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM d GROUP BY source),
+weighed AS (SELECT source, source_size, k % 3 AS kind, [3.0::DOUBLE, 1, 2][k % 3 + 1] AS w FROM src),
+levels AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (ORDER BY 2 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY 2 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), level AS (SELECT greatest(max(level), 0) AS l FROM levels),
+plan AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, kind, w, least(2.0 * source_size, l * w) AS target,
+         CAST(least(round_even(least(2.0 * source_size, l * w), 0), 2 * source_size) AS BIGINT) AS demand FROM weighed, level
+), ordered AS (
+  SELECT d.*, p.source_size, p.kind, p.w, p.target, p.demand,
+         CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o
+  FROM (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\N') || '|' || coalesce(key, '\N') || '|' || size), 1, 15) AS BIGINT) AS h FROM d) d
+  JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+), taken AS (
+  SELECT *, CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END AS f FROM ordered
+), counted AS (
+  SELECT *, size * (f + CASE WHEN size > 0 AND 2 * (demand - f * source_size - o) >= size AND f * source_size + o + size <= 2 * source_size THEN 1 ELSE 0 END) AS taken FROM taken
+), shares AS (SELECT *, CASE WHEN taken > 0 THEN CAST(o AS DOUBLE) / demand END AS q FROM counted),
+placed AS (
+  SELECT *, CASE kind WHEN 0 THEN 0.0 WHEN 1 THEN CASE WHEN q >= 0.375 THEN 0.375 ELSE 0.0 END ELSE 0.0 END AS f0,
+            CASE WHEN kind = 1 AND q >= 0.375 THEN 0.5 ELSE 0.0 END AS t0, CASE kind WHEN 1 THEN 0.5 ELSE 1.0 END AS dt,
+            CASE kind WHEN 0 THEN 4.5 WHEN 1 THEN CASE WHEN q >= 0.375 THEN 1.0 ELSE 0.5 END ELSE 2.0 END AS w0,
+            CASE kind WHEN 0 THEN 1.5 WHEN 1 THEN CASE WHEN q >= 0.375 THEN 1.5 ELSE 1.0 END ELSE 2.0 END AS w1 FROM shares
+), area AS (SELECT *, (q - f0) * w / dt AS a FROM placed)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, source,
+       CASE WHEN taken > 0 THEN least(t0 + dt * (a * 2 / (w0 + sqrt(greatest(w0 * w0 + (w1 - w0) * a * 2, 0.0)))), 1.0) END AS position
+FROM area
+"""
+
+ORACLES = {"op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}
