@@ -67,7 +67,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = token_counts.build_trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
     edited = token_counts.apply_edits(trees.withColumn("edits", token_counts.scripted_edits()))
-    return edited.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", "n_recut", F.size("leaf_tokens").cast("long").alias("n_leaves"))
+    return edited.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", "n_recut", F.size(F.get("token_sums", F.lit(0))).cast("long").alias("n_leaves"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

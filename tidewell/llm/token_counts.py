@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Pre-tokens in a leaf, and how far before an edit the cutting starts.
 LEAF = 32
 CONTEXT = 3
+#: A leaf that edits have filled to so many times LEAF is split.
+WIDEST = 4
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -33,12 +35,11 @@ def default_vocabulary() -> str:
 
 
 class Encoder(dict):
-    """Token counts of pre-tokens: a bounded memory in front of the byte-pair encoder."""
+    """Token counts of pre-tokens: a bounded memory in front of the byte-pair encoder. ``ranks``: a vocabulary file's bytes."""
 
-    def __init__(self, path: str, pattern: str, size: int = 400_000) -> None:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bpe = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, ranks: bytes, pattern: str, size: int = 400_000) -> None:
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+        self.bpe = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.cut, self.size = regex.compile(pattern), size
 
     def __missing__(self, piece: str) -> int:
@@ -49,17 +50,27 @@ class Encoder(dict):
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def encoder(ranks: bytes, pattern: str) -> Encoder:
+    return Encoder(ranks, pattern)
+
+
+def vocabulary_bytes(path: str | None = None) -> bytes:
+    """The vocabulary file, read on the driver; tasks get its bytes, not its path."""
+    with open(path or default_vocabulary(), "rb") as f:
+        return f.read()
 
 
 class TokenTree:
-    """Leaves of one document, and the sums over them, level by level up to the root."""
+    """Leaves of one document, and the sums over them, level by level up to the root. Built from stored levels as is."""
+
+    def __init__(self, chars: Sequence[Sequence[int]] = (), tokens: Sequence[Sequence[int]] = ()) -> None:
+        self.chars, self.tokens = ([np.array(x, np.int64) for x in levels] or [np.empty(0, np.int64)] for levels in (chars, tokens))
 
-    def __init__(self, chars: Sequence[int], tokens: Sequence[int]) -> None:
-        self.chars = [np.asarray(chars, np.int64)]
-        self.tokens = [np.asarray(tokens, np.int64)]
-        self._raise()
+    @classmethod
+    def of_leaves(cls, chars: Sequence[int], tokens: Sequence[int]) -> TokenTree:
+        tree = cls([chars], [tokens])
+        tree._raise()
+        return tree
 
     def _raise(self) -> None:
         for levels in (self.chars, self.tokens):
@@ -86,26 +97,33 @@ class TokenTree:
                 i += 1
         return i, start
 
-    def replace(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
-        """Puts new leaves for leaves first to last - 1; where their number stays, only the sums above them change."""
-        if len(chars) == last - first:
+    def replace(self, first: int, last: int, enc: Encoder, pieces: list[str]) -> None:
+        """Puts these pre-tokens for the leaves first to last - 1.
+
+        The leaves share them evenly, so their number stays and only the sums above them change. Where they would hold
+        more than WIDEST times what a new leaf holds, they are split and the levels built anew.
+        """
+        n = last - first
+        if not n or len(pieces) > WIDEST * LEAF * n:
+            chars, tokens = leaves_of(enc, pieces)
             for levels, new in ((self.chars, chars), (self.tokens, tokens)):
-                levels[0][first:last] = new
-                a, b = first, last
-                for below, level in zip(levels, levels[1:]):
-                    a, b = a // 2, (b + 1) // 2
-                    for i in range(a, b):
-                        level[i] = below[2 * i : 2 * i + 2].sum()
+                levels[0] = np.concatenate([levels[0][:first], np.asarray(new, np.int64), levels[0][last:]])
+            self._raise()
             return
+        chars, tokens = leaves_of(enc, pieces, max(1, -(-len(pieces) // n)))
         for levels, new in ((self.chars, chars), (self.tokens, tokens)):
-            levels[0] = np.concatenate([levels[0][:first], np.asarray(new, np.int64), levels[0][last:]])
-        self._raise()
+            levels[0][first:last] = [*new, *[0] * (n - len(new))]
+            a, b = first, last
+            for below, level in zip(levels, levels[1:]):
+                a, b = a // 2, (b + 1) // 2
+                for i in range(a, b):
+                    level[i] = below[2 * i : 2 * i + 2].sum()
 
 
-def leaves_of(enc: Encoder, pieces: list[str]) -> tuple[list[int], list[int]]:
+def leaves_of(enc: Encoder, pieces: list[str], size: int = LEAF) -> tuple[list[int], list[int]]:
     chars, tokens = [], []
-    for i in range(0, len(pieces), LEAF):
-        part = pieces[i : i + LEAF]
+    for i in range(0, len(pieces), size):
+        part = pieces[i : i + size]
         chars.append(sum(map(len, part)))
         tokens.append(sum(map(enc.__getitem__, part)))
     return chars, tokens
@@ -118,7 +136,7 @@ def edit(enc: Encoder, tree: TokenTree, text: str, start: int, end: int, put: st
     new = text[:start] + put + text[end:]
     if not len(tree.chars[0]):
         pieces = enc.cut.findall(new)
-        tree.replace(0, 0, *leaves_of(enc, pieces))
+        tree.replace(0, 0, enc, pieces)
         return new, len(pieces)
     first, at = tree.leaf_at(max(0, start - CONTEXT))
     shift = len(put) - (end - start)
@@ -135,39 +153,43 @@ def edit(enc: Encoder, tree: TokenTree, text: str, start: int, end: int, put: st
             break
     else:
         last = len(tree.chars[0])
-    tree.replace(first, last, *leaves_of(enc, pieces))
+    tree.replace(first, last, enc, pieces)
     return new, len(pieces)
 
 
+LEVELS = pa.list_(pa.list_(pa.int32()))
+
+
 def build_trees(docs: DataFrame, vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
-    """``docs`` with ``leaf_chars`` and ``leaf_tokens``: the leaves of each text's tree. Null and empty texts have none."""
-    path = vocabulary or default_vocabulary()
+    """``docs`` with ``char_sums`` and ``token_sums``: the levels of each text's tree, leaves first, root last. Null and
+    empty texts have one empty level. Columns of these names are replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(shared.value, pattern)
         for batch in batches:
-            both = [leaves_of(enc, enc.cut.findall(t)) if t else ([], []) for t in batch.column("text").to_pylist()]
-            lists = [pa.array([b[i] for b in both], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "leaf_chars", "leaf_tokens"])
+            trees = [TokenTree.of_leaves(*leaves_of(enc, enc.cut.findall(t.as_py() or ""))) for t in batch.column("text")]
+            lists = [pa.array(x, LEVELS) for x in ([t.chars for t in trees], [t.tokens for t in trees])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "char_sums", "token_sums"])
 
-    names = [c for c in docs.columns if c.lower() not in ("leaf_chars", "leaf_tokens")]
-    base = docs.select(*[F.col(f"`{c}`") for c in names])
-    return base.mapInArrow(build, f"{_ddl(base)}, leaf_chars array<int>, leaf_tokens array<int>")
+    base = docs.drop("char_sums", "token_sums")
+    return base.mapInArrow(build, f"{_ddl(base)}, char_sums array<array<int>>, token_sums array<array<int>>")
 
 
 def apply_edits(trees: DataFrame, edits: str = "edits", vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """``trees`` after its column ``edits``, array<struct<start:int,end:int,put:string>>, done one after another.
 
-    text, leaf_chars and leaf_tokens are the new ones; beside them n_tokens_before, n_tokens, n_edits, n_recut
-    (pre-tokens cut anew). Null edits are none, null offsets 0, null insertions empty; a null text counts as empty.
+    text, char_sums and token_sums are the new ones; beside them n_tokens_before, n_tokens, n_edits, n_recut
+    (pre-tokens cut anew); columns of these names are replaced. Null edits are none, null offsets 0, null insertions
+    empty; a null text counts as empty.
     """
-    path = vocabulary or default_vocabulary()
+    shared = trees.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
     added = ["n_tokens_before", "n_tokens", "n_edits", "n_recut"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(shared.value, pattern)
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", edits)}
+            cols = {c: batch.column(c).to_pylist() for c in ("text", "char_sums", "token_sums", edits)}
             texts, chars, tokens, counts = [], [], [], []
             for text, c, t, es in zip(*cols.values()):
                 tree, out, recut = TokenTree(c or (), t or ()), text or "", 0
@@ -176,10 +198,10 @@ def apply_edits(trees: DataFrame, edits: str = "edits", vocabulary: str | None =
                     out, n = edit(enc, tree, out, e["start"] or 0, e["end"] or 0, e["put"] or "")
                     recut += n
                 texts.append(out)
-                chars.append(tree.chars[0])
-                tokens.append(tree.tokens[0])
+                chars.append(tree.chars)
+                tokens.append(tree.tokens)
                 counts.append((before, tree.n_tokens, len(es or ()), recut))
-            new = {"text": pa.array(texts, pa.string()), "leaf_chars": pa.array(chars, pa.list_(pa.int32())), "leaf_tokens": pa.array(tokens, pa.list_(pa.int32()))}
+            new = {"text": pa.array(texts, pa.string()), "char_sums": pa.array(chars, LEVELS), "token_sums": pa.array(tokens, LEVELS)}
             kept = [new.get(n, batch.column(n)) for n in batch.schema.names]
             counted = [pa.array(x, pa.int64()) for x in zip(*counts)] if counts else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*kept, *counted], names=[*batch.schema.names, *added])
