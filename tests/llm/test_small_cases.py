@@ -383,27 +383,31 @@ def test_licenses_of_long_texts():
 
 
 def test_edits_equal_counting_anew(docs, none):
-    enc = token_counts.encoder(token_counts.default_vocabulary(), token_counts.PATTERN)
+    enc = token_counts.encoder(token_counts.vocabulary_bytes(), token_counts.PATTERN)
     rng = random.Random(2)
     for text in ["", "a", "it's  fine\n\n  now", "été 2024!!! " * 60, "    " * 40]:
-        tree, now = token_counts.TokenTree(*token_counts.leaves_of(enc, enc.cut.findall(text))), text
+        tree, now = token_counts.TokenTree.of_leaves(*token_counts.leaves_of(enc, enc.cut.findall(text))), text
         for _ in range(60):
             a = rng.randrange(len(now) + 1)
             now, _ = token_counts.edit(enc, tree, now, a, a + rng.choice([0, 1, 5, 90]), rng.choice(["", " ", "x", "\n ", "'s", "wörld 12", "  "]))
             assert tree.n_tokens == len(enc.bpe.encode_ordinary(now)) and tree.n_chars == len(now)
+            assert all(list(a) == list(b) for a, b in zip(tree.tokens, token_counts.TokenTree.of_leaves(tree.chars[0], tree.tokens[0]).tokens))
     trees = token_counts.build_trees(docs.select("doc_id", "text"))
     out = token_counts.apply_edits(trees.withColumn("edits", token_counts.scripted_edits())).collect()
     assert len(out) == len(TEXTS)
-    assert all(r["n_tokens"] == len(enc.bpe.encode_ordinary(r["text"])) == sum(r["leaf_tokens"]) for r in out)
+    assert all(r["n_tokens"] == len(enc.bpe.encode_ordinary(r["text"])) == sum(r["token_sums"][0]) for r in out)
     assert token_counts.build_trees(none).count() == 0
 
 
 def test_deobfuscation():
-    counts = toxicity.trigram_counts(["idiot loser moron stupid pathetic the dog ran home and sat worthless"] * 50)
+    counts = toxicity.trigram_counts(["you idiot loser moron stupid pathetic the dog ran home and sat worthless"] * 50)
     model = toxicity.CharModel.fit(counts)
     for token, word in (("1d10t", "idiot"), ("l0ser", "loser"), ("m0r0n", "moron"), ("idioooot", "idiot"), ("s.t.u.p.i.d", "stupid"), ("word,", "word"), ("12345", "")):
         assert model.restore(token) == word
-    assert "idiot" in toxicity.raw_tokens("you i d i o t there") and toxicity.raw_tokens(None) == set()
+    assert "i d i o t" in toxicity.raw_tokens("you i d i o t there") and toxicity.raw_tokens(None) == set()
+    assert model.restore("y o u i d i o t") == "you idiot" and model.restore("t h e d 0 g r a n") == "the dog ran"
+    began = time.perf_counter()
+    assert len(model.restore("a1" * 100_000)) > 100_000 and time.perf_counter() - began < 20
 
 
 def test_toxicity_learns(spark, none):
@@ -423,5 +427,7 @@ def test_toxicity_learns(spark, none):
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     right = sum((out[i] >= 0.5) == (i % 5 == 0) for i in held)
     assert right / len(held) > 0.95 and out[9000] == out[9001] < 0.5
+    shouted = docs.withColumn("SCORE", F.lit("kept not"))
+    assert toxicity.score_documents(shouted, chars, judge).columns == ["doc_id", "text", "score"]
     chars, judge = toxicity.fit(none.select("doc_id", "text"), marks.limit(0))
     assert toxicity.score_documents(none, chars, judge).count() == 0

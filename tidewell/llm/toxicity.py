@@ -1,7 +1,7 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-A token that hides its letters (digits and signs for letters, separators, drawn-out repeats, letters set apart) is a
-lattice of what each character may stand for. Viterbi decoding under a character trigram model, counted over all
+A token that hides its letters (digits and signs for letters, separators, drawn-out repeats) or a run of letters set
+apart is a lattice of what each character, spaces included, may stand for. Viterbi decoding under a character trigram model, counted over all
 documents, restores it. A logistic model over restored words and word beginnings, learnt from labelled documents,
 scores the restored text.
 """
@@ -30,8 +30,6 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
 BASE = 64
-#: Features whose log odds are surely above this enter the model.
-LEAST_EVIDENCE = 1.5
 EDGE, OTHER = 0, 1
 _CODE = {c: i + 2 for i, c in enumerate(LETTERS)}
 _EDGES = ".,;:?\"'()[]{}<>|*#%&~`^=…—–-/\\_«»"
@@ -86,13 +84,19 @@ class CharModel:
         return cls(np.log(p3).astype(np.float32))
 
     def decode(self, token: str) -> str:
-        """The most likely word behind ``token``: best path through the lattice of its characters' meanings."""
+        """The most likely words behind ``token``: best path through the lattice of what its characters may stand for.
+
+        A letter stands for itself, or for nothing after its like; a sign or digit for its letters or nothing; a space
+        for nothing, or for the end of a word, so that letters set apart are put together into words.
+        """
         logp = self.logp
-        best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
         before = ""
         for c in token:
             arcs: list[tuple[str, float]] = []
-            if c in _CODE or c.isalpha():
+            if c == " ":
+                arcs = [("", 0.0), (" ", 0.0)]
+            elif c in _CODE or c.isalpha():
                 arcs.append((c, 0.0 if c != before else -0.7))
                 if c == before:
                     arcs.append(("", -0.7))
@@ -101,18 +105,27 @@ class CharModel:
                 arcs.append(("", -1.0 if not arcs else -8.0))
                 if c == before:
                     arcs.append(("", -0.7))
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            step: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, path) in best.items():
                 for x, cost in arcs:
-                    if x:
+                    if x == " ":
+                        if (a, b) == (EDGE, EDGE):
+                            continue
+                        s, key, way = score + cost + float(logp[a, b, EDGE]), (EDGE, EDGE), (path, x)
+                    elif x:
                         k = _CODE.get(x, OTHER)
-                        s, key, out = score + cost + float(logp[a, b, k]), (b, k), text + x
+                        s, key, way = score + cost + float(logp[a, b, k]), (b, k), (path, x)
                     else:
-                        s, key, out = score + cost, (a, b), text
+                        s, key, way = score + cost, (a, b), path
                     if key not in step or s > step[key][0]:
-                        step[key] = (s, out)
-            best, before = step, c
-        return max((s + float(logp[a, b, EDGE]), text) for (a, b), (s, text) in best.items())[1]
+                        step[key] = (s, way)
+            best, before = step, c if c != " " else before
+        _, path = max(((s + float(logp[a, b, EDGE]), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])
+        letters = []
+        while path:
+            path, x = path
+            letters.append(x)
+        return "".join(reversed(letters)).strip()
 
     def restore(self, token: str) -> str:
         """A token as it is meant: clean ones lose the signs at their ends, others are decoded."""
@@ -123,18 +136,16 @@ class CharModel:
 
 
 def raw_tokens(text: str | None) -> set[str]:
-    """The distinct tokens of a text, in lower case; letters set apart also stand as one token."""
+    """The distinct tokens of a text, in lower case; a run of letters set apart also stands as one token."""
     if not text:
         return set()
     low = text.lower()
-    found = set(low.split())
-    found.update(re.sub(r"[ .\-_*]", "", m) for m in _APART.findall(low))
-    return found
+    return {*low.split(), *_APART.findall(low)}
 
 
-def features(word: str) -> list[str]:
-    """A word, and its beginnings of three to eight letters."""
-    return [f"={word}", *[word[:k] for k in range(3, min(len(word), 8) + 1)]]
+def features(words: str) -> list[str]:
+    """Each word, and its beginnings of three to eight letters."""
+    return [f for word in words.split() for f in (f"={word}", *(word[:k] for k in range(3, min(len(word), 8) + 1)))]
 
 
 class Restorer:
@@ -217,9 +228,11 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> tuple[CharModel, Judge]:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, least_docs: int = 4, least_evidence: float = 1.5) -> tuple[CharModel, Judge]:
     """Both models. Of the labelled documents outside the held-out fold, a hash sample of about ``max_labelled`` at
-    most is learnt from, each text once; what its features count to is all that reaches the driver."""
+    most is learnt from, each text once; what its features count to is all that reaches the driver. A feature enters the
+    model if at least ``least_docs`` toxic texts of the sample have it and ``least_evidence`` is surely below the log
+    ratio of its shares in toxic and other texts."""
     spark = docs.sparkSession
     chars = spark.sparkContext.broadcast(char_model(docs))
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -246,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> tuple
             yield counted()
 
         rows = sample.filter(F.col("toxic") == toxic).select("text").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-        return {r["f"]: r["n"] for r in rows.filter(F.col("n") >= (1 if wanted else 4)).collect()}
+        return {r["f"]: r["n"] for r in rows.filter(F.col("n") >= (1 if wanted else least_docs)).collect()}
 
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_t, n_d = sizes.get(True, 0), sizes.get(False, 0)
@@ -254,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> tuple
     other = counts(spark.sparkContext.broadcast(frozenset(toxic)), False) if toxic else {}
     names = sorted(toxic)
     w = log_odds(np.array([toxic[f] for f in names], float), np.array([other.get(f, 0) for f in names], float), n_t, n_d) if names else []
-    strong = spark.sparkContext.broadcast(frozenset(f for f, x in zip(names, w) if x > LEAST_EVIDENCE))
+    strong = spark.sparkContext.broadcast(frozenset(f for f, x in zip(names, w) if x > least_evidence))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(chars.value)
@@ -294,5 +307,5 @@ def score_documents(docs: DataFrame, chars: CharModel, judge: Judge, into: str =
 
     own = free_name(docs, "_score")
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.DoubleType())]))
-    return out.withColumnRenamed(own, into) if into not in docs.columns else out.drop(into).withColumnRenamed(own, into)
+    return out.drop(into).withColumnRenamed(own, into)  # a column of that name, in upper or lower case, is replaced
 
