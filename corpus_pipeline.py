@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from tidewell.llm.common import table, written
+from tidewell.llm.common import free_name, table, written
 
 SHARDS = 24
 
@@ -16,8 +17,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half. Labels are read, and learnt from outside the held-out fold."""
     chars, judge = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, chars, judge, into="toxicity_score_")
-    return scored.filter("toxicity_score_ < 0.5").drop("toxicity_score_")
+    own = free_name(docs, "toxicity")
+    return toxicity.score_documents(docs, chars, judge, into=own).filter(F.col(own) < 0.5).drop(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
