@@ -8,13 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_ROWS = 500_000
-
-
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
+from ..session import sized_broadcast
 
 def exact_lookup(queries: DataFrame, codebook: DataFrame, barcode: str) -> DataFrame:
     """Queries whose barcode stands in the codebook, with its columns (JON4)."""

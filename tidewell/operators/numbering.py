@@ -1,40 +1,80 @@
-"""Dense numbering without a one-task window."""
+"""Dense numbers, running values and exact quantiles without a one-task window.
+
+Rows are put in order by range partitions of even size and written once with their partition's number; one row a
+partition is added up first, then each partition runs on its own from there. Skewed values and large groups only make
+more partitions.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sized_broadcast, written
 
-def dense_index(df: DataFrame, order: Sequence[str], into: str, start: int = 0) -> DataFrame:
-    """Adds ``into``: 0, 1, 2 ... in the order of ``order``, which must identify rows (WIN6).
+ROWS_PER_PART = 200_000
+#: The place of a row within its partition: the lower bits of monotonically_increasing_id.
+_PLACE = (1 << 33) - 1
 
-    Rows are range-partitioned and numbered inside partitions; offsets come from one count per partition.
-    """
-    key = F.struct(*[F.col(c) for c in order])
-    bounds = _bounds(df, order)
-    part = F.lit(0)
-    for i, b in enumerate(bounds):
-        part = F.when(key > b, F.lit(i + 1)).otherwise(part)
-    rows = df.withColumn("_part", part)
+
+def in_ranges(df: DataFrame, order: Sequence[Column | str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``df`` in order, written, with ``_part`` (number of the row's range) and ``_place`` (in it, from 0)."""
+    parts = max(1, -(-df.count() // rows_per_part))
+    ordered = df.repartitionByRange(parts, *order) if parts > 1 else df.repartition(1)
+    ordered = ordered.sortWithinPartitions(*order)
+    return written(ordered.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))}), "ranges")
+
+
+def dense_index(df: DataFrame, order: Sequence[str], into: str, start: int = 0, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Adds ``into``: 0, 1, 2 ... in the order of ``order``, which must identify rows (WIN6)."""
+    rows = in_ranges(df, list(order), rows_per_part)
     sums = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_part").orderBy(*order)
-    numbered = rows.withColumn("_row", F.row_number().over(inside))
-    return numbered.join(F.broadcast(sums), "_part").withColumn(into, (F.col("_row") - 1 + F.col("_base") + start).cast("long")).drop("_part", "_row", "_base")
-
-
-def _bounds(df: DataFrame, order: Sequence[str]) -> list:
-    """Split points of the order columns, at most 63, from a small sample; any points give right numbers."""
-    n = df.count()
-    parts = min(64, max(1, n // 100_000))
-    if parts < 2:
-        return []
-    sample = df.select(*order).sample(fraction=min(1.0, 64 * 200 / n), seed=7).limit(64 * 400)
-    rows = sorted(sample.collect(), key=lambda r: tuple((x is not None, x) for x in r))
-    picks = rows[:: max(1, len(rows) // parts)][1:]
-    return [F.struct(*[F.lit(x).cast(df.schema[c].dataType).alias(c) for c, x in zip(order, r)]) for r in picks]
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(sized_broadcast(sums), "_part").withColumn(into, (F.col("_place") + F.col("_base") + start).cast("long")).drop("_part", "_place", "_base")
+
+
+def running(df: DataFrame, order: str, sums: Mapping[str, str] = {}, mins: Mapping[str, str] = {}, group: Sequence[str] = (), descending: bool = False, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Running sums and minima, the row itself included, by ``order`` within each group: one row per group and
+    ``order`` value. ``sums`` and ``mins`` map new names to columns."""
+    key = F.desc if descending else F.asc
+    rows = in_ranges(df, [*group, key(order)], rows_per_part)
+    per = rows.groupBy(*group, "_part").agg(*[F.sum(v).alias(f"_base_{k}") for k, v in sums.items()], *[F.min(v).alias(f"_base_{k}") for k, v in mins.items()])
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = {f"_base_{k}": F.coalesce(F.sum(f"_base_{k}").over(before), F.lit(0)) for k in sums} | {f"_base_{k}": F.min(f"_base_{k}").over(before) for k in mins}
+    per = per.withColumns(bases).select(*[F.col(g).alias(f"_own_{g}") for g in group], F.col("_part").alias("_p"), *bases)
+    inside = Window.partitionBy(*group, "_part").orderBy(key(order)).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumns({k: F.sum(v).over(inside) for k, v in sums.items()} | {k: F.min(v).over(inside) for k, v in mins.items()})
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_own_{g}"))
+    joined = run.join(sized_broadcast(per), same)
+    joined = joined.withColumns({k: F.col(k) + F.col(f"_base_{k}") for k in sums} | {k: F.least(F.col(k), F.col(f"_base_{k}")) for k in mins})
+    return joined.drop("_part", "_place", "_p", *[f"_own_{g}" for g in group], *bases)
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], group: Sequence[str] = (), into: str = "quantiles", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """The groups with ``into``: the exact quantiles of their values, linear between neighbours; nulls do not count.
+
+    For few large groups. Equal values are counted first; then only distinct values are put in order, and no group or
+    column meets in one task. Without group columns there is one row, with nulls for no values.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    run = running(counts, "_v", {"_cum": "_k"}, group=group, rows_per_part=rows_per_part)
+    total = run.groupBy(*group).agg(F.max("_cum").alias("_total"))
+    if group:
+        total = total.select(*[F.col(g).alias(f"_own_{g}") for g in group], "_total")
+        same = F.lit(True)
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"_own_{g}"))
+        joined = run.join(sized_broadcast(total), same)
+    else:
+        joined = run.join(F.broadcast(total))  # one row
+    at = [(F.col("_total") - 1) * F.lit(float(q)) for q in shares]
+    first = lambda place: F.min(F.when(F.col("_cum") > place, F.col("_v")))
+    found = joined.groupBy(*group).agg(F.max("_total").alias("_total"), *[first(F.floor(a)).alias(f"_lo{i}") for i, a in enumerate(at)], *[first(F.ceil(a)).alias(f"_hi{i}") for i, a in enumerate(at)])
+    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]
+    return found.select(*group, F.array(*between).alias(into))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import sized_broadcast
+from ..session import sized_broadcast, written
+from .numbering import exact_quantiles, running
 
 
 def median(x: Column | str) -> Column:
@@ -38,7 +39,7 @@ def mad_bands(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 def robust_z(df: DataFrame, value: str, reference: Column, into: str = "z") -> DataFrame:
     """1.35 (x - median) / IQR, both from the reference rows; null where the IQR is 0 (AGG9)."""
-    q = df.filter(reference).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = exact_quantiles(df.filter(reference), value, [0.25, 0.5, 0.75], into="_q")
     out = df.join(F.broadcast(q))
     return out.withColumn(into, F.try_divide((F.col(value) - F.col("_q")[1]) * 1.35, F.col("_q")[2] - F.col("_q")[0])).drop("_q")
 
@@ -95,9 +96,12 @@ def nested_value_counts(df: DataFrame, group: Sequence[str], columns: Sequence[s
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], q: float) -> DataFrame:
-    """A row per column: name, value of the quantile; NaN as null (AGG17). One pass over all columns."""
-    one = df.agg(*[F.percentile(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), q).alias(c) for c in columns])
-    return one.unpivot([], list(columns), "name", "value")
+    """A row per column: name, value of the quantile; NaN as null (AGG17). Columns are groups of one long table."""
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
+    long = df.select(*known).unpivot([], list(columns), "name", "value")
+    found = exact_quantiles(long, "value", [q], ["name"])
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    return F.broadcast(names).join(found, "name", "left").select("name", F.get("quantiles", F.lit(0)).alias("value"))
 
 
 def histogram(df: DataFrame, group: Sequence[str], value: str, low: float, high: float, bins: int, log: bool = False) -> DataFrame:
@@ -125,11 +129,13 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, family: Seque
     """
     tests = df.filter(F.col(p).isNotNull())
     per = tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_k"))
-    up = Window.partitionBy(*family).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*family)
-    down = Window.partitionBy(*family).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per.withColumn("_rank", F.sum("_k").over(up)).withColumn("_m", F.sum("_k").over(whole))
-    ranked = ranked.withColumn("p_adjusted", F.least(F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down), F.lit(1.0)))
+    ranked = written(running(per, p, {"_rank": "_k"}, group=family), "ranked")
+    whole = ranked.groupBy(*[F.col(f).alias(f"_own_{f}") for f in family]).agg(F.max("_rank").alias("_m"))
+    same = F.lit(True)
+    for f in family:
+        same = same & F.col(f).eqNullSafe(F.col(f"_own_{f}"))
+    raised = ranked.join(sized_broadcast(whole), same).drop(*[f"_own_{f}" for f in family]).withColumn("_raised", F.col(p) * F.col("_m") / F.col("_rank"))
+    ranked = running(raised, p, mins={"_least": "_raised"}, group=family, descending=True).withColumn("p_adjusted", F.least("_least", F.lit(1.0)))
     return tests.join(ranked.select(*family, p, "p_adjusted"), [*family, p]).withColumn("significant", F.col("p_adjusted") <= alpha)
 
 
@@ -231,8 +237,8 @@ def signal_sum(df: DataFrame, group: str, position: str, value: str, length: int
     rows = df.withColumn("_v", F.when(F.col(position).isin(*removed), 0.0).otherwise(F.col(value))) if removed else df.withColumn("_v", F.col(value).cast("double"))
     size = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     rows = rows.join(size, group).withColumn("_v", F.when(F.col("_n") < length, 0.0).otherwise(F.col("_v")))
-    mid = rows.groupBy(position).agg(median("_v").alias("_mid"))
-    return rows.join(F.broadcast(mid), position).groupBy(group).agg(F.sum(F.col("_v") / (F.col("_mid") + eps)).alias("signal_sum"))
+    mid = exact_quantiles(rows, "_v", [0.5], [position]).select(position, F.get("quantiles", F.lit(0)).alias("_mid"))
+    return rows.join(sized_broadcast(mid), position).groupBy(group).agg(F.sum(F.col("_v") / (F.col("_mid") + eps)).alias("signal_sum"))
 
 
 def kymograph_report(df: DataFrame, levels: Sequence[str]) -> DataFrame:
@@ -246,7 +252,8 @@ def loglik_filter(df: DataFrame, group: Sequence[str], value: str, early: Column
     fit = df.filter(early).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
     z = (F.col(value) - F.col("_mu")) / F.col("_sd")
     per = df.join(F.broadcast(fit)).groupBy(*group).agg(F.exp(F.avg(-z * z / 2 - F.ln(F.col("_sd")) - 0.5 * math.log(2 * math.pi))).alias("likelihood"))
-    cut = per.agg(F.percentile("likelihood", drop_share).alias("_cut"))
+    per = written(per, "likelihoods")
+    cut = exact_quantiles(per, "likelihood", [drop_share]).select(F.get("quantiles", F.lit(0)).alias("_cut"))
     return per.join(F.broadcast(cut)).filter(F.col("likelihood") >= F.col("_cut")).drop("_cut")
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sized_broadcast, written
+from .numbering import dense_index, running
+
 
 def elapsed(df: DataFrame, group: Sequence[str], time: str, into: str = "elapsed") -> DataFrame:
     """Time since the group's first (WIN2)."""
@@ -54,41 +57,30 @@ def chunk_of(index: Column, n: int) -> tuple[Column, Column]:
     return F.floor(index / n).cast("long"), F.pmod(index, F.lit(n)).cast("long")
 
 
-def median_filter_outliers(df: DataFrame, order: str, value: str, width: int = 5, n_sigma: float = 2.0) -> DataFrame:
+def median_filter_outliers(df: DataFrame, order: str, value: str, width: int = 5, n_sigma: float = 2.0, per_bucket: int = 100_000) -> DataFrame:
     """``normal``: within n_sigma deviations of the running median, mirrored at the ends (WIN9).
 
-    For small tables of one row per field: a single ordered sequence has no key to split by.
+    Rows are numbered densely; the medians run in buckets of numbers, each with the rows around it.
     """
     half = width // 2
-    w = Window.orderBy(order)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.withColumn("_i", F.row_number().over(w)).join(F.broadcast(n))
+    rows = written(dense_index(df, [order], "_i", start=1), "numbered")
+    n = rows.count()
     # row i repeated beyond the ends, reflected with the end itself: 0 -> 1, -1 -> 2, n+1 -> n, n+2 -> n-1
-    at = F.array(F.col("_i"), F.when(F.col("_i") <= half, 1 - F.col("_i")), F.when(F.col("_i") > F.col("_n") - half, 2 * F.col("_n") + 1 - F.col("_i")))
+    at = F.array(F.col("_i"), F.when(F.col("_i") <= half, 1 - F.col("_i")), F.when(F.col("_i") > n - half, 2 * n + 1 - F.col("_i")))
     spread = rows.select(F.explode(F.array_compact(at)).alias("_at"), F.col(value).alias("_v"))
-    around = Window.orderBy("_at").rowsBetween(-half, half)
-    smooth = spread.withColumn("_m", F.percentile("_v", 0.5).over(around)).select(F.col("_at").alias("_i"), "_m")
+    bucket = lambda c: F.floor(c / per_bucket)
+    near = F.array_distinct(F.array(bucket(F.col("_at") - half), bucket(F.col("_at")), bucket(F.col("_at") + half)))
+    around = Window.partitionBy("_b").orderBy("_at").rowsBetween(-half, half)
+    smooth = spread.select("_at", "_v", F.explode(near).alias("_b")).withColumn("_m", F.percentile("_v", 0.5).over(around))
+    smooth = smooth.filter(F.col("_b") == bucket(F.col("_at"))).select(F.col("_at").alias("_i"), "_m")
     out = rows.join(smooth, "_i").withColumn("residual", F.col(value) - F.col("_m"))
     spread_of = out.agg(F.avg("residual").alias("_mean"), F.stddev_pop("residual").alias("_sd"))
-    return out.join(F.broadcast(spread_of)).withColumn("normal", F.abs(F.col("residual") - F.col("_mean")) <= n_sigma * F.col("_sd")).drop("_i", "_n", "_m", "_mean", "_sd")
-
+    return out.join(F.broadcast(spread_of)).withColumn("normal", F.abs(F.col("residual") - F.col("_mean")) <= n_sigma * F.col("_sd")).drop("_i", "_m", "_mean", "_sd")
 
-def cumulative(df: DataFrame, order: str, sums: Mapping[str, str], descending: bool = False, parts: int = 64) -> DataFrame:
-    """Running sums over a table with one row per ``order`` value, without a one-task window.
 
-    Rows go by range of ``order`` to ``parts`` buckets of equal width; bucket sums are added up first.
-    """
-    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    rows = df.join(F.broadcast(ends))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(parts))
-    rows = rows.withColumn("_b", F.coalesce(F.least(F.floor(F.try_divide(F.col(order) - F.col("_lo"), width)), F.lit(parts - 1)), F.lit(0)))
-    key = lambda c: F.desc(c) if descending else F.asc(c)
-    per = rows.groupBy("_b").agg(*[F.sum(v).alias(f"_base_{k}") for k, v in sums.items()])
-    before = Window.orderBy(key("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({f"_base_{k}": F.coalesce(F.sum(f"_base_{k}").over(before), F.lit(0)) for k in sums})
-    inside = Window.partitionBy("_b").orderBy(key(order)).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumns({k: F.sum(v).over(inside) for k, v in sums.items()}).join(F.broadcast(per), "_b")
-    return run.withColumns({k: F.col(k) + F.col(f"_base_{k}") for k in sums}).drop("_b", "_lo", "_hi", *[f"_base_{k}" for k in sums])
+def cumulative(df: DataFrame, order: str, sums: Mapping[str, str], descending: bool = False) -> DataFrame:
+    """Running sums over a table with one row per ``order`` value, by ranges of even size."""
+    return running(df, order, sums, descending=descending)
 
 
 def coverage_curve(df: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -109,7 +101,8 @@ def in_large_groups(df: DataFrame, group: Sequence[str], above: int = 1) -> Data
 def rank_groups(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Groups with their mean and its dense rank (WIN11)."""
     means = df.groupBy(*group).agg(F.avg(value).alias("mean"))
-    return means.withColumn("mean_rank", F.dense_rank().over(Window.orderBy("mean")).cast("long"))
+    ranks = dense_index(means.select("mean").distinct(), ["mean"], "mean_rank", start=1).withColumnRenamed("mean", "_mean")
+    return means.join(sized_broadcast(ranks), F.col("mean").eqNullSafe(F.col("_mean"))).drop("_mean")
 
 
 def shift_correction(df: DataFrame, group: Sequence[str], frame: str, trench: str, x: str, threshold: float, into: str = "corrected") -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tidewell", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,9 +28,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one where spark.checkpoint.dir is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a local master
+    takes a new local one; a cluster has no such folder, so that is an error there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows as a table in the shared folder: cuts lineage, and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def json_bytes(df: DataFrame) -> int:
+    """What the rows measure as JSON text, with 64 bytes for each row besides: a size to decide broadcasts by."""
+    return df.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 64)).first()[0] or 0
+
+
+def sized_broadcast(df: DataFrame, limit_bytes: int = 32_000_000) -> DataFrame:
+    """``df`` marked for broadcast where it measures at most so many bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if json_bytes(df) <= limit_bytes else df
