@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -53,6 +55,84 @@ def test_segments_cut(spark):
         cigar.cut_by_segment(bad, lengths).collect()
 
 
+@pytest.mark.parametrize("path,cg,why", [([">s=1", ">x", ">t"], "7=", "not in the segment table"), ([">s=1", ">t"], "30=", "fewer bases"), ([">s=1", ">t"], "3=", "more bases"), ([">t", "<t"], "6=", "twice")])
+def test_alignments_that_cannot_be_cut(spark, path, cg, why):
+    lengths = spark.createDataFrame([("s=1", 4), ("t", 3)], "name string, length int")
+    n = int(cg[:-1])
+    bad = spark.createDataFrame([("r", path, 0, n, n, 0, n, n, cg)], ALN)
+    with pytest.raises(Exception, match=why):
+        cigar.cut_by_segment(bad, lengths).collect()
+
+
+def brute_cuts(path, lengths, ops):
+    """Base by base: ops as (op, n), already padded; counts, query span, bases per segment position or side."""
+    bounds, at = [], 0
+    for s in path:
+        at += lengths[s[1:]]
+        bounds.append(at)
+    r = q = 0
+    out = {}
+    for op, n in ops:
+        for _ in range(n):
+            if op == "I":
+                where = "upstream" if r == 0 else "downstream" if r == at else next(i for i, b in enumerate(bounds) if r < b)
+            else:
+                where = next(i for i, b in enumerate(bounds) if r < b)
+            e = out.setdefault(where, {"n": {}, "lo": q, "hi": q, "ops": ""})
+            e["n"][op] = e["n"].get(op, 0) + 1
+            e["ops"] += op
+            q += op in "=XI"
+            r += op in "=XD"
+            e["hi"] = max(e["hi"], q)
+    return out
+
+
+def test_cuts_equal_walking_base_by_base(spark):
+    rng = random.Random(11)
+    lengths = {"a": 5, "b=1": 1, "b=2": 9, "c": 3, "d": 12}
+    data, want = [], {}
+    for k in range(120):
+        path = [rng.choice("<>") + s for s in rng.sample(sorted(lengths), rng.randrange(1, 6))]
+        total, ops, left = sum(lengths[s[1:]] for s in path), [], 0
+        while left < total:
+            op, n = rng.choice("==XID"), rng.randrange(1, 7)
+            n = min(n, total - left) if op != "I" else n
+            left += n if op != "I" else 0
+            ops.append((op, n))
+        head, tail = rng.randrange(3), rng.randrange(3)
+        p0 = rng.randrange(0, 2) if ops[0][0] == "D" and ops[0][1] > 2 else 0
+        body = [(ops[0][0], ops[0][1] - p0), *ops[1:]]
+        n_query = head + tail + sum(n for op, n in ops if op != "D")
+        seq = "".join(rng.choices("ACGT", k=n_query))
+        data.append((f"r{k}", path, p0, total, total, head, n_query - tail, n_query, "".join(f"{n}{op}" for op, n in body), seq, list(range(n_query))))
+        want[f"r{k}"] = brute_cuts(path, lengths, [("I", head), ("D", p0), *body, ("I", tail)]), path
+    df = spark.createDataFrame([*data, ("n", None, 0, 7, 7, 0, 7, 7, "7=", "A", [1])], ALN + ", seq string, phred array<int>").repartition(3)
+    table = spark.createDataFrame(list(lengths.items()), "name string, length int")
+    got = {}
+    for r in cigar.cut_by_segment(df, table, with_cigar=True, seq="seq", phred="phred").collect():
+        where = r["segment"] if r["position"] is None else r["position"]
+        got.setdefault(r["name"], {})[where] = r
+    assert set(got) == {k for k, (w, _) in want.items() if w}
+    reads = {d[0]: d for d in data}
+    for name, (cuts, path) in want.items():
+        assert set(cuts) == set(got.get(name, {}))
+        for where, e in cuts.items():
+            r = got[name][where]
+            assert [r[c] for c in ("matches", "mismatches", "insertions", "deletions")] == [e["n"].get(o, 0) for o in "=XID"]
+            assert (r["query_start"], r["query_end"]) == (e["lo"], e["hi"])
+            assert r["seq"] == reads[name][9][e["lo"] : e["hi"]] and r["phred"] == reads[name][10][e["lo"] : e["hi"]]
+            assert "".join(c * int(n) for n, c in re.findall(r"(\d+)(\D)", r["cigar"])) == e["ops"]
+            if isinstance(where, int):
+                assert r["segment"] == path[where][1:].split("=")[0] and r["reverse_complement"] == path[where].startswith("<")
+    wide = {r["name"]: r for r in cigar.segment_structs(df, table, ["a", "b", "upstream"]).collect()}
+    for name, (cuts, path) in want.items():
+        names = {p[1:].split("=")[0]: i for i, p in enumerate(path)}
+        assert (wide[name]["b"] is None) == ("b" not in names) and (wide[name]["upstream"] is None) == ("upstream" not in cuts)
+        if "a" in names:
+            assert wide[name]["a"]["matches"] == cuts[names["a"]]["n"].get("=", 0)
+    assert wide["n"]["a"] is None
+
+
 def test_cigar_round_trip(spark):
     df = spark.createDataFrame([("3=2=0D1X", "5=1X"), ("", "")], "c string, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", cigar.encode(cigar.merge(cigar.decode(F.col("c")))).alias("got")).collect())
@@ -127,6 +207,34 @@ def test_dense_index_over_bounds(spark):
     assert out.selectExpr("corr(k, i)").first()[0] > 0.999
 
 
+@pytest.mark.parametrize("per", [7, 1_000_000])
+def test_running_values_and_quantiles_over_ranges(spark, per):
+    df = spark.range(300).select((F.col("id") * 37 % 301).alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"), (F.col("id") * 7 % 13).alias("v"))
+    got = {r["k"]: r for r in numbering.running(df, "k", {"s": "v"}, {"m": "v"}, group=["g"], descending=True, rows_per_part=per).collect()}
+    data = df.collect()
+    for r in data:
+        before = [x["v"] for x in data if x["g"] == r["g"] and x["k"] >= r["k"]]
+        assert (got[r["k"]]["s"], got[r["k"]]["m"]) == (sum(before), min(before))
+    found = {r["g"]: r["quantiles"] for r in numbering.exact_quantiles(df, "k", [0.0, 0.25, 0.5, 0.99, 1.0], ["g"], rows_per_part=per).collect()}
+    for g in (None, 1, 2, 3):
+        want = np.quantile([r["k"] for r in data if r["g"] == g], [0.0, 0.25, 0.5, 0.99, 1.0])
+        assert np.allclose(found[g], want)
+    assert numbering.exact_quantiles(df.limit(0), "k", [0.5]).collect()[0]["quantiles"] == [None]
+    assert numbering.exact_quantiles(df.limit(0), "k", [0.5], ["g"]).count() == 0
+    ids = numbering.dense_index(df, ["k"], "i", rows_per_part=per).orderBy("k").collect()
+    assert [r["i"] for r in ids] == list(range(300))
+
+
+@pytest.mark.parametrize("per", [6, 100_000])
+def test_outliers_by_buckets(spark, per):
+    values = [float(10 + i % 3 + (90 if i in (7, 23) else 0)) for i in range(40)]
+    out = windows.median_filter_outliers(spark.createDataFrame(list(enumerate(values)), "f int, v double"), "f", "v", per_bucket=per)
+    padded = [values[1], values[0], *values, values[-1], values[-2]]
+    residual = np.array(values) - [np.median(padded[i : i + 5]) for i in range(40)]
+    want = np.abs(residual - residual.mean()) <= 2 * residual.std()
+    assert [r["normal"] for r in out.orderBy("f").collect()] == want.tolist() and not want[7]
+
+
 def test_column_vote_ties(spark):
     df = spark.createDataFrame([("g", "ACT"), ("g", "ATT"), ("g", "GCA"), ("h", "")], "g string, s string")
     assert rows(groups.column_vote(df, ["g"], "s")) == [("g", "ACT")]

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
+from ..session import json_bytes
 from .paths import segment_name, variant_of
 
+EQ, X, I, D = map(ord, "=XID")  # noqa: E741
+
 
 def decode(cigar: Column) -> Column:
     """``3=1X`` as array<struct<op, len>>."""
@@ -32,62 +40,153 @@ def encode(ops: Column) -> Column:
     return F.array_join(F.transform(ops, lambda x: F.concat(x["len"].cast("string"), x["op"])), "")
 
 
-def cut_by_segment(df: DataFrame, segment_lengths: DataFrame, key: str = "name") -> DataFrame:
-    """Per read and path segment: matches, mismatches, insertions, deletions, query span, orientation, variant (SEG1).
+_CUTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if n in ("side", "cigar") else T.IntegerType()) for n in ("position", "side", "matches", "mismatches", "insertions", "deletions", "query_start", "query_end", "cigar")]))
+
+
+def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.ndarray, seg_read: np.ndarray, n_reads: int, with_cigar: bool) -> pa.ListArray:
+    """The cuts of a batch of reads: their operations (one-letter codes and lengths) and path segments, in order."""
+    on_ref, on_query = np.isin(op, (EQ, X, D)), np.isin(op, (EQ, X, I))
+    # reads stand one after the other on one long reference, so that one search places all their operations
+    total = np.bincount(seg_read, weights=seg_len, minlength=n_reads).astype(np.int64)
+    base = np.cumsum(total) - total
+    r_len, q_len = np.where(on_ref, n, 0), np.where(on_query, n, 0)
+    r0 = np.cumsum(r_len) - r_len
+    q0 = np.cumsum(q_len) - q_len
+    q0 = q0 - np.append(q0, 0)[np.searchsorted(read, np.arange(n_reads))][read]
+    s0 = np.cumsum(seg_len) - seg_len
+    s1 = s0 + seg_len
+    ends = base + total
+    # pieces of what stands on the reference, and insertions within it
+    lo = np.searchsorted(s1, r0, "right")
+    hi = np.where(on_ref, np.searchsorted(s0, r0 + r_len, "left") - 1, lo)
+    inner = on_ref | ((op == I) & (r0 > base[read]) & (r0 < ends[read]))
+    count = np.where(inner, np.maximum(hi - lo + 1, 0), 0)
+    of = np.repeat(np.arange(len(op)), count)
+    seg = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start, stop = np.maximum(r0[of], s0[seg]), np.minimum((r0 + r_len)[of], s1[seg])
+    size = np.where(on_ref[of], stop - start, n[of])
+    qa = q0[of] + np.where(on_ref[of] & on_query[of], start - r0[of], 0)
+    keep = size > 0
+    of, seg, size, qa = of[keep], seg[keep], size[keep], qa[keep]
+    qb = qa + np.where(on_query[of], size, 0)
+    seg_at = np.arange(len(seg_read)) - np.searchsorted(seg_read, seg_read)
+    # insertions before the first and after the last base of the path
+    out = np.flatnonzero((op == I) & ~inner)
+    side = np.where(r0[out] == base[read[out]], -1, 1 << 30)
+    owner = np.concatenate((seg_read[seg], read[out]))
+    place = np.concatenate((seg_at[seg], side))
+    code, size = np.concatenate((op[of], op[out])), np.concatenate((size, n[out]))
+    qa, qb = np.concatenate((qa, q0[out])), np.concatenate((qb, q0[out] + n[out]))
+    order = np.lexsort((np.concatenate((of, out)), place, owner))
+    owner, place, code, size, qa, qb = (x[order] for x in (owner, place, code, size, qa, qb))
+    at = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])))) if len(owner) else np.empty(0, np.int64)
+    sums = [np.add.reduceat(np.where(code == c, size, 0), at) if len(at) else at for c in (EQ, X, I, D)]
+    low, high = (np.minimum.reduceat(qa, at), np.maximum.reduceat(qb, at)) if len(at) else (at, at)
+    where, owners = place[at], owner[at]
+    inside = (where >= 0) & (where < 1 << 30)
+    sides = np.where(where < 0, "upstream", "downstream").astype(object)
+    sides[inside] = None
+    cigars = [None] * len(at)
+    if with_cigar:
+        for k, (a, z) in enumerate(zip(at, [*at[1:], len(code)])):
+            runs = np.concatenate(([a], np.flatnonzero(code[a + 1 : z] != code[a : z - 1]) + a + 1, [z]))
+            cigars[k] = "".join(f"{size[u:v].sum()}{chr(code[u])}" for u, v in zip(runs, runs[1:]))
+    arrays = [pa.array(where, pa.int32(), mask=~inside), pa.array(sides, pa.string()), *[pa.array(x, pa.int32()) for x in (*sums, low, high)], pa.array(cigars, pa.string())]
+    offsets = np.searchsorted(owners, np.arange(n_reads + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=_CUTS.elementType.names))
+
+
+def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into: str = "cuts", with_cigar: bool = False) -> DataFrame:
+    """``df`` with its alignments cut by path segment (SEG1), as an array of structs: position in the path, side
+    (``upstream``, ``downstream``; null for segments), matches, mismatches, insertions, deletions, query_start,
+    query_end and, if asked, the segment's own cigar. No shuffle: a read's path and CIGAR stand in its row.
 
     ``df``: key, path, path_start, path_end, path_length, query_start, query_end, query_length, cg. Unaligned path ends
     count as deletions and unaligned query ends as insertions. An insertion on a boundary belongs to the segment after
-    it; what stands before the first and after the last base of the path are the rows ``upstream`` and ``downstream``.
-    Null paths or CIGARs give no rows; an operation other than = X I D is an error, and so is a name twice in one path.
-    ``segment_lengths``: (name, length), a small table.
+    it; what stands before the first and after the last base of the path is upstream and downstream. Null paths or
+    CIGARs give null. Errors: an operation other than = X I D, a name twice in one path, a segment without a length, a
+    path with more or fewer bases than its CIGAR. ``segment_lengths``: (name, length) of the graph, held by every task;
+    above 64 MB it is an error.
     """
-    rows = df.filter(F.col("path").isNotNull() & F.col("cg").isNotNull())
-    body = decode(F.col("cg"))
-    bad = F.exists(body, lambda x: ~x["op"].isin("=", "X", "I", "D"))
-    names = F.transform("path", lambda s: segment_name(s, None))
-    twice = F.size(F.array_distinct(names)) < F.size(names)
+    if json_bytes(segment_lengths) > 64_000_000:
+        raise ValueError("the segment table is too large to be held by every task")
+    known = {r["name"]: int(r["length"]) for r in segment_lengths.select("name", "length").collect()}
+    shared = df.sparkSession.sparkContext.broadcast(known)
     pad = lambda op, n: F.array(F.struct(F.lit(op).alias("op"), n.cast("int").alias("len")))
     whole = F.concat(
-        pad("I", F.col("query_start")), pad("D", F.col("path_start")), body,
+        pad("I", F.col("query_start")), pad("D", F.col("path_start")), decode(F.col("cg")),
         pad("D", F.col("path_length") - F.col("path_end")), pad("I", F.col("query_length") - F.col("query_end")),
     )
-    checked = F.when(bad, F.raise_error(F.lit("only =, X, I and D can be cut"))).when(twice, F.raise_error(F.lit("a segment stands twice in a path"))).otherwise(whole)
-    ops = rows.select(key, F.posexplode(F.filter(checked, lambda x: x["len"] > 0)).alias("k", "x")).select(key, "k", "x.op", "x.len")
-    run = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    on_ref, on_query = F.col("op").isin("=", "X", "D"), F.col("op").isin("=", "X", "I")
-    ops = ops.withColumn("r0", F.coalesce(F.sum(F.when(on_ref, F.col("len")).otherwise(0)).over(run), F.lit(0)))
-    ops = ops.withColumn("q0", F.coalesce(F.sum(F.when(on_query, F.col("len")).otherwise(0)).over(run), F.lit(0)))
-    steps = rows.select(key, "path_length", F.posexplode("path").alias("i", "step")).withColumn("_segment", segment_name(F.col("step"), None))
-    steps = steps.join(F.broadcast(segment_lengths.select(F.col("name").alias("_segment"), "length")), "_segment")
-    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("s0", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    spans = steps.select(key, "i", "step", "s0", (F.col("s0") + F.col("length")).alias("s1"))
-    ref_end = F.col("r0") + F.when(on_ref, F.col("len")).otherwise(0)
-    joined = ops.join(spans, key).filter(
-        F.when(F.col("op") == "I", (F.col("r0") >= F.col("s0")) & (F.col("r0") < F.col("s1")) & (F.col("r0") > 0)).otherwise((F.col("r0") < F.col("s1")) & (ref_end > F.col("s0")))
-    )
-    start, stop = F.greatest("r0", "s0"), F.least(ref_end, F.col("s1"))
-    joined = joined.withColumn("n", F.when(F.col("op") == "I", F.col("len")).otherwise(stop - start))
-    skipped = F.when(F.col("op").isin("=", "X"), start - F.col("r0")).otherwise(0)
-    joined = joined.withColumn("qa", F.col("q0") + skipped).withColumn("qb", F.col("qa") + F.when(on_query, F.col("n")).otherwise(0))
-
-    def total(op: str, name: str) -> Column:
-        return F.sum(F.when(F.col("op") == op, F.col("n")).otherwise(0)).cast("int").alias(name)
-
-    counts = [total("=", "matches"), total("X", "mismatches"), total("I", "insertions"), total("D", "deletions")]
-    inside = joined.groupBy(key, "i", "step").agg(*counts, F.min("qa").cast("int").alias("query_start"), F.max("qb").cast("int").alias("query_end"))
-    inside = inside.select(
-        key, F.col("i").cast("int").alias("position"), segment_name(F.col("step")).alias("segment"), variant_of(F.col("step")).alias("variant"),
-        F.col("step").startswith("<").alias("reverse_complement"), "matches", "mismatches", "insertions", "deletions", "query_start", "query_end",
-    )
-    end = spans.groupBy(key).agg(F.max("s1").alias("end"))
-    ends = ops.filter(F.col("op") == "I").join(end, key)
-    side = F.when(F.col("r0") == 0, "upstream").when(F.col("r0") == F.col("end"), "downstream")
-    outside = ends.withColumn("segment", side).filter("segment is not null").groupBy(key, "segment").agg(
-        F.sum("len").cast("int").alias("insertions"), F.min("q0").cast("int").alias("query_start"), F.max(F.col("q0") + F.col("len")).cast("int").alias("query_end")
-    )
-    outside = outside.select(key, F.lit(None).cast("int").alias("position"), "segment", F.lit(None).cast("string").alias("variant"), F.lit(None).cast("boolean").alias("reverse_complement"), *[F.lit(0).alias(c) for c in ("matches", "mismatches")], "insertions", F.lit(0).alias("deletions"), "query_start", "query_end")
-    return inside.unionByName(outside)
+    ops = F.transform(F.filter(whole, lambda x: x["len"] > 0), lambda x: F.struct(F.ascii(x["op"]).alias("op"), x["len"].alias("len")))
+    here = F.col("path").isNotNull() & F.col("cg").isNotNull()
+    rows = df.select("*", F.when(here, ops).alias("_ops"), F.when(here, F.transform("path", lambda s: segment_name(s, None))).alias("_names"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ops, names = batch.column("_ops"), batch.column("_names")
+            keys, null = batch.column(key), ops.is_null().to_numpy(zero_copy_only=False)
+            n_ops, n_names = (pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (ops, names))
+            flat = ops.flatten()
+            op, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            read, seg_read = np.repeat(np.arange(batch.num_rows), n_ops), np.repeat(np.arange(batch.num_rows), n_names)
+            coded = names.flatten().dictionary_encode()
+            lengths = np.array([shared.value.get(x, -1) for x in coded.dictionary.to_pylist()], np.int64)
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            seg_len = lengths[code] if len(code) else np.empty(0, np.int64)
+
+            def refuse(at: np.ndarray, why: str) -> None:
+                if len(at):
+                    raise ValueError(f"{why}: {keys[int(at[0])].as_py()}")
+
+            refuse(read[~np.isin(op, (EQ, X, I, D))], "only =, X, I and D can be cut")
+            refuse(seg_read[seg_len < 0], "a segment of the path is not in the segment table")
+            pairs = np.sort(seg_read * (int(code.max(initial=0)) + 1) + code)
+            refuse(pairs[1:][pairs[1:] == pairs[:-1]] // (int(code.max(initial=0)) + 1), "a segment stands twice in a path")
+            total = np.bincount(seg_read, weights=seg_len, minlength=batch.num_rows)
+            aligned = np.bincount(read, weights=np.where(op == I, 0, n), minlength=batch.num_rows)
+            refuse(np.flatnonzero(~null & (total > aligned)), "the path holds more bases than the CIGAR")
+            refuse(np.flatnonzero(~null & (total < aligned)), "the path holds fewer bases than the CIGAR")
+            cuts = _cut_arrays(op, n, read, seg_len, seg_read, batch.num_rows, with_cigar)
+            kept = [c for c in batch.schema.names if c not in ("_ops", "_names")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], cuts], names=[*kept, into])
+
+    kept = [f for f in df.schema.fields if f.name != into]
+    out = rows.drop(into).mapInArrow(run, T.StructType([*kept, T.StructField(into, _CUTS)]))
+    return out.withColumn(into, F.when(here, F.col(into)))
+
+
+def _described(cut: Column, path: Column) -> list[Column]:
+    step = F.when(cut["position"].isNotNull(), F.get(path, cut["position"]))
+    return [
+        F.coalesce(cut["side"], segment_name(step)).alias("segment"), variant_of(step).alias("variant"), step.startswith("<").alias("reverse_complement"),
+        *[cut[c].alias(c) for c in ("matches", "mismatches", "insertions", "deletions", "query_start", "query_end")],
+    ]
+
+
+def cut_by_segment(df: DataFrame, segment_lengths: DataFrame, key: str = "name", with_cigar: bool = False, seq: str | None = None, phred: str | None = None) -> DataFrame:
+    """Per read and path segment: position, segment, variant, orientation, matches, mismatches, insertions, deletions,
+    query span (SEG1), and where asked the segment's CIGAR, its part of the read (``seq``) and of its scores (``phred``,
+    an array). See ``with_cuts``. Reads without a path or CIGAR have no rows."""
+    asked = [c for c in dict.fromkeys([key, "path", seq, phred]) if c]
+    rows = with_cuts(df, segment_lengths, key, "_cuts", with_cigar).select(*asked, F.explode("_cuts").alias("_c"))
+    c = F.col("_c")
+    span = (c["query_start"] + 1, c["query_end"] - c["query_start"])
+    more = [c["cigar"].alias("cigar")] if with_cigar else []
+    more += [F.substring(F.col(seq), *span).alias("seq")] if seq else []
+    more += [F.slice(F.col(phred), *span).alias("phred")] if phred else []
+    return rows.select(key, c["position"].alias("position"), *_described(c, F.col("path")), *more)
+
+
+def segment_structs(df: DataFrame, segment_lengths: DataFrame, segments: Sequence[str], key: str = "name") -> DataFrame:
+    """One row per read, a struct column for each of the given segments (names without variant; SEG1), null where the
+    path does not hold it. No shuffle."""
+    cuts = with_cuts(df, segment_lengths, key, "_cuts")
+    described = cuts.withColumn("_cuts", F.transform("_cuts", lambda c: F.struct(*_described(c, F.col("path")))))
+
+    def of(name: str) -> Column:
+        return F.get(F.filter("_cuts", lambda c: c["segment"] == name), F.lit(0))
+
+    return described.withColumns({s: of(s) for s in segments}).drop("_cuts")
 
 
 def gapped(read: Column, cigar: Column, start: Column, reference_length: Column) -> Column:
