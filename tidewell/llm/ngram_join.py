@@ -287,10 +287,10 @@ def _new_classes(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.nd
             yield number, s
 
 
-def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_000_000) -> DataFrame:
+def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 1_000_000) -> DataFrame:
     """(cls, unshared): how many of a class's shingles no other class of these texts has. Classes without any are left
     out. Every shingle is sent once a task, packed; only counts come back."""
-    bits = int(max(6, np.ceil(np.log2(max(1, n_shingles / per_bucket)))))
+    bits = int(max(4, np.ceil(np.log2(max(1, n_shingles / per_bucket)))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +350,7 @@ def _with_partners(classes: DataFrame, docs: DataFrame, width: int, t: Threshold
 def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bucket: int = 1_000_000) -> DataFrame:
     """(grp, cls) of classes that share a signature with the smaller class grp, each pair once."""
     share = (t.den - t.num) / t.num * 2.2
-    bits = int(max(6, np.ceil(np.log2(max(1, n_shingles * share / per_bucket)))))
+    bits = int(max(4, np.ceil(np.log2(max(1, n_shingles * share / per_bucket)))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(signs: list, numbers: list) -> pa.RecordBatch:
