@@ -19,8 +19,8 @@ def path_hash(path: Column) -> Column:
 
 
 def hash_group(path: Column, n: int) -> Column:
-    """The group of a path among ``n``: equal paths share it."""
-    return F.pmod(path_hash(path), F.lit(n)).cast("int")
+    """The group of a path among ``n``, from its md5: equal paths share it, and other engines find the same one."""
+    return F.pmod(F.conv(F.substring(F.md5(F.array_join(path, "")), 1, 15), 16, 10).cast("long"), F.lit(n)).cast("int")
 
 
 def names_digest(names: Column) -> Column:
@@ -37,6 +37,11 @@ def later(time: Column, seconds: Column) -> Column:
     return F.timestamp_micros(micros(time) + F.round(seconds * 1_000_000).cast("long"))
 
 
+def parse_utc(text: Column) -> Column:
+    """``2024-01-31T08:00:00.123+00:00`` as a timestamp (SCL11); null where it is not of that form."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+
+
 def is_duplex(name: Column) -> Column:
     return name.contains(";")
 
@@ -51,6 +56,13 @@ def integer_if_all(df: DataFrame, column: str) -> DataFrame:
     return df if odd else df.withColumn(column, F.col(column).try_cast("int"))
 
 
+def size_between(size: Column, sister: Column, mother: Column) -> Column:
+    """A cell's size at birth, between frames: the geometric mean of its mother's last size and of what the mother's
+    daughters measure together, as far as the cell has a share in it (SCL22)."""
+    both = size + sister
+    return F.sqrt(both * mother) * F.try_divide(size, both)
+
+
 def spherocylinder(length: Column, width: Column) -> tuple[Column, Column]:
     """Volume and surface of a rod with round ends; a length below the width counts as a sphere's."""
     r, rod = width / 2, F.greatest(length - width, F.lit(0.0))

@@ -109,16 +109,34 @@ def signal_barcode(signal: Column, thresholds: Sequence[float], removed: Sequenc
 
 
 def assemble_sequence(df: DataFrame, path: str, key: str, segments: DataFrame, into: str = "reference_seq") -> DataFrame:
-    """The sequence along each path, reverse-complemented on ``<`` (SCL7). ``segments``: (name, seq), a small table."""
+    """The sequence along each path, reverse-complemented on ``<`` (SCL7). ``segments``: (name, seq)."""
+    from ..session import sized_broadcast
     from .sequences import reverse_complement
 
     steps = df.select(key, F.posexplode(path).alias("pos", "step")).withColumn("_segment", F.regexp_replace("step", "^[<>]", ""))
-    placed = steps.join(F.broadcast(segments.select(F.col("name").alias("_segment"), "seq")), "_segment")
+    placed = steps.join(sized_broadcast(segments.select(F.col("name").alias("_segment"), "seq")), "_segment")
     piece = F.when(F.col("step").startswith("<"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     joined = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("s")))).alias("parts"))
     return df.join(joined.select(key, F.array_join(F.col("parts.s"), "").alias(into)), key, "left")
 
 
+def reference_distance(df: DataFrame, path: str, key: str, seq: str, segments: DataFrame, into: str = "distance") -> DataFrame:
+    """Edit distance of each sequence to the one assembled along its path, upper-cased (SEG2); null where either is
+    empty. Adds reference_seq and ``into``."""
+    out = assemble_sequence(df, path, key, segments)
+    filled = lambda c: F.when(F.length(c) > 0, F.upper(c))
+    return out.withColumn(into, F.levenshtein(filled(F.col(seq)), filled(F.col("reference_seq"))))
+
+
+def cross_run_error(a: DataFrame, b: DataFrame, path_hash: str, seq: str) -> DataFrame:
+    """Edit distances of two runs' consensus sequences of one path: distance, n, share (SEG4). Paths of one run only do
+    not count; ``path_hash`` is unique on either side."""
+    both = a.select(path_hash, F.col(seq).alias("_a")).join(b.select(path_hash, F.col(seq).alias("_b")), path_hash)
+    counts = both.groupBy(F.levenshtein("_a", "_b").alias("distance")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
+
+
 def mismatched_bits(a: Column, b: Column) -> Column:
     """Names of which the two paths hold different variants (SET4)."""
     left, right = F.array_except(a, b), F.array_except(b, a)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,3 +92,21 @@ def mismatch_series(df: DataFrame, seq: str, n: int, seed: int = 0) -> DataFrame
 def good_seed(seq: Column, bad: Sequence[str], length: int = 5) -> Column:
     """Whether the last bases are not on the list of bad seeds (SCL19)."""
     return ~F.substring(seq, -length, length).isin(*bad)
+
+
+def intervals_of(lengths: Sequence[tuple[str, int]]) -> list[tuple[str, int, int]]:
+    """(name, start, end) of segments that follow each other (SCL24)."""
+    ends = list(accumulate(n for _, n in lengths))
+    return [(name, end - n, end) for (name, n), end in zip(lengths, ends)]
+
+
+def slice_intervals(seq: Column, intervals: Sequence[tuple[str, int, int]]) -> Column:
+    """array<struct<segment, slice>>: the parts [start, end) of a sequence, whole ones only, else null (SCL24)."""
+    part = lambda a, b: F.when(F.length(seq) >= b, F.substring(seq, F.lit(a + 1), F.lit(b - a)))
+    return F.array(*[F.struct(F.lit(name).alias("segment"), part(a, b).alias("slice")) for name, a, b in intervals])
+
+
+def segment_distances(seq: Column, reference: Column, intervals: Sequence[tuple[str, int, int]]) -> Column:
+    """array<struct<segment, distance>>: Hamming distance of each part to the reference's; null where one is cut short."""
+    pairs = F.arrays_zip(slice_intervals(seq, intervals).alias("a"), slice_intervals(reference, intervals).alias("b"))
+    return F.transform(pairs, lambda p: F.struct(p["a"]["segment"].alias("segment"), hamming(p["a"]["slice"], p["b"]["slice"]).alias("distance")))

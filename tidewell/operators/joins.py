@@ -69,6 +69,14 @@ def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequen
     return df.join(other.select(*keys, *columns), list(keys), how)
 
 
+def place_regions(regions: DataFrame, offsets: DataFrame, cells: DataFrame, offset_keys: Sequence[str], cell_keys: Sequence[str], shift: Mapping[str, str]) -> DataFrame:
+    """Cells with their region's stage position (JON14): regions without an offset stay, unmoved; cells without a region
+    go. ``shift`` maps a region's coordinate to the column of ``offsets`` that is added to it."""
+    moved = regions.join(offsets.select(*offset_keys, *[F.col(o).alias(f"_{o}") for o in shift.values()]), list(offset_keys), "left")
+    moved = moved.withColumns({c: F.col(c) + F.coalesce(F.col(f"_{o}"), F.lit(0)) for c, o in shift.items()}).drop(*[f"_{o}" for o in shift.values()])
+    return cells.join(moved, list(cell_keys))
+
+
 def overlap_summary(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys in a, in b and in both, with their share (JON15). A key twice on one side is an error."""
 

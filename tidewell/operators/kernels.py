@@ -9,118 +9,70 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidewell.session import scratch
+from tidewell.session import sized_broadcast, written
 
 
-def half_range_mode(x: np.ndarray) -> float:
-    """The mode by halving the range and keeping the fuller half, until two values are left."""
-    x = np.sort(x[~np.isnan(x)])
-    while len(x) > 2:
-        width = (x[-1] - x[0]) / 2
-        if width == 0:
-            break
-        count = np.searchsorted(x, x + width, "right") - np.arange(len(x))
-        best = np.flatnonzero(count == count.max())
-        spans = [(x[i + count[i] - 1] - x[i], i) for i in best]
-        i = min(spans)[1]
-        new = x[i : i + count[i]]
-        if len(new) == len(x):
-            x = x[:-1] if x[-1] - x[-2] > x[1] - x[0] else x[1:]
-        else:
-            x = new
-    return float(x.mean()) if len(x) else math.nan
-
-
-def half_range_mode_of_counts(v: np.ndarray, n: np.ndarray) -> float:
-    """``half_range_mode`` of the rising values ``v``, each of which stands ``n`` times."""
-    while n.sum() > 2 and len(v) > 1:
-        width = (v[-1] - v[0]) / 2
-        before = np.concatenate([[0], np.cumsum(n)])
-        end = np.searchsorted(v, v + width, "right")
-        count = before[end] - before[:-1]
-        best = np.flatnonzero(count == count.max())
-        i = min((v[end[i] - 1] - v[i], i) for i in best)[1]
-        if i == 0 and end[i] == len(v):
-            last = n[-1] == 1 and (n[0] > 1 or v[-1] - v[-2] > v[1] - v[0])
-            v, n = (v[:-1], n[:-1]) if last else (v[1:], n[1:])
-        else:
-            v, n = v[i : end[i]], n[i : end[i]]
-    return float(np.average(v, weights=n)) if len(v) > 1 else float(v[0]) if len(v) else math.nan
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession, "modes")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def half_range_mode(v: np.ndarray, n: np.ndarray | None = None, least: int = 50, rounds: int = 0, last: float = math.nan) -> float:
+    """The mean of what is left when the range is halved at its middle, round by round, the fuller half kept (the lower
+    one of equal halves), until fewer than ``least`` rows are left or the middle stays; at least two rounds.
 
+    ``v``: rising values, each of which stands ``n`` times; ``rounds`` and ``last`` (middle) are what was done before.
+    """
+    n = np.ones(len(v), np.int64) if n is None else n
+    if not len(v):
+        return math.nan
+    for i in range(rounds, 1000):
+        middle = (v[0] + v[-1]) / 2
+        cut = int(np.searchsorted(v, middle, "right"))
+        part = slice(cut, None) if n[cut:].sum() > n[:cut].sum() else slice(0, cut)
+        v, n = v[part], n[part]
+        if i > 0 and (n.sum() < least or last == middle):
+            break
+        last = middle
+    return float(np.average(v, weights=n))
 
-def _fullest_half(counts: DataFrame, spans: DataFrame, parts: int) -> DataFrame:
-    """One round of halving: the rows (g, v, n) inside each group's fullest window of half its range.
 
-    Values and window ends are cut into ``parts`` ranges a group; sums of ranges first, then each range on its own.
-    """
-    x = counts.join(spans, "g").withColumn("q", F.col("v") + F.col("width"))
-    own = F.struct(F.col("v").alias("at"), F.lit(True).alias("own"))
-    end = F.struct(F.col("q").alias("at"), F.lit(False).alias("own"))
-    e = x.select("g", "v", "n", F.explode(F.when(F.col("q") < F.col("hi"), F.array(own, end)).otherwise(F.array(own))).alias("e")).select("g", "v", "n", "e.*")
-    bounds = e.groupBy("g").agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], F.lit(10_000)).alias("bounds"))
-    e = _written(e.join(bounds, "g").withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("at")))).drop("bounds"))
-    own_n, own_v = F.when(F.col("own"), F.col("n")).otherwise(0), F.when(F.col("own"), F.col("v"))
-    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = e.groupBy("g", "part").agg(F.sum(own_n).alias("s"), F.max(own_v).alias("m"))
-    sums = sums.select("g", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"), F.max("m").over(before).alias("top"))
-    inside = Window.partitionBy("g", "part").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = e.withColumn("cum", F.sum(own_n).over(inside)).withColumn("last", F.max(own_v).over(inside)).join(sums, ["g", "part"])
-    run = run.select("g", "v", "n", "own", (F.col("cum") + F.col("base")).alias("cum"), F.greatest("last", "top").alias("last"))
-    back = run.groupBy("g", "v").agg(
-        F.max("n").alias("n"), F.max(F.when(F.col("own"), F.col("cum"))).alias("start"),
-        F.max(F.when(~F.col("own"), F.col("cum"))).alias("stop"), F.max(F.when(~F.col("own"), F.col("last"))).alias("last"),
-    ).join(spans, "g")
-    count = F.coalesce("stop", "total") - F.col("start") + F.col("n")
-    best = back.groupBy("g").agg(F.max(F.struct(count.alias("count"), (F.col("v") - F.coalesce("last", "hi")).alias("span"), (-F.col("v")).alias("v"))).alias("best"))
-    kept = counts.join(best.join(spans, "g").select("g", (-F.col("best.v")).alias("from_"), "width"), "g")
-    return kept.filter((F.col("v") >= F.col("from_")) & (F.col("v") <= F.col("from_") + F.col("width"))).select("g", "v", "n")
-
-
-def mode_by(df: DataFrame, group: str, value: str, boots: int = 0, seed: int = 0, max_rows: int = 100_000) -> DataFrame:
-    """Half-range mode per group, the mean over bootstrap draws if asked (AGG11). All rows count.
+def mode_by(df: DataFrame, group: str, value: str, boots: int = 0, boot_rows: int = 100, seed: int = 0, least: int = 50, max_rows: int = 100_000) -> DataFrame:
+    """Half-range mode per group; with ``boots``, the mean over so many draws of ``boot_rows`` rows (AGG11). All rows count.
 
     Groups of more than ``max_rows`` distinct values are halved by aggregates until so few are left, then finished in
-    one call a group. Bootstrap draws are made in one call a group over its distinct values, however many.
-    Null and NaN values do not count; rows without a group are left out.
+    one call a group. Draws are made in one call a group over its distinct values. Null and NaN values do not count;
+    groups without others have a null mode; rows without a group are left out.
     """
     x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null")
-    counts = _written(x.filter("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")))
-    left, done, n_left = counts, [], None
+    counts = x.filter("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    left = written(counts.select("g", "v", "n", F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("last")), "modes")
+    done: list[DataFrame] = []
     while not boots:
-        spans = left.groupBy("g").agg(
-            F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.max("v").alias("hi"), ((F.max("v") - F.min("v")) / 2).alias("width")
-        )
-        spans = _written(spans)
-        large = spans.filter(F.col("k") > max_rows).drop("k")
-        n, most = spans.filter(F.col("k") > max_rows).agg(F.sum("k"), F.max("k")).first()
-        if n is None or n == n_left:
+        spans = left.groupBy("g").agg(F.count(F.lit(1)).alias("k"), ((F.max("v") + F.min("v")) / 2).alias("middle"))
+        large = written(spans.filter(F.col("k") > max_rows), "large")
+        if not large.take(1):
             break
-        n_left = n
-        done.append(left.join(spans.filter(F.col("k") <= max_rows).select("g"), "g", "left_semi"))
-        left = _written(_fullest_half(left.join(large.select("g"), "g", "left_semi"), large, min(1000, -(-most // max(max_rows, 1)))))
+        done.append(left.join(large.select("g"), "g", "left_anti"))
+        split = left.join(sized_broadcast(large.drop("k")), "g").withColumn("up", F.col("v") > F.col("middle"))
+        fuller = split.groupBy("g").agg((F.sum(F.when(F.col("up"), F.col("n")).otherwise(0)) > F.sum(F.when(F.col("up"), 0).otherwise(F.col("n")))).alias("half"))
+        kept = split.join(sized_broadcast(fuller), "g").filter(F.col("up") == F.col("half"))
+        left = written(kept.select("g", "v", "n", (F.col("rounds") + 1).alias("rounds"), F.col("middle").alias("last")), "modes")
     for part in done:
         left = left.unionByName(part)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
         v, n = pdf["v"].to_numpy(), pdf["n"].to_numpy()
-        rng = np.random.default_rng(seed)
-        draws = [rng.multinomial(n.sum(), n / n.sum()) for _ in range(boots)] if boots else [n]
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mode": [float(np.mean([half_range_mode_of_counts(v[d > 0], d[d > 0]) for d in draws]))]})
+        if boots:
+            rng = np.random.default_rng(seed)
+            draws = rng.multivariate_hypergeometric(n, min(boot_rows, int(n.sum())), size=boots)
+            mode = float(np.mean([half_range_mode(v[d > 0], d[d > 0], least) for d in draws]))
+        else:
+            mode = half_range_mode(v, n, least, int(pdf["rounds"].iloc[0]), float(pdf["last"].iloc[0]))
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mode": [mode]})
 
     modes = left.groupBy("g").applyInPandas(run, f"g {df.schema[group].dataType.simpleString()}, mode double")
     return x.select("g").distinct().join(modes, "g", "left").withColumnRenamed("g", group)
 
 
-def _beta_fraction(a: float, b: float, x: np.ndarray) -> np.ndarray:
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function."""
     tiny = 1e-300
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
@@ -136,17 +88,20 @@ def _beta_fraction(a: float, b: float, x: np.ndarray) -> np.ndarray:
     return h
 
 
-def t_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|) of Student's t."""
-    if not (math.isfinite(t) and df > 0):
-        return math.nan
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if x > 0 else 0.0
-    if x < (a + 1) / (a + b + 2):
-        return float(front * _beta_fraction(a, b, np.array([x]))[0] / a)
-    return float(1 - front * _beta_fraction(b, a, np.array([1 - x]))[0] / b)
+_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+
+def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(|T| >= |t|) of Student's t, for whole columns; NaN where t is not finite or there are no degrees of freedom."""
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    good = np.isfinite(t) & (df > 0)
+    safe_t, safe_df = np.where(good, t, 0.0), np.where(good, df, 1.0)
+    x, a, b = safe_df / (safe_df + safe_t * safe_t), safe_df / 2, np.full(t.shape, 0.5)
+    inside = np.clip(x, 1e-300, 1 - 1e-16)
+    front = np.exp(_LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b) + a * np.log(inside) + b * np.log1p(-inside))
+    near = inside < (a + 1) / (a + b + 2)
+    p = np.where(near, front * _beta_fraction(a, b, inside) / a, 1 - front * _beta_fraction(b, a, 1 - inside) / b)
+    return np.where(good, np.where(safe_t == 0, 1.0, p), np.nan)
 
 
 def with_p_value(df: DataFrame, t: str, dof: Column, one_sided: bool = False, into: str = "p") -> DataFrame:
@@ -154,10 +109,8 @@ def with_p_value(df: DataFrame, t: str, dof: Column, one_sided: bool = False, in
 
     @F.pandas_udf("double")
     def p(t: pd.Series, d: pd.Series) -> pd.Series:
-        two = pd.Series([t_two_sided(a, b) for a, b in zip(t.astype(float), d.astype(float))])
-        if not one_sided:
-            return two
-        return two.where(two.isna(), np.where(t.to_numpy(float) > 0, two / 2, 1 - two / 2))
+        two = t_two_sided(t.to_numpy(float), d.to_numpy(float))
+        return pd.Series(two if not one_sided else np.where(np.isnan(two), two, np.where(t.to_numpy(float) > 0, two / 2, 1 - two / 2)))
 
     return df.withColumn(into, F.nanvl(p(F.col(t).cast("double"), dof.cast("double")), F.lit(None).cast("double")))
 
@@ -189,7 +142,7 @@ def bit_thresholds(df: DataFrame, position: str, value: str, bins: int = 200) ->
     """position, threshold between off and on values (AGG33). Spark makes one histogram of ``bins`` bins a position;
     only those reach the fit."""
     ends = df.groupBy(position).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    binned = df.join(F.broadcast(ends), position).withColumn("bin", F.least(F.coalesce(F.floor(F.try_divide((F.col(value) - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(0)), F.lit(bins - 1)).cast("int"))
+    binned = df.join(sized_broadcast(ends), position).withColumn("bin", F.least(F.coalesce(F.floor(F.try_divide((F.col(value) - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(0)), F.lit(bins - 1)).cast("int"))
     hist = binned.groupBy(position, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,6 +210,21 @@ def apply_yeo_johnson(df: DataFrame, column: str, into: str, sample_rows: int =
     return df.withColumn(into, yeo_johnson(F.col(column), yeo_johnson_lambda(np.sort(rows.toPandas()["x"].to_numpy()))))
 
 
+def spread_normalised(vectors: Sequence[Column], lam: float = 0.5) -> list[Column]:
+    """Series divided by sigma / sigma', where sigma' = ((sigma + 1)**lam - 1) / lam is the transformed spread of each
+    (SCL20); for lam = 0, sigma' = ln(sigma + 1). A series without spread is null. Built in."""
+    if lam < 0:
+        raise ValueError("lam is not negative")
+    out = []
+    for v in vectors:
+        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(v)))
+        sigma = F.sqrt(F.aggregate(v, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")), lambda a: F.greatest(F.try_divide(a["q"], F.size(v)) - mean * mean, F.lit(0.0))))
+        changed = F.log1p(sigma) if lam == 0 else (F.pow(sigma + 1, F.lit(float(lam))) - 1) / lam
+        factor = F.try_divide(changed, sigma)
+        out.append(F.when(factor.isNotNull(), F.transform(v, lambda x: x * factor)))
+    return out
+
+
 def off_target_scan(targets: DataFrame, references: DataFrame, key: str, seq: str, start: str, ref_seq: str, ref_start: str, sub: tuple[int, int] | None = None, block: int = 2_000) -> DataFrame:
     """key, best_match: the most bases in which a reference site equals the target, the target's own start aside (JON21).
 

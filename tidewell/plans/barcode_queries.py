@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cigar, keys, paths, sequences
-from ..operators import groups, hamming, joins, pairing, stats
+from ..operators import groups, hamming, joins, numbering, pairing, stats
 from ..operators import filters as flt
 from ..session import table
 from .registry import query
@@ -82,16 +82,14 @@ def asof_pairs(spark, sf_dir):
 @query(
     "parent_validity",
     """
-    WITH rows AS (
-      SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS name, l_returnflag AS path, l_linestatus = 'F' AS rc FROM lineitem
-      UNION ALL SELECT o_orderkey || '-1;' || o_orderkey || '-2', o_orderstatus, false FROM orders
-      UNION ALL SELECT o_orderkey || '-2;' || o_orderkey || '-3', 'A', false FROM orders WHERE o_orderkey % 3 = 0
-    ), duplex AS (SELECT name AS d, path, unnest(string_split(name, ';')) AS p FROM rows WHERE contains(name, ';')),
-    judged AS (SELECT d, count(r.path) = 2 AND coalesce(bool_and(r.path = duplex.path), false) AND coalesce(sum(CAST(r.rc AS INT)), 0) = 1 AS ok
-               FROM duplex LEFT JOIN rows r ON r.name = duplex.p GROUP BY d),
-    used AS (SELECT p, bool_or(ok) AS ok FROM (SELECT DISTINCT d, p FROM duplex) JOIN judged USING (d) GROUP BY p)
-    SELECT name, CASE WHEN contains(name, ';') THEN coalesce(j.ok, false) ELSE NOT coalesce(u.ok, false) END AS is_valid
-    FROM rows LEFT JOIN judged j ON j.d = name LEFT JOIN used u ON u.p = name
+    WITH line AS MATERIALIZED (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS path, l_linestatus = 'F' AS rc FROM lineitem),
+    dup AS MATERIALIZED (SELECT o_orderkey AS k, 1 AS a, o_orderstatus AS path FROM orders UNION ALL SELECT o_orderkey, 2, 'A' FROM orders WHERE o_orderkey % 3 = 0),
+    judged AS MATERIALIZED (
+      SELECT d.k, d.a, count(l.path) = 2 AND coalesce(bool_and(l.path = d.path), false) AND coalesce(sum(CAST(l.rc AS INT)), 0) = 1 AS ok
+      FROM dup d LEFT JOIN line l ON l.k = d.k AND l.n BETWEEN d.a AND d.a + 1 GROUP BY d.k, d.a),
+    used AS MATERIALIZED (SELECT k, n, bool_or(ok) AS ok FROM (SELECT k, a AS n, ok FROM judged UNION ALL SELECT k, a + 1, ok FROM judged) GROUP BY k, n)
+    SELECT k || '-' || l.n AS name, NOT coalesce(u.ok, false) AS is_valid FROM line l LEFT JOIN used u USING (k, n)
+    UNION ALL SELECT k || '-' || a || ';' || k || '-' || (a + 1), ok FROM judged
     """,
 )
 def parent_validity(spark, sf_dir):
@@ -217,16 +215,15 @@ def signal_sum(spark, sf_dir):
     return stats.signal_sum(rows, "vec_id", "p", "x", 30, removed=[3], eps=1.0).withColumn("signal_sum", F.round("signal_sum", 6))
 
 
-_PATHS = """p AS (SELECT user_id, list(CASE WHEN value > 60 THEN '<' ELSE '>' END || event_type ORDER BY event_id) AS path FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 4 GROUP BY user_id)"""
+_PATHS = """p AS (SELECT user_id, list(CASE WHEN user_id % 3 = 0 OR (user_id % 3 = 1 AND value > 60) THEN '<' ELSE '>' END || event_type ORDER BY event_id) AS path FROM events GROUP BY user_id)"""
 
 
 def _paths(spark, sf_dir):
-    """Per user the first four events as an oriented path."""
-    from pyspark.sql.window import Window
-
-    rows = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("r <= 4")
-    step = F.concat(F.when(F.col("value") > 60, "<").otherwise(">"), "event_type")
-    return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("r", step.alias("s")))).alias("x")).select("user_id", F.col("x.s").alias("path"))
+    """Per user all events as an oriented path: backward for a third of the users, mixed for another."""
+    back = (F.col("user_id") % 3 == 0) | ((F.col("user_id") % 3 == 1) & (F.col("value") > 60))
+    step = F.concat(F.when(back, "<").otherwise(">"), "event_type")
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", step.alias("s")))).alias("x"))
+    return rows.select("user_id", F.col("x.s").alias("path"))
 
 
 @query(
@@ -290,22 +287,22 @@ def mismatched_bits(spark, sf_dir):
 @query(
     "column_vote",
     """
-    WITH b AS (SELECT source, unnest(range(0, 50)) AS position, unnest(string_split(rpad(text, 50, '-'), '')[1:50]) AS base FROM (SELECT source, substring(text, 1, 50) AS text FROM documents)),
+    WITH b AS (SELECT source, unnest(range(0, length(s))) AS position, unnest(string_split(s, '')) AS base FROM (SELECT source, regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM documents) WHERE length(s) > 0),
     c AS (SELECT source, position, base, count(*) AS n FROM b GROUP BY ALL),
     t AS (SELECT *, row_number() OVER (PARTITION BY source, position ORDER BY n DESC, base) AS r FROM c)
     SELECT source, string_agg(base, '' ORDER BY position) AS consensus FROM t WHERE r = 1 GROUP BY source
     """,
 )
 def column_vote(spark, sf_dir):
-    """AGG4: the majority character at each of the first 50 places, by source."""
-    reads = table(spark, sf_dir, "documents").select("source", F.rpad(F.substring("text", 1, 50), 50, "-").alias("seq"))
+    """AGG4: the majority character at each place of whole texts, by source."""
+    reads = table(spark, sf_dir, "documents").select("source", F.regexp_replace("text", "[^ -~]", "?").alias("seq"))
     return groups.column_vote(reads, ["source"], "seq")
 
 
 @query(
     "ambiguous_positions",
     """
-    WITH b AS (SELECT source, unnest(range(0, 50)) AS position, unnest(string_split(rpad(text, 50, '-'), '')[1:50]) AS base FROM (SELECT source, substring(text, 1, 50) AS text FROM documents)),
+    WITH b AS (SELECT source, unnest(range(0, length(s))) AS position, unnest(string_split(s, '')) AS base FROM (SELECT source, regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM documents) WHERE length(s) > 0),
     c AS (SELECT source, position, base, count(*) AS n FROM b GROUP BY ALL),
     t AS (SELECT source, position, sum(n) AS total, list_sort(list(n), 'DESC') AS ns FROM c GROUP BY 1, 2)
     SELECT source, round(avg(CASE WHEN (coalesce(ns[2], 0) + 0.001) / (total + 0.001) > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS ambiguous_share FROM t GROUP BY source
@@ -313,17 +310,17 @@ def column_vote(spark, sf_dir):
 )
 def ambiguous_positions(spark, sf_dir):
     """AGG5: share of places with a strong second character."""
-    reads = table(spark, sf_dir, "documents").select("source", F.rpad(F.substring("text", 1, 50), 50, "-").alias("seq"))
+    reads = table(spark, sf_dir, "documents").select("source", F.regexp_replace("text", "[^ -~]", "?").alias("seq"))
     return groups.ambiguous_positions(reads, ["source"], "seq").withColumn("ambiguous_share", F.round("ambiguous_share", 6))
 
 
-_NT = "translate(substring(text, 1, 200), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC')"
+_NT = "translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC')"
 
 
 def _nucleotides(spark, sf_dir):
     """Documents as nucleotide strings: letters onto ACGT, other characters as they are."""
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate(F.substring("text", 1, 200), letters, "ACGT" * 6 + "AC" + "ACGT" * 6 + "AC").alias("seq"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", letters, "ACGT" * 6 + "AC" + "ACGT" * 6 + "AC").alias("seq"))
 
 
 @query("reverse_complement", f"SELECT doc_id, translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn') AS rc FROM (SELECT doc_id, {_NT} AS s FROM documents)")
@@ -425,25 +422,62 @@ def divergence(spark, sf_dir):
 @query(
     "edit_distance",
     """
-    SELECT d.doc_id, CAST(levenshtein(regexp_replace(substring(d.text, 1, 60), '[^ -~]', '?', 'g'), regexp_replace(substring(b.text, 1, 60), '[^ -~]', '?', 'g')) AS INTEGER) AS distance
-    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+    WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, regexp_replace(text, '[^ -~]', '?', 'g') AS t FROM benchmark)
+    SELECT d.doc_id, CAST(levenshtein(regexp_replace(d.text, '[^ -~]', '?', 'g'), b.t) AS INTEGER) AS distance
+    FROM documents d JOIN b ON b.k = d.doc_id % (SELECT count(*) FROM benchmark)
     """,
 )
 def edit_distance(spark, sf_dir):
-    """SEG2, SEG4: edit distance of a text's start to its reference's."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "?").alias("a"))
-    b = joins.sized_broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "?").alias("b")))
-    return d.join(b, "item_id").select("doc_id", F.levenshtein("a", "b").alias("distance"))
+    """SEG2: edit distance of whole texts to an item each; all items serve."""
+    items = numbering.dense_index(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("b")), ["item_id"], "k")
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % items.count()).alias("k"), F.regexp_replace("text", "[^ -~]", "?").alias("a"))
+    return d.join(joins.sized_broadcast(items), "k").select("doc_id", F.levenshtein("a", "b").alias("distance"))
+
+
+_ACGT = "translate({0}, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ -0123456789', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTACACACGTACGTAC')"
+
+
+def _acgt(c):
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ -0123456789"
+    return F.translate(c, letters, "ACGT" * 6 + "AC" + "ACGT" * 6 + "AC" + "AC" + "ACGT" * 2 + "AC")
+
+
+@query(
+    "reference_distance",
+    f"""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(levenshtein({_ACGT.format('o_orderpriority')}, 'ACGGT' || CASE WHEN o_orderkey % 2 = 0 THEN 'TTGCA' ELSE 'TGCAA' END) AS INTEGER) END AS distance FROM orders
+    """,
+)
+def reference_distance(spark, sf_dir):
+    """SEG2: reads against the reference assembled along their path; empty reads have none."""
+    seg = spark.createDataFrame([("a", "ACGGT"), ("b", "TTGCA")], "name string, seq string")
+    read = F.when(F.col("o_orderkey") % 5 != 0, F.lower(_acgt(F.col("o_orderpriority")))).otherwise("")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", read.alias("read"), F.array(F.lit(">a"), F.when(F.col("o_orderkey") % 2 == 0, ">b").otherwise("<b")).alias("path"))
+    return paths.reference_distance(o, "path", "o_orderkey", "read", seg).select("o_orderkey", "distance")
+
+
+@query(
+    "cross_run_error",
+    f"""
+    WITH a AS (SELECT o_custkey AS h, min({_ACGT.format('o_orderpriority')}) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS h, max({_ACGT.format('o_orderpriority')}) AS s FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1),
+    d AS (SELECT CAST(levenshtein(a.s, b.s) AS INTEGER) AS distance FROM a JOIN b USING (h))
+    SELECT distance, count(*) AS n, round(count(*) / (SELECT count(*) FROM d), 9) AS share FROM d GROUP BY 1
+    """,
+)
+def cross_run_error(spark, sf_dir):
+    """SEG4: even and odd orders as two runs, customers as paths."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("h"), "o_orderkey", _acgt(F.col("o_orderpriority")).alias("s"))
+    run = lambda r, f: o.filter(F.col("o_orderkey") % 2 == r).groupBy("h").agg(f("s").alias("s"))
+    return paths.cross_run_error(run(0, F.min), run(1, F.max), "h", "s").withColumn("share", F.round("share", 9))
 
 
 @query(
     "path_hash_groups",
-    "SELECT count(*) AS n FROM (SELECT DISTINCT user_id FROM events)",
+    f"WITH {_PATHS} SELECT user_id, CAST(CAST('0x' || substr(md5(array_to_string(path, '')), 1, 15) AS BIGINT) % 8 AS INTEGER) AS hash_group FROM p",
 )
 def path_hash_groups(spark, sf_dir):
-    """TOP5: eight hash groups hold every path once."""
-    p = _paths(spark, sf_dir).withColumn("g", keys.hash_group(F.col("path"), 8))
-    return p.groupBy("g").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n"))
+    """TOP5: the hash group of every path, one of eight."""
+    return _paths(spark, sf_dir).select("user_id", keys.hash_group(F.col("path"), 8).alias("hash_group"))
 
 
 @query(

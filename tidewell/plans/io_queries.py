@@ -27,23 +27,23 @@ def gaf_source(spark, sf_dir):
     return back.select("name", "query_length", F.array_join("path", "").alias("path"), "NM", "cg")
 
 
-@query("fasta_source", "SELECT 'd' || doc_id AS id, regexp_replace(substring(text, 1, 80), '[^a-zA-Z]', 'N', 'g') AS seq FROM documents")
+@query("fasta_source", "SELECT 'd' || doc_id AS id, regexp_replace(text, '[^a-zA-Z]', 'N', 'g') AS seq FROM documents")
 def fasta_source(spark, sf_dir):
     """SRC2, SNK2: documents as FASTA."""
     where = scratch(spark, "fasta")
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" about")).alias("name"), F.regexp_replace(F.substring("text", 1, 80), "[^a-zA-Z]", "N").alias("seq"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" about")).alias("name"), F.regexp_replace("text", "[^a-zA-Z]", "N").alias("seq"))
     sinks.write_fastx(d, where)
     return text_formats.read_fasta(spark, where)
 
 
-@query("fastq_source", "SELECT 'd' || doc_id AS id, regexp_replace(substring(text, 1, 40), '[^a-zA-Z]', 'N', 'g') AS seq, repeat(chr(CAST(33 + doc_id % 40 AS INTEGER)), length(substring(text, 1, 40))) AS qual FROM documents")
+@query("fastq_source", "SELECT 'd' || doc_id AS id, regexp_replace(text, '[^a-zA-Z]', 'N', 'g') AS seq, repeat(chr(CAST(33 + doc_id % 40 AS INTEGER)), length(regexp_replace(text, '[^a-zA-Z]', 'N', 'g'))) AS qual FROM documents")
 def fastq_source(spark, sf_dir):
     """SRC2, SNK2: documents as FASTQ."""
     where = scratch(spark, "fastq")
-    seq = F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z]", "N")
+    seq = F.regexp_replace("text", "[^a-zA-Z]", "N")
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), seq.alias("seq"), F.array_repeat((F.col("doc_id") % 40).cast("int"), F.length(seq)).alias("q"))
     sinks.write_fastx(d, where, scores="q")
-    return text_formats.read_fastq(spark, where)
+    return text_formats.read_fastq(spark, where, split_bytes=200_000)
 
 
 @query("sam_source", "SELECT 'r' || event_id AS name, CAST(user_id AS INTEGER) AS pos, CAST(floor(value) AS INTEGER) || 'M' AS cigar FROM events")
@@ -57,16 +57,61 @@ def sam_source(spark, sf_dir):
     return text_formats.read_sam(spark, where)
 
 
-@query("graph_source", "SELECT 's' || l_linenumber AS from_name, count(*) AS n FROM lineitem GROUP BY 1")
+@query(
+    "graph_source",
+    """
+    SELECT 'S' AS kind, 's' || l_linenumber AS a, repeat('ACGT', l_linenumber) AS b, NULL AS ao, NULL AS bo, 1 AS n FROM (SELECT DISTINCT l_linenumber FROM lineitem)
+    UNION ALL SELECT 'L', 's' || l_linenumber, 'p' || l_partkey, '+', CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END, count(*) FROM lineitem GROUP BY ALL
+    """,
+)
 def graph_source(spark, sf_dir):
-    """SRC4: lines as links of a graph; links counted by segment."""
+    """SRC4: lines as links of a graph; every segment with its sequence, every link with its ends."""
     where = scratch(spark, "gfa")
     line = table(spark, sf_dir, "lineitem")
-    seg = F.concat_ws("\t", F.lit("S"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")), F.lit("ACGT"))
-    link = F.concat_ws("\t", F.lit("L"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")), F.lit("+"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.lit("-"), F.lit("0M"))
+    name = F.concat(F.lit("s"), F.col("l_linenumber").cast("string"))
+    seg = F.concat_ws("\t", F.lit("S"), name, F.repeat(F.lit("ACGT"), F.col("l_linenumber")))
+    link = F.concat_ws("\t", F.lit("L"), name, F.lit("+"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.when(F.col("l_returnflag") == "R", "-").otherwise("+"), F.lit("0M"))
     line.select(seg.alias("value")).distinct().unionByName(line.select(link.alias("value"))).write.text(where)
     segments, links = text_formats.read_gfa(spark, where)
-    return links.join(segments.select(F.col("name").alias("from_name")), "from_name", "left_semi").groupBy("from_name").agg(F.count(F.lit(1)).alias("n"))
+    no = F.lit(None).cast("string")
+    found = segments.select(F.lit("S").alias("kind"), F.col("name").alias("a"), F.col("seq").alias("b"), no.alias("ao"), no.alias("bo"))
+    found = found.unionByName(links.select(F.lit("L").alias("kind"), F.col("from_name").alias("a"), F.col("to_name").alias("b"), F.col("from_orient").alias("ao"), F.col("to_orient").alias("bo")))
+    return found.groupBy("kind", "a", "b", "ao", "bo").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINKS = """links AS (SELECT DISTINCT o_custkey AS f, (o_custkey * 7 + 1) % 50 AS t, CASE WHEN o_custkey % 2 = 0 THEN '-' ELSE '+' END AS bo FROM orders WHERE o_custkey % 50 = (o_custkey // 50) % 50),
+    fwd AS (SELECT '>' || f AS a, CASE bo WHEN '+' THEN '>' ELSE '<' END || t AS b FROM links UNION SELECT '<' || f, CASE bo WHEN '+' THEN '<' ELSE '>' END || t FROM links)""".replace("(o_custkey // 50)", "CAST(floor(o_custkey / 50) AS BIGINT)")
+
+
+def _links(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_custkey % 50 = cast(floor(o_custkey / 50) as bigint) % 50").select("o_custkey").distinct()
+    c = F.col("o_custkey")
+    return o.select(c.cast("string").alias("from_name"), F.lit("+").alias("from_orient"), ((c * 7 + 1) % 50).cast("string").alias("to_name"), F.when(c % 2 == 0, "-").otherwise("+").alias("to_orient"))
+
+
+@query(
+    "graph_endpoints",
+    f"""
+    WITH {_LINKS}, e AS (SELECT a AS segment, 1 AS o, 0 AS i FROM fwd UNION ALL SELECT b, 0, 1 FROM fwd)
+    SELECT segment, CASE WHEN max(o) = 1 THEN 'first' ELSE 'last' END AS "end" FROM e GROUP BY 1 HAVING max(o) + max(i) = 1
+    """,
+)
+def graph_endpoints(spark, sf_dir):
+    """SRC4 for PRJ2: oriented segments at which paths can begin and end."""
+    return text_formats.graph_endpoints(_links(spark, sf_dir))
+
+
+@query(
+    "forward_segments",
+    f"""
+    WITH RECURSIVE {_LINKS}, u AS (SELECT a, b FROM fwd UNION SELECT b, a FROM fwd), w(s, r) AS (SELECT a, a FROM u UNION SELECT w.s, u.b FROM w JOIN u ON u.a = w.r),
+    part AS (SELECT s AS segment, min(r) AS part FROM w GROUP BY 1), best AS (SELECT part FROM part GROUP BY 1 ORDER BY count(*) FILTER (segment[1] = '>') DESC, part LIMIT 1)
+    SELECT segment FROM part JOIN best USING (part)
+    """,
+)
+def forward_segments(spark, sf_dir):
+    """SRC4 for PRJ1: the oriented segments of the part with the most forward ones."""
+    return text_formats.forward_segments(_links(spark, sf_dir))
 
 
 @query("widened_parquet", "SELECT c_custkey AS k, c_acctbal AS bal, NULL AS name FROM customer UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier")
@@ -87,13 +132,14 @@ def tsv_source(spark, sf_dir):
     return text_formats.read_tables(spark, f"{where}/part=*", "part=s(\\d+)", "subsample", "key int, name string")
 
 
-@query("file_names", "SELECT CAST(r_regionkey AS INTEGER) AS fov, count(*) AS n FROM region GROUP BY 1")
+@query("file_names", "SELECT DISTINCT CAST(user_id % 40 AS INTEGER) AS fov, CAST(event_id % 3 AS INTEGER) AS t FROM events")
 def file_names(spark, sf_dir):
-    """SRC7: numbers parsed out of the names of files that region rows were written to, counted from 0."""
+    """SRC7: numbers parsed out of the names of the files that events were written to, fields counted from 0."""
     where = scratch(spark, "frames")
-    table(spark, sf_dir, "region").withColumn("fov", F.format_string("xy%03d", F.col("r_regionkey") + 1)).repartition(1).write.partitionBy("fov").json(where)
-    files = text_formats.file_metadata(spark, where, "fov=xy(\\d+)/", ["fov"], one_based=["fov"])
-    return files.groupBy("fov").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events").select("event_id", F.format_string("xy%03d", F.col("user_id") % 40 + 1).alias("fov"), F.format_string("t%d", F.col("event_id") % 3).alias("t"))
+    e.repartition(1).write.partitionBy("fov", "t").json(where)
+    files = text_formats.file_metadata(spark, where, "fov=xy(\\d+)/t=t(\\d+)/", ["fov", "t"], one_based=["fov"], first_by=["fov", "t"])
+    return files.select("fov", "t")
 
 
 @query("pair_list", "SELECT o_custkey AS a, o_orderkey AS b FROM orders")
@@ -104,23 +150,31 @@ def pair_list(spark, sf_dir):
     return spark.read.schema("a long, b long").option("sep", " ").csv(where)
 
 
-@query("split_by_hash", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS n_keys FROM orders")
+@query("split_by_hash", "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, 1 AS n_chunks FROM orders GROUP BY 1")
 def split_by_hash(spark, sf_dir):
-    """SNK4: rows by hash bucket of their key; every key stands in one bucket."""
+    """SNK4: rows by hash bucket of their key; every key stands whole in one bucket."""
     where = scratch(spark, "split")
     sinks.write_split(table(spark, sf_dir, "orders"), where, ["o_custkey"], 16)
-    back = spark.read.parquet(where)
-    keys = back.select("o_custkey", "chunk").distinct().agg(F.count(F.lit(1)).alias("n_keys"))
-    return back.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(keys))
+    return spark.read.parquet(where).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.countDistinct("chunk").alias("n_chunks"))
 
 
-@query("chunked_rows", "SELECT CAST(1000 AS BIGINT) AS largest, count(*) AS n FROM orders")
+@query(
+    "chunked_rows",
+    "SELECT o_orderkey, true AS rows_fit, true AS bytes_fit, true AS files_fit FROM orders",
+)
 def chunked_rows(spark, sf_dir):
-    """SNK5: files of at most a thousand rows."""
-    where = scratch(spark, "chunks")
-    sinks.write_chunked(table(spark, sf_dir, "orders"), where, rows=1000)
-    per = spark.read.parquet(where).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("k"))
-    return per.agg(F.max("k").alias("largest"), F.sum("k").alias("n"))
+    """SNK5: every row once in files of at most a thousand rows, of at most 50,000 bytes, and in seven files."""
+    o = table(spark, sf_dir, "orders")
+    out = o.select("o_orderkey")
+    for kind, how in (("rows", {"rows": 1000}), ("bytes", {"max_bytes": 50_000}), ("files", {"files": 7})):
+        where = scratch(spark, "chunks")
+        sinks.write_chunked(o, where, **how)
+        rows = spark.read.parquet(where).select("o_orderkey", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
+        per = rows.groupBy("f").agg(F.count(F.lit(1)).alias("k"))
+        n = per.count()
+        fits = {"rows": F.col("k") <= 1000, "bytes": F.col("b") <= 50_000, "files": F.lit(n == 7)}[kind]
+        out = out.join(rows.join(F.broadcast(per), "f").select("o_orderkey", fits.alias(f"{kind}_fit")), "o_orderkey", "full")
+    return out
 
 
 @query("replaced_partitions", "SELECT o_orderstatus, sum(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END)::BIGINT AS n FROM orders GROUP BY 1")
@@ -132,16 +186,16 @@ def replaced_partitions(spark, sf_dir):
     return spark.read.parquet(where).groupBy("o_orderstatus").agg(F.sum("w").alias("n"))
 
 
-@query("key_ranges", "SELECT count(*) AS n, true AS disjoint FROM orders")
+@query("key_ranges", "SELECT o_orderkey, o_custkey, CAST(1 AS BIGINT) AS n_files FROM orders")
 def key_ranges(spark, sf_dir):
-    """SNK7: files that hold disjoint ranges of the key."""
-    from pyspark.sql.window import Window
-
+    """SNK7: files that hold disjoint ranges of the key: of each row, the files whose range its key lies in."""
     where = scratch(spark, "ranges")
     sinks.write_key_ranges(table(spark, sf_dir, "orders"), where, ["o_orderkey"], 8)
-    per = spark.read.parquet(where).groupBy(F.input_file_name().alias("f")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count(F.lit(1)).alias("k"))
-    before = F.lag("hi").over(Window.orderBy("lo"))
-    return per.withColumn("ok", F.coalesce(before < F.col("lo"), F.lit(True))).agg(F.sum("k").alias("n"), F.bool_and("ok").alias("disjoint"))
+    rows = spark.read.parquet(where)
+    per = rows.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    held = per.agg(F.collect_list(F.struct("lo", "hi")).alias("files"))  # eight files
+    inside = F.size(F.filter("files", lambda x: (x["lo"] <= F.col("o_orderkey")) & (F.col("o_orderkey") <= x["hi"])))
+    return rows.join(F.broadcast(held)).select("o_orderkey", "o_custkey", inside.cast("long").alias("n_files"))
 
 
 @query(
@@ -173,3 +227,59 @@ def stream_interval_stats(spark, sf_dir):
     run = out.writeStream.format("parquet").outputMode("append").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{where}/out").withColumns({"interval_start": F.unix_micros("interval_start"), "mean": F.round("mean", 6)})
+
+
+def _stream(spark, sf_dir, name):
+    static = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/{name}.parq*t")
+
+
+def _ran(writer):
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@query("stream_routes", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'dead' END AS route FROM events")
+def stream_routes(spark, sf_dir):
+    """STR1: events by type to their handlers, other types to the dead letters."""
+    where = scratch(spark, "routes")
+    put = lambda name: lambda df, epoch: df.select("event_id").write.mode("append").parquet(f"{where}/out/route={name}")
+    rows = _stream(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"))
+    _ran(measurements.route(rows, {"click": put("click"), "view": put("view")}, put("dead"), f"{where}/state"))
+    return spark.read.parquet(f"{where}/out").select("event_id", "route")
+
+
+@query(
+    "stream_shifts",
+    """
+    WITH s AS (SELECT user_id, event_id, value, event_type = 'error' AS done, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+    SELECT user_id, CAST(event_id AS INTEGER) AS t, round(value - first_value(value) OVER (PARTITION BY user_id, k ORDER BY event_id), 6) AS shifted, CAST(event_id AS INTEGER) AS last_t FROM s WHERE NOT done
+    """,
+)
+def stream_shifts(spark, sf_dir):
+    """STR2, STR5: values less those of the first frame since the user's state was last dropped by a done row."""
+    where = scratch(spark, "shifts")
+    kind = F.when(F.col("event_type") == "error", "done").otherwise("image")
+    rows = _stream(spark, sf_dir, "events").select(kind.alias("type"), "user_id", F.col("event_id").cast("int").alias("t"), "value")
+    _ran(measurements.shift_to_first_frame(rows, "user_id").writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state"))
+    return spark.read.parquet(f"{where}/out").withColumn("shifted", F.round("shifted", 6))
+
+
+@query("stream_calibrated", "SELECT l_orderkey, l_linenumber, round((l_quantity - 1) / (p_retailprice - 1), 6) AS value FROM lineitem JOIN part ON p_partkey = l_partkey")
+def stream_calibrated(spark, sf_dir):
+    """STR3: a stream of lines as pixels against the static calibration of their part."""
+    where, zero = scratch(spark, "calibrated"), F.lit(0)
+    px = _stream(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("channel"), zero.alias("y"), zero.alias("x"), F.col("l_quantity").alias("value"))
+    cal = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("channel"), zero.alias("y"), zero.alias("x"), F.lit(1.0).alias("dark"), F.col("p_retailprice").alias("flat"))
+    out = measurements.calibrated(px, cal).select("l_orderkey", "l_linenumber", "value")
+    _ran(out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state"))
+    return spark.read.parquet(f"{where}/out").withColumn("value", F.round("value", 6))
+
+
+@query("stream_idempotent", "SELECT event_id, value, user_id % 8 AS fov_num, event_type FROM events")
+def stream_idempotent(spark, sf_dir):
+    """STR4: the same batch written twice leaves every partition once."""
+    where = scratch(spark, "idempotent")
+    rows = _stream(spark, sf_dir, "events").select("event_id", "value", (F.col("user_id") % 8).alias("fov_num"), "event_type")
+    for run in range(2):
+        _ran(measurements.idempotent_sink(rows, f"{where}/out", f"{where}/state{run}", by=("fov_num", "event_type")))
+    return spark.read.parquet(f"{where}/out")

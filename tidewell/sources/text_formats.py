@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import parse_path
+from ..session import written
 
 #: The twelve columns of the graph alignment format.
 GAF_COLUMNS = (
@@ -45,17 +48,22 @@ def discover_tags(line: str, n_fixed: int) -> list[tuple[str, str, str | None]]:
 
 
 def read_gaf(spark: SparkSession, paths: str | Sequence[str], tags: Sequence[tuple[str, str, str | None]] | None = None) -> DataFrame:
-    """Alignments with the fixed columns typed, one column a tag, and ``aln_rank``, the order in the input (SRC1).
+    """Alignments with the fixed columns typed, one column a tag, and ``aln_rank``, which sorts as the input does: by
+    file name, split and line (SRC1).
 
     Tags are those of the first line unless given. ``*`` paths are null.
     """
-    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths).filter("value <> ''")
+    read = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
+    # files in the order of their names, lines by where their split starts and by their place in it
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line"))
+    lines = read.select("value", place.alias("aln_rank")).filter("value <> ''")
     if tags is None:
         first = lines.head(1)
         tags = discover_tags(first[0]["value"], len(GAF_COLUMNS)) if first else []
     fields = F.split("value", "\t")
-    rows = lines.withColumn("aln_rank", F.monotonically_increasing_id()).withColumn("f", fields)
-    extra = F.concat(F.slice(F.split(F.get("f", 0), " "), 2, 1000), F.slice("f", len(GAF_COLUMNS) + 1, 10_000))
+    rows = lines.withColumn("f", fields)
+    rest = lambda array, start: F.slice(array, start, F.greatest(F.size(array), F.lit(1)))
+    extra = F.concat(rest(F.split(F.get("f", 0), " "), 2), rest(F.col("f"), len(GAF_COLUMNS) + 1))
     out = []
     for i, (name, kind) in enumerate(GAF_COLUMNS):
         c = F.get("f", i)
@@ -72,19 +80,75 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.split_part(F.get(lines, 0), F.lit(" "), F.lit(1)).alias("id"), F.array_join(F.slice(lines, 2, 1 << 30), "").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, seq, qual of four-line FASTQ records (SRC2). Each file is one stream; many files read in parallel."""
+def read_fastq(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """id, seq, qual of four-line FASTQ records (SRC2). Files are cut into byte ranges, each a task's: it starts at the
+    first line that begins with @ and whose next but one begins with +, and owns the records that start in it. Gzipped
+    files are one range each. Ranges are opened by pyarrow's file systems."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length")
+    whole = F.col("path").endswith(".gz")
+    starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long")))
+    ranges = files.select("path", F.explode(starts).alias("start"), F.when(whole, F.lit(None).cast("long")).otherwise(F.lit(split_bytes).cast("long")).alias("size"))
+    ranges = ranges.repartitionByRange(max(1, ranges.count()), "path", "start")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                lines = bytes(content).decode("ascii").splitlines()
-                out = pd.DataFrame({"id": [x[1:].split(" ")[0] for x in lines[0::4]], "seq": lines[1::4], "qual": lines[3::4]})
-                if any(not x.startswith("@") for x in lines[0::4]) or (out["seq"].str.len() != out["qual"].str.len()).any():
-                    raise ValueError("not a FASTQ file of four-line records")
-                yield out
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id string, seq string, qual string")
+            for r in batch.to_pylist():
+                system, name = pa.fs.FileSystem.from_uri(r["path"] if "://" in r["path"] else re.sub(r"^(\w+):/+", r"\1:///", r["path"]))
+                with system.open_input_stream(name) if r["size"] is None else system.open_input_file(name) as file:
+                    yield from _fastq_batches(_lines(file, r["start"]), r["start"], None if r["size"] is None else r["start"] + r["size"])
+
+    return ranges.mapInArrow(run, "id string, seq string, qual string")
+
+
+def _lines(file, start: int) -> Iterator[tuple[int, bytes]]:
+    """(place, line) of the lines that begin at or after ``start``, without their ends."""
+    at, rest = start, b""
+    if start:
+        file.seek(start - 1)
+        at -= 1
+    skip = start > 0
+    while piece := file.read(1 << 20):
+        *lines, rest = (rest + piece).split(b"\n")
+        for line in lines:
+            if not skip:
+                yield at, line.removesuffix(b"\r")
+            skip, at = False, at + len(line) + 1
+    if rest and not skip:
+        yield at, rest.removesuffix(b"\r")
+
+
+def _fastq_batches(lines: Iterator[tuple[int, bytes]], start: int, end: int | None, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    held, out = [], []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i].decode("ascii") for x in out], pa.string()) for i in range(3)], names=["id", "seq", "qual"])
+
+    synced = start == 0
+    for place, line in lines:
+        held.append((place, line))
+        if not synced:
+            if len(held) < 3:
+                continue
+            if not (held[0][1].startswith(b"@") and held[2][1].startswith(b"+")):
+                held.pop(0)
+                continue
+            synced = True
+        if end is not None and held and held[0][0] >= end:
+            break
+        if len(held) == 4:
+            (_, head), (_, seq), (_, plus), (_, qual) = held
+            if not head.startswith(b"@") or not plus.startswith(b"+") or len(seq) != len(qual):
+                raise ValueError("not a FASTQ file of four-line records")
+            out.append((head[1:].split(b" ")[0], seq, qual))
+            held = []
+            if len(out) == size:
+                yield batch()
+                out = []
+    else:
+        if synced and any(line for _, line in held):
+            raise ValueError("not a FASTQ file of four-line records")
+    if out:
+        yield batch()
 
 
 def phred(qual: Column) -> Column:
@@ -106,6 +170,40 @@ def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return segments, links
 
 
+def oriented_edges(links: DataFrame) -> DataFrame:
+    """(a, b) between oriented segments ``>name`` and ``<name``: each link as it is read forward and backward."""
+    side = lambda name, orient, plus, minus: F.concat(F.when(F.col(orient) == "+", plus).otherwise(minus), F.col(name))
+    forward = links.select(side("from_name", "from_orient", ">", "<").alias("a"), side("to_name", "to_orient", ">", "<").alias("b"))
+    backward = links.select(side("from_name", "from_orient", "<", ">").alias("a"), side("to_name", "to_orient", "<", ">").alias("b"))
+    return forward.unionByName(backward).distinct()
+
+
+def graph_endpoints(links: DataFrame) -> DataFrame:
+    """(segment, end): oriented segments that links only reach (``last``) or only leave (``first``); what PRJ2 asks for."""
+    edges = oriented_edges(links)
+    ends = edges.select(F.col("a").alias("segment"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("b").alias("segment"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    per = ends.groupBy("segment").agg(F.max("out").alias("out"), F.max("in").alias("in"))
+    return per.filter("out + in = 1").select("segment", F.when(F.col("out") == 1, "first").otherwise("last").alias("end"))
+
+
+def forward_segments(links: DataFrame) -> DataFrame:
+    """(segment): the oriented segments of the connected part that holds the most forward ones, ties to the part of the
+    smallest name; what PRJ1 asks for. Parts are found by smallest names spreading along links until none changes."""
+    edges = oriented_edges(links)
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    part = written(both.groupBy(F.col("a").alias("segment")).agg(F.least(F.min("b"), F.first("a")).alias("part")), "parts")
+    while True:
+        seen = both.join(part, both["b"] == part["segment"]).groupBy("a").agg(F.min("part").alias("near"))
+        new = part.join(seen, part["segment"] == seen["a"]).select("segment", F.least("part", "near").alias("part"), (F.col("near") < F.col("part")).alias("moved"))
+        new = written(new, "parts")
+        part, moved = new.select("segment", "part"), new.filter("moved").limit(1).count()
+        if not moved:
+            break
+    sizes = part.groupBy("part").agg(F.sum(F.when(F.col("segment").startswith(">"), 1).otherwise(0)).alias("n"))
+    best = sizes.agg(F.min(F.struct((-F.col("n")).alias("m"), "part")).alias("best")).select(F.col("best.part").alias("part"))
+    return part.join(F.broadcast(best), "part", "left_semi").select("segment")
+
+
 def read_parquet_widened(spark: SparkSession, *paths: str) -> DataFrame:
     """Parquet files of differing schemas, their columns merged (SRC5)."""
     return spark.read.option("mergeSchema", True).parquet(*paths)
