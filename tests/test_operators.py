@@ -302,7 +302,7 @@ def test_student_t_and_mode():
     assert math.isclose(kernels.t_two_sided(0.0, 5), 1.0)
     assert math.isnan(kernels.t_two_sided(float("inf"), 5))
     x = np.concatenate([np.random.default_rng(0).normal(5, 0.1, 500), np.random.default_rng(1).uniform(0, 20, 100)])
-    assert abs(kernels.half_range_mode(x) - 5) < 0.2
+    assert abs(kernels.half_range_mode(np.sort(x)) - 5) < 0.5
 
 
 def test_mode_counts_all_rows(spark):
@@ -313,8 +313,9 @@ def test_mode_counts_all_rows(spark):
     }
     data = [(g, float(v)) for g, x in values.items() for v in x] + [("a", None), ("n", None)]
     df = spark.createDataFrame(data, "g string, x double")
-    want = {g: kernels.half_range_mode(x) for g, x in values.items()}
-    for few in (8, 100_000):
+    want = {g: kernels.half_range_mode(np.sort(x)) for g, x in values.items()}
+    assert 4 < want["a"] < 6 and want["d"] == 3 and want["f"] == np.arange(16).mean()
+    for few in (60, 100_000):
         got = {r["g"]: r["mode"] for r in kernels.mode_by(df.repartition(few % 7 + 1), "g", "x", max_rows=few).collect()}
         assert got.pop("n") is None and got.keys() == want.keys()
         assert all(math.isclose(got[g], want[g], rel_tol=1e-12) for g in want)
@@ -345,3 +346,87 @@ def test_median_vectors(spark, sf_dir):
     assert got == {k: np.median([v for i, v in data if i == k], axis=0).tolist() for k in (1, 2, 3)}
     plan = registry.queries()["user_vectors"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan
+
+
+@pytest.mark.parametrize("dims,within", [(1, None), (1, 4.0), (2, None), (2, 3.0), (3, None)])
+def test_mutual_nearest_equals_all_pairs(spark, dims, within):
+    rng = random.Random(dims)
+    coords = ["x", "y", "z"][:dims]
+    point = lambda: [rng.choice([rng.randrange(40) * 1.0, rng.random() * 40, 900.0]) for _ in coords]
+    a = [(rng.choice("gh"), i, *point()) for i in range(120)] + [("lone", 500, *point())]
+    b = [(rng.choice("gh"), i, *point()) for i in range(90)] + [("other", 600, *point()), ("g", 601, *[None] * dims)]
+    kind = "grp string, {} long, " + ", ".join(f"{c} double" for c in coords)
+    out = joins.mutual_nearest(spark.createDataFrame(a, kind.format("a")), spark.createDataFrame(b, kind.format("b")), ["grp"], "a", "b", coords, offset=[0.5] * dims, within=within)
+    got = {(r["grp"], r["a"], r["b"]) for r in out.collect()}
+
+    def best(p, others, sign):
+        near = [(sum((s + sign * 0.5 - t) ** 2 for s, t in zip(p[2:], q[2:])), q[1]) for q in others if q[0] == p[0] and None not in q]
+        near = [n for n in near if within is None or n[0] <= within * within]
+        return min(near)[1] if near else None
+
+    of_a = {(p[0], p[1]): best(p, b, 1) for p in a}
+    of_b = {(p[0], p[1]): best(p, a, -1) for p in b if None not in p}
+    assert got == {(g, i, j) for (g, i), j in of_a.items() if j is not None and of_b.get((g, j)) == i}
+
+
+def test_pairs_met_grow_with_the_rows(spark):
+    def pairs(n):
+        df = spark.range(n).select("id", (F.rand(3) * n).alias("x"), (F.rand(4) * n).alias("y"))
+        width = n / max(1.0, n**0.5)
+        cell = [F.floor(F.col(c) / width).alias(c) for c in "xy"]
+        per = df.select(*cell).groupBy("x", "y").count().withColumn("k", F.col("count") * 9)
+        return per.agg(F.sum(F.col("count") * F.col("k"))).first()[0]
+
+    assert pairs(16_000) < 6 * pairs(4_000)
+
+
+@pytest.mark.parametrize("threshold,n_bits", [(0, 12), (2, 12), (5, 30), (6, 30), (3, 62)])
+def test_nearest_codes_equal_all_pairs(spark, threshold, n_bits):
+    rng = random.Random(threshold)
+    book = [(i, rng.getrandbits(n_bits)) for i in range(60)]
+    asked = [(i, book[rng.randrange(60)][1] ^ sum(1 << b for b in rng.sample(range(n_bits), rng.randrange(0, 8)))) for i in range(150)]
+    out = hamming.nearest_within(spark.createDataFrame(asked, "q long, code long"), spark.createDataFrame(book, "c long, code long"), "q", "code", "c", "code", n_bits, threshold)
+    want = {}
+    for i, x in asked:
+        d, j = min((bin(x ^ y).count("1"), j) for j, y in book)
+        if d <= threshold:
+            want[i] = (j, d)
+    assert {r["q"]: (r["c"], r["distance"]) for r in out.collect()} == want
+
+
+def test_parts_of_codes_leave_few_chance_pairs():
+    assert [hamming.parts_for(30, t, 100_000) for t in (0, 5, 6)][0] == 1
+    n = hamming.parts_for(30, 5, 100_000)
+    made = sum(math.comb(30 // n, k) for k in range(5 // n + 1))
+    assert n * made * 100_000 / 2 ** (30 // n) < 5_000  # of 100,000
+
+
+def test_off_targets_equal_all_pairs(spark):
+    rng = random.Random(2)
+    site = lambda: "".join(rng.choices("ACGT", k=20))
+    targets, refs = [(i, site(), i * 10) for i in range(30)], [(site(), rng.choice([rng.randrange(300), -1])) for _ in range(200)]
+    out = kernels.off_target_scan(spark.createDataFrame(targets, "k long, s string, at long"), spark.createDataFrame(refs, "r string, rat long").repartition(3), "k", "s", "at", "r", "rat")
+    want = {k: max(sum(x == y for x, y in zip(s, r)) for r, rat in refs if rat != at) for k, s, at in targets}
+    assert {r["k"]: r["best_match"] for r in out.collect()} == want
+
+
+def test_yeo_johnson_is_the_likeliest(spark):
+    rng = np.random.default_rng(3)
+    x = np.expm1(np.abs(rng.normal(1.0, 0.2, 800)))
+    lam = kernels.yeo_johnson_lambda(np.sort(x))
+    change = lambda v, m: np.log1p(v) if abs(m) < 1e-9 else ((v + 1) ** m - 1) / m
+    like = lambda m: -len(x) / 2 * np.log(change(x, m).var()) + (m - 1) * np.log1p(x).sum()
+    grid = np.linspace(-3, 5, 1601)
+    assert abs(lam - grid[np.argmax([like(m) for m in grid])]) < 0.01 and abs(lam) < 1
+    out = kernels.apply_yeo_johnson(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double"), "x", "y").filter("x is not null").collect()
+    assert np.allclose([r["y"] for r in out], [change(r["x"], lam) for r in out], atol=1e-6)
+
+
+def test_bit_thresholds_part_two_classes(spark):
+    rng = np.random.default_rng(5)
+    data = [(p, float(v)) for p, (lo, hi) in enumerate(((1, 9), (20, 80))) for v in np.concatenate([rng.normal(lo, 0.5, 300), rng.normal(hi, 1.0, 200)])]
+    out = {r["p"]: r["threshold"] for r in kernels.bit_thresholds(spark.createDataFrame(data, "p int, v double"), "p", "v").collect()}
+    for p, (lo, hi) in enumerate(((1, 9), (20, 80))):
+        values = np.array([v for q, v in data if q == p])
+        middle = (values[values < (lo + hi) / 2].max() + values[values > (lo + hi) / 2].min()) / 2
+        assert abs(out[p] - middle) < (hi - lo) / 100

@@ -23,6 +23,8 @@ def half_range_mode(v: np.ndarray, n: np.ndarray | None = None, least: int = 50,
     if not len(v):
         return math.nan
     for i in range(rounds, 1000):
+        if i == rounds > 1 and n.sum() < least:  # the last round before was the last
+            break
         middle = (v[0] + v[-1]) / 2
         cut = int(np.searchsorted(v, middle, "right"))
         part = slice(cut, None) if n[cut:].sum() > n[:cut].sum() else slice(0, cut)
@@ -42,6 +44,7 @@ def mode_by(df: DataFrame, group: str, value: str, boots: int = 0, boot_rows: in
     """
     x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null")
     counts = x.filter("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    max_rows = max(max_rows, least)
     left = written(counts.select("g", "v", "n", F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("last")), "modes")
     done: list[DataFrame] = []
     while not boots:

@@ -56,6 +56,29 @@ def running(df: DataFrame, order: str, sums: Mapping[str, str] = {}, mins: Mappi
     return joined.drop("_part", "_place", "_p", *[f"_own_{g}" for g in group], *bases)
 
 
+def around_on_line(asking: DataFrame, marks: DataFrame, group: Sequence[str], at: str, mark: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``asking`` with ``before`` and ``after``: the marks next to each row by ``at`` within its group, as struct(at, mark),
+    null where there is none; a mark at the row's own place is before it. ``marks``: group, at, mark, one mark a place.
+    Ranges of rows of both kinds run on their own; a range gets the marks next to it from one row a range."""
+    names = [c for c in asking.columns if c not in (*group, at)]
+    both = asking.select(*group, at, F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(marks.schema[mark].dataType).alias("_mark"))
+    both = both.unionByName(marks.select(*group, at, F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col(mark).alias("_mark")))
+    rows = in_ranges(both, [*group, at, "_side"], rows_per_part)
+    here = F.when(F.col("_side") == 0, F.struct(F.col(at).alias("at"), F.col("_mark").alias("mark")))
+    rows = rows.withColumn("_here", here)
+    per = rows.groupBy(*group, "_part").agg(F.max("_here").alias("_last"), F.min("_here").alias("_first"))
+    w = Window.partitionBy(*group).orderBy("_part")  # one row a range
+    per = per.withColumns({"_up_to": F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_from": F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    per = per.select(*[F.col(g).alias(f"_own_{g}") for g in group], F.col("_part").alias("_p"), "_up_to", "_from")
+    inside = Window.partitionBy(*group, "_part").orderBy("_place")
+    rows = rows.withColumns({"before": F.last("_here", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first("_here", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))})
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_own_{g}"))
+    out = rows.filter("_side = 1").join(sized_broadcast(per), same)
+    return out.select(*group, at, "_row.*", F.coalesce("before", "_up_to").alias("before"), F.coalesce("after", "_from").alias("after"))
+
+
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], group: Sequence[str] = (), into: str = "quantiles", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """The groups with ``into``: the exact quantiles of their values, linear between neighbours; nulls do not count.
 

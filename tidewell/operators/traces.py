@@ -104,10 +104,13 @@ def within_robust_sigma(df: DataFrame, group: Sequence[str], y: str, n_sigma: fl
 
 def neighbour_steps(objects: DataFrame, group: Sequence[str], time: str, key: str, x: str, y: str, size: str) -> DataFrame:
     """Each object's nearest at the next time: neighbour, distance over the root of its size, relative size change (TSR7)."""
-    later = objects.select(*group, (F.col(time) - 1).alias(time), F.col(key).alias("neighbour"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(size).alias("_s"))
-    met = objects.join(later, [*group, time]).withColumn("_d", F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")))
-    best = met.groupBy(*group, time, key).agg(F.min(F.struct("_d", "neighbour", "_s", F.col(size).alias("_own"))).alias("m"))
-    return best.select(*group, time, key, "m.neighbour", F.try_divide("m._d", F.sqrt("m._own")).alias("distance"), F.try_divide(F.col("m._s") - F.col("m._own"), F.col("m._own")).alias("size_change"))
+    from .joins import nearest
+
+    now = objects.select(*group, time, key, x, y, size)
+    later = now.select(*group, (F.col(time) - 1).alias(time), F.col(key).alias("neighbour"), x, y, F.col(size).alias("_s"))
+    best = nearest(now, later, [*group, time], key, "neighbour", [x, y])
+    best = best.join(now.select(*group, time, key, F.col(size).alias("_own")), [*group, time, key]).join(later.select(*group, time, "neighbour", "_s"), [*group, time, "neighbour"])
+    return best.select(*group, time, key, "neighbour", F.try_divide(F.sqrt("distance2"), F.sqrt("_own")).alias("distance"), F.try_divide(F.col("_s") - F.col("_own"), F.col("_own")).alias("size_change"))
 
 
 def trench_lineages(cells: DataFrame, group: Sequence[str], time: str, position: str, length: str, shrink: float = 0.7) -> DataFrame:

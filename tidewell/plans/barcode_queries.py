@@ -386,6 +386,11 @@ def _cigar_reads(spark, sf_dir):
     )
 
 
+def _segment_lengths(spark):
+    lengths = spark.range(1, 51).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), (F.col("id") + 2).cast("int").alias("length"))
+    return lengths.unionByName(spark.range(1).select(F.lit("tail").alias("name"), F.lit(21).alias("length")))
+
+
 @query(
     "segment_counts",
     """
@@ -397,10 +402,7 @@ def _cigar_reads(spark, sf_dir):
 )
 def segment_counts(spark, sf_dir):
     """SEG1: alignments cut at a boundary that runs through a deletion."""
-    reads = _cigar_reads(spark, sf_dir)
-    lengths = spark.range(1, 51).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), (F.col("id") + 2).cast("int").alias("length"))
-    lengths = lengths.unionByName(spark.range(1).select(F.lit("tail").alias("name"), F.lit(21).alias("length")))
-    cut = cigar.cut_by_segment(reads, lengths)
+    cut = cigar.cut_by_segment(_cigar_reads(spark, sf_dir), _segment_lengths(spark))
     return cut.select("name", "position", "segment", "matches", "mismatches", "insertions", "deletions", "query_start", "query_end")
 
 
@@ -412,10 +414,7 @@ def segment_counts(spark, sf_dir):
 )
 def divergence(spark, sf_dir):
     """PRJ3: the largest divergence over a read's segments."""
-    reads = _cigar_reads(spark, sf_dir)
-    lengths = spark.range(1, 51).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), (F.col("id") + 2).cast("int").alias("length"))
-    lengths = lengths.unionByName(spark.range(1).select(F.lit("tail").alias("name"), F.lit(21).alias("length")))
-    cut = cigar.cut_by_segment(reads, lengths).filter(F.col("position").isNotNull())
+    cut = cigar.cut_by_segment(_cigar_reads(spark, sf_dir), _segment_lengths(spark)).filter(F.col("position").isNotNull())
     return flt.max_divergence(cut).withColumn("max_divergence", F.round("max_divergence", 9))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..operators import filters as flt
 from ..operators import groups, joins, numbering, traces, windows
 from ..session import table
@@ -239,7 +240,7 @@ def lookup_default(spark, sf_dir):
     "family_join",
     """
     WITH f AS (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first_size, arg_max(o_totalprice, o_orderkey) AS last_size FROM orders GROUP BY 1)
-    SELECT c.o_custkey, m.last_size AS mother_last_size, d1.first_size AS d1_first_size, round(sqrt((c.first_size + d1.first_size) * m.last_size), 4) AS birth_size
+    SELECT c.o_custkey, m.last_size AS mother_last_size, d1.first_size AS d1_first_size, round(sqrt((c.first_size + d1.first_size) * m.last_size) * c.first_size / (c.first_size + d1.first_size), 4) AS birth_size
     FROM f c LEFT JOIN f m ON m.o_custkey = c.o_custkey // 2 LEFT JOIN f d1 ON d1.o_custkey = c.o_custkey * 2
     """.replace("c.o_custkey // 2", "(c.o_custkey >> 1)"),
 )
@@ -249,17 +250,58 @@ def family_join(spark, sf_dir):
     cells = f.withColumns({"mother": F.shiftright("o_custkey", 1), "d1": F.col("o_custkey") * 2})
     out = joins.family_join(cells, f.select("o_custkey", "last_size"), "o_custkey", {"mother": "mother"}, ["last_size"])
     out = joins.family_join(out, f.select("o_custkey", "first_size"), "o_custkey", {"d1": "d1"}, ["first_size"])
-    birth = F.sqrt((F.col("first_size") + F.col("d1_first_size")) * F.col("mother_last_size"))
+    birth = keys.size_between(F.col("first_size"), F.col("d1_first_size"), F.col("mother_last_size"))
     return out.select("o_custkey", "mother_last_size", "d1_first_size", F.round(birth, 4).alias("birth_size"))
 
 
 @query("attach_time", "SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def attach_time(spark, sf_dir):
-    """JON11, JON13, JON14: order columns beside lines."""
+    """JON11: order columns beside lines."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     return joins.attach(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), o, ["l_orderkey"], ["o_orderpriority"])
 
 
+@query(
+    "attach_metadata",
+    "SELECT l_orderkey, l_linenumber, o.user_id, o.n FROM lineitem LEFT JOIN (SELECT user_id, event_id % 7 + 1 AS k, count(*) AS n FROM events GROUP BY 1, 2) o ON o.user_id = l_suppkey AND o.k = l_linenumber".replace("o.user_id, o.n", "l_suppkey AS user_id, o.n"),
+)
+def attach_metadata(spark, sf_dir):
+    """JON13: objects beside their trench's metadata by a key of two columns; objects without stay."""
+    meta = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 7 + 1).cast("int").alias("l_linenumber")).agg(F.count(F.lit(1)).alias("n"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("user_id"))
+    return joins.attach(line, meta, ["user_id", "l_linenumber"], ["n"], "left")
+
+
+@query(
+    "placed_regions",
+    """
+    WITH r AS (SELECT p_partkey, p_size, p_retailprice + coalesce(s_acctbal, 0) AS x FROM part LEFT JOIN supplier ON s_suppkey = p_size)
+    SELECT l_orderkey, l_linenumber, p_size, round(x, 4) AS x FROM lineitem JOIN r ON p_partkey = l_partkey
+    """,
+)
+def placed_regions(spark, sf_dir):
+    """JON14: parts as regions, suppliers as stage offsets, lines as cells."""
+    regions = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("x"))
+    offsets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_size"), F.col("s_acctbal").alias("dx"))
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    return joins.place_regions(regions, offsets, cells, ["p_size"], ["p_partkey"], {"x": "dx"}).select("l_orderkey", "l_linenumber", "p_size", F.round("x", 4).alias("x"))
+
+
+@query(
+    "median_outliers",
+    """
+    WITH m AS (SELECT o_custkey, avg(o_totalprice) AS v, row_number() OVER (ORDER BY o_custkey) AS i, count(*) OVER () AS n FROM orders GROUP BY 1),
+    x AS (SELECT i AS pos, v FROM m UNION ALL SELECT 1 - i, v FROM m WHERE i <= 2 UNION ALL SELECT 2 * n + 1 - i, v FROM m WHERE i > n - 2),
+    s AS (SELECT pos, quantile_cont(v, 0.5) OVER (ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm FROM x), r AS (SELECT o_custkey, v - sm AS res FROM m JOIN s ON s.pos = m.i)
+    SELECT o_custkey, round(res, 4) AS residual, abs(res - avg(res) OVER ()) <= 2 * stddev_pop(res) OVER () AS normal FROM r
+    """,
+)
+def median_outliers(spark, sf_dir):
+    """WIN9: customers' mean prices against the running median, numbered and cut into buckets."""
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("v"))
+    return windows.median_filter_outliers(per, "o_custkey", "v", per_bucket=1_000).select("o_custkey", F.round("residual", 4).alias("residual"), "normal")
+
+
 @query("replaced_times", "SELECT o.o_orderkey, coalesce(l.p, o.o_totalprice) AS o_totalprice FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS p FROM lineitem WHERE l_linenumber = 3 GROUP BY 1) l ON l_orderkey = o_orderkey")
 def replaced_times(spark, sf_dir):
     """JON12."""
@@ -327,14 +369,20 @@ def lone_points(spark, sf_dir):
 @query(
     "nearest_reference",
     """
-    WITH d AS (SELECT doc_id, doc_id % 2 AS position, regexp_replace(rpad(substring(text, 1, 12), 12, '-'), '[^ -~]', '?', 'g') AS s FROM documents), r AS (SELECT position, doc_id AS name, s AS ref FROM d WHERE doc_id < 8)
-    SELECT doc_id, arg_min(name, m * 1000 + name) AS call, CAST(min(m) AS INTEGER) AS mismatches FROM (SELECT d.doc_id, name, CAST(list_sum(list_transform(range(1, 13), lambda i: CASE WHEN s[i] = ref[i] OR s[i] = 'N' OR ref[i] = 'N' THEN 0 ELSE 1 END)) AS INTEGER) AS m FROM d JOIN r USING (position)) GROUP BY 1
-    """,
+    WITH d AS (SELECT doc_id, doc_id % 2 AS position, rpad(regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g'), (SELECT max(length(text)) FROM benchmark) + 0, '-') AS s, length(text) AS n FROM documents),
+    m AS (SELECT max(length(text)) AS m FROM benchmark), t AS (SELECT doc_id, position, string_split(s, '') AS s FROM d, m WHERE coalesce(n, 0) <= m),
+    r AS (SELECT item_id % 2 AS position, item_id AS name, string_split(rpad(regexp_replace(text, '[^ -~]', '?', 'g'), CAST(m AS INTEGER), '-'), '') AS ref FROM benchmark, m WHERE item_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 8)),
+    p AS (SELECT t.doc_id, name, list_sum(list_transform(list_zip(s, ref), lambda z: CASE WHEN z[1] = z[2] OR z[1] = 'N' OR z[2] = 'N' THEN 0 ELSE 1 END)) AS k FROM t JOIN r USING (position))
+    SELECT doc_id, arg_min(name, k * 1000000 + name) AS call, CAST(min(k) AS INTEGER) AS mismatches FROM p GROUP BY 1
+    """.replace("(SELECT max(length(text)) FROM benchmark) + 0", "CAST((SELECT max(length(text)) FROM benchmark) AS INTEGER)"),
 )
 def nearest_reference(spark, sf_dir):
-    """JON22, SCL8: the nearest of four references."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2).alias("position"), F.regexp_replace(F.rpad(F.substring("text", 1, 12), 12, "-"), "[^ -~]", "?").alias("s"))
-    refs = d.filter("doc_id < 8").select("position", F.col("doc_id").alias("name"), F.col("s").alias("ref"))
+    """JON22, SCL8: the nearest of the first eight items, by whole texts; texts longer than any item have no reference."""
+    b = table(spark, sf_dir, "benchmark")
+    m = b.agg(F.max(F.length("text"))).first()[0]
+    clean = F.rpad(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?"), m, "-")
+    d = table(spark, sf_dir, "documents").filter(F.coalesce(F.length("text"), F.lit(0)) <= m).select("doc_id", (F.col("doc_id") % 2).alias("position"), clean.alias("s"))
+    refs = b.orderBy("item_id").limit(8).select((F.col("item_id") % 2).alias("position"), F.col("item_id").alias("name"), clean.alias("ref"))
     return joins.nearest_reference(d, "s", refs, "position").select("doc_id", "call", "mismatches")
 
 

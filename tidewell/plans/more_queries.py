@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import cigar, keys, paths, sequences, udf_surface
-from ..operators import filters, groups, pairing, sampling, traces
+from ..operators import filters, groups, kernels, pairing, sampling, traces
 from ..session import table
 from . import jobs
 from .registry import query
@@ -23,12 +23,13 @@ def cigar_merge(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(q.alias("q"), cigar.encode(cigar.merge(cigar.decode(s))).alias("merged")).distinct()
 
 
-@query("gapped_reads", "SELECT doc_id, rpad('---' || s[1:10] || '--' || s[13:17], 25, '-') AS laid FROM (SELECT doc_id, rpad(regexp_replace(substring(text, 1, 17), '[^ -~]', '?', 'g'), 17, '.') AS s FROM documents)")
+@query("gapped_reads", "SELECT doc_id, '---' || s[1:10] || '--' || s[13:] || '-----' AS laid FROM (SELECT doc_id, rpad(regexp_replace(text, '[^ -~]', '?', 'g'), CAST(greatest(length(text), 17) AS INTEGER), '.') AS s FROM documents)")
 def gapped_reads(spark, sf_dir):
-    """SCL23: reads laid on their reference."""
-    s = F.rpad(F.regexp_replace(F.substring("text", 1, 17), "[^ -~]", "?"), 17, ".")
+    """SCL23: whole texts as reads laid on their reference."""
+    s = F.rpad(F.regexp_replace("text", "[^ -~]", "?"), F.greatest(F.length("text"), F.lit(17)), F.lit("."))
     d = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
-    return d.select("doc_id", cigar.gapped(F.col("s"), F.lit("10M2D2I5M"), F.lit(3), F.lit(25)).alias("laid"))
+    cg = F.concat(F.lit("10M2D2I"), (F.length("s") - 12).cast("string"), F.lit("M"))
+    return d.select("doc_id", cigar.gapped(F.col("s"), cg, F.lit(3), F.length("s") + 8).alias("laid"))
 
 
 @query("permuted_bits", "SELECT vec_id, b[3] || b[1] || '0' || b[4] AS bits FROM (SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS b FROM embeddings)")
@@ -46,11 +47,12 @@ def assembled_paths(spark, sf_dir):
     return paths.assemble_sequence(o, "path", "o_orderkey", seg).select("o_orderkey", "reference_seq")
 
 
-@query("mismatch_series", "SELECT doc_id, CAST(m AS INTEGER) AS mismatches, CAST(20 AS INTEGER) AS n FROM documents, (SELECT unnest(range(0, 4)) AS m)")
+@query("mismatch_series", "SELECT doc_id, CAST(m AS INTEGER) AS mismatches, CAST(greatest(length(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 20) AS INTEGER) AS n FROM documents, (SELECT unnest(range(0, 4)) AS m)")
 def mismatch_series(spark, sf_dir):
     """SCL18: variants with 0 to 3 leading substitutions, each of full length and so many mismatches away."""
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    d = table(spark, sf_dir, "documents").select("doc_id", F.rpad(F.substring(F.regexp_replace(F.translate("text", letters, "ACGT" * 13), "[^ACGT]", ""), 1, 20), 20, "A").alias("seq"))
+    bases = F.regexp_replace(F.translate(F.regexp_replace("text", "[^a-zA-Z]", ""), letters, "ACGT" * 13), "[^ACGT]", "")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.rpad(bases, F.greatest(F.length(bases), F.lit(20)), F.lit("A")).alias("seq"))
     out = sequences.mismatch_series(d, "seq", 3)
     return out.select("doc_id", sequences.hamming(F.col("seq"), F.col("variant")).alias("mismatches"), F.length("variant").alias("n"))
 
@@ -145,28 +147,89 @@ def duplex_census(spark, sf_dir):
     return pairing.duplex_census(o, "o_orderstatus", "pair", ["p1", "p2"], F.col("o_totalprice") > 100000)
 
 
-@query("consensus_groups", "SELECT source, least(count(*), 20) AS n_reads FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def _vote(pdf):
+    """The majority character at each place, ties to the smallest; counted in numpy."""
+    texts = [t.encode("ascii") for t in pdf["seq"].dropna()]
+    votes = np.zeros((max(map(len, texts), default=0), 128), np.int32)
+    for t in texts:
+        votes[np.arange(len(t)), np.frombuffer(t, np.uint8)] += 1
+    return {"consensus": votes.argmax(1).astype(np.uint8).tobytes().decode("ascii"), "n_reads": len(pdf)}
+
+
+@query(
+    "consensus_groups",
+    """
+    WITH d AS (SELECT source, regexp_replace(text, '[^ -~]', '?', 'g') AS s, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, CAST(doc_id AS VARCHAR)) AS r FROM documents WHERE source IS NOT NULL),
+    b AS (SELECT source, unnest(range(0, length(s))) AS position, unnest(string_split(s, '')) AS base FROM d WHERE r <= 20 AND length(s) > 0),
+    t AS (SELECT source, position, base, row_number() OVER (PARTITION BY source, position ORDER BY count(*) DESC, base) AS k FROM b GROUP BY 1, 2, 3),
+    c AS (SELECT source, string_agg(base, '' ORDER BY position) AS consensus FROM t WHERE k = 1 GROUP BY 1)
+    SELECT source, consensus, n_reads FROM c JOIN (SELECT source, count(*) AS n_reads FROM d WHERE r <= 20 GROUP BY 1) USING (source)
+    """,
+)
 def consensus_groups(spark, sf_dir):
-    """AGG3, UDF1: a user's function over each source's twenty longest texts."""
-    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"), "n_chars", F.substring("text", 1, 50).alias("seq"))
-    out = groups.consensus_per_group(d, "source", lambda pdf: {"n_reads": len(pdf)}, "n_reads long", 20, "n_chars")
-    return out.select("source", "n_reads")
+    """AGG3, UDF1: a user's consensus of each source's twenty longest texts, whole."""
+    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"), "n_chars", F.regexp_replace("text", "[^ -~]", "?").alias("seq"))
+    return groups.consensus_per_group(d, "source", _vote, "consensus string, n_reads long", 20, "n_chars").select("source", "consensus", "n_reads")
+
+
+def _slope(pdf):
+    x, y = pdf["event_id"].to_numpy(float), pdf["value"].to_numpy(float)
+    dx = x - x.mean()
+    return {"slope": float((dx * (y - y.mean())).sum() / (dx * dx).sum()) if len(x) > 1 else None}
+
+
+@query("user_groups", "SELECT user_id, round(regr_slope(value, event_id), 6) AS slope, count(*) AS n, max(value) AS largest FROM events GROUP BY 1")
+def user_groups(spark, sf_dir):
+    """UDF1: a user's function of each group's rows, beside built-in aggregates."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    out = udf_surface.map_groups(e, ["user_id"], _slope, "slope double", F.count(F.lit(1)).alias("n"), F.max("value").alias("largest"))
+    return out.withColumn("slope", F.round("slope", 6))
+
+
+def _checksum(t):
+    """Characters, and the sum of place times code, modulo a prime."""
+    codes = np.frombuffer((t or "").encode("ascii"), np.uint8).astype(np.int64)
+    return {"n": len(codes), "checksum": int((codes * np.arange(1, len(codes) + 1)).sum() % 65521)}
+
+
+_SUM = "coalesce(list_sum(list_transform(string_split(s, ''), lambda c, i: ascii(c) * i)), 0) % 65521"
 
 
-@query("user_rows", "SELECT doc_id, length(text) AS n, CAST(length(text) - length(replace(text, 'a', '')) AS BIGINT) AS n_a FROM documents")
+@query("user_rows", f"SELECT doc_id, length(s) AS n, CAST({_SUM} AS BIGINT) AS checksum FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS s FROM documents)")
 def user_rows(spark, sf_dir):
-    """UDF2, UDF4: a user's function of each text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return udf_surface.map_rows(d, ["text"], lambda t: {"n": len(t), "n_a": t.count("a")}, "n long, n_a long").drop("text")
+    """UDF2: a user's checksum of each text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
+    return udf_surface.map_rows(d, ["text"], _checksum, "n long, checksum long").drop("text")
 
 
-@query("user_vectors", "SELECT label, count(*) AS n, CAST(64 AS INTEGER) AS width FROM embeddings GROUP BY 1")
+def _each_batch(pdf):
+    return pdf[["doc_id"]].assign(checksum=[_checksum(t)["checksum"] for t in pdf["text"]])
+
+
+@query("user_partitions", f"SELECT doc_id, CAST({_SUM} AS BIGINT) AS checksum FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS s FROM documents)")
+def user_partitions(spark, sf_dir):
+    """UDF4: a user's function over batches of each partition."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
+    return udf_surface.map_partitions(d, _each_batch, "doc_id long, checksum long")
+
+
+@query("measured_vectors", "SELECT vec_id, round(list_max(embedding) - list_min(embedding), 6) AS embedding_spread FROM embeddings")
+def measured_vectors(spark, sf_dir):
+    """UDF3: a measurement of each vector."""
+    return udf_surface.measure_columns(table(spark, sf_dir, "embeddings"), ["embedding"], np.ptp, "spread").select("vec_id", F.round("embedding_spread", 6).alias("embedding_spread"))
+
+
+@query(
+    "user_vectors",
+    """
+    WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+    SELECT label, CAST(pos AS INTEGER) AS pos, round(quantile_cont(x, 0.5), 6) AS median FROM e GROUP BY label, pos
+    """,
+)
 def user_vectors(spark, sf_dir):
-    """UDF3, UDF5, TSR5: medians of vectors by label, and a measurement of each vector."""
-    e = udf_surface.measure_columns(table(spark, sf_dir, "embeddings").select("label", "embedding"), ["embedding"], np.max, "max")
-    out = udf_surface.median_vectors(e, ["label"], "embedding")
-    n = e.filter("embedding_max is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(n, "label").select("label", "n", F.size("aggregate").alias("width"))
+    """UDF5, TSR5: medians of vectors by label, one row a position."""
+    out = udf_surface.median_vectors(table(spark, sf_dir, "embeddings").select("label", "embedding"), ["label"], "embedding")
+    return out.select("label", F.posexplode("aggregate").alias("pos", "median")).withColumn("median", F.round("median", 6))
 
 
 @query(
@@ -187,22 +250,113 @@ def barcode_workload(spark, sf_dir):
     return jobs.phenotype_by_barcode(o, calls, mapping, "o_totalprice").select("barcodeid", F.round("median", 4).alias("median"), "n")
 
 
-@query("guide_workload")
+@query(
+    "guide_workload",
+    """
+    WITH e AS (SELECT user_id, epoch(ts) - (SELECT min(epoch(ts)) FROM events) AS t, value FROM events),
+    q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM e WHERE t < 864000),
+    z AS (SELECT user_id, t, (value - b) * 1.35 / (c - a) AS z FROM e, q), g AS (SELECT unnest(range(0, 20)) AS k),
+    y AS (SELECT user_id, k, sum(exp(-power((t - k * 86400.0) / 86400.0, 2) / 2) * z) / nullif(sum(exp(-power((t - k * 86400.0) / 86400.0, 2) / 2)), 0) AS y FROM z, g GROUP BY user_id, k),
+    whole AS (SELECT user_id FROM y GROUP BY 1 HAVING count(y) = 20)
+    SELECT user_id % 10 AS guide, CAST(0 AS INTEGER) AS feature, count(*) AS n, CAST(k AS INTEGER) AS k, round(avg(y), 5) AS mean FROM y JOIN whole USING (user_id) GROUP BY user_id % 10, k
+    """,
+)
 def guide_workload(spark, sf_dir):
-    """Workload C: events as steps, users as trenches, made z scores, traced and averaged by guide."""
+    """Workload C: events as steps, users as trenches, made z scores, traced and averaged by guide; one row a point."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("trenchid"), F.col("ts").cast("timestamp").cast("double").alias("sec"), "value")
     start = e.agg(F.min("sec").alias("t0"))
     e = e.join(F.broadcast(start)).select("trenchid", (F.col("sec") - F.col("t0")).alias("t"), "value")
     guides = e.select("trenchid", (F.col("trenchid") % 10).alias("guide")).distinct()
-    return jobs.guide_traces(e, guides, "t", ["value"], [k * 86400.0 for k in range(20)], 86400.0, F.col("t") < 10 * 86400.0)
+    out = jobs.guide_traces(e, guides, "t", ["value"], [k * 86400.0 for k in range(20)], 86400.0, F.col("t") < 10 * 86400.0)
+    return out.select("guide", "feature", "n", F.posexplode("mean").alias("k", "mean")).withColumn("mean", F.round("mean", 5))
 
 
 @query(
     "feature_rows",
-    "SELECT label, count(*) AS n FROM embeddings GROUP BY 1",
+    "SELECT vec_id, CAST(unnest(range(0, 2)) AS INTEGER) AS feature, unnest([a, b]) AS points FROM (SELECT vec_id, array_to_string(list_transform(embedding[1:20], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS INTEGER)), ',') AS a, array_to_string(list_transform(embedding[21:40], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS INTEGER)), ',') AS b FROM embeddings WHERE vec_id % 7 <> 0)",
 )
 def feature_rows(spark, sf_dir):
-    """TSR2: two halves of each vector stacked, rows with gaps dropped."""
+    """TSR2: two stretches of each vector stacked in order; every seventh has a gap and goes."""
     v = F.col("embedding").cast("array<double>")
-    e = table(spark, sf_dir, "embeddings").select("label", F.slice(v, 1, 20).alias("a"), F.slice(v, 21, 20).alias("b"))
-    return traces.feature_matrix(e, ["a", "b"]).groupBy("label").agg(F.count("feature_vector").alias("n"))
+    gap = F.when(F.col("vec_id") % 7 == 0, F.concat(F.slice(v, 21, 19), F.array(F.lit(None).cast("double")))).otherwise(F.slice(v, 21, 20))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(v, 1, 20).alias("a"), gap.alias("b"))
+    rows = traces.feature_matrix(e, ["a", "b"]).select("vec_id", F.posexplode("feature_vector").alias("feature", "x"))
+    return rows.select("vec_id", "feature", F.array_join(F.transform("x", lambda x: F.round(x * 1000).cast("int").cast("string")), ",").alias("points"))
+
+
+@query("perfect_reads", "SELECT l_orderkey || '-' || l_linenumber AS name FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING l_linenumber % 2 = 1")
+def perfect_reads(spark, sf_dir):
+    """PRJ11: reads without a mismatch on any segment; those of even lines have one."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"))
+    n, q = F.col("l_linenumber"), F.col("q").cast("string")
+    cg = F.when(n % 2 == 1, F.concat(q, F.lit("="))).otherwise(F.concat((F.col("q") - 1).cast("string"), F.lit("=1X")))
+    zero = F.lit(0)
+    reads = rows.select(F.concat_ws("-", "l_orderkey", n).alias("name"), F.array(F.concat(F.lit(">s"), q)).alias("path"), zero.alias("path_start"), F.col("q").alias("path_end"), F.col("q").alias("path_length"), zero.alias("query_start"), F.col("q").alias("query_end"), F.col("q").alias("query_length"), cg.alias("cg"))
+    lengths = spark.range(1, 51).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), F.col("id").cast("int").alias("length"))
+    return filters.perfect_reads(cigar.cut_by_segment(reads, lengths))
+
+
+@query(
+    "segment_structs",
+    """
+    WITH c AS (SELECT l_orderkey || '-' || l_linenumber AS name, CAST(min(l_quantity) AS INTEGER) AS q, l_linenumber AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+    SELECT name, CAST(20 AS INTEGER) AS tail_matches, true AS tail_reverse, CAST(q + 3 + n AS INTEGER) AS tail_start, CASE WHEN q = 7 THEN CAST(n AS INTEGER) END AS s7_insertions FROM c
+    """,
+)
+def segment_structs(spark, sf_dir):
+    """SEG1: the struct form, one row a read."""
+    from .barcode_queries import _cigar_reads, _segment_lengths
+
+    cut = cigar.segment_structs(_cigar_reads(spark, sf_dir), _segment_lengths(spark), ["tail", "s7"])
+    return cut.select("name", F.col("tail.matches").alias("tail_matches"), F.col("tail.reverse_complement").alias("tail_reverse"), F.col("tail.query_start").alias("tail_start"), F.col("s7.insertions").alias("s7_insertions"))
+
+
+@query("parsed_times", "SELECT event_id, epoch_us(date_trunc('milliseconds', ts)) AS start_us, epoch_us(date_trunc('milliseconds', ts)) + CAST(round(value * 1000000) AS BIGINT) AS end_us FROM events")
+def parsed_times(spark, sf_dir):
+    """SCL11: start times written in UTC to the millisecond and parsed, ends by adding seconds."""
+    text = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+00:00"))
+    e = table(spark, sf_dir, "events").select("event_id", "value", keys.parse_utc(text).alias("start"))
+    return e.select("event_id", keys.micros("start").alias("start_us"), keys.micros(keys.later(F.col("start"), F.col("value"))).alias("end_us"))
+
+
+@query("duplex_names", "SELECT o_orderkey, o_orderkey % 3 = 0 AS is_duplex, CAST(o_orderkey AS VARCHAR) AS parent_1, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END AS parent_2 FROM orders")
+def duplex_names(spark, sf_dir):
+    """SCL12: duplex names and their parents."""
+    key, other = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws(";", key, other)).otherwise(key).alias("name"))
+    split = keys.parents(F.col("name"))
+    return o.select("o_orderkey", keys.is_duplex(F.col("name")).alias("is_duplex"), F.get(split, 0).alias("parent_1"), F.get(split, 1).alias("parent_2"))
+
+
+@query(
+    "interval_slices",
+    """
+    WITH r AS (SELECT regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+    d AS (SELECT doc_id, regexp_replace(d.text, '[^ -~]', '?', 'g') AS s, r.s AS r FROM documents d, r),
+    p AS (SELECT doc_id, i.name AS segment, CASE WHEN length(s) >= i.b THEN substring(s, i.a + 1, i.b - i.a) END AS slice, CASE WHEN length(r) >= i.b THEN substring(r, i.a + 1, i.b - i.a) END AS ref
+          FROM d, (VALUES ('head', 0, 12), ('body', 12, 112), ('tail', 112, 140)) i(name, a, b))
+    SELECT doc_id, segment, slice, CAST(list_sum(list_transform(range(1, length(slice) + 1), lambda i: CASE WHEN slice[i] = ref[i] OR slice[i] = 'N' OR ref[i] = 'N' THEN 0 ELSE 1 END)) AS INTEGER) AS distance FROM p
+    """,
+)
+def interval_slices(spark, sf_dir):
+    """SCL24: texts cut by named intervals, each part's distance to the reference's."""
+    clean = lambda c: F.regexp_replace(c, "[^ -~]", "?")
+    intervals = sequences.intervals_of([("head", 12), ("body", 100), ("tail", 28)])
+    ref = table(spark, sf_dir, "benchmark").agg(F.min_by(clean("text"), "item_id").alias("ref"))
+    d = table(spark, sf_dir, "documents").select("doc_id", clean("text").alias("s")).join(F.broadcast(ref))
+    both = F.arrays_zip(sequences.slice_intervals(F.col("s"), intervals).alias("a"), sequences.segment_distances(F.col("s"), F.col("ref"), intervals).alias("b"))
+    return d.select("doc_id", F.explode(both).alias("x")).select("doc_id", F.col("x.a.segment").alias("segment"), F.col("x.a.slice").alias("slice"), F.col("x.b.distance").alias("distance"))
+
+
+@query(
+    "normalised_series",
+    """
+    WITH e AS (SELECT vec_id, embedding[1:20] AS v FROM embeddings), s AS (SELECT vec_id, v, list_aggregate(list_transform(v, lambda x: CAST(x AS DOUBLE)), 'stddev_pop') AS sd FROM e)
+    SELECT vec_id, CAST(unnest(range(0, 20)) AS INTEGER) AS pos, round(unnest(list_transform(v, lambda x: CAST(x AS DOUBLE))) * ((sqrt(sd + 1) - 1) / 0.5) / sd, 5) AS y FROM s
+    """,
+)
+def normalised_series(spark, sf_dir):
+    """SCL20: series divided by their spread over its transform."""
+    v = F.slice(F.col("embedding").cast("array<double>"), 1, 20)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
+    return e.select("vec_id", F.posexplode(kernels.spread_normalised([F.col("v")])[0]).alias("pos", "y")).withColumn("y", F.round("y", 5))

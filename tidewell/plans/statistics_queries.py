@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sequences
 from ..operators import kernels, stats, traces, windows
 from ..session import table
 from .registry import query
@@ -173,11 +174,22 @@ def pearson_by_group(spark, sf_dir):
     return _rounded(stats.pearson_by(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_quantity", "l_extendedprice"), "r")
 
 
-@query("pearson_p_values")
+@query(
+    "pearson_p_values",
+    """
+    WITH r AS (SELECT l_partkey, corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 6),
+    t AS (SELECT *, r * sqrt(n - 2.0) / sqrt(1 - r * r) AS t, n - 2 AS v, atan(r / sqrt(1 - r * r)) AS th FROM r),
+    a AS (  -- Student's distribution for whole degrees of freedom, as a finite sum
+      SELECT *, CASE WHEN v % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, v // 2), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: (2 * j - 1.0) / (2 * j))), 1) * power(cos(th), 2 * k)))
+                     ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: (2.0 * j) / (2 * j + 1))), 1) * power(cos(th), 2 * k + 1))), 0)) END AS inside FROM t)
+    SELECT l_partkey, round(r, 6) AS r, n, round(t, 6) AS t, round(1 - abs(inside), 6) AS p FROM a
+    """,
+)
 def pearson_p_values(spark, sf_dir):
-    """AGG19 with p values by the t distribution; SQL has no such function."""
+    """AGG19 with p values by the t distribution."""
     r = stats.pearson_by(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_quantity", "l_extendedprice")
-    return kernels.with_p_value(r.withColumn("t", stats.pearson_t(F.col("r"), F.col("n"))), "t", F.col("n") - 2)
+    out = kernels.with_p_value(r.withColumn("t", stats.pearson_t(F.col("r"), F.col("n"))), "t", F.col("n") - 2)
+    return _rounded(out, "r", "t", "p")
 
 
 @query(
@@ -422,10 +434,20 @@ def knn(spark, sf_dir):
     return traces.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 6))
 
 
-@query("half_range_mode")
+@query(
+    "half_range_mode",
+    """
+    WITH RECURSIVE s AS (
+      SELECT o_orderstatus AS g, list(o_totalprice) AS x, 0 AS i, CAST(NULL AS DOUBLE) AS last, false AS done FROM orders GROUP BY 1
+      UNION ALL SELECT g, half, i + 1, middle, i > 0 AND (len(half) < 50 OR coalesce(last = middle, false)) FROM (
+        SELECT g, i, last, middle, CASE WHEN len(up) > len(down) THEN up ELSE down END AS half FROM (
+          SELECT *, list_filter(x, lambda v: v > middle) AS up, list_filter(x, lambda v: v <= middle) AS down FROM (SELECT *, (list_max(x) + list_min(x)) / 2 AS middle FROM s WHERE NOT done)))
+    ) SELECT g AS o_orderstatus, round(list_avg(x), 6) AS mode FROM s WHERE done
+    """,
+)
 def half_range_mode(spark, sf_dir):
-    """AGG11: modes of prices by order state."""
-    return kernels.mode_by(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice")
+    """AGG11: modes of prices by order state; groups above a thousand values are halved by aggregates."""
+    return _rounded(kernels.mode_by(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice", max_rows=1_000), "mode")
 
 
 @query("bit_thresholds")
@@ -435,10 +457,21 @@ def bit_thresholds(spark, sf_dir):
     return kernels.bit_thresholds(rows, "position", "x")
 
 
-@query("background_threshold")
+@query(
+    "background_threshold",
+    """
+    WITH e AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 200 AS w FROM lineitem),
+    h AS (SELECT CAST(least(floor((l_extendedprice - lo) / w), 199) AS BIGINT) AS b, count(*) AS n FROM lineitem, e GROUP BY 1),
+    f AS (SELECT i AS b, coalesce(n, 0) AS n FROM range(0, 200) t(i) LEFT JOIN h ON h.b = i),
+    s AS (SELECT b, n + coalesce(lag(n) OVER w, 0) + coalesce(lead(n) OVER w, 0) AS s FROM f WINDOW w AS (ORDER BY b)),
+    p AS (SELECT min(b) AS b FROM (SELECT b, s, coalesce(lag(s) OVER (ORDER BY b), s) AS l, coalesce(lead(s) OVER (ORDER BY b), s) AS r FROM s) WHERE s > 0 AND s >= l AND s >= r),
+    m AS (SELECT lo + (b + 0.5) * w AS mu FROM p, e)
+    SELECT round(mu, 6) AS mu, round(sqrt(avg(power(mu - l_extendedprice, 2)) FILTER (l_extendedprice <= mu)), 6) AS sigma, round(mu + 10 * sqrt(avg(power(mu - l_extendedprice, 2)) FILTER (l_extendedprice <= mu)), 6) AS threshold FROM lineitem, m GROUP BY mu
+    """,
+)
 def background_threshold(spark, sf_dir):
     """AGG34: the first peak of prices and its spread."""
-    return kernels.background_threshold(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return _rounded(kernels.background_threshold(table(spark, sf_dir, "lineitem"), "l_extendedprice"), "mu", "sigma", "threshold")
 
 
 @query("yeo_johnson")
@@ -449,8 +482,12 @@ def yeo_johnson(spark, sf_dir):
 
 @query("off_target")
 def off_target(spark, sf_dir):
-    """JON21: the first 20 characters of benchmark items against those of all documents."""
-    ascii_ = lambda c: F.rpad(F.regexp_replace(F.substring(c, 1, 20), "[^ -~]", "?"), 20, "-")
-    targets = table(spark, sf_dir, "benchmark").select("item_id", ascii_("text").alias("seq"), (-F.col("item_id") - 1).alias("start"))
-    refs = table(spark, sf_dir, "documents").select(ascii_("text").alias("ref"), F.col("doc_id").alias("ref_start"))
-    return kernels.off_target_scan(targets, refs, "item_id", "seq", "start", "ref", "ref_start")
+    """JON21: targets behind PAMs of whole items against the sites behind PAMs of all whole documents."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    bases = lambda c: F.regexp_replace(F.translate(F.regexp_replace(c, "[^a-zA-Z]", ""), letters, "ACGT" * 13), "[^ACGT]", "")
+    items = table(spark, sf_dir, "benchmark").select("item_id", bases("text").alias("seq"))
+    targets = sequences.pam_sites(items, "seq").groupBy(F.col("target").alias("site")).agg(F.min("item_id").alias("item_id"))
+    targets = targets.select("site", F.col("site").alias("seq"), (-F.col("item_id") - 1).alias("start"))
+    refs = sequences.pam_sites(table(spark, sf_dir, "documents").select("doc_id", bases("text").alias("seq")), "seq")
+    refs = refs.groupBy(F.col("target").alias("ref")).agg(F.min("doc_id").alias("ref_start"))
+    return kernels.off_target_scan(targets, refs, "site", "seq", "start", "ref", "ref_start")
