@@ -1,19 +1,17 @@
-"""Line dedup: drop lines whose key stands in many documents.
+"""Line dedup: drop lines whose key stands in many documents, or all but its first occurrence.
 
-Two Bloom filters of one bounded size hold the hashes of keys seen once and seen twice. Tasks send the bits they set,
-never lines; where the once-bits of two tasks meet, the bits go into the twice-filter. Only lines whose bits all stand
-in the twice-filter are suspected, and only their keys shuffle, counted per batch first, for the exact count of
-documents. A full filter costs shuffle, never a wrong result.
+Two Bloom filters hold the hashes of keys seen once and seen twice. They are cut by ranges of the hash: tasks send the
+hashes of their lines' keys, packed, to the range's owner, which fills both filters as they come and then names the
+hashes whose bits all stand in its twice-filter. There are as many ranges as the volume asks for. Only lines with such a
+hash are suspected, and only their keys shuffle, counted per batch first, for the exact count of documents and the
+choice of the first occurrence. A full filter costs shuffle, never a wrong result.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,8 +21,10 @@ from pyspark.sql import types as T
 from .common import free_name, written
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
-SEGMENT_BITS = 20
+#: Bits of a range's filters, bits of each hash that are set in them, and bytes of text whose lines one range is to hold.
+FILTER_BITS = 22
 PROBES = 2
+TEXT_PER_RANGE = 16_000_000
 
 
 def line_keys(text: bytes | None) -> list[bytes]:
@@ -32,167 +32,198 @@ def line_keys(text: bytes | None) -> list[bytes]:
     return [x.strip(BLANK).lower() for x in (text or b"").split(b"\n")]
 
 
-def _bits(hashes: np.ndarray, log_bits: int) -> np.ndarray:
-    """PROBES bit numbers a hash, from disjoint parts of it."""
-    mask = np.uint64((1 << log_bits) - 1)
-    return np.stack([(hashes >> np.uint64(i * 32)) & mask for i in range(PROBES)])
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """PROBES bit numbers a hash, from disjoint parts of its lower half."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    return np.stack([(hashes >> np.uint64(i * FILTER_BITS)) & mask for i in range(PROBES)])
 
 
 def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
-def _hashes(text: bytes | None, min_chars: int) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(k) for k in {k for k in line_keys(text) if _long_enough(k, min_chars)}]
-
-
 def _long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "replace")) >= min_chars)
 
 
-def _pack(positions: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(positions, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+def _keys_once(text: bytes | None, min_chars: int) -> list[bytes]:
+    """The distinct keys of a text that count, in the order of their first lines."""
+    return [k for k in dict.fromkeys(line_keys(text)) if k and _long_enough(k, min_chars)]
+
+
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.uint32)
+def suspected_by_range(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Hashes whose bits all stand in the twice-seen filter. ``parts``: hashes seen by one task, each once, and those of
+    them that it saw twice."""
+    once, twice = (np.zeros(1 << FILTER_BITS, bool) for _ in range(2))
+    held = []
+    for hashes, again in parts:
+        at = _bits(hashes)
+        met = once[at].all(axis=0)
+        twice[at[:, met]] = True
+        twice[_bits(again)] = True
+        once[at] = True
+        held.append(hashes)
+    every = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
+    return every[twice[_bits(every)].all(axis=0)]
 
 
-def twice_seen_filter(docs: DataFrame, log_bits: int, min_chars: int) -> np.ndarray:
-    """The twice-seen filter over all documents, as packed bits: 2**log_bits / 8 bytes reach the driver."""
+def suspected_hashes(docs: DataFrame, min_chars: int, range_bits: int) -> DataFrame:
+    """(h): 64-bit hashes of the keys that may stand in more than one document; of those that do, all."""
 
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([h for t in _texts(batch) for h in _hashes(t, min_chars)], dtype=np.uint64)
-            if not len(found):
+            found = [_hashes(_keys_once(t, min_chars)) for t in _texts(batch)]
+            hashes, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
+            if not len(hashes):
                 continue
-            hashes, n = np.unique(found, return_counts=True)
-            once, twice = (np.unique(_bits(h, log_bits)) for h in (hashes, hashes[n > 1]))
-            out = []
-            for s in np.unique(once >> np.uint64(SEGMENT_BITS)):
-                low, high = s << np.uint64(SEGMENT_BITS), (s + np.uint64(1)) << np.uint64(SEGMENT_BITS)
-                part = [(x[np.searchsorted(x, low) : np.searchsorted(x, high)] - low).astype(np.uint32) for x in (once, twice)]
-                out.append((int(s), *map(_pack, part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["segment", "once", "twice"])
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, once, twice = -1, None, None
-        for batch in batches:
-            for segment, a, b in batch.itertuples(index=False):
-                if segment != at:
-                    if at >= 0:
-                        yield pd.DataFrame({"segment": [at], "bits": [np.packbits(twice).tobytes()]})
-                    at, once, twice = segment, *(np.zeros(1 << min(SEGMENT_BITS, log_bits), bool) for _ in range(2))
-                new = _unpack(a)
-                twice[new[once[new]]] = True
-                twice[_unpack(b)] = True
-                once[new] = True
-        if at >= 0:
-            yield pd.DataFrame({"segment": [at], "bits": [np.packbits(twice).tobytes()]})
-
-    sent = docs.select("text").mapInArrow(set_bits, "segment int, once binary, twice binary")
-    segments = max(1, 1 << (log_bits - SEGMENT_BITS))
-    merged = sent.repartition(min(segments, 256), "segment").sortWithinPartitions("segment").mapInPandas(meet, "segment int, bits binary")
-    width = (1 << min(SEGMENT_BITS, log_bits)) // 8
-    filled = np.zeros(segments * width, np.uint8)
-    for r in merged.collect():
-        filled[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return filled
-
-
-def _suspected(filled: np.ndarray, log_bits: int, keys: list[bytes]) -> list[bytes]:
-    """Those keys whose bits are all set in the twice-filter."""
-    if not keys:
-        return []
-    at = _bits(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64), log_bits)
-    hit = ((filled[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
-    return [k for k, h in zip(keys, hit) if h]
-
-
-def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int, max_log_bits: int) -> tuple[DataFrame, object, int]:
-    """The keys (binary) in at least ``min_docs`` documents with their exact counts; the broadcast filter; its log size."""
-    spark = docs.sparkSession
-    volume = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    log_bits = int(min(max_log_bits, max(SEGMENT_BITS, np.ceil(np.log2(max(volume, 1) / 2)))))
-    shared = spark.sparkContext.broadcast(twice_seen_filter(docs, log_bits, min_chars))
+            of = (hashes >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(hashes), np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            rows = [(int(of[a]), hashes[a:z].astype("<u8").tobytes(), hashes[a:z][n[a:z] > 1].astype("<u8").tobytes()) for a, z in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["part", "once", "twice"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(suspected_by_range(held).view(np.int64), pa.int64())], names=["h"])
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: Counter[bytes] = Counter()
-            keys: list[bytes] = []
-            for t in _texts(batch):
-                keys.extend({k for k in line_keys(t) if _long_enough(k, min_chars)})
-                if len(keys) > 100_000:
-                    count.update(_suspected(shared.value, log_bits, keys))
-                    keys = []
-            count.update(_suspected(shared.value, log_bits, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["key", "n"])
-
-    counted = docs.select("text").mapInArrow(suspects, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n_docs"))
-    return counted.filter(F.col("n_docs") >= min_docs), shared, log_bits
-
-
-def drop_lines(text: bytes | None, drop) -> tuple[str, int, int]:
-    """Kept text, number of lines, number dropped."""
-    lines = (text or b"").split(b"\n")
-    kept = [x for x in lines if (k := x.strip(BLANK).lower()) == b"" or k not in drop]
-    return b"\n".join(kept).decode("utf-8"), len(lines), len(lines) - len(kept)
+            for r in batch.to_pylist():
+                if r["part"] != at:
+                    if held:
+                        yield done()
+                    at, held = r["part"], []
+                held.append((np.frombuffer(r["once"], "<u8"), np.frombuffer(r["twice"], "<u8")))
+        if held:
+            yield done()
+
+    sent = docs.select("text").mapInArrow(send, "part long, once binary, twice binary")
+    return sent.repartition(1 << range_bits, "part").sortWithinPartitions("part").mapInArrow(own, "h long")
+
+
+class _Suspects:
+    """Which keys of a text are suspected: by one sorted array for all, or by a list that came with the row."""
+
+    def __init__(self, shared) -> None:
+        self.shared = shared
+
+    def of(self, keys: list[bytes], own: list[int] | None) -> list[bytes]:
+        known = self.shared.value if self.shared is not None else np.sort(np.array(own or [], np.int64).view(np.uint64))
+        if not keys or not len(known):
+            return []
+        h = _hashes(keys)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return [k for k, same in zip(keys, known[at] == h) if same]
+
+
+def _with_lists(rows: DataFrame, own: str, keys: DataFrame, make, theirs: str) -> DataFrame:
+    """``rows`` with a list of what ``make`` (a mapInArrow function to own, key) and ``keys`` (key, value) share."""
+    pairs = rows.mapInArrow(make, f"own long, key {keys.schema['key'].dataType.simpleString()}").distinct()
+    per = pairs.join(keys, "key").groupBy("own").agg(F.collect_list("value").alias(theirs))
+    return rows.join(per, rows[own] == per["own"], "left").drop("own")
 
 
 def dedup_lines(
     docs: DataFrame,
     min_docs: int = 10,
     min_chars: int = 1,
-    max_log_bits: int = 29,
+    keep_first: bool = False,
     max_broadcast_bytes: int = 32_000_000,
 ) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` beside its columns.
 
-    A row is a document, also where ids repeat. Null and empty texts have one empty line, which is never dropped.
-    Lines are compared exactly. The keys to drop are broadcast where they measure at most ``max_broadcast_bytes``;
-    beyond that, suspected lines meet them in a join. Columns of the added names in ``docs`` are replaced.
+    Lines whose key stands in at least ``min_docs`` documents go; with ``keep_first``, the first of them stays, that in
+    the document of the smallest doc_id (none last; ties by a hash of the text; rows that repeat both keep it each). A
+    row is a document, also where ids repeat. Null and empty texts have one empty line, which is never dropped. Lines
+    are compared exactly. Suspected hashes and the keys to drop are broadcast where they measure at most
+    ``max_broadcast_bytes``; beyond that, documents meet them in joins. Columns of the added names in ``docs`` are
+    replaced.
     """
-    drops, filled, log_bits = repeated_keys(docs, min_docs, min_chars, max_log_bits)
-    drops = written(drops.select("key"), "drops")
-    size = drops.select(F.sum(F.octet_length("key") + 64)).first()[0] or 0
+    spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("kept_text", "n_lines", "n_dropped")]
     base = docs.select(*[F.col(f"`{c}`") for c in names])
-    if size <= max_broadcast_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in drops.collect()))
-
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own, unnamed, theirs, drops_of = (free_name(base, x) for x in ("_own", "_unnamed", "_suspects", "_drops"))
+    identity = base["doc_id"].cast("long") if "doc_id" in names else F.lit(None).cast("long")
+    rows = base.withColumns({own: F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]), unnamed: F.struct(identity.isNull().alias("none"), identity.alias("id"), F.xxhash64("text").alias("h"))})
+
+    volume = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    range_bits = int(max(0, np.ceil(np.log2(max(volume, 1) / TEXT_PER_RANGE))))
+    suspects = written(suspected_hashes(base, min_chars, range_bits), "suspects")
+    shared = None
+    if suspects.count() * 8 <= max_broadcast_bytes:
+        shared = spark.sparkContext.broadcast(np.sort(suspects.toArrow().column("h").to_numpy().view(np.uint64)))
+    else:
+
+        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _with_results(batch, [drop_lines(t, shared.value) for t in _texts(batch)])
+                for o, t in zip(batch.column(own).to_pylist(), _texts(batch)):
+                    h = _hashes(_keys_once(t, min_chars)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), o), pa.int64()), pa.array(h, pa.int64())], names=["own", "key"])
 
-        return base.mapInArrow(clean, _schema(base))
-    own, theirs = free_name(base, "_own"), free_name(base, "_drop")
-    keyed = base.withColumn(own, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]))
+        rows = _with_lists(rows, own, suspects.select(F.col("h").alias("key"), F.col("h").alias("value")), lines, theirs)
+    which = _Suspects(shared)
+    lists = lambda batch: batch.column(theirs).to_pylist() if theirs in batch.schema.names else [None] * batch.num_rows
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for o, t in zip(batch.column("own").to_pylist(), _texts(batch)):
-                keys = _suspected(filled.value, log_bits, [k for k in set(line_keys(t)) if k])
-                yield pa.RecordBatch.from_arrays([pa.array([o] * len(keys), pa.int64()), pa.array(keys, pa.binary())], names=["own", "key"])
-
-    pairs = keyed.select(F.col(own).alias("own"), "text").mapInArrow(lines, "own long, key binary").distinct()
-    per_doc = pairs.join(drops, "key").groupBy("own").agg(F.collect_list("key").alias(theirs))
-    joined = keyed.join(per_doc, keyed[own] == per_doc["own"], "left").drop(own, "own")
+            n: dict[bytes, int] = {}
+            first: dict[bytes, tuple] = {}
+            for t, known, me in zip(_texts(batch), lists(batch), batch.column(unnamed).to_pylist()):
+                place = (me["none"], me["id"] or 0, me["h"] or 0)
+                for k in which.of(_keys_once(t, min_chars), known):
+                    n[k] = n.get(k, 0) + 1
+                    first[k] = min(first.get(k, place), place)
+            places = [first[k] for k in n]
+            columns = [pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), *(pa.array([p[i] for p in places], t) for i, t in enumerate((pa.bool_(), pa.int64(), pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "none", "id", "h"])
+
+    counted = rows.mapInArrow(count, "key binary, n long, none boolean, id long, h long")
+    exact = counted.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("none", "id", "h")).alias("first"))
+    drops = written(exact.filter(F.col("n_docs") >= min_docs).select("key", "first"), "drops")
+    size = drops.select(F.sum(F.octet_length("key") + 150)).first()[0] or 0
+    table = None
+    if size <= max_broadcast_bytes:
+        table = spark.sparkContext.broadcast({bytes(r["key"]): tuple(r["first"]) for r in drops.collect()})
+    else:
 
-    def clean_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drop = batch.column(theirs).to_pylist()
-            rows = [drop_lines(t, set(d or ())) for t, d in zip(_texts(batch), drop)]
-            yield _with_results(batch.drop_columns([theirs]), rows)
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for o, t, known in zip(batch.column(own).to_pylist(), _texts(batch), lists(batch)):
+                    k = which.of(_keys_once(t, min_chars), known)
+                    yield pa.RecordBatch.from_arrays([pa.array([o] * len(k), pa.int64()), pa.array(k, pa.binary())], names=["own", "key"])
 
-    return joined.mapInArrow(clean_joined, _schema(base))
+        rows = _with_lists(rows, own, drops.select("key", F.struct("key", "first").alias("value")), keys, drops_of)
 
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column(drops_of).to_pylist() if table is None else [None] * batch.num_rows
+            out = []
+            for t, drop, me in zip(_texts(batch), mine, batch.column(unnamed).to_pylist()):
+                drop = table.value if table is not None else {d["key"]: tuple(d["first"].values()) for d in drop or ()}
+                place = (me["none"], me["id"] or 0, me["h"] or 0)
+                out.append(drop_lines(t, drop, place if keep_first else None))
+            kept, n, dropped = zip(*out) if out else ((), (), ())
+            new = [pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, "kept_text", "n_lines", "n_dropped"])
 
-def _schema(base: DataFrame):
     added = (T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()))
-    return T.StructType([*base.schema.fields, *added])
+    return rows.mapInArrow(clean, T.StructType([*base.schema.fields, *added]))
 
 
-def _with_results(batch: pa.RecordBatch, rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
-    kept, n, dropped = zip(*rows) if rows else ((), (), ())
-    new = [pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())]
-    return pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "kept_text", "n_lines", "n_dropped"])
+def drop_lines(text: bytes | None, drop, place: tuple | None = None) -> tuple[str, int, int]:
+    """Kept text, number of lines, number dropped. ``drop`` maps keys to their first place: a key's first line stays in
+    the document at that ``place``."""
+    lines = (text or b"").split(b"\n")
+    kept, spared = [], set()
+    for x in lines:
+        k = x.strip(BLANK).lower()
+        if k != b"" and k in drop:
+            if place is None or k in spared or drop[k] != place:
+                continue
+            spared.add(k)
+        kept.append(x)
+    return b"\n".join(kept).decode("utf-8"), len(lines), len(lines) - len(kept)
