@@ -321,6 +321,14 @@ def test_contamination(spark, docs, none, tmp_path):
     assert decontaminate.without_contaminated(docs, bench).columns == docs.columns
 
 
+def test_contamination_where_what_met_is_not_broadcast(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(2, "Lazy-DOG again"), (3, "a b a b"), (4, "one two")], "item_id long, text string")
+    plain = Counter(map(str, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert Counter(map(str, decontaminate.contamination(docs, bench).collect())) == plain
+    assert decontaminate.without_contaminated(docs, bench).columns == docs.columns
+
+
 def test_contamination_of_texts_that_start_inside_an_item(spark, tmp_path):
     common = ["of", "the", "and", "to", "in", "a", "is", "that", "it", "was", "for", "on"]
     words = [*common, *(f"rare{i}" for i in range(20))]

@@ -13,22 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, free_name, written
+from .common import ascii_lower, free_name, json_bytes, small, written
 
 #: Everything that ends a word, before lower-casing.
 BREAKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Up to so many anchors or candidate documents are broadcast; beyond that, joins shuffle.
-BROADCAST_ROWS = 200_000
+
+#: What met, as JSON text, is broadcast up to so many bytes; names of documents (16 bytes each) up to four times as many.
+BROADCAST_BYTES = 32_000_000
 
 
 def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BREAKS), "")
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def documents_with_key(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text: with the id it names a text), text."""
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
@@ -42,12 +39,12 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of the given terms (column ``term``, distinct): term, doc_id, h, pos; written to the shared folder."""
-    return written(tokens(docs).join(_small(terms), "term").select("term", "doc_id", "h", "pos"), "postings")
+    return written(tokens(docs).join(small(terms), "term").select("term", "doc_id", "h", "pos"), "postings")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Occurrences over all texts of each of the given terms; 0 for those that never occur."""
-    seen = tokens(docs).select("term").join(_small(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    seen = tokens(docs).select("term").join(small(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -77,13 +74,13 @@ def _met(docs: DataFrame, items: DataFrame, lists: int) -> DataFrame:
     places = items.select("item", F.posexplode("words").alias("p", "word")).select("item", "p", F.lower("word").alias("term"))
     wanted = written(anchors.select("item", F.explode("at").alias("p")).distinct().join(places, ["item", "p"]), "wanted")
     index = positional_index(docs, wanted.select("term").distinct())
-    shifted = index.join(_small(wanted), "term").select("doc_id", "h", "item", (F.col("pos") - F.col("p")).alias("shift"), "p")
+    shifted = index.join(small(wanted), "term").select("doc_id", "h", "item", (F.col("pos") - F.col("p")).alias("shift"), "p")
     met = shifted.groupBy("doc_id", "h", "item", "shift").agg(F.collect_set("p").alias("ps"))
     windows = anchors.groupBy("item").agg(F.collect_list(F.struct("start", "at")).alias("windows"))
     here = F.filter("windows", lambda w: F.forall(w["at"], lambda p: F.array_contains(F.col("ps"), p)))
     # Windows before the document's first word go one by one; the others of the alignment stay.
     inside = F.filter(F.transform(here, lambda w: w["start"]), lambda s: s + F.col("shift") >= 0)
-    met = met.join(_small(windows), "item").withColumn("starts", inside)
+    met = met.join(small(windows), "item").withColumn("starts", inside)
     return met.filter(F.size("starts") > 0).select("doc_id", "h", "item", "shift", "starts")
 
 
@@ -95,11 +92,19 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, list
     Rows that repeat an id and a text each keep a row.
     """
     items = written(items_of(benchmark, window), "items")
-    met = _met(docs, items, lists).join(_small(items.select("item", "words", "width", "ids")), "item")
+    met = _met(docs, items, lists).join(small(items.select("item", "words", "width", "ids")), "item")
     found = met.groupBy("doc_id", "h").agg(F.collect_list(F.struct("ids", "shift", "starts", "words", "width")).alias("met"))
     found = written(found.select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), "met"), "met")
-    rows = documents_with_key(docs).withColumn("raw", raw_words(F.col("text")))
-    joined = rows.join(_small(found, BROADCAST_ROWS // 10), rows["doc_id"].eqNullSafe(found["m_id"]) & (rows["h"] == found["m_h"]), "left")
+    rows, same = documents_with_key(docs), lambda other: F.col("doc_id").eqNullSafe(other["m_id"]) & (F.col("h") == other["m_h"])
+    kind = found.schema["met"].dataType
+    if json_bytes(found) <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(found), same(found), "left")
+    else:  # what met is too wide to be broadcast: its documents are picked by their keys, and only their texts shuffle
+        names = found.select("m_id", "m_h")
+        names = F.broadcast(names) if names.count() * 16 <= 4 * BROADCAST_BYTES else names
+        chosen = rows.join(names, same(names), "left_semi")
+        joined = chosen.join(found, same(found)).unionByName(rows.join(names, same(names), "left_anti").withColumn("met", F.lit(None).cast(kind)), allowMissingColumns=True)
+    joined = joined.withColumn("raw", raw_words(F.col("text")))
 
     def verified(c: Column) -> Column:
         first = c["shift"] + c["starts"][0]
@@ -151,7 +156,7 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, within: int = 20, id_
     words = queries.select(F.col(id_column).alias("q"), F.array_distinct(F.transform(raw_words(F.col("text")), F.lower)).alias("ws")).filter(F.size("ws") > 0).distinct()
     terms = words.select("q", F.size("ws").alias("k"), F.posexplode("ws").alias("t", "term"))
     index = positional_index(docs, terms.select("term").distinct())
-    hits = index.join(_small(terms), "term").distinct()
+    hits = index.join(small(terms), "term").distinct()
     near = Window.partitionBy("q", "doc_id", "h").orderBy("pos").rangeBetween(-(within - 1), 0)
     return (
         hits.withColumn("n", F.size(F.collect_set("t").over(near))).withColumn("recent", F.collect_list(F.struct("t", "pos")).over(near))
@@ -166,4 +171,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13
     dirty = written(contamination(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("h").alias("t")).distinct(), "dirty")
     own = free_name(docs, "_h")
     rows = docs.withColumn(own, F.xxhash64("text"))
-    return rows.join(_small(dirty, 1_000_000), rows["doc_id"].eqNullSafe(dirty["d"]) & (rows[own] == dirty["t"]), "left_anti").drop(own)
+    return rows.join(small(dirty), rows["doc_id"].eqNullSafe(dirty["d"]) & (rows[own] == dirty["t"]), "left_anti").drop(own)

@@ -127,4 +127,14 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, source
 FROM area
 """
 
-ORACLES = {"op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}
+NEAR = r"""
+WITH q AS (SELECT item_id, list_sort(list_transform(list_distinct(list_transform(list_filter(regexp_split_to_array(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> ''), lambda w: lower(w))), lambda w: {'n': -length(w), 'w': w}))[1:3] AS ws FROM benchmark),
+t AS (SELECT item_id, len(ws) AS k, unnest(list_transform(ws, lambda x: x.w)) AS term FROM q),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT r, doc_id, unnest(range(0, len(w))) AS pos, lower(unnest(w)) AS term FROM d),
+h AS (SELECT r, doc_id, item_id, k, pos, term FROM p JOIN t USING (term)),
+n AS (SELECT a.item_id, a.r, a.doc_id, a.k, a.pos, b.term, max(b.pos) AS last FROM h a JOIN h b ON a.r = b.r AND a.item_id = b.item_id AND b.pos BETWEEN a.pos - 19 AND a.pos GROUP BY ALL)
+SELECT item_id, doc_id, CAST(min(last) AS INTEGER) AS first_pos, CAST(pos AS INTEGER) AS last_pos FROM n GROUP BY item_id, r, doc_id, k, pos HAVING count(*) = k
+"""
+
+ORACLES = {"proximity_matches": NEAR, "op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}
