@@ -279,12 +279,33 @@ def test_nearest_vectors_across_blocks(spark):
     got = {(r["id"], r["rank"]): r["neighbour"] for r in traces.nearest_vectors(df, "id", "v", 3, block=16).collect()}
     d = ((x[:, None] - x[None]) ** 2).sum(-1) + np.diag([np.inf] * 70)
     assert got == {(i, k + 1): int(j) for i in range(70) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+    some = traces.nearest_vectors(df, "id", "v", 3, block=2, queries=df.filter("id % 9 = 0")).collect()
+    assert {(r["id"], r["rank"]): r["neighbour"] for r in some} == {k: v for k, v in got.items() if k[0] % 9 == 0}
+    assert traces.nearest_vectors(df.limit(0), "id", "v", 3).count() == 0
 
 
 def test_trench_lineage_division(spark):
     cells = [(1, 0, 0, 10.0), (1, 0, 1, 8.0), (1, 1, 0, 5.0), (1, 1, 1, 5.0), (1, 1, 2, 8.5)]
     out = {(r["t"], r["p"]): (r["lineage"], r["progeny_id"]) for r in traces.trench_lineages(spark.createDataFrame(cells, "g int, t int, p int, len double"), ["g"], "t", "p", "len").collect()}
     assert out == {(0, 0): (0, 1), (0, 1): (1, 1), (1, 0): (0, 2), (1, 1): (0, 3), (1, 2): (1, 1)}
+    shrunk = [(1, 0, 0, 10.0, False), (1, 0, 1, 9.0, True), (1, 1, 0, 9.5, False), (1, 1, 1, 4.0, False)]
+    df = spark.createDataFrame(shrunk, "g int, t int, p int, len double, edge boolean")
+    ids = lambda **how: {(r["t"], r["p"]): (r["lineage"], r["progeny_id"]) for r in traces.trench_lineages(df, ["g"], "t", "p", "len", **how).collect()}
+    assert ids(buffer=1.0, at_edge="edge") == {(0, 0): (0, 1), (0, 1): (1, 1), (1, 0): (0, 1), (1, 1): (1, 1)}
+    assert ids(buffer=1.0)[(1, 1)] == (1, 2) and ids()[(1, 1)] == (0, 3)
+
+
+def test_quality_to_rank_by(spark):
+    df = spark.createDataFrame([("a", 5.0, 1.0, [10, 20])], "name string, qs double, rq double, read_phred array<int>")
+    got = [t.select(groups.read_quality(t).alias("q")).first()["q"] for t in (df, df.drop("rq"), df.drop("rq", "qs"))]
+    assert got == [1.0, 5.0, 15.0]
+
+
+def test_members_as_rows(spark):
+    df = spark.createDataFrame([("b", 1), ("b", 2), ("a", 3), ("a", 4), ("c", 5)], "k string, m int")
+    book = groups.threshold_codebook(df, "k", "m", 2).collect()
+    assert sorted((r["k"], r["depth"], tuple(r["members"]), r["barcodeid"]) for r in book) == [("a", 2, (3, 4), 0), ("b", 2, (1, 2), 1)]
+    assert rows(groups.barcode_members(df, "k", "m", 2), "m") == [(1, 1), (1, 2), (0, 3), (0, 4)]
 
 
 def test_descendants_need_every_node_between(spark):

@@ -33,9 +33,13 @@ def perfect_reads(segments: DataFrame, key: str = "name") -> DataFrame:
     return segments.groupBy(key).agg(F.max(divergence()).alias("_d")).filter("_d = 0").select(key)
 
 
+def mean_phred(phred: str = "read_phred") -> Column:
+    return F.aggregate(phred, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(phred)))
+
+
 def default_quality(df: DataFrame, quality: str = "qs", phred: str = "read_phred") -> DataFrame:
     """Quality as the mean Phred score where it is missing (PRJ6); the column is made if there is none."""
-    mean = F.aggregate(phred, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(phred)))
+    mean = mean_phred(phred)
     return df.withColumn(quality, F.coalesce(F.col(quality), mean) if quality in df.columns else mean)
 
 

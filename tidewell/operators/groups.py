@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sized_broadcast
 from .numbering import dense_index
 
 
@@ -25,10 +26,18 @@ def with_depth(df: DataFrame, keys: Sequence[str], duplex: Column | None = None,
 
 
 def threshold_codebook(df: DataFrame, barcode: str, member: str, min_depth: int, index: str = "barcodeid") -> DataFrame:
-    """Barcodes seen at least ``min_depth`` times, numbered from 0 in barcode order, with their sorted members (AGG1)."""
-    kept = df.groupBy(barcode).agg(F.count(F.lit(1)).alias("depth"), F.array_sort(F.collect_list(member)).alias("members"))
-    kept = kept.filter(F.col("depth") >= min_depth)
-    return dense_index(kept, [barcode], index)
+    """Barcodes seen at least ``min_depth`` times, numbered from 0 in barcode order, with their sorted members (AGG1).
+    The list of members is the table's own form; ``barcode_members`` gives the same as rows, for barcodes too frequent
+    for one row."""
+    deep = dense_index(depth_by(df, [barcode]).filter(F.col("depth") >= min_depth), [barcode], index)
+    lists = df.groupBy(barcode).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return deep.join(lists, barcode).select(barcode, "depth", "members", index)
+
+
+def barcode_members(df: DataFrame, barcode: str, member: str, min_depth: int, index: str = "barcodeid") -> DataFrame:
+    """(barcodeid, member): the members of the barcodes seen at least ``min_depth`` times, a row each (AGG1)."""
+    deep = dense_index(depth_by(df, [barcode]).filter(F.col("depth") >= min_depth), [barcode], index)
+    return df.join(sized_broadcast(deep.select(barcode, index)), barcode).select(index, member)
 
 
 def best_rows(df: DataFrame, group: Sequence[str], quality: str, n: int, tiebreak: Sequence[str], salt: int = 0) -> DataFrame:
@@ -44,6 +53,16 @@ def best_rows(df: DataFrame, group: Sequence[str], quality: str, n: int, tiebrea
     return rows.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= n)
 
 
+def read_quality(df: DataFrame) -> Column:
+    """What reads are ranked by: ``rq`` where the table has it, else ``qs``, else the mean of ``read_phred`` (TOP1)."""
+    from .filters import mean_phred
+
+    for c in ("rq", "qs"):
+        if c in df.columns:
+            return F.col(c)
+    return mean_phred()
+
+
 def limit_group_content(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], n: int) -> DataFrame:
     """Beyond the first ``n`` rows of a group the given columns become null; the rows stay (PRJ14)."""
     over = Window.partitionBy(*group).orderBy(*order)

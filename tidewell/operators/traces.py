@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sized_broadcast, written
+from .numbering import in_ranges
+
 
 def kernel_traces(df: DataFrame, group: Sequence[str], time: str, values: Sequence[str], grid: Sequence[float], bandwidth: float) -> DataFrame:
     """Gaussian kernel regression onto a time grid, one array per value column (TSR1).
@@ -35,43 +38,72 @@ def feature_matrix(traces: DataFrame, features: Sequence[str], into: str = "feat
     return good.withColumn(into, F.array(*[F.col(f) for f in features])).drop(*features)
 
 
+def _nearest_in_block(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``c`` (id, v) of each row of ``q``, its own id left out, ties to the smaller id."""
+    c = c.sort_values("id")
+    x, y = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy())
+    asked, ids, out = q["id"].to_numpy(), c["id"].to_numpy(), []
+    for s in range(0, len(x), 512):
+        d2 = (x[s : s + 512] ** 2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x[s : s + 512] @ y.T
+        d2[asked[s : s + 512, None] == ids[None, :]] = np.inf
+        reach = min(k + 8, len(ids))
+        near = np.sort(np.argpartition(d2, reach - 1, axis=1)[:, :reach], axis=1)
+        for i, cols in enumerate(near):
+            d = np.sqrt(((y[cols] - x[s + i]) ** 2).sum(1))
+            keep = np.isfinite(d2[i, cols])
+            order = np.lexsort((ids[cols][keep], d[keep]))[:k]
+            out.append(pd.DataFrame({"query": asked[s + i], "neighbour": ids[cols][keep][order], "distance": d[keep][order]}))
+    return pd.concat(out)
+
+
 def nearest_vectors(df: DataFrame, key: str, vector: str, k: int, block: int = 4096, queries: DataFrame | None = None) -> DataFrame:
     """key, rank, neighbour, distance: the ``k`` nearest other vectors by Euclidean distance (TSR3, TSR4).
 
-    Blocks of queries meet blocks of all rows: each pair of blocks is one numpy product that keeps k rows a query, so
-    memory is bounded by the block and no pair of rows is shuffled. Ties go to the smaller key.
+    Vectors are cut into blocks by their length. A query first meets the block of its own length, which bounds its k-th
+    distance; it then goes only to blocks whose lengths are within that bound of its own (triangle inequality). Each
+    meeting of a block with a turn of queries is one numpy product that keeps k rows a query, so memory is bounded and
+    no pair of rows is shuffled. Ties go to the smaller key.
     """
-    n = max(1, -(-df.count() // block))
-    asked = queries if queries is not None else df
-    m = max(1, -(-asked.count() // block))
-    left = asked.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(F.col(key)), F.lit(m)).cast("int").alias("a"))
-    right = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(n)).cast("int").alias("b"))
-    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")
+    sized = lambda t: t.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).select("id", "v", norm)
+    rows = in_ranges(sized(df), ["norm", "id"], block).drop("_place").withColumnRenamed("_part", "b")
+    ends = sorted((r["b"], r["lo"], r["hi"]) for r in rows.groupBy("b").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).collect())  # one row a block
+    names, low, high = (np.array(x) for x in (zip(*ends) if ends else ([], [], [])))
+    asked = written(sized(queries if queries is not None else df), "asked")
+    turns = max(1, -(-asked.count() // (16 * block)))
+    kind = df.schema[key].dataType.simpleString()
+
+    @F.pandas_udf("int")
+    def own(norm: pd.Series) -> pd.Series:
+        return pd.Series(names[np.maximum(np.searchsorted(low, norm, "right") - 1, 0)])
+
+    @F.pandas_udf("array<int>")
+    def others(norm: pd.Series, bound: pd.Series, own: pd.Series) -> pd.Series:
+        reach = bound.fillna(np.inf).to_numpy() * (1 + 1e-9) + 1e-9
+        first, last = np.searchsorted(high, norm - reach, "left"), np.searchsorted(low, norm + reach, "right")
+        return pd.Series([[int(b) for b in names[a:z] if b != o] for a, z, o in zip(first, last, own)])
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         if q.empty or c.empty:
-            return empty
-        c = c.sort_values("id")
-        x, y = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy())
-        ids, out = c["id"].to_numpy(), []
-        for s in range(0, len(x), 512):
-            d2 = ((x[s : s + 512] ** 2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x[s : s + 512] @ y.T)
-            d2[q["id"].to_numpy()[s : s + 512, None] == ids[None, :]] = np.inf
-            reach = min(k + 8, len(ids))
-            near = np.sort(np.argpartition(d2, reach - 1, axis=1)[:, :reach], axis=1)
-            for i, cols in enumerate(near):
-                d = np.sqrt(((y[cols] - x[s + i]) ** 2).sum(1))
-                keep = np.isfinite(d2[i, cols])
-                order = np.lexsort((ids[cols][keep], d[keep]))[:k]
-                out.append(pd.DataFrame({"query": q["id"].iloc[s + i], "neighbour": ids[cols][keep][order], "distance": d[keep][order]}))
-        return pd.concat(out) if out else empty
-
-    kind = df.schema[key].dataType.simpleString()
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"query {kind}, neighbour {kind}, distance double")
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+        return _nearest_in_block(q, c, k)
+
+    turn = F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("a")
+    there = rows.select("id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("a"))
+
+    def met(asking: DataFrame) -> DataFrame:
+        left = asking.select("id", "v", "b", turn)
+        return left.groupBy("a", "b").cogroup(there.groupBy("a", "b")).applyInPandas(meet, f"query {kind}, neighbour {kind}, distance double")
+
+    if not ends:
+        return asked.select(F.col("id").alias(key), F.lit(0).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
+    asked = asked.withColumn("b", own("norm"))
+    near = written(met(asked), "near")
+    bound = near.groupBy("query").agg(F.max("distance").alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(F.col("query").alias("id"), "bound")
+    rest = asked.join(bound, "id", "left").withColumn("b", F.explode(others("norm", "bound", "b")))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias(key), F.col("rank").cast("int").alias("rank"), "neighbour", "distance")
+    found = near.unionByName(met(rest)).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.select(F.col("query").alias(key), F.col("rank").cast("int").alias("rank"), "neighbour", "distance")
 
 
 def fluctuation_bins(df: DataFrame, trace: str, time: str, y: str, width: float, above: int) -> DataFrame:
@@ -82,7 +114,7 @@ def fluctuation_bins(df: DataFrame, trace: str, time: str, y: str, width: float,
     first = F.min_by(y, time)
     starts = df.groupBy(trace).agg(first.alias("y0")).withColumn("bin", F.floor(F.col("y0") / width).cast("long"))
     large = starts.groupBy("bin").agg(F.count(F.lit(1)).alias("n_traces"), F.avg("y0").alias("mean0")).filter(F.col("n_traces") > above)
-    rows = df.join(starts, trace).join(F.broadcast(large), "bin").withColumn("p", F.try_divide(y, "y0"))
+    rows = df.join(starts, trace).join(sized_broadcast(large), "bin").withColumn("p", F.try_divide(y, "y0"))
     out = rows.groupBy("bin", time).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("variance"), F.avg("p").alias("p"), F.first("mean0").alias("mean0"))
     return out.withColumn("scaled_variance", F.try_divide("variance", "mean0")).withColumn("ratio", F.try_divide("scaled_variance", F.col("p") * (1 - F.col("p")))).drop("mean0")
 
@@ -113,13 +145,14 @@ def neighbour_steps(objects: DataFrame, group: Sequence[str], time: str, key: st
     return best.select(*group, time, key, "neighbour", F.try_divide(F.sqrt("distance2"), F.sqrt("_own")).alias("distance"), F.try_divide(F.col("_s") - F.col("_own"), F.col("_own")).alias("size_change"))
 
 
-def trench_lineages(cells: DataFrame, group: Sequence[str], time: str, position: str, length: str, shrink: float = 0.7) -> DataFrame:
+def trench_lineages(cells: DataFrame, group: Sequence[str], time: str, position: str, length: str, buffer: float = 0.0, at_edge: str | None = None) -> DataFrame:
     """Binary lineage ids of cells ordered along a trench (TSR6).
 
-    Cells of a frame are matched in order to those of the frame before. Where a cell is shorter than ``shrink`` times
-    its predecessor, that one has divided: it and the next cell are its children 2n and 2n + 1. Each cell of the first
-    frame starts a lineage of its own with id 1; cells pushed out at the open end go unmatched. Cells beyond all
-    predecessors start new lineages.
+    Cells of a frame are matched in order to those of the frame before. Where a cell is shorter than its predecessor by
+    more than ``buffer``, that one has divided: it and the next cell are its children 2n and 2n + 1; a predecessor that
+    touches the image's edge (column ``at_edge``) has not, since it may have slid out. Each cell of the first frame
+    starts a lineage of its own with id 1; cells pushed out at the open end go unmatched. Cells beyond all predecessors
+    start new lineages. A trench's cells are one call's: some dozens a frame.
     """
     kind = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in [*group, time, position])
 
@@ -129,19 +162,20 @@ def trench_lineages(cells: DataFrame, group: Sequence[str], time: str, position:
         for _, frame in pdf.groupby(time, sort=True):
             now, i = [], 0
             sizes = frame[length].tolist()
-            for lin, node, size in before:
+            edges = frame[at_edge].tolist() if at_edge else [False] * len(sizes)
+            for lin, node, size, edge in before:
                 if i >= len(sizes):
                     break
-                if sizes[i] < shrink * size:
+                if sizes[i] + buffer < size and not edge:
                     for child in (2 * node, 2 * node + 1):
                         if i < len(sizes):
-                            now.append((lin, child, sizes[i]))
+                            now.append((lin, child, sizes[i], edges[i]))
                             i += 1
                 else:
-                    now.append((lin, node, sizes[i]))
+                    now.append((lin, node, sizes[i], edges[i]))
                     i += 1
             while i < len(sizes):
-                now.append((lineages, 1, sizes[i]))
+                now.append((lineages, 1, sizes[i], edges[i]))
                 lineages += 1
                 i += 1
             out.append(frame[[*group, time, position]].assign(lineage=[x[0] for x in now], progeny_id=[x[1] for x in now]))
