@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +51,21 @@ def has_any_site(seq: Column, sites: Sequence[str]) -> Column:
     return out
 
 
+def _at_motif(letters: Column, motif: str) -> Column:
+    """All 0-based starts of a motif, overlapping ones too, in an array of characters."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(letters) - len(motif), F.lit(0)))
+    same = lambda i: reduce(and_, [F.get(letters, i + k) == c for k, c in enumerate(motif)])
+    return F.filter(starts, same)
+
+
+def _with_chars(seq: Column, make) -> Column:
+    """``make`` of the sequence's characters, an array that is made once: time stays linear in the length."""
+    return F.flatten(F.transform(F.array(chars(seq)), make))
+
+
 def motif_positions(seq: Column, motif: str) -> Column:
     """All 0-based starts of a motif, overlapping ones too."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - len(motif) + 1, F.lit(1)))
-    return F.transform(F.filter(starts, lambda i: F.substring(seq, i, F.lit(len(motif))) == motif), lambda i: i - 1)
+    return _with_chars(seq, lambda letters: _at_motif(letters, motif))
 
 
 def motif_sites(df: DataFrame, seq: str, motif: str) -> DataFrame:
@@ -67,11 +80,14 @@ def pam_sites(df: DataFrame, seq: str, pam: str = "CC", gap: int = 3, length: in
     """Targets of ``length`` bases that start ``gap`` bases after a PAM, both strands: strand, start, end, target."""
 
     def on(strand: str, s: Column) -> Column:
-        whole = F.filter(motif_positions(s, pam), lambda i: i + gap + length <= F.length(s))
-        n = F.length(s)
-        if strand == "+":
-            return F.transform(whole, lambda i: F.struct(F.lit("+").alias("strand"), (i + gap).alias("start"), (i + gap + length).alias("end"), F.substring(s, i + gap + 1, F.lit(length)).alias("target")))
-        return F.transform(whole, lambda i: F.struct(F.lit("-").alias("strand"), (n - i - gap - length).alias("start"), (n - i - gap).alias("end"), F.substring(s, i + gap + 1, F.lit(length)).alias("target")))
+        def sites(letters: Column) -> Column:
+            n = F.size(letters)
+            whole = F.filter(_at_motif(letters, pam), lambda i: i + gap + length <= n)
+            ends = (lambda i: (i + gap, i + gap + length)) if strand == "+" else (lambda i: (n - i - gap - length, n - i - gap))
+            target = lambda i: F.array_join(F.slice(letters, i + gap + 1, F.lit(length)), "")
+            return F.transform(whole, lambda i: F.struct(F.lit(strand).alias("strand"), ends(i)[0].alias("start"), ends(i)[1].alias("end"), target(i).alias("target")))
+
+        return _with_chars(s, sites)
 
     found = F.concat(on("+", F.col(seq)), on("-", reverse_complement(F.col(seq))))
     return df.withColumn("site", F.explode(found)).select("*", "site.*").drop("site")

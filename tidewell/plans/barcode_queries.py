@@ -314,13 +314,13 @@ def ambiguous_positions(spark, sf_dir):
     return groups.ambiguous_positions(reads, ["source"], "seq").withColumn("ambiguous_share", F.round("ambiguous_share", 6))
 
 
-_NT = "translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC')"
+_NT = "translate(regexp_replace(text, '[^ -~]', '?', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC')"
 
 
 def _nucleotides(spark, sf_dir):
     """Documents as nucleotide strings: letters onto ACGT, other characters as they are."""
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", letters, "ACGT" * 6 + "AC" + "ACGT" * 6 + "AC").alias("seq"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate(F.regexp_replace("text", "[^ -~]", "?"), letters, "ACGT" * 6 + "AC" + "ACGT" * 6 + "AC").alias("seq"))
 
 
 @query("reverse_complement", f"SELECT doc_id, translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn') AS rc FROM (SELECT doc_id, {_NT} AS s FROM documents)")
@@ -341,9 +341,9 @@ def umi_by_handle(spark, sf_dir):
 @query(
     "motif_sites",
     f"""
-    WITH d AS (SELECT doc_id, {_NT} AS s FROM documents), e AS (SELECT doc_id, s, translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn') AS r, unnest(range(1, length(s) - 2)) AS i FROM d WHERE length(s) >= 4)
-    SELECT doc_id, '+' AS strand, CAST(i - 1 AS INTEGER) AS start FROM e WHERE substring(s, i, 4) = 'GATC' UNION ALL
-    SELECT doc_id, '-', CAST(length(s) - (i - 1) - 4 AS INTEGER) FROM e WHERE substring(r, i, 4) = 'GATC'
+    WITH d AS (SELECT doc_id, {_NT} AS s FROM documents), e AS (SELECT doc_id, length(s) AS n, string_split(s, '') AS s, string_split(translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn'), '') AS r FROM d WHERE length(s) >= 4)
+    SELECT doc_id, '+' AS strand, CAST(unnest(list_filter(range(0, n - 3), lambda i: s[i + 1] = 'G' AND s[i + 2] = 'A' AND s[i + 3] = 'T' AND s[i + 4] = 'C')) AS INTEGER) AS start FROM e UNION ALL
+    SELECT doc_id, '-', CAST(n - unnest(list_filter(range(0, n - 3), lambda i: r[i + 1] = 'G' AND r[i + 2] = 'A' AND r[i + 3] = 'T' AND r[i + 4] = 'C')) - 4 AS INTEGER) FROM e
     """,
 )
 def motif_sites(spark, sf_dir):
@@ -354,9 +354,10 @@ def motif_sites(spark, sf_dir):
 @query(
     "pam_sites",
     f"""
-    WITH d AS (SELECT doc_id, {_NT} AS s FROM documents), e AS (SELECT doc_id, s, translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn') AS r, unnest(range(0, length(s) - 22)) AS i FROM d WHERE length(s) >= 23)
-    SELECT doc_id, '+' AS strand, CAST(i + 3 AS INTEGER) AS start, CAST(i + 23 AS INTEGER) AS "end", substring(s, i + 4, 20) AS target FROM e WHERE substring(s, i + 1, 2) = 'CC' UNION ALL
-    SELECT doc_id, '-', CAST(length(s) - i - 23 AS INTEGER), CAST(length(s) - i - 3 AS INTEGER), substring(r, i + 4, 20) FROM e WHERE substring(r, i + 1, 2) = 'CC'
+    WITH d AS (SELECT doc_id, {_NT} AS s FROM documents), e AS (SELECT doc_id, length(s) AS n, string_split(s, '') AS s, string_split(translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn'), '') AS r FROM d WHERE length(s) >= 23),
+    f AS (SELECT doc_id, n, '+' AS strand, unnest(list_transform(list_filter(range(0, n - 22), lambda i: s[i + 1] = 'C' AND s[i + 2] = 'C'), lambda i: {{'i': i, 't': array_to_string(s[i + 4 : i + 23], '')}})) AS u FROM e
+      UNION ALL SELECT doc_id, n, '-', unnest(list_transform(list_filter(range(0, n - 22), lambda i: r[i + 1] = 'C' AND r[i + 2] = 'C'), lambda i: {{'i': i, 't': array_to_string(r[i + 4 : i + 23], '')}})) FROM e)
+    SELECT doc_id, strand, CAST(CASE strand WHEN '+' THEN u.i + 3 ELSE n - u.i - 23 END AS INTEGER) AS start, CAST(CASE strand WHEN '+' THEN u.i + 23 ELSE n - u.i - 3 END AS INTEGER) AS "end", u.t AS target FROM f
     """,
 )
 def pam_sites(spark, sf_dir):
