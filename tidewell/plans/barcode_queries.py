@@ -354,10 +354,9 @@ def motif_sites(spark, sf_dir):
 @query(
     "pam_sites",
     f"""
-    WITH d AS (SELECT doc_id, {_NT} AS s FROM documents), e AS (SELECT doc_id, length(s) AS n, string_split(s, '') AS s, string_split(translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn'), '') AS r FROM d WHERE length(s) >= 23),
-    f AS (SELECT doc_id, n, '+' AS strand, unnest(list_transform(list_filter(range(0, n - 22), lambda i: s[i + 1] = 'C' AND s[i + 2] = 'C'), lambda i: {{'i': i, 't': array_to_string(s[i + 4 : i + 23], '')}})) AS u FROM e
-      UNION ALL SELECT doc_id, n, '-', unnest(list_transform(list_filter(range(0, n - 22), lambda i: r[i + 1] = 'C' AND r[i + 2] = 'C'), lambda i: {{'i': i, 't': array_to_string(r[i + 4 : i + 23], '')}})) FROM e)
-    SELECT doc_id, strand, CAST(CASE strand WHEN '+' THEN u.i + 3 ELSE n - u.i - 23 END AS INTEGER) AS start, CAST(CASE strand WHEN '+' THEN u.i + 23 ELSE n - u.i - 3 END AS INTEGER) AS "end", u.t AS target FROM f
+    WITH d AS (SELECT doc_id, {_NT} AS s FROM documents), e AS (SELECT doc_id, '+' AS strand, s FROM d WHERE length(s) >= 23 UNION ALL SELECT doc_id, '-', translate(reverse(s), 'ACGTacgtNn', 'TGCAtgcaNn') FROM d WHERE length(s) >= 23),
+    l AS (SELECT *, length(s) AS n, string_split(s, '') AS l FROM e), f AS (SELECT doc_id, strand, s, n, unnest(list_filter(range(0, n - 22), lambda i: l[i + 1] = 'C' AND l[i + 2] = 'C')) AS i FROM l)
+    SELECT doc_id, strand, CAST(CASE strand WHEN '+' THEN i + 3 ELSE n - i - 23 END AS INTEGER) AS start, CAST(CASE strand WHEN '+' THEN i + 23 ELSE n - i - 3 END AS INTEGER) AS "end", substring(s, i + 4, 20) AS target FROM f
     """,
 )
 def pam_sites(spark, sf_dir):

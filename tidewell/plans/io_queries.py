@@ -150,7 +150,7 @@ def pair_list(spark, sf_dir):
     return spark.read.schema("a long, b long").option("sep", " ").csv(where)
 
 
-@query("split_by_hash", "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, 1 AS n_chunks FROM orders GROUP BY 1")
+@query("split_by_hash", "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(1 AS BIGINT) AS n_chunks FROM orders GROUP BY 1")
 def split_by_hash(spark, sf_dir):
     """SNK4: rows by hash bucket of their key; every key stands whole in one bucket."""
     where = scratch(spark, "split")
@@ -275,7 +275,7 @@ def stream_calibrated(spark, sf_dir):
     return spark.read.parquet(f"{where}/out").withColumn("value", F.round("value", 6))
 
 
-@query("stream_idempotent", "SELECT event_id, value, user_id % 8 AS fov_num, event_type FROM events")
+@query("stream_idempotent", "SELECT event_id, value, CAST(user_id % 8 AS INTEGER) AS fov_num, event_type FROM events")
 def stream_idempotent(spark, sf_dir):
     """STR4: the same batch written twice leaves every partition once."""
     where = scratch(spark, "idempotent")

@@ -213,7 +213,7 @@ def user_partitions(spark, sf_dir):
     return udf_surface.map_partitions(d, _each_batch, "doc_id long, checksum long")
 
 
-@query("measured_vectors", "SELECT vec_id, round(list_max(embedding) - list_min(embedding), 6) AS embedding_spread FROM embeddings")
+@query("measured_vectors", "SELECT vec_id, round(CAST(list_max(embedding) - list_min(embedding) AS DOUBLE), 6) AS embedding_spread FROM embeddings")
 def measured_vectors(spark, sf_dir):
     """UDF3: a measurement of each vector."""
     return udf_surface.measure_columns(table(spark, sf_dir, "embeddings"), ["embedding"], np.ptp, "spread").select("vec_id", F.round("embedding_spread", 6).alias("embedding_spread"))
