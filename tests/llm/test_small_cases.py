@@ -150,6 +150,17 @@ def test_signatures_meet():
                 assert len(np.intersect1d(ngram_join.signatures(a, t), ngram_join.signatures(b, t)))
 
 
+def test_join_of_negative_ids_and_long_sets(spark, tmp_path):
+    text = " ".join(f"n{i}" for i in range(50))
+    rows = [(-5, text), (7, text), (-9, text + " more"), (None, text), (3, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    out, _ = ngram_join.jaccard_join(spark.read.parquet(str(tmp_path / "d")), 3, ngram_join.Threshold(90, 100))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == brute_components(rows, 3, 90)
+    sign = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5_000_000).astype(np.uint64))
+    back = [ngram_join._unpacked(dict(zip(("bucket", "classes", "counts", "signs"), r))) for r in ngram_join._packed(sign, np.full(len(sign), 4), 4)]
+    assert sum(len(s) for s, _ in back) == sum(len(n) for _, n in back) == len(sign)
+
+
 def test_one_of_each(docs):
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in ngram_join.one_of_each(docs, 3, ngram_join.Threshold(90, 100)).collect())
     assert [i for i, _ in kept] == [0, 1, 4, 5, 6, 7, 8, 9, 11]
