@@ -137,4 +137,22 @@ n AS (SELECT a.item_id, a.r, a.doc_id, a.k, a.pos, b.term, max(b.pos) AS last FR
 SELECT item_id, doc_id, CAST(min(last) AS INTEGER) AS first_pos, CAST(pos AS INTEGER) AS last_pos FROM n GROUP BY item_id, r, doc_id, k, pos HAVING count(*) = k
 """
 
-ORACLES = {"proximity_matches": NEAR, "op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) a JOIN v c ON c.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLES = {"op13_hard_negatives": OP13, "proximity_matches": NEAR, "op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}
