@@ -155,4 +155,30 @@ WITH v AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
-ORACLES = {"op13_hard_negatives": OP13, "proximity_matches": NEAR, "op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}
+OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(x, '[ \t]+'), lambda w: w <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase, any_value(w[s : s + k - 1]) AS w, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+  GROUP BY lang, k, array_to_string(w[s : s + k - 1], ' ') HAVING count(*) >= 100
+), inside AS (
+  SELECT lang, array_to_string(w[s : s + j - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT lang, w, f, j, unnest(range(1, k - j + 2)) AS s FROM f, (SELECT unnest(range(2, 5)) AS j) WHERE j < k)
+  GROUP BY lang, array_to_string(w[s : s + j - 1], ' ')
+), kept AS (
+  SELECT f.* FROM f LEFT JOIN inside i ON i.lang = f.lang AND i.phrase = f.phrase WHERE f.k > 1 AND (i.most IS NULL OR 100 * i.most < 100 * f.f)
+), cut AS (
+  SELECT lang, phrase, f AS a, c, array_to_string(w[1 : c], ' ') AS head, array_to_string(w[c + 1 : k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, CAST((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, c.c
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN total t ON t.lang = c.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best
+QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op12_collocations": OP12, "op13_hard_negatives": OP13, "proximity_matches": NEAR, "op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}

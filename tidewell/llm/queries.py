@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, sharding, token_counts, top_inner_products, toxicity, warc
+from . import collocations, decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, sharding, token_counts, top_inner_products, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -85,13 +85,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=100, longest=5, cover=100, first=2000)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), label), every=100, n_positives=5, k=10, low=30, high=90)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, proximity_matches, op8_license_scan, op9_token_counts, op10_toxicity, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, proximity_matches, op8_license_scan, op9_token_counts, op10_toxicity, op12_collocations, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
