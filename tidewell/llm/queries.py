@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, sharding, token_counts, top_inner_products, toxicity, warc
+from . import collocations, decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality, sharding, token_counts, top_inner_products, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -85,6 +85,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    space, voters = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs.select("doc_id", "text"), space, voters)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=100, longest=5, cover=100, first=2000)
 
@@ -95,7 +102,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, proximity_matches, op8_license_scan, op9_token_counts, op10_toxicity, op12_collocations, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, proximity_matches, op8_license_scan, op9_token_counts, op10_toxicity, op11_quality, op12_collocations, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
