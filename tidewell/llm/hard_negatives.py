@@ -171,70 +171,74 @@ def window_of(score: int, low: int, high: int) -> tuple[int, int]:
     return -((-low * score) // 100), high * score // 100
 
 
-def _meet(blocks: DataFrame, turns: DataFrame, k: int, shape: tuple[int, str, bool], low: int, high: int) -> DataFrame:
-    """What the anchors of every turn find in the blocks it goes to. ``turns``: turn, part, first_label, last_label, ids,
-    labels, flat, positives (null: look for positives). Blocks of which no row can count are not sent."""
+FOUND = "turn long, anchor int, window int, anchor_id long, positive_id long, positive_score long, vec_id long, score long, exact string"
+
+
+def _meet(blocks: DataFrame, turns: DataFrame, spans: DataFrame, n_tasks: int, k: int, shape: tuple[int, str, bool], low: int, high: int) -> DataFrame:
+    """What the anchors of every turn find in the blocks it goes to. ``turns``: turn, first_label, last_label, ids, labels,
+    flat, positives (null: look for positives). ``spans``: one row with the list of all blocks' part, first_label, last_label
+    and grp. Blocks of which no row can count are not sent."""
     width, kind, wide = shape
-    seek = F.col("t.positives").isNull()
-    overlap = (F.col("b.first_label") <= F.col("t.last_label")) & (F.col("b.last_label") >= F.col("t.first_label"))
-    one = (F.col("b.first_label") == F.col("b.last_label")) & (F.col("t.first_label") == F.col("t.last_label")) & (F.col("b.first_label") == F.col("t.first_label"))
-    spans = blocks.select("part", "first_label", "last_label", "grp")
-    asked = turns.alias("t").join(F.broadcast(spans.alias("b")), F.when(seek, overlap).otherwise(~one)).select("t.turn", "b.grp", "b.part")
-    asked = written(asked, "asked")  # a few numbers for each block and turn that meet
-    left = blocks.drop("grp").join(asked, "part").select("turn", "grp", F.lit(1).alias("kind"), "part", "ids", "labels", "flat", F.lit(None).cast("string").alias("positives"))
-    right = turns.drop("part").join(asked.select("turn", "grp").distinct(), "turn").select("turn", "grp", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("part"), "ids", "labels", "flat", "positives")
+
+    def meets(block, turn):
+        overlap = (block["first_label"] <= turn["last_label"]) & (block["last_label"] >= turn["first_label"])
+        one = overlap & (block["first_label"] == block["last_label"]) & (turn["first_label"] == turn["last_label"])
+        return F.when(turn["positives"].isNull(), overlap).otherwise(~one)
+
+    narrow = turns.select("turn", "first_label", "last_label", F.when(F.col("positives").isNotNull(), "").alias("positives"))
+    sent = blocks.alias("b").join(F.broadcast(narrow.alias("t")), meets(*({c: F.col(f"{x}.{c}") for c in ("first_label", "last_label", "positives") if x == "t" or c != "positives"} for x in "bt")))
+    left = sent.select("t.turn", "b.grp", F.lit(1).alias("kind"), "b.part", "b.ids", "b.labels", "b.flat", F.lit(None).cast("string").alias("positives"))
+    groups = F.array_distinct(F.transform(F.filter("spans", lambda b: meets(b, {c: F.col(c) for c in ("first_label", "last_label", "positives")})), lambda b: b["grp"]))
+    right = turns.crossJoin(F.broadcast(spans)).withColumn("grp", F.explode(groups))
+    right = right.select("turn", "grp", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("part"), "ids", "labels", "flat", "positives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, anchors, found = None, None, []
+        key, anchors, found, positives = None, None, [], []
+        clipped = lambda x: min(max(x, LONG[0]), LONG[1])
 
         def out() -> pa.RecordBatch:
-            rows = [(key[0], a, b, i, *(min(max(x, LONG[0]), LONG[1]) for x in (s,)), _key(s) if wide else None) for a, f in enumerate(found) for b, best in enumerate(f.best) for s, i in best]
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["turn", "anchor", "window", "vec_id", "score", "exact"])
+            rows = []
+            for a, f in enumerate(found):
+                for b, best in enumerate(f.best):
+                    score, of = positives[a][b] if positives[a] else (0, 0)
+                    rows += [(key, a, b, int(anchors.ids[a]), of, clipped(score), i, clipped(s), _key(s) if wide else None) for s, i in best]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 9, kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
 
         for batch in batches:
             for r in (x for s in range(batch.num_rows) for x in batch.slice(s, 1).to_pylist()):
                 if r["kind"] == 0:
                     if key is not None:
                         yield out()
-                    key, anchors, found = (r["turn"], r["grp"]), Rows.unpacked(r, width, kind, wide), []
-                    windows: list[list[tuple[int, int]]] = [[(-(1 << 400), 1 << 400)] if r["positives"] is None else [] for _ in anchors.ids]
-                    for a, scores in _parsed(r["positives"]):
-                        windows[a] = [window_of(s, low, high) for s in scores]
+                    key, seeking, anchors = r["turn"], r["positives"] is None, Rows.unpacked(r, width, kind, wide)
+                    positives = [[] for _ in anchors.ids]
+                    for a, pairs in _parsed(r["positives"]):
+                        positives[a] = pairs
+                    windows = [[(-(1 << 400), 1 << 400)] if seeking else [window_of(s, low, high) for s, _ in p] for p in positives]
                     found = [Windows([x[0] for x in w], [x[1] for x in w], k) for w in windows]
-                    seeking = r["positives"] is None
                     continue
                 rows = Rows.unpacked(r, width, kind, wide)
-                if seeking:  # rows come by label: a list for the rows of each
-                    cuts = np.flatnonzero(np.diff(rows.labels)) + 1
-                    of = {}
-                    for s, e in zip([0, *cuts], [*cuts, len(rows.ids)]):
-                        of[int(rows.labels[s])] = (s, e)
-                    made: dict[int, Lists] = {}
-                else:
-                    lists = Lists(rows)
-                for a in range(len(anchors.ids)):
-                    label = int(anchors.labels[a])
-                    if seeking:
-                        if label in of:
-                            if label not in made:
-                                s, e = of[label]
-                                made[label] = Lists(Rows(rows.ids[s:e], rows.labels[s:e], rows.v[s:e]))
-                            search(found[a], anchors.v[a], int(anchors.ids[a]), None, made[label])
-                    elif found[a].low:
-                        search(found[a], anchors.v[a], int(anchors.ids[a]), label, lists)
+                cuts = np.flatnonzero(np.diff(rows.labels)) + 1  # rows come by label: lists for those of each
+                of = {int(rows.labels[s]): slice(s, e) for s, e in zip([0, *cuts], [*cuts, len(rows.ids)])}
+                lists = {} if seeking else {None: Lists(rows)}
+                for a, label in enumerate(anchors.labels.tolist()):
+                    if seeking and label in of:
+                        if label not in lists:
+                            lists[label] = Lists(Rows(rows.ids[of[label]], rows.labels[of[label]], rows.v[of[label]]))
+                        search(found[a], anchors.v[a], int(anchors.ids[a]), None, lists[label])
+                    elif not seeking and found[a].low:
+                        search(found[a], anchors.v[a], int(anchors.ids[a]), label, lists[None])
         if key is not None:
             yield out()
 
-    n_tasks = min(TASKS, max(1, 2 * asked.select("turn", "grp").distinct().count()))
     dealt = left.unionByName(right).repartition(n_tasks, "turn", "grp").sortWithinPartitions("turn", "grp", "kind", "part")
-    return dealt.mapInArrow(run, "turn long, anchor int, window int, vec_id long, score long, exact string")
+    return dealt.mapInArrow(run, FOUND)
 
 
-def _parsed(text: str | None) -> list[tuple[int, list[int]]]:
-    """anchor:score,score;anchor:... as numbers; a text, since scores may leave the range of long."""
-    return [(int(a), [int(s) for s in scores.split(",")]) for a, _, scores in (x.partition(":") for x in (text or "").split(";")) if a]
+def _parsed(text: str | None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """anchor:score=id,score=id;anchor:... as numbers; a text, since scores may leave the range of long."""
+    split = [x.partition(":") for x in (text or "").split(";") if x]
+    return [(int(a), [tuple(map(int, x.split("="))) for x in pairs.split(",")]) for a, _, pairs in split]
 
 
 def _key(score: int) -> str:
@@ -281,31 +285,23 @@ def mine(rows: DataFrame, every: int = 100, n_positives: int = 5, k: int = 10, l
     salt = F.xxhash64(F.monotonically_increasing_id())  # copies of a row part, too; the table's files give it anew alike
     spread = rows.withColumn("salt", salt).repartitionByRange(n_blocks, "label", "salt").sortWithinPartitions("label", "salt")
     blocks = written(_packed(spread, width, kind, at_most), "blocks")
-    numbered = F.row_number().over(Window.orderBy("part")) - 1  # over one narrow row a block
-    groups = blocks.select("part").select("part", F.floor(numbered / min(GROUP, max(1, n_blocks // tasks))).cast("long").alias("grp"))
-    blocks = blocks.join(F.broadcast(groups), "part")
-    anchors = rows.filter(F.col("vec_id") % every == 0).distinct()
+    known = blocks.select("part", "first_label", "last_label").orderBy("part").collect()  # three numbers a block
+    together = min(GROUP, max(1, len(known) // tasks))
+    listed = [(r["part"], r["first_label"], r["last_label"], i // together) for i, r in enumerate(known)]
+    numbers = "part long, first_label long, last_label long, grp long"
+    blocks = blocks.join(F.broadcast(spark.createDataFrame([(r[0], r[3]) for r in listed], "part long, grp long")), "part")
+    spans = spark.createDataFrame([(listed,)], f"spans array<struct<{', '.join(x.replace(' ', ':') for x in numbers.split(', '))}>>")
+    anchors = written(rows.filter(F.col("vec_id") % every == 0).distinct(), "anchors")
     n_turns = max(1, -(-anchors.count() // TURN))
-    turns = written(_packed(anchors.repartitionByRange(n_turns, "label", "vec_id").sortWithinPartitions("label", "vec_id"), width, kind, TURN), "turns").withColumn("turn", F.col("part"))
-
-    met = _meet(blocks, turns.withColumn("positives", F.lit(None).cast("string")), n_positives, shape, low, high)
-    positives = written(_first(met, n_positives).withColumn("no", F.col("rank") - 1).select("turn", "anchor", "no", "vec_id", "score", "exact"), "positives")
-
-    exact = F.udf(_score, "string") if shape[2] else lambda _, score: score.cast("string")
-    per_anchor = positives.groupBy("turn", "anchor").agg(F.array_sort(F.collect_list(F.struct("no", exact(F.col("exact"), F.col("score")).alias("s")))).alias("p"))
-    text = F.concat(F.col("anchor").cast("string"), F.lit(":"), F.array_join(F.transform("p", lambda x: x["s"]), ","))
-    per_turn = per_anchor.groupBy("turn").agg(F.array_join(F.collect_list(text), ";").alias("positives"))
-    met = _meet(blocks, turns.join(per_turn, "turn"), k, shape, low, high)
-    negatives = _first(met, k)
-
-    ids = turns.select("turn", F.expr("ids")).mapInArrow(_anchor_ids, "turn long, anchor int, anchor_id long")
-    pairs = negatives.alias("n").join(positives.alias("p"), (F.col("n.turn") == F.col("p.turn")) & (F.col("n.anchor") == F.col("p.anchor")) & (F.col("n.window") == F.col("p.no")))
-    pairs = pairs.select("n.turn", "n.anchor", F.col("p.vec_id").alias("positive_id"), F.col("n.rank").cast("int").alias("rank"), F.col("n.vec_id").alias("negative_id"), F.col("p.score").alias("positive_score"), F.col("n.score").alias("negative_score"))
-    return pairs.join(ids, ["turn", "anchor"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
-
-
-def _anchor_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for turn, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.frombuffer(packed, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), turn)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], names=["turn", "anchor", "anchor_id"])
+    turns = written(_packed(anchors.repartitionByRange(n_turns, "label", "vec_id").sortWithinPartitions("label", "vec_id"), width, kind, TURN), "turns").withColumnRenamed("part", "turn")
+    n_tasks = min(TASKS, 2 * n_turns * -(-len(known) // together))
+
+    met = _meet(blocks, turns.withColumn("positives", F.lit(None).cast("string")), spans, n_tasks, n_positives, shape, low, high)
+    first = _first(met, n_positives).select("turn", "anchor", "rank", "vec_id", "score", "exact")
+    exact = F.udf(lambda e, s: str(_score(e, s)), "string")(F.col("exact"), F.col("score")) if shape[2] else F.col("score").cast("string")
+    pairs = F.array_sort(F.collect_list(F.struct("rank", F.concat(exact, F.lit("="), F.col("vec_id").cast("string")).alias("p"))))
+    per_anchor = first.groupBy("turn", "anchor").agg(F.array_join(F.transform(pairs, lambda x: x["p"]), ",").alias("p"))
+    per_turn = per_anchor.groupBy("turn").agg(F.array_join(F.collect_list(F.concat(F.col("anchor").cast("string"), F.lit(":"), F.col("p"))), ";").alias("positives"))
+    turns = written(turns.join(per_turn, "turn"), "turns")
+    found = _first(_meet(blocks, turns, spans, n_tasks, k, shape, low, high), k)
+    return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
