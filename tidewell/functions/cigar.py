@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import json_bytes
 from .paths import segment_name, variant_of
+from .sequences import reverse_complement
 
 EQ, X, I, D = map(ord, "=XID")  # noqa: E741
 
@@ -43,8 +43,9 @@ def encode(ops: Column) -> Column:
 _CUTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if n in ("side", "cigar") else T.IntegerType()) for n in ("position", "side", "matches", "mismatches", "insertions", "deletions", "query_start", "query_end", "cigar")]))
 
 
-def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.ndarray, seg_read: np.ndarray, n_reads: int, with_cigar: bool) -> pa.ListArray:
-    """The cuts of a batch of reads: their operations (one-letter codes and lengths) and path segments, in order."""
+def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.ndarray, seg_read: np.ndarray, backward: np.ndarray, n_reads: int, with_cigar: bool) -> pa.ListArray:
+    """The cuts of a batch of reads: their operations (one-letter codes and lengths) and path segments, in order. The
+    operations of ``backward`` segments are given in the segment's own direction."""
     on_ref, on_query = np.isin(op, (EQ, X, D)), np.isin(op, (EQ, X, I))
     # reads stand one after the other on one long reference, so that one search places all their operations
     total = np.bincount(seg_read, weights=seg_len, minlength=n_reads).astype(np.int64)
@@ -90,28 +91,37 @@ def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.nda
     if with_cigar:
         for k, (a, z) in enumerate(zip(at, [*at[1:], len(code)])):
             runs = np.concatenate(([a], np.flatnonzero(code[a + 1 : z] != code[a : z - 1]) + a + 1, [z]))
-            cigars[k] = "".join(f"{size[u:v].sum()}{chr(code[u])}" for u, v in zip(runs, runs[1:]))
+            turned = inside[k] and backward[np.searchsorted(seg_read, owners[k]) + where[k]]
+            cigars[k] = "".join(f"{size[u:v].sum()}{chr(code[u])}" for u, v in list(zip(runs, runs[1:]))[:: -1 if turned else 1])
     arrays = [pa.array(where, pa.int32(), mask=~inside), pa.array(sides, pa.string()), *[pa.array(x, pa.int32()) for x in (*sums, low, high)], pa.array(cigars, pa.string())]
     offsets = np.searchsorted(owners, np.arange(n_reads + 1))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=_CUTS.elementType.names))
 
 
-def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into: str = "cuts", with_cigar: bool = False) -> DataFrame:
+#: Bytes of segment names and lengths, or sequences, that every task may hold.
+HELD_BYTES = 64_000_000
+
+
+def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into: str = "cuts", with_cigar: bool = False, segments: Sequence[str] | None = None) -> DataFrame:
     """``df`` with its alignments cut by path segment (SEG1), as an array of structs: position in the path, side
     (``upstream``, ``downstream``; null for segments), matches, mismatches, insertions, deletions, query_start,
-    query_end and, if asked, the segment's own cigar. No shuffle: a read's path and CIGAR stand in its row.
+    query_end and, if asked, the segment's own cigar, in the segment's direction. No shuffle: a read's path and CIGAR
+    stand in its row.
 
     ``df``: key, path, path_start, path_end, path_length, query_start, query_end, query_length, cg. Unaligned path ends
     count as deletions and unaligned query ends as insertions. An insertion on a boundary belongs to the segment after
     it; what stands before the first and after the last base of the path is upstream and downstream. Null paths or
-    CIGARs give null. Errors: an operation other than = X I D, a name twice in one path, a segment without a length, a
-    path with more or fewer bases than its CIGAR. ``segment_lengths``: (name, length) of the graph, held by every task;
-    above 64 MB it is an error.
+    CIGARs give null. Errors: an operation other than = X I D, a segment twice in one path, whatever its variants
+    (``segments``: names, without variant, for which this counts; None: all), a segment without a length, a path with
+    more or fewer bases than its CIGAR. ``segment_lengths``: (name, length) of the graph, held by every task; where names
+    and lengths measure above 64 MB it is an error.
     """
-    if json_bytes(segment_lengths) > 64_000_000:
+    measured = segment_lengths.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
+    if measured > HELD_BYTES:
         raise ValueError("the segment table is too large to be held by every task")
     known = {r["name"]: int(r["length"]) for r in segment_lengths.select("name", "length").collect()}
     shared = df.sparkSession.sparkContext.broadcast(known)
+    single = None if segments is None else set(segments)
     pad = lambda op, n: F.array(F.struct(F.lit(op).alias("op"), n.cast("int").alias("len")))
     whole = F.concat(
         pad("I", F.col("query_start")), pad("D", F.col("path_start")), decode(F.col("cg")),
@@ -119,20 +129,23 @@ def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into
     )
     ops = F.transform(F.filter(whole, lambda x: x["len"] > 0), lambda x: F.struct(F.ascii(x["op"]).alias("op"), x["len"].alias("len")))
     here = F.col("path").isNotNull() & F.col("cg").isNotNull()
-    rows = df.select("*", F.when(here, ops).alias("_ops"), F.when(here, F.transform("path", lambda s: segment_name(s, None))).alias("_names"))
+    rows = df.select("*", F.when(here, ops).alias("_ops"), F.when(here, F.col("path")).alias("_steps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ops, names = batch.column("_ops"), batch.column("_names")
+            ops, steps = batch.column("_ops"), batch.column("_steps")
             keys, null = batch.column(key), ops.is_null().to_numpy(zero_copy_only=False)
-            n_ops, n_names = (pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (ops, names))
+            n_ops, n_steps = (pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (ops, steps))
             flat = ops.flatten()
             op, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            read, seg_read = np.repeat(np.arange(batch.num_rows), n_ops), np.repeat(np.arange(batch.num_rows), n_names)
-            coded = names.flatten().dictionary_encode()
-            lengths = np.array([shared.value.get(x, -1) for x in coded.dictionary.to_pylist()], np.int64)
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            seg_len = lengths[code] if len(code) else np.empty(0, np.int64)
+            read, seg_read = np.repeat(np.arange(batch.num_rows), n_ops), np.repeat(np.arange(batch.num_rows), n_steps)
+            coded = steps.flatten().dictionary_encode()
+            listed = [x or "" for x in coded.dictionary.to_pylist()]
+            names = [x[1:] if x[:1] in ("<", ">") else x for x in listed]
+            bare = [x.split("=", 1)[0] for x in names]
+            number = {x: i for i, x in enumerate(dict.fromkeys(bare))}
+            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            seg_len, backward, of = (np.array([*x, -1], np.int64)[code] for x in ([shared.value.get(x, -1) for x in names], [x[:1] == "<" for x in listed], [number[x] if single is None or x in single else -1 for x in bare]))
 
             def refuse(at: np.ndarray, why: str) -> None:
                 if len(at):
@@ -140,14 +153,14 @@ def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into
 
             refuse(read[~np.isin(op, (EQ, X, I, D))], "only =, X, I and D can be cut")
             refuse(seg_read[seg_len < 0], "a segment of the path is not in the segment table")
-            pairs = np.sort(seg_read * (int(code.max(initial=0)) + 1) + code)
-            refuse(pairs[1:][pairs[1:] == pairs[:-1]] // (int(code.max(initial=0)) + 1), "a segment stands twice in a path")
+            pairs = np.sort((seg_read * (len(number) + 1) + of)[of >= 0])
+            refuse(pairs[1:][pairs[1:] == pairs[:-1]] // (len(number) + 1), "a segment stands twice in a path")
             total = np.bincount(seg_read, weights=seg_len, minlength=batch.num_rows)
             aligned = np.bincount(read, weights=np.where(op == I, 0, n), minlength=batch.num_rows)
             refuse(np.flatnonzero(~null & (total > aligned)), "the path holds more bases than the CIGAR")
             refuse(np.flatnonzero(~null & (total < aligned)), "the path holds fewer bases than the CIGAR")
-            cuts = _cut_arrays(op, n, read, seg_len, seg_read, batch.num_rows, with_cigar)
-            kept = [c for c in batch.schema.names if c not in ("_ops", "_names")]
+            cuts = _cut_arrays(op, n, read, seg_len, seg_read, backward == 1, batch.num_rows, with_cigar)
+            kept = [c for c in batch.schema.names if c not in ("_ops", "_steps")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], cuts], names=[*kept, into])
 
     kept = [f for f in df.schema.fields if f.name != into]
@@ -155,6 +168,15 @@ def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into
     return out.withColumn(into, F.when(here, F.col(into)))
 
 
+def integer_variants(segment_lengths: DataFrame, segment: str | None = None) -> bool:
+    """Whether all variants in the segment table (of one segment) are whole numbers, and there are any."""
+    of = segment_lengths.select(segment_name(F.col("name")).alias("s"), variant_of(F.col("name")).alias("v")).filter(F.col("v").isNotNull())
+    if segment is not None:
+        of = of.filter(F.col("s") == segment)
+    n, whole = of.agg(F.count("v"), F.count(F.col("v").try_cast("int"))).first()
+    return n > 0 and n == whole
+
+
 def _described(cut: Column, path: Column) -> list[Column]:
     step = F.when(cut["position"].isNotNull(), F.get(path, cut["position"]))
     return [
@@ -163,28 +185,49 @@ def _described(cut: Column, path: Column) -> list[Column]:
     ]
 
 
-def cut_by_segment(df: DataFrame, segment_lengths: DataFrame, key: str = "name", with_cigar: bool = False, seq: str | None = None, phred: str | None = None) -> DataFrame:
+def cut_by_segment(
+    df: DataFrame, segment_lengths: DataFrame, key: str = "name", with_cigar: bool = False, seq: str | None = None, phred: str | None = None,
+    segments: Sequence[str] | None = None, separate_ends: bool = True,
+) -> DataFrame:
     """Per read and path segment: position, segment, variant, orientation, matches, mismatches, insertions, deletions,
     query span (SEG1), and where asked the segment's CIGAR, its part of the read (``seq``) and of its scores (``phred``,
-    an array). See ``with_cuts``. Reads without a path or CIGAR have no rows."""
+    an array). Segments that the path holds in reverse (``<``) have all three in the segment's own direction: the
+    sequence complemented, scores and operations turned. The span stays the read's.
+
+    ``segments``: only these, named without variant (None: all). ``separate_ends``: with rows for what stands before and
+    after the path. Variants are whole numbers if all in the segment table are. Reads without a path or CIGAR have no
+    rows; see ``with_cuts`` for what is an error."""
     asked = [c for c in dict.fromkeys([key, "path", seq, phred]) if c]
-    rows = with_cuts(df, segment_lengths, key, "_cuts", with_cigar).select(*asked, F.explode("_cuts").alias("_c"))
+    rows = with_cuts(df, segment_lengths, key, "_cuts", with_cigar, segments).select(*asked, F.explode("_cuts").alias("_c"))
     c = F.col("_c")
     span = (c["query_start"] + 1, c["query_end"] - c["query_start"])
     more = [c["cigar"].alias("cigar")] if with_cigar else []
     more += [F.substring(F.col(seq), *span).alias("seq")] if seq else []
     more += [F.slice(F.col(phred), *span).alias("phred")] if phred else []
-    return rows.select(key, c["position"].alias("position"), *_described(c, F.col("path")), *more)
+    out = rows.select(key, c["position"].alias("position"), *_described(c, F.col("path")), *more)
+    turned = {}
+    if seq:
+        turned["seq"] = F.when(F.col("reverse_complement"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    if phred:
+        turned["phred"] = F.when(F.col("reverse_complement"), F.reverse("phred")).otherwise(F.col("phred"))
+    if integer_variants(segment_lengths):
+        turned["variant"] = F.col("variant").cast("int")
+    out = out.withColumns(turned) if turned else out
+    if segments is not None:
+        out = out.filter(F.col("segment").isin(*segments))
+    return out if separate_ends else out.filter(F.col("position").isNotNull())
 
 
 def segment_structs(df: DataFrame, segment_lengths: DataFrame, segments: Sequence[str], key: str = "name") -> DataFrame:
     """One row per read, a struct column for each of the given segments (names without variant; SEG1), null where the
-    path does not hold it. No shuffle."""
-    cuts = with_cuts(df, segment_lengths, key, "_cuts")
+    path does not hold it. A segment's variants are whole numbers if all of its in the segment table are. A path that
+    holds one of them twice is an error. No shuffle."""
+    cuts = with_cuts(df, segment_lengths, key, "_cuts", segments=segments)
     described = cuts.withColumn("_cuts", F.transform("_cuts", lambda c: F.struct(*_described(c, F.col("path")))))
 
     def of(name: str) -> Column:
-        return F.get(F.filter("_cuts", lambda c: c["segment"] == name), F.lit(0))
+        found = F.get(F.filter("_cuts", lambda c: c["segment"] == name), F.lit(0))
+        return F.when(found.isNotNull(), found.withField("variant", found["variant"].cast("int"))) if integer_variants(segment_lengths, name) else found
 
     return described.withColumns({s: of(s) for s in segments}).drop("_cuts")
 

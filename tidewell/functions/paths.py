@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .distances import edit_distance
+from .sequences import reverse_complement
+
 
 def parse_path(text: Column) -> Column:
     """``>a<b`` as an array of oriented segments."""
@@ -108,31 +112,48 @@ def signal_barcode(signal: Column, thresholds: Sequence[float], removed: Sequenc
     return F.array_join(F.zip_with(signal, marks, lambda x, t: F.when(x > t, "1").otherwise("0")), "")
 
 
-def assemble_sequence(df: DataFrame, path: str, key: str, segments: DataFrame, into: str = "reference_seq") -> DataFrame:
-    """The sequence along each path, reverse-complemented on ``<`` (SCL7). ``segments``: (name, seq)."""
-    from ..session import sized_broadcast
-    from .sequences import reverse_complement
-
-    steps = df.select(key, F.posexplode(path).alias("pos", "step")).withColumn("_segment", F.regexp_replace("step", "^[<>]", ""))
-    placed = steps.join(sized_broadcast(segments.select(F.col("name").alias("_segment"), "seq")), "_segment")
-    piece = F.when(F.col("step").startswith("<"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    joined = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("s")))).alias("parts"))
-    return df.join(joined.select(key, F.array_join(F.col("parts.s"), "").alias(into)), key, "left")
-
-
-def reference_distance(df: DataFrame, path: str, key: str, seq: str, segments: DataFrame, into: str = "distance") -> DataFrame:
+def assemble_sequence(df: DataFrame, path: str, key: str, segments: DataFrame, into: str = "reference_seq", held_bytes: int = 64_000_000) -> DataFrame:
+    """The sequence along each path, reverse-complemented on ``<`` (SCL7). ``segments``: (name, seq). A segment of a path
+    that is not among them is an error; null and empty paths give null.
+
+    Segments that measure at most ``held_bytes`` are held by every task, and nothing is shuffled; beyond that steps are
+    joined with them, for which ``key`` must be unique."""
+    size = segments.agg(F.sum(F.octet_length("name") + F.coalesce(F.octet_length("seq"), F.lit(0)) + 128)).first()[0] or 0
+    unknown = lambda step: F.raise_error(F.concat(F.lit("a segment of the path is not among the segments: "), step)).cast("string")
+    if size > held_bytes:
+        steps = df.select(key, F.posexplode(path).alias("pos", "step")).withColumn("_segment", F.regexp_replace("step", "^[<>]", ""))
+        placed = steps.join(segments.select(F.col("name").alias("_segment"), "seq"), "_segment", "left")
+        found = F.coalesce("seq", unknown(F.col("step")))
+        piece = F.when(F.col("step").startswith("<"), reverse_complement(found)).otherwise(found)
+        joined = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("s")))).alias("parts"))
+        return df.join(joined.select(key, F.array_join(F.col("parts.s"), "").alias(into)), key, "left")
+    both = segments.select(F.concat(F.lit(">"), "name").alias("step"), "seq").unionByName(segments.select(F.concat(F.lit("<"), "name").alias("step"), reverse_complement(F.col("seq")).alias("seq")))
+    shared = df.sparkSession.sparkContext.broadcast({r["step"]: r["seq"] for r in both.filter(F.col("seq").isNotNull()).collect()})
+
+    @F.pandas_udf("array<string>")
+    def pieces(paths: pd.Series) -> pd.Series:
+        known = shared.value
+        return paths.map(lambda steps: None if steps is None else [known.get(s if s[:1] in ("<", ">") else f">{s}") for s in steps])
+
+    found = pieces(F.col(path))
+    missing = F.exists("_pieces", lambda s: s.isNull())
+    whole = F.when(missing, unknown(F.array_join(F.col(path), ""))).otherwise(F.when(F.size("_pieces") > 0, F.array_join("_pieces", "")))
+    return df.withColumn("_pieces", found).withColumn(into, whole).drop("_pieces")
+
+
+def reference_distance(df: DataFrame, path: str, key: str, seq: str, segments: DataFrame, into: str = "distance", at_most: int | None = None) -> DataFrame:
     """Edit distance of each sequence to the one assembled along its path, upper-cased (SEG2); null where either is
-    empty. Adds reference_seq and ``into``."""
+    empty, -1 beyond ``at_most``. Adds reference_seq and ``into``."""
     out = assemble_sequence(df, path, key, segments)
     filled = lambda c: F.when(F.length(c) > 0, F.upper(c))
-    return out.withColumn(into, F.levenshtein(filled(F.col(seq)), filled(F.col("reference_seq"))))
+    return out.withColumn(into, edit_distance(filled(F.col(seq)), filled(F.col("reference_seq")), at_most))
 
 
 def cross_run_error(a: DataFrame, b: DataFrame, path_hash: str, seq: str) -> DataFrame:
     """Edit distances of two runs' consensus sequences of one path: distance, n, share (SEG4). Paths of one run only do
     not count; ``path_hash`` is unique on either side."""
     both = a.select(path_hash, F.col(seq).alias("_a")).join(b.select(path_hash, F.col(seq).alias("_b")), path_hash)
-    counts = both.groupBy(F.levenshtein("_a", "_b").alias("distance")).agg(F.count(F.lit(1)).alias("n"))
+    counts = both.select(edit_distance(F.col("_a"), F.col("_b")).alias("distance")).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))
     return counts.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
 

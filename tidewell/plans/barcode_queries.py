@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import cigar, keys, paths, sequences
+from ..functions import cigar, distances, keys, paths, sequences
 from ..operators import groups, hamming, joins, numbering, pairing, stats
 from ..operators import filters as flt
 from ..session import table
@@ -375,14 +375,17 @@ def site_flags(spark, sf_dir):
 
 
 def _cigar_reads(spark, sf_dir):
-    """Alignments made from order lines: (q)= (1)X (n)I (2)D 20= over two segments of fitting length."""
+    """Alignments made from order lines: (q)= (1)X (n)I (2)D 20= over two segments of fitting length, the second one in
+    reverse, with reads and scores."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"))
     rows = rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"), "q", F.col("l_linenumber").alias("n"))
     ref = F.col("q") + 1 + 2 + 20
+    length = F.col("q") + 1 + F.col("n") + 20 + 2
     return rows.select(
         "name", F.array(F.concat(F.lit(">s"), F.col("q").cast("string")), F.lit("<tail")).alias("path"), F.lit(0).alias("path_start"), ref.alias("path_end"), ref.alias("path_length"),
-        F.lit(2).alias("query_start"), (F.col("q") + 1 + F.col("n") + 20 + 2).alias("query_end"), (F.col("q") + 1 + F.col("n") + 20 + 2).alias("query_length"),
+        F.lit(2).alias("query_start"), length.alias("query_end"), length.alias("query_length"),
         F.concat(F.col("q").cast("string"), F.lit("=1X"), F.col("n").cast("string"), F.lit("I2D20=")).alias("cg"),
+        F.substring(F.repeat(F.lit("ACGGTTAC"), 12), F.lit(1), length).alias("seq"), F.sequence(F.lit(1), length).alias("phred"),
     )
 
 
@@ -394,16 +397,24 @@ def _segment_lengths(spark):
 @query(
     "segment_counts",
     """
-    WITH c AS (SELECT l_orderkey || '-' || l_linenumber AS name, CAST(min(l_quantity) AS INTEGER) AS q, l_linenumber AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
-    SELECT name, CAST(0 AS INTEGER) AS position, 's' || q AS segment, q AS matches, CAST(1 AS INTEGER) AS mismatches, CAST(n AS INTEGER) AS insertions, CAST(1 AS INTEGER) AS deletions, CAST(2 AS INTEGER) AS query_start, CAST(q + 3 + n AS INTEGER) AS query_end FROM c UNION ALL
-    SELECT name, CAST(1 AS INTEGER), 'tail', CAST(20 AS INTEGER), CAST(0 AS INTEGER), CAST(0 AS INTEGER), CAST(1 AS INTEGER), CAST(q + 3 + n AS INTEGER), CAST(q + 3 + n + 20 AS INTEGER) FROM c UNION ALL
-    SELECT name, NULL, 'upstream', CAST(0 AS INTEGER), CAST(0 AS INTEGER), CAST(2 AS INTEGER), CAST(0 AS INTEGER), CAST(0 AS INTEGER), CAST(2 AS INTEGER) FROM c
+    WITH c AS (SELECT l_orderkey || '-' || l_linenumber AS name, CAST(min(l_quantity) AS INTEGER) AS q, CAST(l_linenumber AS INTEGER) AS n, repeat('ACGGTTAC', 12) AS r FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    u AS (
+      SELECT name, CAST(0 AS INTEGER) AS position, 's' || q AS segment, q AS matches, CAST(1 AS INTEGER) AS mismatches, n AS insertions, CAST(1 AS INTEGER) AS deletions, CAST(2 AS INTEGER) AS query_start, q + 3 + n AS query_end, q || '=1X' || n || 'I1D' AS cigar, false AS rc, r FROM c UNION ALL
+      SELECT name, 1, 'tail', 20, 0, 0, 1, q + 3 + n, q + 3 + n + 20, '20=1D', true, r FROM c UNION ALL
+      SELECT name, NULL, 'upstream', 0, 0, 2, 0, 0, 2, '2I', false, r FROM c
+    )
+    SELECT name, position, segment, matches, mismatches, insertions, deletions, query_start, query_end, cigar,
+           CASE WHEN rc THEN translate(reverse(substring(r, query_start + 1, query_end - query_start)), 'ACGT', 'TGCA') ELSE substring(r, query_start + 1, query_end - query_start) END AS seq,
+           array_to_string(CASE WHEN rc THEN list_reverse(range(query_start + 1, query_end + 1)) ELSE range(query_start + 1, query_end + 1) END, ',') AS phred
+    FROM u
     """,
 )
 def segment_counts(spark, sf_dir):
-    """SEG1: alignments cut at a boundary that runs through a deletion."""
-    cut = cigar.cut_by_segment(_cigar_reads(spark, sf_dir), _segment_lengths(spark))
-    return cut.select("name", "position", "segment", "matches", "mismatches", "insertions", "deletions", "query_start", "query_end")
+    """SEG1: alignments cut at a boundary that runs through a deletion; the reverse segment's sequence, scores and
+    operations in its own direction."""
+    cut = cigar.cut_by_segment(_cigar_reads(spark, sf_dir), _segment_lengths(spark), with_cigar=True, seq="seq", phred="phred")
+    scores = F.array_join(F.col("phred").cast("array<string>"), ",")
+    return cut.select("name", "position", "segment", "matches", "mismatches", "insertions", "deletions", "query_start", "query_end", "cigar", "seq", scores.alias("phred"))
 
 
 @query(
@@ -430,7 +441,7 @@ def edit_distance(spark, sf_dir):
     """SEG2: edit distance of whole texts to an item each; all items serve."""
     items = numbering.dense_index(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("b")), ["item_id"], "k")
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % items.count()).alias("k"), F.regexp_replace("text", "[^ -~]", "?").alias("a"))
-    return d.join(joins.sized_broadcast(items), "k").select("doc_id", F.levenshtein("a", "b").alias("distance"))
+    return d.join(joins.sized_broadcast(items), "k").select("doc_id", distances.edit_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
 _ACGT = "translate({0}, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ -0123456789', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTACACACGTACGTAC')"
