@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from .common import written
 
 #: Bytes of text that are cut at a time; sums a task holds before it passes them on.
-CHUNK = 8_000_000
-HELD = 2_000_000
+CHUNK = 3_000_000
+HELD = 600_000
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
@@ -125,12 +125,17 @@ def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 class Sums:
-    """Counts of the phrases of a task, by language and level; passed on when they grow."""
+    """Counts of the phrases and words of a task, by language and level; passed on when they grow."""
 
     def __init__(self) -> None:
         self.parts: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.words: dict[str, list[pa.Table]] = {}
         self.n = 0
 
+    def add_words(self, lang: str, words: pa.Array, n: np.ndarray) -> None:
+        self.words.setdefault(lang, []).append(pa.table({"word": words, "n": n}))
+        self.n += len(words)
+
     def add(self, lang: str, level: int, keys: np.ndarray, n: np.ndarray) -> None:
         if len(keys):
             self.parts.setdefault((lang, level), []).append((keys, n))
@@ -142,7 +147,13 @@ class Sums:
             n = np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
             for s in range(0, len(keys), 100_000):
                 yield _row_batch(lang, level, keys[s : s + 100_000], None, n[s : s + 100_000])
-        self.parts, self.n = {}, 0
+        for lang, tables in self.words.items():
+            summed = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
+            for s in range(0, len(summed), 100_000):
+                part = summed.slice(s, 100_000).combine_chunks()
+                n = part["n_sum"].to_numpy()
+                yield _row_batch(lang, 1, np.full(len(n), -1), part["word"].combine_chunks(), n)
+        self.parts, self.words, self.n = {}, {}, 0
 
 
 def _row_batch(lang: str, level: int, keys: np.ndarray, words: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
@@ -159,7 +170,7 @@ def _counted(texts: pa.Array, lang: str, held: Phrases | None, longest: int, wor
     if words and len(local):
         n = np.bincount(local, minlength=len(names))
         yield _row_batch(lang, 0, np.array([-1]), None, np.array([len(local)]))
-        yield _row_batch(lang, 1, np.full(len(names), -1), names, n)
+        sums.add_words(lang, names, n)
     if held is None or len(local) < 2:
         return
     w = pc.fill_null(pc.index_in(names, value_set=held.words), -1).to_numpy().astype(np.int64)[local]
