@@ -9,11 +9,12 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import cigar, distances, keys, paths, sequences, udf_surface
-from tidewell.operators import filters, groups, hamming, joins, kernels, numbering, pairing, sampling, stats, traces, windows
+from tidewell.operators import filters, groups, hamming, joins, kernels, neighbours, numbering, pairing, sampling, stats, traces, windows
 from tidewell.plans import registry
 
 
@@ -361,12 +362,12 @@ def test_kernel_trace_against_numpy(spark):
 def test_nearest_vectors_across_blocks(spark):
     x = np.random.default_rng(3).normal(size=(70, 5))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    got = {(r["id"], r["rank"]): r["neighbour"] for r in traces.nearest_vectors(df, "id", "v", 3, block=16).collect()}
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest_vectors(df, "id", "v", 3, block=16).collect()}
     d = ((x[:, None] - x[None]) ** 2).sum(-1) + np.diag([np.inf] * 70)
     assert got == {(i, k + 1): int(j) for i in range(70) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
-    some = traces.nearest_vectors(df, "id", "v", 3, block=2, queries=df.filter("id % 9 = 0")).collect()
+    some = neighbours.nearest_vectors(df, "id", "v", 3, block=2, queries=df.filter("id % 9 = 0")).collect()
     assert {(r["id"], r["rank"]): r["neighbour"] for r in some} == {k: v for k, v in got.items() if k[0] % 9 == 0}
-    assert traces.nearest_vectors(df.limit(0), "id", "v", 3).count() == 0
+    assert neighbours.nearest_vectors(df.limit(0), "id", "v", 3).count() == 0
 
 
 def test_trench_lineage_division(spark):
@@ -475,15 +476,80 @@ def test_mutual_nearest_equals_all_pairs(spark, dims, within):
     assert got == {(g, i, j) for (g, i), j in of_a.items() if j is not None and of_b.get((g, j)) == i}
 
 
-def test_pairs_met_grow_with_the_rows(spark):
-    def pairs(n):
-        df = spark.range(n).select("id", (F.rand(3) * n).alias("x"), (F.rand(4) * n).alias("y"))
-        width = n / max(1.0, n**0.5)
-        cell = [F.floor(F.col(c) / width).alias(c) for c in "xy"]
-        per = df.select(*cell).groupBy("x", "y").count().withColumn("k", F.col("count") * 9)
-        return per.agg(F.sum(F.col("count") * F.col("k"))).first()[0]
-
-    assert pairs(16_000) < 6 * pairs(4_000)
+@pytest.mark.parametrize("group", [["grp"], []])
+def test_leaves_equal_all_pairs(spark, monkeypatch, group):
+    """Small leaves, copies of places on either side, one far point, groups of one and of many."""
+    for name, n in (("LEAF", 16), ("JOINED", 3), ("ASKING", 40)):
+        monkeypatch.setattr(neighbours, name, n)
+    rng = np.random.default_rng(3)
+    a = [("g", i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 9, (400, 2)).round(1))] + [("g", 1000, -1e6, 2e6), ("h", 1001, 0.0, 0.0)] + [("g", 1002 + i, 1.5, 1.5) for i in range(100)]
+    b = [("g", i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(2, 9, (500, 2)).round(1))] + [("g", 900, 1e6, 1e6), ("h", 901, 1.0, 1.0), ("k", 902, 0.0, 0.0)] + [("g", 903 + i, 2.5, 0.5) for i in range(200)]
+    kind = "grp string, {} long, x double, y double"
+    out = joins.nearest(spark.createDataFrame(a, kind.format("a")), spark.createDataFrame(b, kind.format("b")), group, "a", "b", ["x", "y"]).collect()
+    want = {p[1]: min(((p[2] - q[2]) * (p[2] - q[2]) + (p[3] - q[3]) * (p[3] - q[3]), q[1]) for q in b if not group or q[0] == p[0]) for p in a}
+    assert {r["a"]: (r["distance2"], r["b"]) for r in out} == want
+
+
+def test_a_far_point_costs_nothing(spark, tmp_path):
+    """20,000 points a side in the plane, with and without one point far away on the right side."""
+    kind = "f int, {0} long, x double, y double"
+    took = []
+    for far in (False, True, False, True):
+        rng = np.random.default_rng(4)
+        sides = []
+        for name in "ab":
+            points = rng.random((20_000, 2)) * 100
+            if far and name == "b":
+                points[7] = 1e6
+            sides.append(spark.createDataFrame(pd.DataFrame({"f": np.zeros(len(points), np.int32), name: np.arange(len(points)), "x": points[:, 0], "y": points[:, 1]}), kind.format(name)))
+        began = time.perf_counter()
+        assert joins.nearest(*sides, ["f"], "a", "b", ["x", "y"]).count() == 20_000
+        took.append(time.perf_counter() - began)
+    print("without and with a far point:", took)
+    assert took[3] < 2 * took[2] + 1
+
+
+def test_balls_touch_the_right_leaves():
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.normal(0, 1, (3000, 3)), np.ones((500, 3)), [[1e7, 0, 0]]])
+    tree = neighbours.Tree.over(points, 40)
+    leaf = tree.leaf(points)
+    assert np.bincount(leaf).max() < 4 * 3000 / 40 + 500
+    asked, radius = rng.normal(0, 2, (50, 3)), rng.random(50) * 2
+    who, what = tree.reached(asked, radius)
+    touched = set(zip(who.tolist(), what.tolist()))
+    for i, (p, r) in enumerate(zip(asked, radius)):
+        inside = ((points - p) ** 2).sum(1) <= r * r
+        assert {(i, int(x)) for x in leaf[inside]} <= touched
+    assert len(touched) < 50 * 40 / 2
+
+
+def test_blocks_are_sent_once(spark, tmp_path):
+    """Copies of a block do not grow with the queries, and blocks that nobody asks for stay; near clusters rule far ones out."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 100, (20, 8))
+    vectors = (centres[np.arange(4000) % 20] + rng.normal(0, 1, (4000, 8))).tolist()
+    path = str(tmp_path / "vectors")
+    spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id long, v array<double>").write.parquet(path)
+    rows = spark.read.parquet(path)
+    blocks, boxes, pivots = neighbours.blocks_by_pivots(rows, 200, 8)
+    sent = {}
+    for share in (10, 1):
+        asking = blocks.filter(F.col("id") % share == 0)
+        found, copies = neighbours.meet_blocks(asking, blocks, 3, "bigint")
+        sent[share] = copies.agg(F.sum("copies"), F.max("copies")).first()
+        assert found.count() == 3 * asking.count()
+    assert len(boxes) >= 20 and sent[1][1] == sent[10][1] == 1 and sent[1][0] == len(boxes)
+    assert neighbours.meet_blocks(blocks.filter("b = 0"), blocks, 3, "bigint")[1].count() == 1
+    x = np.array(vectors)
+    low, high = (np.array([b[i] for b in boxes]) for i in (1, 2))
+    d = neighbours._distances(x, pivots)
+    gap = np.maximum(low[None] - d[:, None], d[:, None] - high[None]).max(2)
+    assert (gap < 10).sum(1).mean() < len(boxes) / 4
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest_vectors(rows, "id", "v", 3, block=200).collect()}
+    for i in range(0, 4000, 97):
+        near = np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[1:4]
+        assert [got[i, r] for r in (1, 2, 3)] == near.tolist()
 
 
 @pytest.mark.parametrize("threshold,n_bits", [(0, 12), (2, 12), (5, 30), (6, 30), (3, 62)])

@@ -9,9 +9,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import sized_broadcast, written
+from ..session import sized_broadcast
+from .neighbours import nearest_points
 from .numbering import around_on_line
 
+
 def exact_lookup(queries: DataFrame, codebook: DataFrame, barcode: str) -> DataFrame:
     """Queries whose barcode stands in the codebook, with its columns (JON4)."""
     return queries.join(sized_broadcast(codebook), barcode)
@@ -19,12 +21,12 @@ def exact_lookup(queries: DataFrame, codebook: DataFrame, barcode: str) -> DataF
 
 def nearest(left: DataFrame, right: DataFrame, group: Sequence[str], left_id: str, right_id: str, coords: Sequence[str], within: float | None = None) -> DataFrame:
     """(group, left_id, right_id, distance2): each left point's nearest right point of its group, ties to the smaller id;
-    left points without one (at most ``within`` away) are left out. Rows with a null coordinate have no place.
+    left points without one (at most ``within`` away) are left out. Rows with a null or NaN coordinate have no place.
 
-    On a line, the marks next to each point; in more dimensions, cells of a grid with their neighbours, and wider cells
-    for the points that found nothing within a cell's width: no pair of a whole group is made.
+    On a line, the marks next to each point; in more dimensions, leaves of k-d trees (``nearest_points``): no pair of a
+    whole group is made.
     """
-    known = reduce(and_, [F.col(c).isNotNull() for c in coords])
+    known = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords])
     left, right = left.filter(known).select(*group, left_id, *coords), right.filter(known).select(*group, right_id, *coords)
     names = [*group, left_id, right_id, "distance2"]
     bound = F.lit(True) if within is None else F.col("distance2") <= within * within
@@ -36,35 +38,7 @@ def nearest(left: DataFrame, right: DataFrame, group: Sequence[str], left_id: st
         best = F.array_min(F.array_compact(F.array(far(F.col("before")), far(F.col("after")))))
         out = out.withColumn("_b", best).filter("_b is not null")
         return out.select(*group, left_id, F.col("_b.id").alias(right_id), F.col("_b.d").alias("distance2")).filter(bound)
-    left = written(left.join(right.select(*group).distinct(), list(group), "left_semi") if group else left, "points")
-    right = written(right, "points")
-    ends = right.agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(coords)]).first()
-    reach = left.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(coords)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(coords)]).first()
-    if not ends["n"] or reach["lo0"] is None:
-        return left.join(right, list(group)).select(*group, left_id, right_id, F.lit(0.0).alias("distance2")).limit(0)
-    extent = max(max(ends[f"hi{i}"], reach[f"hi{i}"]) - min(ends[f"lo{i}"], reach[f"lo{i}"]) for i in range(len(coords))) or 1.0
-    n_groups = max(1, right.select(*group).distinct().count()) if group else 1
-    width = within or extent / max(1.0, (ends["n"] / n_groups) ** (1 / len(coords)))
-    steps = [F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias(f"_s{i}") for i in range(len(coords))]
-    found = []
-    while True:
-        cells = [F.floor(F.col(c) / width).alias(f"_c{i}") for i, c in enumerate(coords)]
-        spread = left
-        for step in steps:
-            spread = spread.select("*", step)
-        spread = spread.select("*", *cells).withColumns({f"_c{i}": F.col(f"_c{i}") + F.col(f"_s{i}") for i in range(len(coords))}).drop(*[f"_s{i}" for i in range(len(coords))])
-        there = right.select(*group, right_id, *[F.col(c).alias(f"_r_{c}") for c in coords], *[F.floor(F.col(c) / width).alias(f"_c{i}") for i, c in enumerate(coords)])
-        d2 = sum(((F.col(c) - F.col(f"_r_{c}")) * (F.col(c) - F.col(f"_r_{c}")) for c in coords), F.lit(0.0))
-        met = spread.join(there, [*group, *[f"_c{i}" for i in range(len(coords))]]).withColumn("distance2", d2)
-        best = met.groupBy(*group, left_id).agg(F.min(F.struct("distance2", right_id)).alias("_m")).filter(F.col("_m.distance2") <= width * width)
-        found.append(written(best.select(*group, left_id, F.col(f"_m.{right_id}").alias(right_id), F.col("_m.distance2").alias("distance2")), "near"))
-        if within is not None or width > 2 * extent * len(coords):
-            break
-        left = written(left.join(found[-1].select(*group, left_id), [*group, left_id], "left_anti"), "points")
-        if not left.take(1):
-            break
-        width *= 3
-    return reduce(lambda a, b: a.unionByName(b), found).select(*names).filter(bound)
+    return nearest_points(left, right, group, left_id, right_id, coords, within).select(*names)
 
 
 def mutual_nearest(a: DataFrame, b: DataFrame, group: Sequence[str], a_id: str, b_id: str, coords: Sequence[str], offset: Sequence[float] | None = None, within: float | None = None) -> DataFrame:

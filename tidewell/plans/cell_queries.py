@@ -202,6 +202,23 @@ def mutual_nearest(spark, sf_dir):
     return joins.mutual_nearest(c, s, ["nation"], "c_custkey", "s_suppkey", ["bal"], offset=[50.0]).withColumn("distance2", F.round("distance2", 3))
 
 
+@query(
+    "plane_neighbours",
+    """
+    WITH o AS (SELECT o_orderkey, o_orderkey % 2 AS fov, o_totalprice / 1000 AS x, epoch(o_orderdate) / 864000 AS y, o_orderstatus FROM orders),
+    p AS (SELECT a.fov, a.o_orderkey AS a, b.o_orderkey AS b, (a.x + 3 - b.x) * (a.x + 3 - b.x) + (a.y - 1 - b.y) * (a.y - 1 - b.y) AS d FROM o a JOIN o b ON a.fov = b.fov AND a.o_orderstatus = 'F' AND b.o_orderstatus <> 'F'),
+    f AS (SELECT fov, a, min({'d': d, 'b': b}) AS m FROM p GROUP BY fov, a), g AS (SELECT fov, b, min({'d': d, 'a': a}) AS m FROM p GROUP BY fov, b)
+    SELECT f.fov, f.a AS finished, f.m.b AS other, round(f.m.d, 4) AS distance2 FROM f JOIN g ON f.fov = g.fov AND f.m.b = g.b AND g.m.a = f.a
+    """,
+)
+def plane_neighbours(spark, sf_dir):
+    """JON7 in the plane: finished and other orders that are each other's nearest by price and date, after a shift."""
+    y = F.col("o_orderdate").cast("timestamp").cast("double") / 864000
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).alias("fov"), (F.col("o_totalprice") / 1000).alias("x"), y.alias("y"), "o_orderstatus")
+    a, b = o.filter("o_orderstatus = 'F'").withColumnRenamed("o_orderkey", "finished"), o.filter("o_orderstatus <> 'F'").withColumnRenamed("o_orderkey", "other")
+    return joins.mutual_nearest(a, b, ["fov"], "finished", "other", ["x", "y"], offset=[3.0, -1.0]).withColumn("distance2", F.round("distance2", 4))
+
+
 @query(
     "midpoints",
     """

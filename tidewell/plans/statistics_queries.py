@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences
-from ..operators import kernels, stats, traces, windows
+from ..operators import kernels, neighbours, stats, traces, windows
 from ..session import table
 from .registry import query
 
@@ -430,8 +430,8 @@ def kernel_trace(spark, sf_dir):
     """,
 )
 def knn(spark, sf_dir):
-    """TSR3, TSR4: the fifteen nearest vectors of every vector, by blocks."""
-    return traces.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 6))
+    """TSR3, TSR4: the fifteen nearest vectors of every vector, by pivots."""
+    return neighbours.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 6))
 
 
 @query(
