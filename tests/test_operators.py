@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import cigar, distances, keys, paths, sequences, udf_surface
-from tidewell.operators import filters, groups, hamming, joins, kernels, neighbours, numbering, pairing, sampling, stats, traces, windows
+from tidewell.operators import filters, groups, hamming, joins, kernels, matrices, neighbours, numbering, off_targets, pairing, sampling, stats, traces, windows
 from tidewell.plans import registry
 
 
@@ -573,13 +573,64 @@ def test_parts_of_codes_leave_few_chance_pairs():
     assert n * made * 100_000 / 2 ** (30 // n) < 5_000  # of 100,000
 
 
-def test_off_targets_equal_all_pairs(spark):
+@pytest.mark.parametrize("sub", [None, (4, 15)])
+def test_off_targets_equal_all_pairs(spark, sub):
+    """Targets with copies, near copies and nothing near, at equal starts, and null ones."""
     rng = random.Random(2)
     site = lambda: "".join(rng.choices("ACGT", k=20))
-    targets, refs = [(i, site(), i * 10) for i in range(30)], [(site(), rng.choice([rng.randrange(300), -1])) for _ in range(200)]
-    out = kernels.off_target_scan(spark.createDataFrame(targets, "k long, s string, at long"), spark.createDataFrame(refs, "r string, rat long").repartition(3), "k", "s", "at", "r", "rat")
-    want = {k: max(sum(x == y for x, y in zip(s, r)) for r, rat in refs if rat != at) for k, s, at in targets}
+    near = lambda s, n: "".join(rng.choice("ACGT") if i in set(rng.sample(range(20), n)) else c for i, c in enumerate(s))
+    targets = [(i, site(), i * 10) for i in range(60)] + [(60, "A" * 20, None)]
+    refs = [(site(), rng.choice([rng.randrange(300), -1, None])) for _ in range(200)] + [(near(s, i % 9), rng.choice([at, at, 7])) for i, s, at in targets]
+    refs += [(targets[0][1], 0), (targets[1][1], 10), (targets[1][1], 11), ("A" * 20, 5), ("A" * 20, None)]
+    t, r = spark.createDataFrame([*targets, (99, None, 1)], "k long, s string, at long"), spark.createDataFrame([*refs, (None, 3)], "r string, rat long").repartition(3)
+    out = off_targets.off_target_scan(t, r, "k", "s", "at", "r", "rat", sub=sub, block=16)
+    a, b = sub or (0, 20)
+    want = {k: max((sum(x == y for x, y in zip(s[a:b], r[a:b])) for r, rat in refs if rat is None or at is None or rat != at), default=0) for k, s, at in targets}
     assert {r["k"]: r["best_match"] for r in out.collect()} == want
+    assert off_targets.off_target_scan(t, r.limit(0), "k", "s", "at", "r", "rat").agg(F.sum("best_match")).first()[0] == 0
+    assert off_targets.off_target_scan(t.limit(0), r, "k", "s", "at", "r", "rat").count() == 0
+    with pytest.raises(ValueError):
+        off_targets.off_target_scan(t, spark.createDataFrame([("ACG", 1)], "r string, rat long"), "k", "s", "at", "r", "rat")
+
+
+def test_off_target_pairs_grow_with_the_targets(spark):
+    """Pairs that the index makes: a small share of all, in proportion to targets and to sites."""
+    rng = np.random.default_rng(1)
+    made = {}
+    for n, m in ((200, 4000), (400, 4000), (200, 8000)):
+        side = lambda k, name: pd.DataFrame({name: ["".join(x) for x in np.array(list("ACGT"))[rng.integers(0, 4, (k, 20))]]})
+        t = spark.createDataFrame(side(n, "s")).selectExpr("s", "1L start").withColumn("w", off_targets.packed(F.col("s"), 20))
+        r = spark.createDataFrame(side(m, "r")).selectExpr("r", "2L lo", "2L hi").withColumn("w", off_targets.packed(F.col("r"), 20))
+        made[n, m] = off_targets.seed_pairs(t, r, 20, 6, 2).count()
+    assert made[200, 4000] < 0.01 * 200 * 4000 and made[400, 4000] < 2.5 * made[200, 4000] and made[200, 8000] < 2.5 * made[200, 4000]
+
+
+@pytest.mark.parametrize("held", [None, 500])
+def test_votes_equal_counting(spark, monkeypatch, held):
+    """Groups that are null, hot or hold one base; texts longer than a run of positions; counts handed on early."""
+    monkeypatch.setattr(matrices, "SPAN", 16 if held else 1024)
+    if held:
+        monkeypatch.setattr(matrices, "CHARS", held)
+        monkeypatch.setattr(matrices, "MERGED", held)
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i % 2, "".join(rng.choices("ACé𝄞", k=rng.randrange(60)))) for i in range(300)] + [("z", 0, "G"), ("y", 1, ""), ("x", 1, None)]
+    rows += [("long", 0, "".join(rng.choices("AC", k=3000))) for _ in range(3)]
+    df = spark.createDataFrame(rows, "g string, h int, s string").repartition(3)
+    votes, shares = {}, {}
+    for key in {r[:2] for r in rows}:
+        texts = [s for g, h, s in rows if (g, h) == key and s]
+        columns = [[t[i] for t in texts if i < len(t)] for i in range(max(map(len, texts), default=0))]
+        if columns:
+            votes[key] = "".join(min(set(c), key=lambda x: (-c.count(x), x)) for c in columns)
+            second = [sorted((c.count(x) for x in set(c)), reverse=True)[1:2] for c in columns]
+            shares[key] = sum(((s or [0])[0] + 0.001) / (len(c) + 0.001) > 0.1 for s, c in zip(second, columns)) / len(columns)
+    assert {(r["g"], r["h"]): r["consensus"] for r in groups.column_vote(df, ["g", "h"], "s").collect()} == votes
+    got = {(r["g"], r["h"]): r["ambiguous_share"] for r in groups.ambiguous_positions(df, ["g", "h"], "s").collect()}
+    assert got.keys() == shares.keys() and all(abs(got[k] - shares[k]) < 1e-12 for k in got)
+    parts = matrices.count_matrices(df, ["g", "h"], "s")
+    assert parts.count() < (3000 / 16 * 40 if held else 60)
+    many = matrices.over_matrices(parts.repartition(300), ["g", "h"], matrices.majority, "text string")
+    assert "".join(r["text"] for r in sorted((r for r in many.collect() if (r["g"], r["h"]) == ("long", 0)), key=lambda r: r["block"])) == votes["long", 0]
 
 
 def test_yeo_johnson_is_the_likeliest(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import sized_broadcast
+from . import matrices
 from .numbering import dense_index
 
 
@@ -70,27 +71,18 @@ def limit_group_content(df: DataFrame, group: Sequence[str], order: Sequence[str
     return out.withColumns({c: F.when(F.col("_rank") <= n, F.col(c)) for c in columns}).drop("_rank")
 
 
-def base_counts(df: DataFrame, group: Sequence[str], seq: str) -> DataFrame:
-    """Rows per group, position (from 0) and base."""
-    bases = df.select(*group, F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias("position", "base"))
-    return bases.groupBy(*group, "position", "base").agg(F.count(F.lit(1)).alias("n"))
-
-
 def column_vote(df: DataFrame, group: Sequence[str], seq: str, into: str = "consensus") -> DataFrame:
-    """The majority base at every position, ties to the alphabet (AGG4)."""
-    counts = base_counts(df, group, seq)
-    # the largest count, then the smallest base: one pass over narrow rows
-    best = counts.groupBy(*group, "position").agg(F.min(F.struct((-F.col("n")).alias("m"), "base")).alias("top"))
-    joined = best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("position", F.col("top.base").alias("base")))).alias("parts"))
-    return joined.select(*group, F.array_join(F.col("parts.base"), "").alias(into))
+    """The majority base at every position, ties to the alphabet (AGG4). Tasks count into packed matrices of a thousand
+    positions (``matrices``), which add up; groups without a base have no row."""
+    blocks = matrices.over_matrices(matrices.count_matrices(df, group, seq), group, matrices.majority, "text string")
+    joined = blocks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"))
+    return joined.select(*group, F.array_join(F.col("parts.text"), "").alias(into))
 
 
 def ambiguous_positions(df: DataFrame, group: Sequence[str], seq: str, share: float = 0.1, pseudo: float = 0.001) -> DataFrame:
     """Share of a group's positions whose second most frequent base is above ``share`` of the reads (AGG5)."""
-    counts = base_counts(df, group, seq)
-    per = counts.groupBy(*group, "position").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
-    second = F.coalesce(F.get("ns", 1), F.lit(0))
-    return per.withColumn("f", (second + pseudo) / (F.col("total") + pseudo)).groupBy(*group).agg(F.avg(F.when(F.col("f") > share, 1.0).otherwise(0.0)).alias("ambiguous_share"))
+    blocks = matrices.over_matrices(matrices.count_matrices(df, group, seq), group, matrices.ambiguous(share, pseudo), "places long, ambiguous long")
+    return blocks.groupBy(*group).agg((F.sum("ambiguous") / F.sum("places")).alias("ambiguous_share"))
 
 
 def consensus_per_group(df: DataFrame, group: str, func, schema: str, max_group: int, quality: str, name: str = "name") -> DataFrame:

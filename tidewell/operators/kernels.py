@@ -226,38 +226,3 @@ def spread_normalised(vectors: Sequence[Column], lam: float = 0.5) -> list[Colum
         factor = F.try_divide(changed, sigma)
         out.append(F.when(factor.isNotNull(), F.transform(v, lambda x: x * factor)))
     return out
-
-
-def off_target_scan(targets: DataFrame, references: DataFrame, key: str, seq: str, start: str, ref_seq: str, ref_start: str, sub: tuple[int, int] | None = None, block: int = 2_000) -> DataFrame:
-    """key, best_match: the most bases in which a reference site equals the target, the target's own start aside (JON21).
-
-    References are packed in blocks; each meets all targets in numpy, and only maxima per target and block shuffle.
-    ``sub`` compares bases [a, b) only. The target list is a library, checked to be under a million rows.
-    """
-    n = targets.count()
-    if n > 1_000_000:
-        raise ValueError("cut the target library into lists of a million")
-    held = targets.select(key, seq, start).toPandas().sort_values(key)
-    a, b = sub or (0, 10**6)
-    coded = np.array([np.frombuffer(s[a:b].encode(), np.uint8) for s in held[seq]])
-    shared = targets.sparkSession.sparkContext.broadcast((held[key].to_numpy(), coded, held[start].to_numpy()))
-
-    def run(batches):
-        keys, t, own = shared.value
-        best = np.zeros(len(keys), np.int64)
-        for pdf in batches:
-            for s in range(0, len(pdf), block):
-                part = pdf.iloc[s : s + block]
-                r = np.array([np.frombuffer(x[a:b].encode(), np.uint8) for x in part[ref_seq]])
-                at = part[ref_start].to_numpy()
-                for i in range(0, len(t), 256):
-                    same = np.zeros((min(256, len(t) - i), len(r)), np.int16)
-                    for c in range(t.shape[1]):
-                        same += t[i : i + 256, c][:, None] == r[:, c][None, :]
-                    same[own[i : i + 256][:, None] == at[None, :]] = 0
-                    best[i : i + 256] = np.maximum(best[i : i + 256], same.max(1, initial=0))
-        yield pd.DataFrame({key: keys, "best_match": best})
-
-    kind = targets.schema[key].dataType.simpleString()
-    part = references.select(ref_seq, ref_start).mapInPandas(run, f"{key} {kind}, best_match long")
-    return part.groupBy(key).agg(F.max("best_match").alias("best_match"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences
-from ..operators import kernels, neighbours, stats, traces, windows
+from ..operators import kernels, neighbours, off_targets, stats, traces, windows
 from ..session import table
 from .registry import query
 
@@ -480,14 +480,31 @@ def yeo_johnson(spark, sf_dir):
     return kernels.apply_yeo_johnson(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("x")), "x", "y")
 
 
-@query("off_target")
+_SITES = """
+  SELECT {key}, strand, substring(s, i + 4, 20) AS site, CAST(CASE strand WHEN '+' THEN i + 3 ELSE n - i - 23 END AS INTEGER) AS start FROM (
+    SELECT {key}, strand, s, length(s) AS n, unnest(list_filter(range(0, length(s) - 22), lambda i: s[i + 1] = 'C' AND s[i + 2] = 'C')) AS i FROM (
+      SELECT {key}, '+' AS strand, {nt} AS s FROM {table} UNION ALL SELECT {key}, '-', translate(reverse({nt}), 'ACGT', 'TGCA') FROM {table}) WHERE length(s) >= 23)
+"""
+_LETTERS = "regexp_replace(translate(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', '" + "ACGT" * 13 + "'), '[^ACGT]', '', 'g')"
+
+
+@query(
+    "off_target",
+    f"""
+    WITH t AS (SELECT site, min(start % 32) AS start FROM ({_SITES.format(key="item_id", nt=_LETTERS, table="benchmark")}) GROUP BY site),
+    r AS (SELECT DISTINCT site, start % 32 AS start FROM ({_SITES.format(key="doc_id", nt=_LETTERS, table="documents")})),
+    code AS (SELECT *, list_reduce(list_transform(range(1, 21), lambda i: CAST(instr('ACGT', site[i]) - 1 AS BIGINT)), lambda a, x: a * 4 + x) AS c FROM (SELECT site FROM t UNION SELECT site FROM r)),
+    a AS (SELECT t.*, c FROM t JOIN code USING (site)), b AS (SELECT r.*, c FROM r JOIN code USING (site))
+    SELECT a.site, max(CASE WHEN a.start = b.start THEN 0 ELSE 20 - bit_count((xor(a.c, b.c) | (xor(a.c, b.c) >> 1)) & 366503875925) END)::BIGINT AS best_match FROM a, b GROUP BY a.site
+    """,
+)
 def off_target(spark, sf_dir):
-    """JON21: targets behind PAMs of whole items against the sites behind PAMs of all whole documents."""
+    """JON21: targets behind PAMs of whole items against the sites behind PAMs of all whole documents; a start is the place
+    within a lane of 32, so that targets meet sites at their own start."""
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     bases = lambda c: F.regexp_replace(F.translate(F.regexp_replace(c, "[^a-zA-Z]", ""), letters, "ACGT" * 13), "[^ACGT]", "")
     items = table(spark, sf_dir, "benchmark").select("item_id", bases("text").alias("seq"))
-    targets = sequences.pam_sites(items, "seq").groupBy(F.col("target").alias("site")).agg(F.min("item_id").alias("item_id"))
-    targets = targets.select("site", F.col("site").alias("seq"), (-F.col("item_id") - 1).alias("start"))
+    targets = sequences.pam_sites(items, "seq").groupBy(F.col("target").alias("site")).agg(F.min(F.col("start") % 32).alias("start")).withColumn("seq", F.col("site"))
     refs = sequences.pam_sites(table(spark, sf_dir, "documents").select("doc_id", bases("text").alias("seq")), "seq")
-    refs = refs.groupBy(F.col("target").alias("ref")).agg(F.min("doc_id").alias("ref_start"))
-    return kernels.off_target_scan(targets, refs, "site", "seq", "start", "ref", "ref_start")
+    refs = refs.select(F.col("target").alias("ref"), (F.col("start") % 32).alias("ref_start"))
+    return off_targets.off_target_scan(targets, refs, "site", "seq", "start", "ref", "ref_start")
