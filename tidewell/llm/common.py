@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Tasks of one shuffle, at most, as a power of two: ranges beyond that are dealt to them, several each.
+MOST_TASK_BITS = 14
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

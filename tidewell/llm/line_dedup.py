@@ -2,8 +2,8 @@
 
 Two Bloom filters hold the hashes of keys seen once and seen twice. They are cut by ranges of the hash: tasks send the
 hashes of their lines' keys, packed, to the range's owner, which fills both filters as they come and then names the
-hashes whose bits all stand in its twice-filter. There are as many ranges as the volume asks for. Only lines with such a
-hash are suspected, and only their keys shuffle, counted per batch first, for the exact count of documents and the
+hashes whose bits all stand in its twice-filter. There are as many ranges as the volume asks for, on a bounded number of
+tasks. Only lines with such a hash are suspected, and only their keys shuffle, counted per batch first, for the exact count of documents and the
 choice of the first occurrence. A full filter costs shuffle, never a wrong result.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, written
+from .common import MOST_TASK_BITS, free_name, written
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bits of a range's filters, bits of each hash that are set in them, and bytes of text whose lines one range is to hold.
@@ -71,8 +71,26 @@ def suspected_by_range(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nda
     return every[twice[_bits(every)].all(axis=0)]
 
 
-def suspected_hashes(docs: DataFrame, min_chars: int, range_bits: int) -> DataFrame:
-    """(h): 64-bit hashes of the keys that may stand in more than one document; of those that do, all."""
+def _by_range(once: np.ndarray, twice: np.ndarray, bits: int) -> pa.RecordBatch:
+    """(part, once, twice): sorted hashes, and those of them seen twice, packed by ranges of the hash."""
+    of = (once >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(once), np.int64)
+    cuts = np.flatnonzero(np.diff(of, prepend=-1))
+    again = np.searchsorted(twice, [once[a] for a in cuts])
+    rows = [(int(of[a]), once[a:z].astype("<u8").tobytes(), twice[u:v].astype("<u8").tobytes()) for a, z, u, v in zip(cuts, [*cuts[1:], len(of)], again, [*again[1:], len(twice)])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["part", "once", "twice"])
+
+
+#: Hashes of a task's coarse range that are dealt to its fine ranges at a time.
+REFINED = 2_000_000
+
+
+def suspected_hashes(docs: DataFrame, min_chars: int, range_bits: int, most_task_bits: int = MOST_TASK_BITS) -> DataFrame:
+    """(h): 64-bit hashes of the keys that may stand in more than one document; of those that do, all.
+
+    There are ``2 ** range_bits`` ranges but at most ``2 ** most_task_bits`` tasks. Where there are more ranges than tasks,
+    hashes are sent packed by a task's coarse range; the task deals them to its fine ranges, sorts those (on disk, if need
+    be), and fills the filters of one after the other."""
+    coarse = min(range_bits, most_task_bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +98,25 @@ def suspected_hashes(docs: DataFrame, min_chars: int, range_bits: int) -> DataFr
             hashes, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
             if not len(hashes):
                 continue
-            of = (hashes >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(hashes), np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            rows = [(int(of[a]), hashes[a:z].astype("<u8").tobytes(), hashes[a:z][n[a:z] > 1].astype("<u8").tobytes()) for a, z in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["part", "once", "twice"])
+            yield _by_range(hashes, hashes[n > 1], coarse)
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            # a hash that two tasks sent has been seen twice
+            once, times = np.unique(np.concatenate([x for x, _ in held]), return_counts=True)
+            return _by_range(once, np.union1d(once[times > 1], np.concatenate([x for _, x in held])), range_bits)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append((np.frombuffer(r["once"], "<u8"), np.frombuffer(r["twice"], "<u8")))
+                n += len(held[-1][0])
+                if n > REFINED:
+                    yield dealt()
+                    held, n = [], 0
+        if held:
+            yield dealt()
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -102,7 +135,10 @@ def suspected_hashes(docs: DataFrame, min_chars: int, range_bits: int) -> DataFr
             yield done()
 
     sent = docs.select("text").mapInArrow(send, "part long, once binary, twice binary")
-    return sent.repartition(1 << range_bits, "part").sortWithinPartitions("part").mapInArrow(own, "h long")
+    sent = sent.repartition(1 << coarse, "part")
+    if range_bits > coarse:
+        sent = sent.mapInArrow(refine, "part long, once binary, twice binary")
+    return sent.sortWithinPartitions("part").mapInArrow(own, "h long")
 
 
 class _Suspects:
@@ -133,6 +169,8 @@ def dedup_lines(
     min_chars: int = 1,
     keep_first: bool = False,
     max_broadcast_bytes: int = 32_000_000,
+    text_per_range: int = TEXT_PER_RANGE,
+    most_task_bits: int = MOST_TASK_BITS,
 ) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` beside its columns.
 
@@ -151,8 +189,8 @@ def dedup_lines(
     rows = base.withColumns({own: F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]), unnamed: F.struct(identity.isNull().alias("none"), identity.alias("id"), F.xxhash64("text").alias("h"))})
 
     volume = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    range_bits = int(max(0, np.ceil(np.log2(max(volume, 1) / TEXT_PER_RANGE))))
-    suspects = written(suspected_hashes(base, min_chars, range_bits), "suspects")
+    range_bits = int(max(0, np.ceil(np.log2(max(volume, 1) / text_per_range))))
+    suspects = written(suspected_hashes(base, min_chars, range_bits, most_task_bits), "suspects")
     shared = None
     if suspects.count() * 8 <= max_broadcast_bytes:
         shared = spark.sparkContext.broadcast(np.sort(suspects.toArrow().column("h").to_numpy().view(np.uint64)))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import MOST_TASK_BITS, free_name, written
 from .components import connected_components
 
 U64 = np.uint64
@@ -233,16 +233,53 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(sign: np.ndarray, number: np.ndarray, bits: int) -> Iterator[tuple]:
     """Rows (bucket, classes, counts, signs): per bucket of the signatures' upper bits, their next 40 bits by class."""
-    bucket = (sign >> U64(64 - bits)).astype(np.int64)
+    yield from _rows((sign >> U64(64 - bits)).astype(np.int64), (sign << U64(bits)) >> U64(24), number)
+
+
+def _rows(bucket: np.ndarray, sign: np.ndarray, number: np.ndarray) -> Iterator[tuple]:
+    """Rows as above from buckets and signs of 40 bits."""
     order = np.lexsort((number, bucket))
     bucket, number = bucket[order], number[order]
-    low = ((sign[order] << U64(bits)) >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    low = sign[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     at, size = _runs(bucket)
     for s, n in zip(at, size):
         c, k = _runs(number[s : s + n])
         yield int(bucket[s]), number[s : s + n][c].astype("<i8").tobytes(), k.astype("<u4").tobytes(), low[s : s + n].tobytes()
 
 
+def _dealt(sent: DataFrame, bits: int, coarse: int, *keys) -> DataFrame:
+    """Packed rows at the tasks of their buckets, in order of buckets: at most ``2 ** coarse`` tasks. Where there are more
+    buckets (``2 ** bits``), rows come packed by coarse buckets, and a task deals its own to fine ones, by the upper bits of
+    their signs, and sorts those (on disk, if need be): it never holds more than FLUSH signs, and later one bucket."""
+    dealt = sent.repartition(1 << coarse, *keys)
+    if bits > coarse:
+        more = bits - coarse
+
+        def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+
+            def fine() -> pa.RecordBatch:
+                bucket, sign, number = (np.concatenate(x) for x in zip(*held))
+                return _packed_batch(list(_rows((bucket << more) | (sign >> U64(40 - more)).astype(np.int64), sign, number)))
+
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["bucket"] < 0:
+                        yield _packed_batch([tuple(r.values())])
+                        continue
+                    sign, number = _unpacked(r)
+                    held.append((np.full(len(sign), r["bucket"], np.int64), sign, number))
+                    n += len(sign)
+                    if n > FLUSH:
+                        yield fine()
+                        held, n = [], 0
+            if held:
+                yield fine()
+
+        dealt = dealt.mapInArrow(refine, "bucket int, classes binary, counts binary, signs binary")
+    return dealt.sortWithinPartitions("bucket")
+
+
 def _stars(sign: np.ndarray, number: np.ndarray, at_least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (sign, number) pairs in that order: group (smallest number of the sign) and member for all signs that so many
     classes share, each pair once; and which pairs stand in no such sign or first in one."""
@@ -287,10 +324,11 @@ def _new_classes(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.nd
             yield number, s
 
 
-def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_000_000) -> DataFrame:
+def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_000_000, most_task_bits: int = MOST_TASK_BITS) -> DataFrame:
     """(cls, unshared): how many of a class's shingles no other class of these texts has. Classes without any are left
     out. Every shingle is sent once a task, packed; only counts come back."""
     bits = int(max(6, np.ceil(np.log2(max(1, n_shingles / per_bucket)))))
+    coarse = min(bits, most_task_bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,10 +338,10 @@ def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_
                 numbers.append(np.full(len(s), number))
                 held += len(s)
                 if held > FLUSH:
-                    yield _packed_batch(list(_packed(np.concatenate(sets), np.concatenate(numbers), bits)))
+                    yield _packed_batch(list(_packed(np.concatenate(sets), np.concatenate(numbers), coarse)))
                     sets, numbers, held = [], [], 0
             if sets:
-                yield _packed_batch(list(_packed(np.concatenate(sets), np.concatenate(numbers), bits)))
+                yield _packed_batch(list(_packed(np.concatenate(sets), np.concatenate(numbers), coarse)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts = None, []
@@ -329,8 +367,7 @@ def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_
             yield alone()
 
     sent = docs.select("text").mapInArrow(send, "bucket int, classes binary, counts binary, signs binary")
-    dealt = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("unshared"))
+    return _dealt(sent, bits, coarse, "bucket").mapInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("unshared"))
 
 
 def _with_partners(classes: DataFrame, docs: DataFrame, width: int, t: Threshold, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -347,10 +384,11 @@ def _with_partners(classes: DataFrame, docs: DataFrame, width: int, t: Threshold
     return classes, docs
 
 
-def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bucket: int = 1_000_000) -> DataFrame:
+def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bucket: int = 1_000_000, most_task_bits: int = MOST_TASK_BITS) -> DataFrame:
     """(grp, cls) of classes that share a signature with the smaller class grp, each pair once."""
     share = (t.den - t.num) / t.num * 2.2
     bits = int(max(6, np.ceil(np.log2(max(1, n_shingles * share / per_bucket)))))
+    coarse = min(bits, most_task_bits)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(signs: list, numbers: list) -> pa.RecordBatch:
@@ -358,7 +396,7 @@ def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bu
             order = np.lexsort((number, sign))
             sign, number = sign[order], number[order]
             grp, cls, sent = _stars(sign, number, COMBINE)
-            rows = list(_packed(sign[sent], number[sent], bits))
+            rows = list(_packed(sign[sent], number[sent], coarse))
             rows += [(-1, grp.astype("<i8").tobytes(), b"", cls.astype("<i8").tobytes())] if len(grp) else []
             return _packed_batch(rows)
 
@@ -403,8 +441,7 @@ def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bu
     sent = docs.select("text").mapInArrow(sign, "bucket int, classes binary, counts binary, signs binary")
     # rows of local pairs have nothing to meet: they go anywhere
     spread = F.when(F.col("bucket") < 0, F.xxhash64("signs")).otherwise(F.col("bucket").cast("long"))
-    dealt = sent.repartition(1 << bits, spread).sortWithinPartitions("bucket")
-    met = written(dealt.mapInArrow(meet, "grp long, cls long, local boolean").distinct(), "met")
+    met = written(_dealt(sent, bits, coarse, spread).mapInArrow(meet, "grp long, cls long, local boolean").distinct(), "met")
     local, wide = met.filter("local").select("grp", "cls"), met.filter(~F.col("local")).select("grp", "cls")
     # who was combined into a class goes where that class goes
     along = local.withColumnsRenamed({"grp": "via"}).join(wide.withColumnsRenamed({"cls": "via"}), "via").select("grp", "cls")
@@ -424,7 +461,7 @@ def _largest_groups(members: DataFrame) -> DataFrame:
 def _tasks(places: DataFrame, classes: DataFrame) -> int:
     """Tasks for a search: as many as the shingles of its places fill at TASK_SHINGLES each, no fewer than shuffles have."""
     n = places.join(classes.select("cls", "n"), "cls").agg(F.sum("n")).first()[0] or 0
-    return max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_SHINGLES), 1)
+    return max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-n // TASK_SHINGLES), 1 << MOST_TASK_BITS), 1)
 
 
 def _search_blocks(rows: DataFrame, t: Threshold, n_parts: int) -> DataFrame:
