@@ -1,9 +1,9 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-A token that hides its letters (digits and signs for letters, separators, drawn-out repeats) or a run of letters set
-apart is a lattice of what each character, spaces included, may stand for. Viterbi decoding under a character trigram model, counted over all
-documents, restores it. A logistic model over restored words and word beginnings, learnt from labelled documents,
-scores the restored text.
+A token that hides its letters (digits and signs for letters, separators, drawn-out repeats), or a window of neighbouring
+pieces that may be one word, whatever blanks part them, is a lattice of what each character, blanks included, may stand
+for. Viterbi decoding under a character trigram model, counted over all documents, restores it. A logistic model over
+restored words and word beginnings, learnt from labelled documents, scores the restored text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,56 @@ def raw_tokens(text: str | None) -> set[str]:
     return {*low.split(), *_APART.findall(low)}
 
 
+#: Signs at the ends of pieces, which part no word from the next.
+_LOOSE = dict.fromkeys(map(ord, ".,;:?\"'()[]{}«»"), " ")
+#: Runs of three or more pieces of one or two characters.
+_PIECES = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)")
+#: Pieces of a word that is cut anywhere, at most; more only where all are of one or two characters, up to LONGEST together.
+CUTS, LONGEST = 3, 16
+
+
+def cut_words(text: str | None, model: CharModel, known: frozenset[str], memory: dict[str, str]) -> set[str]:
+    """Words of ``known`` that stand in ``text`` in pieces, with any blanks between them: ``id iot``, ``i  d  i  o  t``.
+
+    Windows of neighbouring pieces that spell such a word, as they are or restored, are decoded as one lattice in which
+    each blank is nothing or the end of a word; a word counts if the most likely path holds it. So two words that are
+    common on their own stay apart. ``memory`` keeps decoded windows."""
+    if not text or not known:
+        return set()
+    pieces = text.lower().translate(_LOOSE).split()
+    windows, joined = {}, pieces
+    for n in range(1, CUTS):
+        joined = list(map(add, joined, pieces[n:]))
+        for word in known.intersection(joined):
+            at = -1
+            for _ in range(joined.count(word)):
+                at = joined.index(word, at + 1)
+                windows.setdefault(" ".join(pieces[at : at + n + 1]), word)
+    for run in _PIECES.findall(text.lower()):
+        short = [x.strip(_EDGES) or x for x in run.split()]
+        for a in range(len(short)):
+            word = short[a]
+            for z in range(a + 1, len(short)):
+                word += short[z]
+                if len(word) > LONGEST:
+                    break
+                if z - a >= 2:
+                    window = " ".join(short[a : z + 1])
+                    if word in known:
+                        windows.setdefault(window, word)
+                    elif not word.isalpha() and any(map(str.isalpha, word)) and _decoded(word, model, memory) in known:
+                        windows.setdefault(window, _decoded(word, model, memory))
+    return {word for window, word in windows.items() if word in _decoded(window, model, memory).split()}
+
+
+def _decoded(token: str, model: CharModel, memory: dict[str, str]) -> str:
+    if token not in memory:
+        if len(memory) >= 100_000:
+            memory.clear()
+        memory[token] = model.decode(token)
+    return memory[token]
+
+
 def features(words: str) -> list[str]:
     """Each word, and its beginnings of three to eight letters."""
     return [f for word in words.split() for f in (f"={word}", *(word[:k] for k in range(3, min(len(word), 8) + 1)))]
@@ -179,6 +230,10 @@ class Judge:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -3.0
 
+    def words(self, least: int = 4) -> frozenset[str]:
+        """Whole words that speak for toxicity, of so many letters at least."""
+        return frozenset(f[1:] for f in self.weights if f[0] == "=" and len(f) > least)
+
     def score(self, found: Iterable[str]) -> float:
         z = self.bias + sum(sorted(self.weights[f] for f in found if f in self.weights))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -289,6 +344,7 @@ def score_documents(docs: DataFrame, chars: CharModel, judge: Judge, into: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, judge = models.value
         seen: dict[str, tuple[str, ...]] = {}
+        known, memory = judge.words(), {}
         for batch in batches:
             scores = []
             for t in batch.column("text"):
@@ -302,6 +358,8 @@ def score_documents(docs: DataFrame, chars: CharModel, judge: Judge, into: str =
                         hit = seen[token] = tuple(f for f in features(word) if f in judge.weights) if word else ()
                     if hit:
                         found.update(hit)
+                for word in cut_words(t.as_py(), chars, known, memory):
+                    found.update(features(word))
                 scores.append(judge.score(found))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, own])
 
