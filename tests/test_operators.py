@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import cigar, distances, keys, paths, sequences, udf_surface
-from tidewell.operators import filters, groups, hamming, joins, kernels, matrices, neighbours, numbering, off_targets, pairing, sampling, stats, traces, windows
+from tidewell.operators import components, filters, groups, hamming, joins, kernels, matrices, neighbours, numbering, off_targets, pairing, sampling, stats, traces, windows
 from tidewell.plans import registry
 
 
@@ -233,6 +233,37 @@ def test_asof_bounds(spark):
     assert pairing.asof_forward(left, right, ["k"], "t", "s", "rid", 2_999_999).filter("id = 'b'").first()["match_rid"] is None
 
 
+def test_asof_across_ranges(spark, monkeypatch):
+    """One channel with nine tenths of all rows, in many ranges; ties, null times, null channels, a long silence."""
+    monkeypatch.setattr(numbering, "in_ranges", lambda df, order, rows_per_part=None, f=numbering.in_ranges: f(df, order, 40))
+    rng = random.Random(5)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.choice([rng.randrange(400), rng.randrange(400), 90_000]))
+    left = [(1 if rng.random() < 0.9 else rng.choice([2, None]), i, rng.choice([at(), at(), at(), None])) for i in range(400)]
+    right = [(1 if rng.random() < 0.9 else rng.choice([2, 3, None]), i, rng.choice([at(), at(), None])) for i in range(200)]
+    l, r = spark.createDataFrame(left, "k int, i int, t timestamp"), spark.createDataFrame(right, "k int, j int, s timestamp")  # noqa: E741
+    got = {x["i"]: (x["match_j"], x["match_time"]) for x in pairing.asof_forward(l, r, ["k"], "t", "s", "j", 5_000_000).collect()}
+    want = {}
+    for k, i, t in left:
+        near = min(((s, j) for q, j, s in right if q == k and s is not None and t is not None and s >= t), default=None)
+        want[i] = (near[1], near[0]) if near and near[0] - t <= dt.timedelta(seconds=5) else (None, None)
+    assert got == want and sum(j is not None for j, _ in want.values()) > 100
+    plan = pairing.asof_forward(l, r, ["k"], "t", "s", "j", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan
+
+
+def test_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 segments, in any order of names, in at most 15 rounds; rings, lone loops and null ends."""
+    rounds = []
+    monkeypatch.setattr(components, "written", lambda df, name, f=components.written: (rounds.append(name), f(df, name))[1])
+    names = [f"s{i}" for i in range(1000)]
+    random.Random(3).shuffle(names)
+    links = [*zip(names, names[1:]), ("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("y", "y"), ("z", None), (None, None)]
+    got = {r["node"]: r["part"] for r in components.connected_parts(spark.createDataFrame(links, "a string, b string"), "a", "b").collect()}
+    assert got == {**{n: "s0" for n in names}, **{f"x{i}": "x1" for i in (1, 2, 3)}, "y": "y"}
+    assert len(rounds) <= 16, len(rounds)  # one before the first round
+    assert components.connected_parts(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+
+
 def test_duplex_validity(spark):
     data = [("a", "p", False), ("b", "p", True), ("a;b", "p", False), ("c", "p", False), ("c;d", "p", False), ("e", "q", False), ("f", "q", False), ("e;f", "q", False), ("a;c", "p", False)]
     out = {r["name"]: r["is_valid"] for r in pairing.flag_valid_duplex(spark.createDataFrame(data, "name string, path string, rc boolean"), "name", "path", "rc").collect()}

@@ -62,3 +62,44 @@ def test_interval_stats_batch(spark):
     t = dt.datetime(2024, 1, 1, 0, 9, 59)
     df = spark.createDataFrame([(1, 60.0, t), (1, 40.0, t + dt.timedelta(seconds=1))], "fov_num int, value double, event_time timestamp")
     assert [(r["n"], r["n_over"]) for r in measurements.interval_stats(df).orderBy("interval_start").collect()] == [(1, 1), (1, 0)]
+
+
+def frames(spark, where, *runs, idle_s=3600):
+    """Runs the stream once for each list of rows: a restart between them, state in one place."""
+    schema = "type string, f int, t int, value double, event_time timestamp, n int"
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{where}/in")
+        out = measurements.frame_states(stream, "f", keep=["n"], order=["event_time", "n"], idle_s=idle_s, late="10 seconds")
+        with measurements.rocksdb_state(spark):
+            out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return {r["n"]: (r["t"], r["shifted"], r["newest_t"], r["held"]) for r in spark.read.parquet(f"{where}/out").collect()}
+
+
+def test_newer_frames_drop_older_ones(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    got = frames(
+        spark, tmp_path,
+        [("image", 1, 0, 5.0, at(0), 1), ("image", 1, 0, 7.0, at(1), 2), ("image", 2, 3, 1.0, at(1), 3)],
+        [("image", 1, 0, 8.0, at(2), 4), ("image", 1, 1, 9.0, at(3), 5), ("image", 2, 2, 9.0, at(3), 6)],
+        [("image", 1, 0, 6.0, at(4), 7), ("image", 1, 1, 6.0, at(5), 8), ("done", 1, 9, 0.0, at(6), 9), ("image", 1, 0, 4.0, at(7), 10), ("image", 2, 4, 3.0, at(7), 11)],
+    )
+    assert got == {
+        1: (0, 0.0, 0, 1), 2: (0, 2.0, 0, 2), 3: (3, 0.0, 3, 1), 4: (0, 3.0, 0, 3), 5: (1, 4.0, 1, 1),  # 6 is before its field's first frame
+        7: (0, 1.0, 1, 0), 8: (1, 1.0, 1, 2), 10: (0, 0.0, 0, 1), 11: (4, 2.0, 4, 1),
+    }
+
+
+def test_silent_fields_lose_their_state(spark, tmp_path):
+    """By the next row's time, and by a timer once the watermark has passed."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    got = frames(
+        spark, tmp_path,
+        [("image", 1, 0, 5.0, at(0), 1), ("image", 2, 0, 5.0, at(0), 2)],
+        [("image", 1, 1, 6.0, at(3000), 3)],
+        [("image", 1, 2, 7.0, at(9000), 4)],  # silent for longer than an hour
+        [("image", 1, 3, 9.0, at(9100), 5)],
+    )
+    assert got == {1: (0, 0.0, 0, 1), 2: (0, 0.0, 0, 1), 3: (1, 1.0, 1, 1), 4: (2, 0.0, 2, 1), 5: (3, 2.0, 3, 1)}
+    state = spark.read.format("statestore").option("stateVarName", "newest").load(f"{tmp_path}/state")
+    assert [r["key"]["f"] for r in state.collect()] == [1]  # field 2 never came again

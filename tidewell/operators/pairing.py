@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import micros
+from .numbering import around_on_line
 
 
 def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, right_id: str, tolerance_us: int) -> DataFrame:
     """For each left row the first right row at or after its time, at most ``tolerance_us`` later (JON2).
 
-    Adds ``match_<right_id>`` and ``match_time``, null without a match. Both sides go through one window over their
-    union, so there is one shuffle and no range join; among right rows of one time the smallest id is first.
+    Adds ``match_<right_id>`` and ``match_time``, null without a match. Both sides are put in order by range partitions of
+    even size, whatever one key holds of all rows; a range gets the first right row of the ranges after it from one row a
+    range (``around_on_line``, with time turned round). Among right rows of one time the smallest id is first.
     """
-    names = [c for c in left.columns if c not in by]
-    events = left.select(*by, micros(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"))
-    others = right.select(*by, micros(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(events.schema["_row"].dataType).alias("_row"), F.col(right_id).alias("_id"))
-    order = Window.partitionBy(*by).orderBy("_t", "_side", F.col("_id").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-    nearest = F.first(F.when(F.col("_side") == 1, F.struct("_id", "_t")), ignorenulls=True).over(order)
-    out = events.unionByName(others).withColumn("_m", nearest).filter("_side = 0")
-    near = F.col("_m._t") - F.col("_t") <= tolerance_us
-    return out.select(*by, "_row.*", F.when(near, F.col("_m._id")).alias(f"match_{right_id}"), F.when(near, F.timestamp_micros("_m._t")).alias("match_time"))
+    back = lambda t: -micros(t)
+    marks = right.filter(F.col(right_time).isNotNull()).groupBy(*by, back(right_time).alias("_t")).agg(F.min(right_id).alias("_id"))
+    out = around_on_line(left.withColumn("_t", back(left_time)), marks, by, "_t", "_id")
+    near = F.col("_t") - F.col("before.at") <= tolerance_us
+    found = [F.when(near, F.col("before.mark")).alias(f"match_{right_id}"), F.when(near, F.timestamp_micros(-F.col("before.at"))).alias("match_time")]
+    return out.select(*by, *[c for c in left.columns if c not in by], *found)
 
 
 def duplex_pairs(reads: DataFrame, tolerance_s: float = 3.0, min_quality: float = 8.0) -> DataFrame:

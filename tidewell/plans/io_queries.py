@@ -79,14 +79,15 @@ def graph_source(spark, sf_dir):
     return found.groupBy("kind", "a", "b", "ao", "bo").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LINKS = """links AS (SELECT DISTINCT o_custkey AS f, (o_custkey * 7 + 1) % 50 AS t, CASE WHEN o_custkey % 2 = 0 THEN '-' ELSE '+' END AS bo FROM orders WHERE o_custkey % 50 = (o_custkey // 50) % 50),
-    fwd AS (SELECT '>' || f AS a, CASE bo WHEN '+' THEN '>' ELSE '<' END || t AS b FROM links UNION SELECT '<' || f, CASE bo WHEN '+' THEN '<' ELSE '>' END || t FROM links)""".replace("(o_custkey // 50)", "CAST(floor(o_custkey / 50) AS BIGINT)")
+_LINKS = """links AS (SELECT DISTINCT o_custkey AS f, o_custkey - o_custkey % 40 + (o_custkey % 40 * 7 + 1) % 40 AS t, CASE WHEN o_custkey % 4 = 1 THEN '-' ELSE '+' END AS bo FROM orders),
+    fwd AS (SELECT '>' || f AS a, CASE bo WHEN '+' THEN '>' ELSE '<' END || t AS b FROM links UNION SELECT '<' || f, CASE bo WHEN '+' THEN '<' ELSE '>' END || t FROM links)"""
 
 
 def _links(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 50 = cast(floor(o_custkey / 50) as bigint) % 50").select("o_custkey").distinct()
+    """All customers with orders as segments, each linked to another one of its forty, some in reverse."""
     c = F.col("o_custkey")
-    return o.select(c.cast("string").alias("from_name"), F.lit("+").alias("from_orient"), ((c * 7 + 1) % 50).cast("string").alias("to_name"), F.when(c % 2 == 0, "-").otherwise("+").alias("to_orient"))
+    o = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    return o.select(c.cast("string").alias("from_name"), F.lit("+").alias("from_orient"), (c - c % 40 + (c % 40 * 7 + 1) % 40).cast("string").alias("to_name"), F.when(c % 4 == 1, "-").otherwise("+").alias("to_orient"))
 
 
 @query(
@@ -264,6 +265,34 @@ def stream_shifts(spark, sf_dir):
     return spark.read.parquet(f"{where}/out").withColumn("shifted", F.round("shifted", 6))
 
 
+@query(
+    "stream_frames",
+    """
+    WITH e AS (SELECT user_id, event_id, ts, value, event_type = 'error' AS done, CAST(floor(epoch(ts) / 43200) AS INTEGER) AS t FROM events),
+    g AS (SELECT *, coalesce(lag(done) OVER w, true) OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 172800000000 AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+    SELECT user_id, event_id, t, round(value - first_value(value) OVER (PARTITION BY user_id, k ORDER BY ts, event_id), 6) AS shifted, t AS newest_t, row_number() OVER (PARTITION BY user_id, k, t ORDER BY ts, event_id) AS held FROM s WHERE NOT done
+    """,
+)
+def stream_frames(spark, sf_dir):
+    """STR2, STR5: events in three parts by time, a restart before each: shifts to the first frame, what is held of the
+    newest frame, and state that goes with a done row or after two silent days."""
+    where = scratch(spark, "frames")
+    events = table(spark, sf_dir, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min("event_time").alias("a"), F.max("event_time").alias("z")).first()
+    cuts = [ends["a"] + (ends["z"] - ends["a"]) * k / 3 for k in (1, 2)]
+    parts = [F.col("event_time") < cuts[0], (F.col("event_time") >= cuts[0]) & (F.col("event_time") < cuts[1]), F.col("event_time") >= cuts[1]]
+    for part in parts:
+        events.filter(part).write.mode("append").parquet(f"{where}/in")
+        rows = spark.readStream.schema(events.schema).parquet(f"{where}/in")
+        kind = F.when(F.col("event_type") == "error", "done").otherwise("image")
+        rows = rows.select(kind.alias("type"), "user_id", "event_id", F.floor(F.col("event_time").cast("double") / 43200).cast("int").alias("t"), "value", "event_time")
+        out = measurements.frame_states(rows, "user_id", keep=["event_id"], order=["event_time", "event_id"], idle_s=172_800)
+        with measurements.rocksdb_state(spark):
+            _ran(out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state"))
+    return spark.read.parquet(f"{where}/out").withColumn("shifted", F.round("shifted", 6))
+
+
 @query("stream_calibrated", "SELECT l_orderkey, l_linenumber, round((l_quantity - 1) / (p_retailprice - 1), 6) AS value FROM lineitem JOIN part ON p_partkey = l_partkey")
 def stream_calibrated(spark, sf_dir):
     """STR3: a stream of lines as pixels against the static calibration of their part."""

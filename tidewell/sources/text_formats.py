@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import parse_path
+from ..operators.components import connected_parts
 from ..session import written
 
 #: The twelve columns of the graph alignment format.
@@ -188,17 +189,8 @@ def graph_endpoints(links: DataFrame) -> DataFrame:
 
 def forward_segments(links: DataFrame) -> DataFrame:
     """(segment): the oriented segments of the connected part that holds the most forward ones, ties to the part of the
-    smallest name; what PRJ1 asks for. Parts are found by smallest names spreading along links until none changes."""
-    edges = oriented_edges(links)
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    part = written(both.groupBy(F.col("a").alias("segment")).agg(F.least(F.min("b"), F.first("a")).alias("part")), "parts")
-    while True:
-        seen = both.join(part, both["b"] == part["segment"]).groupBy("a").agg(F.min("part").alias("near"))
-        new = part.join(seen, part["segment"] == seen["a"]).select("segment", F.least("part", "near").alias("part"), (F.col("near") < F.col("part")).alias("moved"))
-        new = written(new, "parts")
-        part, moved = new.select("segment", "part"), new.filter("moved").limit(1).count()
-        if not moved:
-            break
+    smallest name; what PRJ1 asks for. Rounds grow with the logarithm of the graph's length (``connected_parts``)."""
+    part = written(connected_parts(oriented_edges(links), "a", "b").withColumnRenamed("node", "segment"), "parts")
     sizes = part.groupBy("part").agg(F.sum(F.when(F.col("segment").startswith(">"), 1).otherwise(0)).alias("n"))
     best = sizes.agg(F.min(F.struct((-F.col("n")).alias("m"), "part")).alias("best")).select(F.col("best.part").alias("part"))
     return part.join(F.broadcast(best), "part", "left_semi").select("segment")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.filters import flat_field
@@ -34,8 +36,9 @@ def route(events: DataFrame, handlers: Mapping[str, Callable[[DataFrame, int], N
 def shift_to_first_frame(rows: DataFrame, group: str = "fov_num", time: str = "t", value: str = "value") -> DataFrame:
     """Each row's value less that of the first frame its field was seen with, and the latest frame so far (STR2, STR5).
 
-    State is two numbers a field: the first frame's number and value. A field's ``done`` row drops its state; a frame
-    before the first is late and dropped. Works on streams with a ``type`` column.
+    State is two numbers a field: the first frame's number and value. A field's ``done`` row drops its state, nothing else
+    does (``frame_states`` has the rule for newer frames, and timers); a frame before the first is late and dropped. Works
+    on streams with a ``type`` column.
     """
     kind = rows.schema[group].dataType.simpleString()
     out = f"{group} {kind}, {time} int, shifted double, last_t int"
@@ -65,6 +68,86 @@ def shift_to_first_frame(rows: DataFrame, group: str = "fov_num", time: str = "t
     return rows.groupBy(group).applyInPandasWithState(run, out, "first int, base double, last int", "append", GroupStateTimeout.NoTimeout)
 
 
+class FrameStates(StatefulProcessor):
+    """State of one field: its first frame, and of its newest frame the number, how many rows are held and when the last
+    one came. A newer frame drops what is held of the one before; a done row, or silence, drops all."""
+
+    def __init__(self, key: str, kind: str, time: str, value: str, event_time: str, keep: Sequence[str], order: Sequence[str], idle_ms: int) -> None:
+        self.key, self.kind, self.time, self.value, self.event_time = key, kind, time, value, event_time
+        self.keep, self.order, self.idle = list(keep), list(order), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "t int, base double")
+        self.newest = handle.getValueState("newest", "t int, held long, at_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, newest = self.first.get() if self.first.exists() else None, self.newest.get() if self.newest.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values(self.order, kind="stable").to_dict("records"):
+            at = int(pd.Timestamp(r[self.event_time]).value // 1_000_000)
+            if newest is not None and at - newest[2] > self.idle:
+                first = newest = None
+            if r[self.kind] == "done":
+                first = newest = None
+                continue
+            t, value = int(r[self.time]), float(r[self.value])
+            first = first or (t, value)
+            held = 0
+            if newest is None or t > newest[0]:
+                newest, held = (t, 1, at), 1
+            elif t == newest[0]:
+                held = newest[1] + 1
+                newest = (t, held, max(at, newest[2]))
+            if t >= first[0]:
+                out.append((key[0], *[r[c] for c in self.keep], t, value - first[1], newest[0], held))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if newest is None:
+            self.first.clear()
+            self.newest.clear()
+        else:
+            self.first.update(tuple(first))
+            self.newest.update(tuple(newest))
+            self.handle.registerTimer(newest[2] + self.idle + 1)
+        yield pd.DataFrame(out, columns=[self.key, *self.keep, self.time, "shifted", "newest_t", "held"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        self.newest.clear()
+        yield pd.DataFrame(columns=[self.key, *self.keep, self.time, "shifted", "newest_t", "held"])
+
+    def close(self) -> None:
+        pass
+
+
+def frame_states(rows: DataFrame, group: str = "fov_num", time: str = "t", value: str = "value", kind: str = "type", event_time: str = "event_time", keep: Sequence[str] = (), order: Sequence[str] = ("event_time",), idle_s: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """Each row's value less that of its field's first frame (``shifted``), the field's newest frame, and how many rows of
+    the row's own frame are held by then (STR2, STR5).
+
+    Only the newest frame is held: a newer t drops the older one, rows of which then have 0 held. A frame before the first
+    is late and has no row. A ``done`` row drops a field's state; so does silence of more than ``idle_s`` of event time, by
+    the next row's time or, once the watermark (``late`` behind the newest) has passed, by a timer: a field that never ends
+    holds no state for ever. A micro-batch's rows of one field are put in ``order`` in memory. State is kept by RocksDB:
+    see ``rocksdb_state``."""
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out = ", ".join([f"`{c}` {fields[c]}" for c in (group, *keep)] + [f"`{time}` int, shifted double, newest_t int, held long"])
+    state = FrameStates(group, kind, time, value, event_time, keep, order, idle_s * 1000)
+    return rows.withWatermark(event_time, late).groupBy(group).transformWithStateInPandas(state, out, "Append", "EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """While a stream starts, its state goes to RocksDB, which state variables and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def calibrated(events: DataFrame, calibration: DataFrame) -> DataFrame:
     """A stream of pixels against the static dark and flat fields of their channel (STR3)."""
     return flat_field(events, calibration)
