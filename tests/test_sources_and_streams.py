@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
-from tidewell.sources import sinks, text_formats
+from tidewell.sources import formats, sinks, text_formats
 from tidewell.streaming import measurements
 
 
@@ -103,3 +105,50 @@ def test_silent_fields_lose_their_state(spark, tmp_path):
     assert got == {1: (0, 0.0, 0, 1), 2: (0, 0.0, 0, 1), 3: (1, 1.0, 1, 1), 4: (2, 0.0, 2, 1), 5: (3, 2.0, 3, 1)}
     state = spark.read.format("statestore").option("stateVarName", "newest").load(f"{tmp_path}/state")
     assert [r["key"]["f"] for r in state.collect()] == [1]  # field 2 never came again
+
+
+def test_formats_of_the_reader(spark, tmp_path):
+    """Ranges of any size give each line once; the schema is the first line's or what is asked; filters are pushed down."""
+    formats.register(spark)
+    lines = [f"r{i} qs:f:{i}.5\t{i}\t0\t40\t+\t{'*' if i % 7 == 0 else f'>s{i}<t=1'}\t40\t0\t40\t38\t40\t{i % 60}\tNM:i:{i % 5}\tml:B:C,1,{i}" for i in range(500)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gaf").write_text("\n".join(lines[:300]) + "\n\n")
+    (tmp_path / "in" / "b.gaf").write_text("\n".join(lines[300:]))
+    (tmp_path / "in" / "_SUCCESS").write_text("x")
+    for size in (50, 977, 1 << 20):
+        rows = spark.read.format("gaf").option("splitBytes", size).load(str(tmp_path / "in"))
+        out = {r["name"]: r for r in rows.collect()}
+        assert rows.count() == len(out) == 500
+        r = out["r8"]
+        assert (r["query_length"], r["path"], r["NM"], r["qs"], r["ml"]) == (8, [">s8", "<t=1"], 3, 8.5, [1, 8]) and out["r7"]["path"] is None
+    some = spark.read.format("gaf").schema("name string, NM int").load(str(tmp_path / "in"))
+    assert some.columns == ["name", "NM"] and some.filter("NM = 4").count() == 100
+    near = rows.filter("mapping_quality >= 50 and NM in (1, 2) and name like 'r1%' and qs > 3")
+    assert near.count() == sum(i % 60 >= 50 and i % 5 in (1, 2) and str(i)[0] == "1" and i + 0.5 > 3 for i in range(500))
+    left = re.findall(r"Filter \((.*)\)", near._jdf.queryExecution().executedPlan().toString())
+    assert left and "qs" in left[0] and not re.search("mapping_quality|NM|name", left[0])  # the others went to the lines
+    reader = formats.GafReader({"path": str(tmp_path / "in"), "splitBytes": "400"}, rows.schema)
+    assert list(reader.pushFilters([EqualTo(("NM",), 1), EqualTo(("qs",), 1.5)])) == [EqualTo(("qs",), 1.5)]
+    made = [b.num_rows for part in reader.partitions() for b in reader.read(part)]
+    assert sum(made) == 100 and len(reader.partitions()) > 20
+
+
+def test_fastq_format(spark, tmp_path):
+    formats.register(spark)
+    (tmp_path / "x.fastq").write_text("".join(f"@q{i} b\n{'ACGT' * (i % 9 + 1)}\n+\n{'@+I!' * (i % 9 + 1)}\n" for i in range(200)))
+    for size in (64, 1 << 20):
+        rows = spark.read.format("fastq").option("splitBytes", size).load(str(tmp_path / "x.fastq"))
+        assert {r["id"]: len(r["qual"]) for r in rows.collect()} == {f"q{i}": 4 * (i % 9 + 1) for i in range(200)}
+    assert rows.filter("id = 'q17'").select("seq").first()[0] == "ACGT" * 9
+
+
+def test_key_ranges_open_few_files(spark, tmp_path):
+    df = spark.createDataFrame([(i % 37, i, str(i)) for i in range(2000)], "a int, b int, s string").repartition(5)
+    sinks.write_key_ranges(df, str(tmp_path / "t"), ["a", "b"], 12)
+    for lo, hi, most in (((5,), (8,), 4), ((5, 100), (5, 900), 2), ((36, 1999), (99,), 1), ((50,), (60,), 12)):
+        got = sinks.read_key_range(spark, str(tmp_path / "t"), lo, hi)
+        want = {(i % 37, i) for i in range(2000) if (i % 37, i)[: len(lo)] >= lo and (i % 37, i)[: len(hi)] <= hi}
+        assert {(r["a"], r["b"]) for r in got.collect()} == want
+        assert len(got.inputFiles()) <= most and (len(want) > 0 or hi == (60,) or lo == (36, 1999))
+    index = spark.read.parquet(str(tmp_path / "t" / sinks.KEY_INDEX)).collect()
+    assert sum(r["rows"] for r in index) == 2000 == spark.read.parquet(str(tmp_path / "t")).count()

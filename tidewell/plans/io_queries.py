@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import sinks, text_formats
+from ..sources import formats, sinks, text_formats
 from ..streaming import measurements
 from ..session import scratch, table
 from .registry import query
@@ -199,6 +199,44 @@ def key_ranges(spark, sf_dir):
     return rows.join(F.broadcast(held)).select("o_orderkey", "o_custkey", inside.cast("long").alias("n_files"))
 
 
+@query("key_range_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE (o_custkey, o_orderkey) BETWEEN (SELECT (max(o_custkey) // 3, 0) FROM orders) AND (SELECT (max(o_custkey) // 2, 0) FROM orders)")
+def key_range_scan(spark, sf_dir):
+    """SNK7: orders written in ranges of customer and order, and a range of them read by the file index."""
+    where, orders = scratch(spark, "ranges"), table(spark, sf_dir, "orders")
+    sinks.write_key_ranges(orders, where, ["o_custkey", "o_orderkey"], 16)
+    last = orders.agg(F.max("o_custkey")).first()[0]
+    return sinks.read_key_range(spark, where, (last // 3, 0), (last // 2, 0)).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(
+    "gaf_format",
+    """
+    SELECT 'r' || event_id AS name, user_id AS query_length, '>' || event_type || '<s' || user_id AS path, CAST(floor(value) AS INTEGER) AS "NM" FROM events WHERE user_id >= 10 AND floor(value) < 60 AND event_type || '=' LIKE 'c%'
+    """,
+)
+def gaf_format(spark, sf_dir):
+    """SRC1: alignments by way of the reader's format, with filters pushed down to the lines."""
+    formats.register(spark)
+    where, num = scratch(spark, "gaf"), lambda c: F.col(c).cast("string")
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit(">"), "event_type", F.lit("<s"), num("user_id"))
+    fields = [F.concat(F.lit("r"), num("event_id")), num("user_id"), F.lit("0"), F.lit("9"), F.lit("+"), path, *[F.lit("9")] * 5, F.lit("60"), F.concat(F.lit("NM:i:"), F.floor("value").cast("string")), F.concat(F.lit("cg:Z:"), F.col("event_type"), F.lit("="))]
+    e.select(F.concat_ws("\t", *fields).alias("value")).write.text(where)
+    rows = spark.read.format("gaf").option("splitBytes", 100_000).load(where)
+    return rows.filter("query_length >= 10 and NM < 60 and cg like 'c%'").select("name", "query_length", F.array_join("path", "").alias("path"), "NM")
+
+
+@query("fastq_format", "SELECT 'd' || doc_id AS id, regexp_replace(text, '[^a-zA-Z]', 'N', 'g') AS seq FROM documents WHERE length(text) > 0 AND CAST('d' || doc_id AS VARCHAR) LIKE 'd1%'")
+def fastq_format(spark, sf_dir):
+    """SRC2: reads by way of the reader's format: two of three columns made, names filtered as lines are read."""
+    formats.register(spark)
+    where = scratch(spark, "fastq")
+    seq = F.regexp_replace("text", "[^a-zA-Z]", "N")
+    d = table(spark, sf_dir, "documents").filter("length(text) > 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), seq.alias("seq"), F.array_repeat((F.col("doc_id") % 40).cast("int"), F.length(seq)).alias("q"))
+    sinks.write_fastx(d, where, scores="q")
+    return spark.read.format("fastq").schema("id string, seq string").option("splitBytes", 200_000).load(where).filter(F.col("id").startswith("d1"))
+
+
 @query(
     "interval_stats",
     """

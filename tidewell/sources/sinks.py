@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import json_bytes
@@ -60,6 +60,28 @@ def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+#: The folder of a table's file index; readers pass over names that begin with an underscore.
+KEY_INDEX = "_key_index"
+
+
 def write_key_ranges(df: DataFrame, path: str, key: Sequence[str], files: int) -> None:
-    """Files that each hold a range of the key, in order, so that range scans skip the others (SNK7)."""
+    """Files that each hold a range of the key, in order, and beside them an index of the files: name, rows, smallest and
+    largest key (SNK7). ``read_key_range`` opens only the files that a range of keys asks for."""
     df.repartitionByRange(files, *key).sortWithinPartitions(*key).write.parquet(path)
+    keys = F.struct(*key)
+    rows = df.sparkSession.read.parquet(path).select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("file"), keys.alias("k"))
+    rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("lo"), F.max("k").alias("hi")).coalesce(1).write.parquet(f"{path}/{KEY_INDEX}")  # a row a file
+
+
+def read_key_range(spark: SparkSession, path: str, lo: Sequence, hi: Sequence) -> DataFrame:
+    """Rows of a table that ``write_key_ranges`` wrote whose key is from ``lo`` to ``hi``, both included (SNK7). The index
+    names the files to open; no other is listed or read. ``lo`` and ``hi`` may be the first parts of a longer key."""
+    index = spark.read.parquet(f"{path}/{KEY_INDEX}")
+    key = index.schema["lo"].dataType.names
+    part = lambda c, n: F.struct(*[F.col(f"{c}.`{k}`") if c else F.col(f"`{k}`") for k in key[:n]])
+    given = lambda values: F.struct(*[F.lit(v).cast(index.schema["lo"].dataType[k].dataType).alias(k) for k, v in zip(key, values)])
+    wanted = index.filter((part("hi", len(lo)) >= given(lo)) & (part("lo", len(hi)) <= given(hi)))
+    files = sorted(r["file"] for r in wanted.select("file").collect())
+    rows = spark.read.parquet(*[f"{path}/{f}" for f in files]) if files else spark.read.parquet(path).limit(0)
+    rows = rows.filter((F.col(f"`{key[0]}`") >= F.lit(lo[0])) & (F.col(f"`{key[0]}`") <= F.lit(hi[0])))  # the scan can skip row groups by this
+    return rows.filter((part("", len(lo)) >= given(lo)) & (part("", len(hi)) <= given(hi)))
