@@ -664,6 +664,38 @@ def test_votes_equal_counting(spark, monkeypatch, held):
     assert "".join(r["text"] for r in sorted((r for r in many.collect() if (r["g"], r["h"]) == ("long", 0)), key=lambda r: r["block"])) == votes["long", 0]
 
 
+def test_draws_in_parts_of_a_group(spark):
+    """A group of a million values and one of few, drawn in parts: sizes, no value more often than it stands, even chances,
+    and the same draws again however the rows come."""
+    big = spark.range(1_000_000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
+    few = spark.createDataFrame([("b", float(i), i % 3 + 1) for i in range(20)] + [("c", 7.0, 2)], "g string, v double, n long")
+    counts = big.unionByName(few)
+    out = kernels.draws_by(counts, 30, 200, seed=5, per_part=20_000)
+    rows = out.toPandas()
+    sizes = rows.groupby(["g", "boot"])["n"].sum()
+    assert (sizes["a"] == 200).all() and len(sizes["a"]) == 30 and (sizes["b"] == sum(i % 3 + 1 for i in range(20))).all() and (sizes["c"] == 2).all()
+    a = rows[rows.g == "a"]
+    assert a.groupby("boot")["v"].nunique().min() == 200 and abs(a["v"].mean() - 500_000) < 12_000 and abs(a["v"].std() - 288_675) < 8_000
+    again = kernels.draws_by(counts.repartition(7), 30, 200, seed=5, per_part=20_000).toPandas()
+    key = ["g", "boot", "v"]
+    assert rows.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    hits = np.zeros(20)
+    for seed in range(12):
+        d = kernels.draws_by(few, 50, 5, seed=seed, per_part=4).filter("g = 'b'").groupBy("v").agg(F.sum("n").alias("n")).collect()
+        for r in d:
+            hits[int(r["v"])] += r["n"]
+    weight = np.array([i % 3 + 1 for i in range(20)])
+    want = hits.sum() * weight / weight.sum()
+    assert (np.abs(hits - want) < 5 * np.sqrt(want)).all()
+
+
+def test_bootstrapped_modes(spark):
+    rng = np.random.default_rng(8)
+    data = [(g, float(x)) for g, m in (("a", 3.0), ("b", 40.0)) for x in np.concatenate([rng.normal(m, 0.5, 2000), rng.uniform(0, 100, 500)])] + [("c", None)]
+    out = {r["g"]: r["mode"] for r in kernels.mode_by(spark.createDataFrame(data, "g string, x double"), "g", "x", boots=20, boot_rows=800, max_rows=300).collect()}
+    assert abs(out["a"] - 3) < 1.5 and abs(out["b"] - 40) < 1.5 and out["c"] is None
+
+
 def test_yeo_johnson_is_the_likeliest(spark):
     rng = np.random.default_rng(3)
     x = np.expm1(np.abs(rng.normal(1.0, 0.2, 800)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -35,19 +36,63 @@ def half_range_mode(v: np.ndarray, n: np.ndarray | None = None, least: int = 50,
     return float(np.average(v, weights=n))
 
 
+def draws_by(counts: DataFrame, boots: int, boot_rows: int, seed: int = 0, per_part: int = 100_000) -> DataFrame:
+    """(g, boot, v, n): for each group ``boots`` draws of ``boot_rows`` rows (all, if fewer) without replacement, as how often
+    each value was drawn. ``counts``: g, v, n, a row for each distinct value.
+
+    A group's values are dealt to parts by their hash. How many of a draw fall in each part is one multivariate
+    hypergeometric draw over the parts' totals, a row a part; each part then draws as many of its own rows. So no task
+    holds a group, and as parts and seeds depend on the values alone, reruns agree."""
+    kind = counts.schema["g"].dataType.simpleString()
+    parts = counts.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts"))
+    dealt = written(counts.join(sized_broadcast(parts), "g").select("g", "v", "n", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part")), "dealt")
+    source = lambda *key: np.random.default_rng([seed, *[zlib.crc32(str(k).encode()) for k in key]])
+
+    def shares(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        total = pdf["total"].to_numpy()
+        falls = source(pdf["g"].iloc[0]).multivariate_hypergeometric(total, min(boot_rows, int(total.sum())), size=boots, method="marginals")
+        return pd.DataFrame({"g": pdf["g"], "part": pdf["part"], "takes": list(falls.T)})
+
+    takes = dealt.groupBy("g", "part").agg(F.sum("n").alias("total")).groupBy("g").applyInPandas(shares, f"g {kind}, part int, takes array<long>")
+
+    def draw(key: tuple, values: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if values.empty or asked.empty:
+            return pd.DataFrame({"g": [], "boot": [], "v": [], "n": []})
+        values = values.sort_values("v")
+        v, ends, rng, out = values["v"].to_numpy(), np.cumsum(values["n"].to_numpy()), source(*key), []
+        for boot, k in enumerate(asked["takes"].iloc[0]):
+            if k:
+                at, n = np.unique(np.searchsorted(ends, rng.choice(int(ends[-1]), int(k), replace=False, shuffle=False), "right"), return_counts=True)
+                out.append(pd.DataFrame({"g": key[0], "boot": boot, "v": v[at], "n": n}))
+        return pd.concat(out) if out else pd.DataFrame({"g": [], "boot": [], "v": [], "n": []})
+
+    return dealt.groupBy("g", "part").cogroup(takes.groupBy("g", "part")).applyInPandas(draw, f"g {kind}, boot int, v double, n long")
+
+
 def mode_by(df: DataFrame, group: str, value: str, boots: int = 0, boot_rows: int = 100, seed: int = 0, least: int = 50, max_rows: int = 100_000) -> DataFrame:
     """Half-range mode per group; with ``boots``, the mean over so many draws of ``boot_rows`` rows (AGG11). All rows count.
 
     Groups of more than ``max_rows`` distinct values are halved by aggregates until so few are left, then finished in
-    one call a group. Draws are made in one call a group over its distinct values. Null and NaN values do not count;
-    groups without others have a null mode; rows without a group are left out.
+    one call a group. Draws are made in parts of a group's values (``draws_by``); only what is drawn meets, a draw at a
+    time. Null and NaN values do not count; groups without others have a null mode; rows without a group are left out.
     """
     x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null")
     counts = x.filter("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    kind = df.schema[group].dataType.simpleString()
+    if boots:
+
+        def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("v")
+            return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mode": [half_range_mode(pdf["v"].to_numpy(), pdf["n"].to_numpy(), least)]})
+
+        each = draws_by(counts, boots, boot_rows, seed, max_rows).groupBy("g", "boot").applyInPandas(drawn, f"g {kind}, mode double")
+        modes = each.groupBy("g").agg(F.avg("mode").alias("mode"))
+        return x.select("g").distinct().join(modes, "g", "left").withColumnRenamed("g", group)
     max_rows = max(max_rows, least)
     left = written(counts.select("g", "v", "n", F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("last")), "modes")
     done: list[DataFrame] = []
-    while not boots:
+    while True:
         spans = left.groupBy("g").agg(F.count(F.lit(1)).alias("k"), ((F.max("v") + F.min("v")) / 2).alias("middle"))
         large = written(spans.filter(F.col("k") > max_rows), "large")
         if not large.take(1):
@@ -62,16 +107,10 @@ def mode_by(df: DataFrame, group: str, value: str, boots: int = 0, boot_rows: in
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
-        v, n = pdf["v"].to_numpy(), pdf["n"].to_numpy()
-        if boots:
-            rng = np.random.default_rng(seed)
-            draws = rng.multivariate_hypergeometric(n, min(boot_rows, int(n.sum())), size=boots)
-            mode = float(np.mean([half_range_mode(v[d > 0], d[d > 0], least) for d in draws]))
-        else:
-            mode = half_range_mode(v, n, least, int(pdf["rounds"].iloc[0]), float(pdf["last"].iloc[0]))
+        mode = half_range_mode(pdf["v"].to_numpy(), pdf["n"].to_numpy(), least, int(pdf["rounds"].iloc[0]), float(pdf["last"].iloc[0]))
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mode": [mode]})
 
-    modes = left.groupBy("g").applyInPandas(run, f"g {df.schema[group].dataType.simpleString()}, mode double")
+    modes = left.groupBy("g").applyInPandas(run, f"g {kind}, mode double")
     return x.select("g").distinct().join(modes, "g", "left").withColumnRenamed("g", group)
 
 
