@@ -87,13 +87,13 @@ FAMILIES: list[tuple[str, str, str, str]] = [
     ("cc-by", r"cc by|creative commons attribution", "cc by", "2 0|2 5|3 0|4 0"),
 ]
 
-#: Label, priority, keyword, expression of sentences, notices and short references of one license.
+#: Label, priority, keywords (one stands in whatever the expression matches), expression of sentences, notices and short references of one license.
 SENTENCES: list[tuple[str, int, str, str]] = [
     ("mit", 80, "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", 75, "without restriction", r"deal in the software without restriction including without limitation"),
     ("mit", 75, "permission notice", r"above copyright notice and this permission notice shall be included in all copies"),
     ("mit", 70, "opensource org", r"opensource org licenses mit(?: license)?(?: php)?"),
-    ("mit", 70, "noninfringement", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit", 70, "in no event shall", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
     ("mit", 55, "mit", r"mit style licen[sc]e|mit x11(?: licen[sc]e)?|x11 mit"),
     ("mit", 45, "mit", r"(?:see|under|is|the) (?:the )?mit (?:terms|file|text)"),
     ("isc", 80, "hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -108,7 +108,7 @@ SENTENCES: list[tuple[str, int, str, str]] = [
     ("bsd-3-clause", 70, "opensource org", r"opensource org licenses bsd 3 clause"),
     ("bsd-3-clause", 75, "endorse or promote", r"neither the name of .{1,80}? may be used to endorse or promote products"),
     ("bsd-4-clause", 76, "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
-    ("gpl", 80, "free software foundation", r"redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 80, "redistribute it", r"redistribute it and or modify it under the terms of the gnu general public license"),
     ("gpl", 74, "gnu general public", r"you should have received a copy of the gnu general public license"),
     ("gpl", 74, "gnu general public", r"see the gnu general public license for more details"),
     ("gpl", 60, "gnu org", r"gnu org licenses gpl(?: html)?"),
@@ -116,7 +116,7 @@ SENTENCES: list[tuple[str, int, str, str]] = [
     ("gpl-3", 76, "gnu org", r"gnu org licenses gpl 3 0"),
     ("gpl-2", 66, "gplv2", r"gplv2(?: (?:or later|only))?"),
     ("gpl-3", 66, "gplv3", r"gplv3(?: (?:or later|only))?"),
-    ("lgpl", 80, "free software foundation", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", 80, "redistribute it", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
     ("lgpl", 74, "general public", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
     ("lgpl-2.1", 66, "lgplv2", r"lgplv2 1(?: (?:or later|only))?"),
     ("lgpl-3", 66, "lgplv3", r"lgplv3(?: (?:or later|only))?"),
@@ -189,9 +189,154 @@ SENTENCES: list[tuple[str, int, str, str]] = [
     ("cc-by-nc-nd", 67, "creativecommons", r"creativecommons org licenses by nc nd(?: \d \d)?"),
     ("cc0", 66, "creativecommons", r"creativecommons org publicdomain zero(?: \d \d)?"),
     ("cc0", 68, "waived all copyright", r"has waived all copyright and related or neighboring rights"),
+    ("mit-0", 82, "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .{0,700}? to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("mit", 66, "choosealicense", r"choosealicense com licenses mit"),
+    ("mit", 66, "mit license org", r"mit license org"),
+    ("mit", 58, "license mit|licence mit", r"license mit(?: expat)?|licence mit(?: expat)?"),
+    ("mit-modern-variant", 76, "without written agreement", r"permission is hereby granted without written agreement and without license or royalty fees to use copy modify and distribute"),
+    ("hpnd", 78, "its documentation for any", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("hpnd", 70, "in supporting documentation", r"above copyright notice appears? in all copies and that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("x11", 76, "x consortium", r"name of the x consortium shall not be used in advertising"),
+    ("bsd-0", 82, "with or without fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd-1-clause", 72, "redistribution of source code", r"redistribution of source code must retain the above copyright notice this condition and the following disclaimer"),
+    ("bsd-2-clause", 66, "freebsd", r"freebsd licen[sc]e|freebsd documentation licen[sc]e"),
+    ("bsd-3-clause", 74, "to endorse or promote", r"names? of (?:its|the) contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause-clear", 78, "patent", r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-2-patent", 76, "patent", r"each copyright holder and contributor hereby grants to (?:those|you) .{0,120}? a perpetual worldwide non exclusive no charge royalty free irrevocable .{0,60}? patent license"),
+    ("bsd-4-clause", 74, "university of california", r"this product includes software developed by the university of california berkeley"),
+    ("bsd", 66, "as is and any express", r"this software is provided by the .{0,80}? as is and any express or implied warranties including but not limited to"),
+    ("bsd-protection", 70, "bsd protection", r"bsd protection license"),
+    ("apache-1.1", 78, "apache software foundation", r"this product includes software developed by the apache software foundation http www apache org"),
+    ("apache-1", 76, "apache group", r"this product includes software developed by the apache group"),
+    ("apache-1.1", 70, "apache org", r"apache org licenses license 1 1"),
+    ("apache-2", 76, "applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", 74, "except in compliance", r"you may not use this file except in compliance with the license"),
+    ("apache-2", 66, "opensource org", r"opensource org licenses apache 2 0"),
+    ("apache-2-llvm-exception", 84, "llvm", r"apache license v? ?2 0 with llvm exceptions?"),
+    ("gpl", 72, "this program is free", r"this program is free software you can redistribute it and or modify"),
+    ("gpl", 70, "any warranty", r"distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("gpl", 62, "copyleft", r"gnu copyleft"),
+    ("gpl-2-only", 82, "version 2 of the gnu|public license version 2", r"under the terms of (?:version 2 of the gnu general public license|the gnu general public license version 2) (?:only|as published by the free software foundation)(?! either)"),
+    ("gpl-2-or-later", 83, "either version 2", r"either version 2 of the license or at your option any later version"),
+    ("gpl-3-or-later", 83, "either version 3", r"either version 3 of the license or at your option any later version"),
+    ("gpl-2-with-classpath-exception", 84, "classpath", r"(?:gpl|gnu general public license) .{0,40}? with (?:the )?classpath exception"),
+    ("gpl-2-with-classpath-exception", 78, "independent modules", r"permission to link this library with independent modules to produce an executable"),
+    ("gpl-with-gcc-exception", 78, "gcc runtime", r"gcc runtime library exception"),
+    ("gpl-with-font-exception", 76, "which uses this font", r"as a special exception if you create a document which uses this font"),
+    ("gpl-with-autoconf-exception", 76, "configuration script", r"as a special exception .{0,120}? configuration script generated by autoconf"),
+    ("gpl-with-bison-exception", 76, "bison", r"as a special exception .{0,120}? bison parser skeleton"),
+    ("linux-syscall-note", 80, "syscall", r"linux syscall note"),
+    ("lgpl-2-or-later", 83, "either version 2", r"gnu library general public license .{0,80}? either version 2 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", 84, "either version 2 1", r"either version 2 1 of the license or at your option any later version"),
+    ("lgpl", 72, "this library is free", r"this library is free software you can redistribute it and or modify"),
+    ("agpl-3-or-later", 84, "affero", r"gnu affero general public license .{0,80}? either version 3 of the license or at your option any later version"),
+    ("agpl", 74, "affero", r"you should have received a copy of the gnu affero general public license"),
+    ("gfdl", 76, "free documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gnu-all-permissive", 78, "any medium without royalty", r"copying and distribution of this file with or without modification are permitted in any medium without royalty"),
+    ("fsf-unlimited", 78, "unlimited permission", r"(?:this \w+ is free software the )?free software foundation .{0,40}? gives unlimited permission to copy and or distribute it"),
+    ("mpl-1.1", 76, "mozilla public", r"contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2-no-copyleft-exception", 78, "incompatible with secondary", r"incompatible with secondary licenses as defined by the mozilla public license"),
+    ("npl", 74, "netscape public", r"netscape public license(?: version)?(?: 1 [01])?"),
+    ("epl", 74, "eclipse foundation", r"eclipse foundation software user agreement"),
+    ("edl", 74, "eclipse org", r"eclipse org org documents edl v10"),
+    ("cddl", 72, "opensolaris", r"opensolaris org os licensing"),
+    ("cpal", 76, "attribution license", r"common public attribution license(?: version)?(?: 1 0)?"),
+    ("apsl", 76, "apple public source", r"apple public source license(?: version)?(?: \d \d)?"),
+    ("apple-sample", 74, "apple software", r"in consideration of your agreement to abide by the following terms .{0,120}? apple software"),
+    ("aladdin", 74, "aladdin", r"aladdin free public license"),
+    ("intel", 72, "intel", r"intel open source license|intel simplified software license"),
+    ("nasa", 74, "nasa open source", r"nasa open source agreement(?: version)?(?: 1 3)?"),
+    ("rpl", 74, "reciprocal public", r"reciprocal public license(?: version)?(?: 1 \d)?"),
+    ("motosoto", 72, "motosoto", r"motosoto open source license"),
+    ("nokia", 72, "nokia open source", r"nokia open source license"),
+    ("sleepycat", 76, "sleepycat|accompanied by information", r"sleepycat (?:public )?license|redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("watcom", 72, "watcom", r"sybase open watcom public license"),
+    ("xnet", 72, "x net", r"x net license"),
+    ("sgi-b", 74, "sgi free software", r"sgi free software license b"),
+    ("curl", 76, "curl|hereby granted provided", r"curl license|permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("libpng", 76, "libpng|png reference library", r"libpng license|the png reference library is supplied as is"),
+    ("libtiff", 74, "sam leffler", r"names of sam leffler and silicon graphics may not be used"),
+    ("ijg", 76, "independent jpeg", r"based in part on the work of the independent jpeg group"),
+    ("bzip2", 74, "bzip2", r"bzip2 (?:and libbzip2 )?license|this program bzip2 the associated library libbzip2"),
+    ("info-zip", 74, "info zip", r"info zip license|for the purposes of this copyright and license info zip is defined"),
+    ("freetype", 76, "freetype", r"freetype (?:project )?licen[sc]e|portions of this software are copyright .{0,30}? the freetype project"),
+    ("imagemagick", 74, "imagemagick", r"imagemagick licen[sc]e"),
+    ("icu", 76, "unicode|icu license", r"icu license|unicode terms of use|unicode inc license agreement"),
+    ("tcl", 74, "tcl|copyrighted by the regents", r"tcl tk license|this software is copyrighted by the regents of the university of california sun microsystems"),
+    ("tex", 70, "knuth", r"copyright .{0,20}? donald e knuth"),
+    ("lppl-1.3c", 78, "latex project public", r"this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("perl", 74, "perl", r"same terms as (?:the )?perl(?: ?5)?(?: programming language)?(?: system)?(?: itself)?"),
+    ("clarified-artistic", 74, "clarified artistic", r"clarified artistic license"),
+    ("python-cnri", 76, "cnri", r"cnri (?:open source )?(?:python )?licen[sc]e agreement"),
+    ("python-beopen", 74, "beopen", r"beopen (?:com )?(?:python )?open source license agreement"),
+    ("zpl", 74, "zope", r"zope public license zpl(?: version)?(?: \d \d)?"),
+    ("w3c", 76, "w3c", r"w3c software (?:and document )?notice and license"),
+    ("oasis", 70, "oasis", r"oasis intellectual property rights policy"),
+    ("ietf", 74, "ietf trust", r"ietf trust s legal provisions relating to ietf documents"),
+    ("blue-oak", 76, "blue oak", r"blue oak model license(?: 1 0 0)?"),
+    ("parity", 74, "parity public", r"parity public license(?: \d 0 0)?"),
+    ("polyform-noncommercial", 78, "polyform", r"polyform noncommercial license(?: 1 0 0)?"),
+    ("polyform-small-business", 76, "polyform", r"polyform small business license"),
+    ("polyform", 70, "polyform", r"polyform (?:strict|shield|internal use|perimeter|free trial) license"),
+    ("hippocratic", 76, "hippocratic", r"hippocratic license(?: version)?(?: \d \d)?"),
+    ("anti-996", 74, "996", r"anti 996 license"),
+    ("mulan", 76, "mulan", r"mulan (?:permissive|public) (?:software )?license(?: v?\d)?"),
+    ("cecill-b", 76, "cecill b", r"cecill b(?: free software)?(?: license)?"),
+    ("cecill-c", 76, "cecill c", r"cecill c(?: free software)?(?: license)?"),
+    ("etalab", 76, "licence ouverte", r"licence ouverte(?: etalab)?(?: version)?(?: 2 0)?"),
+    ("ogl", 76, "open government", r"open government licen[sc]e(?: v?\d(?: 0)?)?"),
+    ("open-game", 72, "open game", r"open game license(?: version)?(?: 1 0a?)?"),
+    ("dbcl", 74, "database contents", r"database contents license(?: dbcl)?"),
+    ("cdla-permissive", 76, "cdla|community data license", r"community data license agreement permissive|cdla permissive(?: \d 0)?"),
+    ("cdla-sharing", 76, "cdla|community data license", r"community data license agreement sharing|cdla sharing(?: 1 0)?"),
+    ("c-uda", 74, "computational use", r"computational use of data agreement"),
+    ("gemma", 74, "gemma", r"gemma terms of use|gemma is provided under and subject to the gemma terms"),
+    ("falcon", 72, "falcon", r"falcon llm license|tii falcon llm license"),
+    ("stability", 72, "stability ai", r"stability ai (?:non ?commercial research )?community license(?: agreement)?"),
+    ("openai-terms", 70, "openai", r"openai (?:terms of use|model license)"),
+    ("research-only", 60, "research licen", r"non ?commercial (?:bespoke )?research licen[sc]e"),
+    ("evaluation-only", 58, "evaluation", r"for (?:internal )?evaluation (?:use|purposes) only"),
+    ("non-commercial", 60, "commercial use", r"commercial use (?:of this \w+ )?is (?:strictly )?(?:prohibited|not (?:permitted|allowed))"),
+    ("no-ai-training", 66, "may not be used", r"may not be used (?:to train|for training|in the training of) (?:any )?(?:machine learning|artificial intelligence|ai|language) (?:models?|systems?)"),
+    ("no-ai-training", 64, "text and data mining", r"rights? (?:to|for|of) text and data mining (?:is|are) (?:expressly )?reserved"),
+    ("proprietary", 62, "information of", r"contains (?:confidential (?:and|or) )?(?:proprietary|trade secret) information of"),
+    ("proprietary", 58, "internal use", r"for internal use only(?: not for distribution)?"),
+    ("proprietary", 58, "subject to the terms", r"use of this (?:software|document|site) is subject to the terms of (?:the|a|your) (?:license|subscription|service) agreement"),
+    ("us-government", 74, "work of the|not subject to copyright", r"work of the (?:united states|u s) government|not subject to copyright (?:protection )?in the united states"),
+    ("us-government", 70, "title 17", r"title 17 (?:section|united states code section) 105"),
+    ("public-domain", 62, "public domain|disclaim", r"(?:author|authors) (?:hereby )?(?:disclaims? copyright|dedicate \w+ .{0,40}? to the public domain)"),
+    ("public-domain", 62, "disclaims copyright", r"the author disclaims copyright to this source code"),
+    ("public-domain", 58, "public domain", r"public domain (?:work|mark|dedication|software|file|image|text)s?"),
+    ("public-domain-mark", 70, "creativecommons", r"creativecommons org publicdomain mark(?: \d \d)?"),
+    ("public-domain", 30, "public domain", r"public domain"),
+    ("cc0", 72, "to the extent possible", r"to the extent possible under law .{0,80}? has waived"),
+    ("cc-by", 58, "creative commons", r"creative commons (?:licen[sc]e )?by(?: \d \d)?"),
+    ("cc-sampling", 66, "creativecommons", r"creativecommons org licenses (?:nc )?sampling"),
+    ("cc-devnations", 66, "creativecommons", r"creativecommons org licenses devnations"),
+    ("fair-license", 74, "usage of the works", r"usage of the works is permitted provided that this instrument is retained"),
+    ("wordnet", 74, "wordnet", r"wordnet \d(?: \d)? license|wordnet release \d \d license"),
+    ("ubuntu-font", 74, "ubuntu font", r"ubuntu font licen[sc]e(?: version)?(?: 1 0)?"),
+    ("bitstream-vera", 74, "bitstream", r"bitstream vera (?:is a trademark|fonts? (?:copyright|license))"),
+    ("liberation-font", 72, "liberation font", r"liberation font(?:s| software)? license"),
+    ("gust-font", 72, "gust font", r"gust font (?:source )?license"),
+    ("ssl-leay", 78, "eric young", r"this product includes cryptographic software written by eric young"),
+    ("oracle-bcl", 74, "binary code", r"oracle binary code license agreement|sun binary code license agreement"),
+    ("upl-1", 76, "universal permissive", r"subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software .{0,80}? universal permissive license"),
+    ("ms-pl", 74, "ms pl", r"microsoft public license ms pl"),
+    ("ms-limited", 72, "microsoft limited", r"microsoft limited (?:public|reciprocal|community) license"),
+    ("zero-bsd", 60, "0bsd|zero clause bsd", r"0bsd(?: license)?|zero clause bsd"),
+    ("unlicense", 72, "anyone is free", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("copyfree", 60, "copyfree", r"copyfree (?:open innovation )?license"),
+    ("isc", 60, "openbsd", r"openbsd (?:isc )?licen[sc]e"),
     ("gpl", 50, "copyleft", r"copyleft"),
 ]
 
+#: Verbs that introduce a license, and words that deny it.
+_VERBS = "licensed released distributed available published provided covered governed".split()
+_DENIALS = ("not", "never", "no longer", "neither", "not being", "not be")
+#: Above every rule but phrases: what a denial holds is no detection, and it is none itself.
+DENIED = 95
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -208,6 +353,8 @@ class Rule:
 _UNDER = r"(?:licensed|released|distributed|available|published|provided|covered|governed) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 #: How a version stands after a name.
 _VERSION = r"(?:public )?(?:license |licence |licenses )?(?:version |ver |v ?)?"
+#: How later versions are allowed after one.
+_LATER = r" (?:or (?:any )?(?:later|newer|greater|higher)(?: versions?)?|or at your option any later version|and later|plus)"
 
 
 def _versioned(label: str, version: str) -> str:
@@ -217,7 +364,8 @@ def _versioned(label: str, version: str) -> str:
 
 @lru_cache(4)
 def rules(phrases: tuple[tuple[str, str], ...] = ()) -> tuple[Rule, ...]:
-    """The ordered rules: the phrases, five forms per family and version, then the sentences."""
+    """The ordered rules: the phrases, denials, forms of the names and versions, then the sentences by hand. GNU licenses of a
+    version only, and of a version or later, have labels of their own."""
     out = []
 
     def add(label: str, priority: int, keyword: str, pattern: str, confidence: float) -> None:
@@ -229,14 +377,23 @@ def rules(phrases: tuple[tuple[str, str], ...] = ()) -> tuple[Rule, ...]:
         words = _keywords(name)
         for v in [*versions.split("|")] if versions else []:
             major = _versioned(label, v)
+            kept = label in ("gpl", "lgpl", "agpl", "gfdl")
+            ends = ((major, ""), (f"{major}-or-later", _LATER), (f"{major}-only", " only")) if kept else ((major, f"(?:{_LATER}| only)?"),)
             for k in words:
-                add(major, 60, k, rf"(?:{name}) {_VERSION}{v}(?: or (?:any )?later(?: version)?| only)?", 0.9)
-                add(major, 70, k, rf"{_UNDER}(?:{name}) {_VERSION}{v}(?: or (?:any )?later(?: version)?| only)?", 0.98)
-            add(major, 90, "spdx license identifier", rf"spdx license identifier {spdx} {v}(?: only| or later)?", 1.0)
+                for of, end in ends:
+                    add(of, 60 + (end == " only") + (end == _LATER), k, rf"(?:{name}) {_VERSION}{v}{end}", 0.9)
+                    add(of, 70 + (end == " only") + (end == _LATER), k, rf"{_UNDER}(?:{name}) {_VERSION}{v}{end}", 0.98)
+            for of, end in ends:
+                add(of, 90 + (end == " only") + (end == _LATER), "spdx license identifier", rf"spdx license identifier {spdx} {v}{end}", 1.0)
         for k in words:
             add(label, 40, k, rf"(?:{name}) (?:public )?licen[sc]ed?", 0.8)
             add(label, 50, k, rf"{_UNDER}(?:{name})(?: licen[sc]e)?", 0.95)
         add(label, 85, "spdx license identifier", rf"spdx license identifier {spdx}", 0.99)
+    names = "|".join(name for _, name, _, _ in FAMILIES)
+    under = _UNDER.partition(") ")[2]  # what follows the verb
+    for denial in _DENIALS:
+        for verb in _VERBS:
+            add("", DENIED, f"{denial} {verb}", rf"{denial} {verb} {under}(?:{names})(?: {_VERSION}\d(?: \d)?(?:{_LATER}| only)?)?(?: (?:public )?licen[sc]es?)?", 0.0)
     for label, priority, keyword, pattern in SENTENCES:
         add(label, priority, keyword, pattern, 0.9)
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.pattern.pattern)))
@@ -261,7 +418,8 @@ def _keywords(name: str) -> list[str]:
 def _automaton(phrases: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
     found: dict[str, list[int]] = {}
     for i, r in enumerate(rules(phrases)):
-        found.setdefault(r.keyword, []).append(i)
+        for k in [r.keyword] if r.phrase else r.keyword.split("|"):
+            found.setdefault(k, []).append(i)
     auto = ahocorasick.Automaton()
     for k, ids in found.items():
         auto.add_word(k, tuple(ids))
@@ -327,7 +485,7 @@ def detect(words: Sequence[str], phrases: tuple[tuple[str, str], ...] = ()) -> t
             kept.append(d)
             cover.add(d[1], d[2])
     first, last = (np.searchsorted(at, [d[k] for d in kept], "right") for k in (1, 2))
-    found = [Detection(int(s) - 1, int(e), label, p, c) for s, e, (p, _, _, label, c) in zip(first, last, kept)]
+    found = [Detection(int(s) - 1, int(e), label, p, c) for s, e, (p, _, _, label, c) in zip(first, last, kept) if label]
     return places, sorted(found, key=lambda d: (d.start, d.end, d.label))
 
 

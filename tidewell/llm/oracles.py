@@ -181,4 +181,12 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 QUALIFY rank <= 2000
 """
 
-ORACLES = {"op12_collocations": OP12, "op13_hard_negatives": OP13, "proximity_matches": NEAR, "op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}
+PHRASES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT * FROM (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')) t(q, label)),
+f AS (SELECT r, label, unnest(list_filter(range(0, len(w) - len(q) + 1), lambda i: w[i + 1 : i + len(q)] = q)) AS word FROM d, p),
+g AS (SELECT r, count(*) AS n, min(word) AS lo, max(word) AS hi FROM f GROUP BY r), l AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT r, label FROM f) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (r) LEFT JOIN l USING (r)
+"""
+
+ORACLES = {"license_phrases": PHRASES, "op12_collocations": OP12, "op13_hard_negatives": OP13, "proximity_matches": NEAR, "op1_sharding": OP1, "op3_ngram_join": OP3, "op6_mixing": OP6, "op2_warc": OP2, "op5_top_inner_products": OP5, "op7_decontamination": OP7, "op4_line_dedup": OP4}

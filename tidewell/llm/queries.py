@@ -72,6 +72,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the phrases among op8's results."""
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = token_counts.build_trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
     edited = token_counts.apply_edits(trees.withColumn("edits", token_counts.scripted_edits()))
@@ -102,7 +107,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, proximity_matches, op8_license_scan, op9_token_counts, op10_toxicity, op11_quality, op12_collocations, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc, op3_ngram_join, op4_line_dedup, op5_top_inner_products, op6_mixing, op7_decontamination, proximity_matches, op8_license_scan, license_phrases, op9_token_counts, op10_toxicity, op11_quality, op12_collocations, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
