@@ -696,6 +696,28 @@ def test_bootstrapped_modes(spark):
     assert abs(out["a"] - 3) < 1.5 and abs(out["b"] - 40) < 1.5 and out["c"] is None
 
 
+def test_hot_groups_are_capped_in_parts(spark):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", None]), i, rng.randrange(50), "x") for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, i int, q int, c string").repartition(4)
+    order = lambda r: (r[2], r[1])
+    first = {g: {r[1] for r in sorted((r for r in rows if r[0] == g), key=order)[:7]} for g in ("hot", "a", None)}
+    assert {r["i"] for r in sampling.first_per_group(df, ["g"], ["q", "i"], 7).collect()} == set.union(*first.values())
+    out = groups.limit_group_content(df, ["g"], ["q", "i"], ["c"], 7).collect()
+    assert len(out) == 600 and out[0].asDict().keys() == {"g", "i", "q", "c"}
+    assert {r["i"] for r in out if r["c"]} == set.union(*first.values())
+
+
+def test_medians_of_few_groups(spark):
+    rng = np.random.default_rng(2)
+    data = [(g, float(x)) for g in "abc" for x in rng.integers(0, 50, 400)] + [("d", None), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(data, "g string, x double")
+    for f in (lambda few: stats.median_by(df, ["g"], "x", few_groups=few), lambda few: stats.mad_bands(df.filter("g is not null"), ["g"], "x", few), lambda few: stats.percentile_profile(df, ["g"], "x", 20.0, few)):
+        a, b = ({r[0]: tuple(r) for r in f(few).collect()} for few in (True, False))
+        assert f(True).columns == f(False).columns and a.keys() == b.keys()
+        assert all((x is None) == (y is None) and (x is None or x == y or abs(x - y) < 1e-9) for k in a for x, y in zip(a[k], b[k]))
+
+
 def test_yeo_johnson_is_the_likeliest(spark):
     rng = np.random.default_rng(3)
     x = np.expm1(np.abs(rng.normal(1.0, 0.2, 800)))

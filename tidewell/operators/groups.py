@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..session import sized_broadcast
 from . import matrices
 from .numbering import dense_index
+from .sampling import first_per_group
 
 
 def depth_by(df: DataFrame, keys: Sequence[str], duplex: Column | None = None, prefix: str = "", suffix: str = "") -> DataFrame:
@@ -65,10 +66,14 @@ def read_quality(df: DataFrame) -> Column:
 
 
 def limit_group_content(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], n: int) -> DataFrame:
-    """Beyond the first ``n`` rows of a group the given columns become null; the rows stay (PRJ14)."""
-    over = Window.partitionBy(*group).orderBy(*order)
-    out = df.withColumn("_rank", F.row_number().over(over))
-    return out.withColumns({c: F.when(F.col("_rank") <= n, F.col(c)) for c in columns}).drop("_rank")
+    """Beyond the first ``n`` rows of a group the given columns become null; the rows stay (PRJ14). ``order`` tells the rows
+    of a group apart. Only the order of each group's n-th row is found and put to the rows: no group meets in one task."""
+    key = F.struct(*order)
+    first = first_per_group(df.select(*group, *[c for c in order if c not in group]), group, order, n)
+    last = first.groupBy(*group).agg(F.max(key).alias("_last")).select(*[F.col(g).alias(f"_own_{g}") for g in group], "_last")
+    same = [F.col(g).eqNullSafe(F.col(f"_own_{g}")) for g in group]
+    out = df.join(last, same, "left").withColumns({c: F.when(key <= F.col("_last"), F.col(c)) for c in columns})
+    return out.drop("_last", *[f"_own_{g}" for g in group])
 
 
 def column_vote(df: DataFrame, group: Sequence[str], seq: str, into: str = "consensus") -> DataFrame:

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows per group: a library's cap per target and mismatch (TOP2)."""
+def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, salt: int = 16) -> DataFrame:
+    """The first ``n`` rows per group: a library's cap per target and mismatch (TOP2). Each group is first cut to its first
+    ``n`` within ``salt`` parts, so one group's rows do not meet in one task."""
+    rows = df
+    if salt > 1:
+        inside = Window.partitionBy(*group, "_salt").orderBy(*order)
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salt))).withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= n).drop("_salt")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def sample_share(df: DataFrame, key: Sequence[str], share: float, seed: int = 0) -> DataFrame:

@@ -25,15 +25,21 @@ def group_stats(df: DataFrame, group: Sequence[str], value: str, member: str) ->
     )
 
 
-def median_by(df: DataFrame, group: Sequence[str], value: str, into: str = "median", approximate: bool = False) -> DataFrame:
-    """Median per group; ``approximate`` for groups too large to hold (AGG7). Nulls do not count."""
+def median_by(df: DataFrame, group: Sequence[str], value: str, into: str = "median", approximate: bool = False, few_groups: bool = False) -> DataFrame:
+    """Median per group (AGG7). Nulls do not count. A group's distinct values are held by one reducer; for few groups too
+    large for that, ``few_groups`` finds exact medians over ranges of their values, ``approximate`` near ones."""
+    if few_groups:
+        found = exact_quantiles(df, value, [0.5], group).select(*group, F.get("quantiles", F.lit(0)).alias(into))
+        same = [F.col(f"g.`{g}`").eqNullSafe(F.col(f"q.`{g}`")) for g in group]
+        return df.select(*group).distinct().alias("g").join(found.alias("q"), same, "left").select("g.*", f"q.{into}")
     return df.groupBy(*group).agg((F.percentile_approx(value, 0.5, 10_000) if approximate else median(value)).alias(into))
 
 
-def mad_bands(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Median and median absolute deviation per group, with the band around it (AGG8)."""
-    mid = median_by(df, group, value, "mid")
-    off = df.join(mid, list(group)).groupBy(*group, "mid").agg(median(F.abs(F.col(value) - F.col("mid"))).alias("mad"))
+def mad_bands(df: DataFrame, group: Sequence[str], value: str, few_groups: bool = False) -> DataFrame:
+    """Median and median absolute deviation per group, with the band around it (AGG8); ``few_groups`` as in ``median_by``."""
+    mid = median_by(df, group, value, "mid", few_groups=few_groups)
+    away = df.join(mid, list(group)).withColumn("_off", F.abs(F.col(value) - F.col("mid")))
+    off = median_by(away, [*group, "mid"], "_off", "mad", few_groups=few_groups)
     return off.select(*group, F.col("mid").alias("median"), "mad", (F.col("mid") - F.col("mad")).alias("low"), (F.col("mid") + F.col("mad")).alias("high"))
 
 
@@ -222,9 +228,19 @@ def measure_objects(pixels: DataFrame, group: Sequence[str], label: str, y: str,
 PROFILE = (0.005, 0.05, 0.25, 0.75, 0.95, 0.995)
 
 
-def percentile_profile(df: DataFrame, group: Sequence[str], value: str, threshold: float) -> DataFrame:
-    """Mean, median and percentiles of a crop, and mean and median above and below a threshold (AGG32)."""
+def percentile_profile(df: DataFrame, group: Sequence[str], value: str, threshold: float, few_groups: bool = False) -> DataFrame:
+    """Mean, median and percentiles of a crop, and mean and median above and below a threshold (AGG32); ``few_groups`` as in
+    ``median_by``."""
     v = F.col(value)
+    if few_groups:
+        out = df.groupBy(*group).agg(F.avg(v).alias("mean"), F.avg(F.when(v >= threshold, v)).alias("mean_above"), F.avg(F.when(v < threshold, v)).alias("mean_below"))
+        named = [f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}" for p in PROFILE]
+        parts = ((df, [0.5, *PROFILE], ["median", *named]), (df.filter(v >= threshold), [0.5], ["median_above"]), (df.filter(v < threshold), [0.5], ["median_below"]))
+        for rows, shares, names in parts:
+            found = exact_quantiles(rows, value, shares, group).select(*[F.col(g).alias(f"_own_{g}") for g in group], "quantiles")
+            same = [F.col(g).eqNullSafe(F.col(f"_own_{g}")) for g in group]
+            out = out.join(sized_broadcast(found), same, "left").withColumns({n: F.get("quantiles", F.lit(i)) for i, n in enumerate(names)}).drop("quantiles", *[f"_own_{g}" for g in group])
+        return out.select(*group, "mean", "median", *named, "mean_above", "median_above", "mean_below", "median_below")
     aggs = [F.avg(v).alias("mean"), median(v).alias("median")]
     aggs += [F.percentile(v, p).alias(f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}") for p in PROFILE]
     for side, part in (("above", F.when(v >= threshold, v)), ("below", F.when(v < threshold, v))):

@@ -50,11 +50,11 @@ def fluctuation_bins(df: DataFrame, trace: str, time: str, y: str, width: float,
     return out.withColumn("scaled_variance", F.try_divide("variance", "mean0")).withColumn("ratio", F.try_divide("scaled_variance", F.col("p") * (1 - F.col("p")))).drop("mean0")
 
 
-def robust_variance(df: DataFrame, group: Sequence[str], y: str) -> DataFrame:
-    """(1.4826 MAD)^2 per group (AGG23)."""
+def robust_variance(df: DataFrame, group: Sequence[str], y: str, few_groups: bool = False) -> DataFrame:
+    """(1.4826 MAD)^2 per group (AGG23); ``few_groups`` as in ``median_by``."""
     from .stats import mad_bands
 
-    return mad_bands(df, group, y).select(*group, "median", F.pow(F.col("mad") * 1.4826, 2).alias("robust_variance"))
+    return mad_bands(df, group, y, few_groups).select(*group, "median", F.pow(F.col("mad") * 1.4826, 2).alias("robust_variance"))
 
 
 def within_robust_sigma(df: DataFrame, group: Sequence[str], y: str, n_sigma: float = 3.0) -> DataFrame:

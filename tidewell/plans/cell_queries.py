@@ -386,20 +386,17 @@ def lone_points(spark, sf_dir):
 @query(
     "nearest_reference",
     """
-    WITH d AS (SELECT doc_id, doc_id % 2 AS position, rpad(regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g'), (SELECT max(length(text)) FROM benchmark) + 0, '-') AS s, length(text) AS n FROM documents),
-    m AS (SELECT max(length(text)) AS m FROM benchmark), t AS (SELECT doc_id, position, string_split(s, '') AS s FROM d, m WHERE coalesce(n, 0) <= m),
-    r AS (SELECT item_id % 2 AS position, item_id AS name, string_split(rpad(regexp_replace(text, '[^ -~]', '?', 'g'), CAST(m AS INTEGER), '-'), '') AS ref FROM benchmark, m WHERE item_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 8)),
-    p AS (SELECT t.doc_id, name, list_sum(list_transform(list_zip(s, ref), lambda z: CASE WHEN z[1] = z[2] OR z[1] = 'N' OR z[2] = 'N' THEN 0 ELSE 1 END)) AS k FROM t JOIN r USING (position))
+    WITH t AS (SELECT doc_id, doc_id % 2 AS position, string_split(md5(coalesce(text, '')), '') AS s FROM documents),
+    r AS (SELECT item_id % 2 AS position, item_id AS name, string_split(md5(coalesce(text, '')), '') AS ref FROM benchmark),
+    p AS (SELECT t.doc_id, name, list_sum(list_transform(list_zip(s, ref), lambda z: CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS k FROM t JOIN r USING (position))
     SELECT doc_id, arg_min(name, k * 1000000 + name) AS call, CAST(min(k) AS INTEGER) AS mismatches FROM p GROUP BY 1
-    """.replace("(SELECT max(length(text)) FROM benchmark) + 0", "CAST((SELECT max(length(text)) FROM benchmark) AS INTEGER)"),
+    """,
 )
 def nearest_reference(spark, sf_dir):
-    """JON22, SCL8: the nearest of the first eight items, by whole texts; texts longer than any item have no reference."""
-    b = table(spark, sf_dir, "benchmark")
-    m = b.agg(F.max(F.length("text"))).first()[0]
-    clean = F.rpad(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?"), m, "-")
-    d = table(spark, sf_dir, "documents").filter(F.coalesce(F.length("text"), F.lit(0)) <= m).select("doc_id", (F.col("doc_id") % 2).alias("position"), clean.alias("s"))
-    refs = b.orderBy("item_id").limit(8).select((F.col("item_id") % 2).alias("position"), F.col("item_id").alias("name"), clean.alias("ref"))
+    """JON22, SCL8: codes of whole documents against those of all items of their position."""
+    code = F.md5(F.coalesce("text", F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2).alias("position"), code.alias("s"))
+    refs = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 2).alias("position"), F.col("item_id").alias("name"), code.alias("ref"))
     return joins.nearest_reference(d, "s", refs, "position").select("doc_id", "call", "mismatches")
 
 

@@ -136,15 +136,14 @@ def mutation_spectrum(spark, sf_dir):
 
 @query(
     "duplex_census",
-    """
-    SELECT o_orderstatus, CAST(count(*) FILTER (p = '1' AND m) AS BIGINT) AS p1_match, CAST(count(*) FILTER (p = '1' AND NOT m) AS BIGINT) AS p1_mismatch, CAST(count(*) FILTER (p = '2' AND m) AS BIGINT) AS p2_match, CAST(count(*) FILTER (p = '2' AND NOT m) AS BIGINT) AS p2_mismatch
-    FROM (SELECT o_orderstatus, substring(o_orderpriority, 1, 1) AS p, o_totalprice > 100000 AS m FROM orders) GROUP BY 1
-    """,
+    "SELECT o_orderstatus, "
+    + ", ".join(f"CAST(count(*) FILTER (p = '{i}' AND m) AS BIGINT) AS p{i}_match, CAST(count(*) FILTER (p = '{i}' AND NOT m) AS BIGINT) AS p{i}_mismatch" for i in range(1, 6))
+    + " FROM (SELECT o_orderstatus, substring(o_orderpriority, 1, 1) AS p, o_totalprice > 100000 AS m FROM orders) GROUP BY 1",
 )
 def duplex_census(spark, sf_dir):
-    """AGG37: order states against two priorities."""
+    """AGG37: order states against all priorities."""
     o = table(spark, sf_dir, "orders").withColumn("pair", F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)))
-    return pairing.duplex_census(o, "o_orderstatus", "pair", ["p1", "p2"], F.col("o_totalprice") > 100000)
+    return pairing.duplex_census(o, "o_orderstatus", "pair", [f"p{i}" for i in range(1, 6)], F.col("o_totalprice") > 100000)
 
 
 def _vote(pdf):

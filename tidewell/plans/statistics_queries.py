@@ -316,7 +316,7 @@ def pixel_measure(spark, sf_dir):
 )
 def percentile_profile(spark, sf_dir):
     """AGG32."""
-    out = stats.percentile_profile(table(spark, sf_dir, "events"), ["event_type"], "value", 30.0)
+    out = stats.percentile_profile(table(spark, sf_dir, "events"), ["event_type"], "value", 30.0, few_groups=True)
     return _rounded(out, *[c for c in out.columns if c != "event_type"])
 
 
@@ -377,20 +377,20 @@ def pr_threshold(spark, sf_dir):
 @query(
     "fluctuation_bins",
     """
-    WITH q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value AS y FROM events), r AS (SELECT user_id, k - 1 AS t, y FROM q WHERE k <= 10),
+    WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, value AS y FROM events),
     s AS (SELECT user_id, arg_min(y, r.t) AS y0, CAST(floor(arg_min(y, r.t) / 25.0) AS BIGINT) AS bin FROM r GROUP BY 1),
     l AS (SELECT bin, count(*) AS k, avg(y0) AS mean0 FROM s GROUP BY 1 HAVING count(*) > 3),
     g AS (SELECT bin, r.t AS t, count(*) AS n, avg(y) AS mean, var_pop(y) AS variance, avg(y / nullif(y0, 0)) AS p, any_value(mean0) AS mean0 FROM r JOIN s USING (user_id) JOIN l USING (bin) GROUP BY bin, r.t)
-    SELECT bin, t, n, round(mean, 5) AS mean, round(variance, 5) AS variance, round(p, 5) AS p, round(variance / mean0, 5) AS scaled_variance FROM g
+    SELECT bin, t, n, round(mean, 5) AS mean, round(variance, 5) AS variance, round(p, 5) AS p, round(variance / mean0, 5) AS scaled_variance, round(variance / mean0 / nullif(p * (1 - p), 0), 4) + 0.0 AS ratio FROM g
     """,
 )
 def fluctuation_bins(spark, sf_dir):
-    """AGG22: users' events as traces."""
+    """AGG22: all users' events as traces, with the ratio that the analysis is for."""
     from pyspark.sql.window import Window
 
-    rows = table(spark, sf_dir, "events").withColumn("t", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")).filter("t < 10")
+    rows = table(spark, sf_dir, "events").withColumn("t", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long"))
     out = traces.fluctuation_bins(rows.select("user_id", "t", F.col("value").alias("y")), "user_id", "t", "y", 25.0, 3)
-    return _rounded(out.drop("ratio"), "mean", "variance", "p", "scaled_variance", digits=5)
+    return _rounded(out, "mean", "variance", "p", "scaled_variance", digits=5).withColumn("ratio", F.round("ratio", 4) + 0.0)  # no negative zero
 
 
 @query(
@@ -402,7 +402,7 @@ def fluctuation_bins(spark, sf_dir):
 )
 def robust_variance(spark, sf_dir):
     """AGG23."""
-    out = traces.robust_variance(table(spark, sf_dir, "events"), ["event_type"], "value")
+    out = traces.robust_variance(table(spark, sf_dir, "events"), ["event_type"], "value", few_groups=True)
     return out.withColumns({"median": F.round("median", 6), "robust_variance": F.round("robust_variance", 5)})
 
 
