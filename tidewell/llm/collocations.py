@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from .common import written
 
 #: Bytes of text that are cut at a time; sums a task holds before it passes them on.
-CHUNK = 3_000_000
-HELD = 600_000
+CHUNK = 1_500_000
+HELD = 300_000
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
@@ -154,6 +154,7 @@ class Sums:
                 n = part["n_sum"].to_numpy()
                 yield _row_batch(lang, 1, np.full(len(n), -1), part["word"].combine_chunks(), n)
         self.parts, self.words, self.n = {}, {}, 0
+        pa.default_memory_pool().release_unused()
 
 
 def _row_batch(lang: str, level: int, keys: np.ndarray, words: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
