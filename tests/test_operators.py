@@ -412,6 +412,50 @@ def test_trench_lineage_division(spark):
     assert ids(buffer=1.0)[(1, 1)] == (1, 2) and ids()[(1, 1)] == (0, 3)
 
 
+def plain_lineages(cells, buffer):
+    """Ids of one trench's cells {(t, p): (lineage, node)}: each frame takes the one before as a queue of expected cells."""
+    ids, queue, fresh = {}, [], 0
+    for t in sorted({c[0] for c in cells}):
+        frame = sorted(c for c in cells if c[0] == t)
+        waiting, sizes, expected = list(queue), [c[2] for c in frame], []
+        queue = []
+        for _, p, size, edge in frame:
+            if not expected and waiting:
+                lineage, node, was, at_edge = waiting.pop(0)
+                divided = size + buffer < was and not at_edge
+                expected = [(lineage, 2 * node), (lineage, 2 * node + 1)] if divided else [(lineage, node)]
+            if not expected:
+                expected, fresh = [(fresh, 1)], fresh + 1
+            ids[t, p] = expected.pop(0)
+            queue.append((*ids[t, p], size, edge))
+        assert len(sizes) == len(queue)
+    return ids
+
+
+@pytest.mark.parametrize("buffer", [0.0, 1.5])
+def test_lineages_of_random_trenches(spark, buffer):
+    rng = random.Random(int(buffer * 2))
+    trenches = {g: [(t, p, float(rng.randrange(1, 12)), rng.random() < 0.2) for t in range(12) for p in range(rng.randrange(6))] for g in range(40)}
+    df = spark.createDataFrame([(g, *c) for g, cells in trenches.items() for c in cells], "g int, t int, p int, len double, edge boolean").repartition(5)
+    out = traces.trench_lineages(df, ["g"], "t", "p", "len", buffer=buffer, at_edge="edge").collect()
+    got = {(r["g"], r["t"], r["p"]): (r["lineage"], r["progeny_id"]) for r in out}
+    assert got == {(g, *k): v for g, cells in trenches.items() for k, v in plain_lineages(cells, buffer).items()}
+
+
+def test_bit_thresholds_equal_the_likeliest_split(spark):
+    """Against all splits of the values into two normal classes, each tried."""
+    rng = np.random.default_rng(12)
+    data = {p: np.concatenate([rng.normal(0, s, n), rng.normal(d, 1.5 * s, m)]) for p, (s, d, n, m) in enumerate(((0.5, 8, 400, 300), (1.0, 15, 200, 600), (2.0, 60, 500, 100)))}
+    df = spark.createDataFrame([(p, float(v)) for p, x in data.items() for v in x], "p int, v double")
+    got = {r["p"]: r["threshold"] for r in kernels.bit_thresholds(df, "p", "v").collect()}
+    for p, x in data.items():
+        x = np.sort(x)
+        cost = [sum(len(y) * np.log(y.std() * len(x) / len(y)) for y in (x[:i], x[i:])) for i in range(5, len(x) - 5)]
+        at = int(np.argmin(cost)) + 5
+        width = (x[-1] - x[0]) / 200
+        assert x[at - 1] - 2 * width <= got[p] <= x[at] + 2 * width
+
+
 def test_quality_to_rank_by(spark):
     df = spark.createDataFrame([("a", 5.0, 1.0, [10, 20])], "name string, qs double, rq double, read_phred array<int>")
     got = [t.select(groups.read_quality(t).alias("q")).first()["q"] for t in (df, df.drop("rq"), df.drop("rq", "qs"))]
