@@ -3,7 +3,8 @@
 A sample of the documents, mined level by level at a lowered threshold, proposes the frequent phrases of each language.
 One pass over all documents counts them exactly, and with them their negative border: phrases that were not proposed
 though all their parts were. A border phrase that proves frequent is a failure of the sample; what it makes possible is
-counted in a further pass, until a pass finds none. So the sample decides how many passes there are, never the result.
+counted in a further pass, until a pass finds none. Few failures take one such pass: phrases built on them are counted
+whatever their length. So the sample decides how many passes there are, never the result.
 
 Tasks cut texts in numpy over Arrow batches and add phrases up as pairs of numbers (the phrase without its last word,
 the last word); only those sums are shuffled. Proposed phrases are sent to the tasks while they measure at most
@@ -163,9 +164,10 @@ def _row_batch(lang: str, level: int, keys: np.ndarray, words: pa.Array | None,
     return pa.RecordBatch.from_arrays(columns, names=["lang", "level", "key", "word", "n"])
 
 
-def _counted(texts: pa.Array, lang: str, held: Phrases | None, longest: int, words: bool, whole: bool, sums: Sums) -> Iterator[pa.RecordBatch]:
+def _counted(texts: pa.Array, lang: str, held: Phrases | None, longest: int, words: bool, whole: bool, further: bool, sums: Sums) -> Iterator[pa.RecordBatch]:
     """Counts one run of texts: level 0 is the number of words, level 1 each word (both if ``words``), beyond that the
-    phrases whose parts are held and were not all counted before."""
+    phrases whose parts are held and were not all counted before. With ``further``, phrases counted here for the first
+    time serve as parts, too; they have numbers beyond those held, and longer ones on them go by their words."""
     coded, piece = tokens(texts)
     local, names = coded.indices.to_numpy(), coded.dictionary
     if words and len(local):
@@ -177,7 +179,7 @@ def _counted(texts: pa.Array, lang: str, held: Phrases | None, longest: int, wor
     w = pc.fill_null(pc.index_in(names, value_set=held.words), -1).to_numpy().astype(np.int64)[local]
     at = np.where(held.own[w], w, -1) if len(held.own) else np.full(len(w), -1)
     at[w < 0] = -1
-    size = len(held.words)
+    size, known = len(held.words), len(held.words)
     for level in range(2, longest + 1):
         n = len(local) - level + 1
         if n < 1:
@@ -187,18 +189,27 @@ def _counted(texts: pa.Array, lang: str, held: Phrases | None, longest: int, wor
         last = here + level - 1
         keys, first, which, count = np.unique(at[here] * (size if whole else len(names)) + (w if whole else local)[last], return_index=True, return_inverse=True, return_counts=True)
         start = here[first]
+        follows = w[start + level - 1]
+        found = np.where(follows >= 0, held.find(level, at[start] * size + follows), -1)
         if whole:
-            new = ~(held.old[level - 2][at[start]] & held.old[level - 2][at[start + 1]])
-            sums.add(lang, level, keys[new], count[new])
+            counted = np.append(held.old[level - 2], False)  # numbers beyond those held are of phrases not counted before
+            new = ~(counted[np.minimum(at[start], known)] & counted[np.minimum(at[start + 1], known)])
+            named = at[start] < known
+            sums.add(lang, level, keys[new & named], count[new & named])
+            if (new & ~named).any():
+                of = start[new & ~named]
+                spelled = names.take(pa.array(local[(of[:, None] + np.arange(level)).ravel()])).to_numpy(zero_copy_only=False).reshape(-1, level)
+                yield _row_batch(lang, level, np.full(len(of), -2), pa.array([" ".join(x) for x in spelled], pa.string()), count[new & ~named])
+            known = len(held.keys[level - 2])
+            if further:
+                found = np.where(new & (found < 0), known + np.arange(len(found)), found)
         elif len(keys):
             yield _row_batch(lang, level, at[start], names.take(pa.array(local[start + level - 1])), count)
-        follows = w[start + level - 1]
-        found = np.where(follows >= 0, held.find(level, at[start] * size + follows), -1)
         at = np.full(n, -1)
         at[here] = found[which]
 
 
-def count_phrases(docs: DataFrame, proposed: dict[str, Phrases] | None, longest: int, least: int, words: bool, whole: bool = True) -> DataFrame:
+def count_phrases(docs: DataFrame, proposed: dict[str, Phrases] | None, longest: int, least: int, words: bool, whole: bool = True, further: bool = False) -> DataFrame:
     """(lang, words, n) of all counted phrases, each at least ``least`` times there; the number of words of a language has
     no words. ``docs``: lang, text."""
     held = docs.sparkSession.sparkContext.broadcast(proposed or {})
@@ -210,7 +221,7 @@ def count_phrases(docs: DataFrame, proposed: dict[str, Phrases] | None, longest:
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 texts = batch.column(1).filter(pc.equal(langs.indices, i)) if len(langs.dictionary) > 1 else batch.column(1)
                 for run in _chunks(texts):
-                    yield from _counted(run, lang, held.value.get(lang), longest, words, whole, sums)
+                    yield from _counted(run, lang, held.value.get(lang), longest, words, whole, further, sums)
                     if sums.n > HELD:
                         yield from sums.rows()
         yield from sums.rows()
@@ -220,6 +231,10 @@ def count_phrases(docs: DataFrame, proposed: dict[str, Phrases] | None, longest:
             table = pa.Table.from_batches([batch])
             for lang, level in {(x["lang"], x["level"]) for x in table.select(["lang", "level"]).group_by(["lang", "level"]).aggregate([]).to_pylist()}:
                 part = table.filter((pc.field("lang") == lang) & (pc.field("level") == level))
+                plain = part.filter(pc.field("key") == -2)
+                if len(plain):  # by its words
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(plain)), pc.split_pattern(plain["word"].combine_chunks(), " "), plain["n"].combine_chunks()], names=["lang", "words", "n"])
+                    part = part.filter(pc.field("key") != -2)
                 key, word, n = part["key"].to_numpy(), part["word"].combine_chunks(), part["n"].combine_chunks()
                 if level < 2:
                     of = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * level), word if level else pa.array([], pa.string()))
@@ -232,18 +247,22 @@ def count_phrases(docs: DataFrame, proposed: dict[str, Phrases] | None, longest:
     return counts.filter((F.col("n") >= least) | (F.col("level") == 0)).mapInArrow(spell, "lang string, words array<string>, n long")
 
 
-def _pass(docs: DataFrame, proposed: DataFrame | None, longest: int, least: int, words: bool, slice_bytes: int) -> DataFrame:
+def _slices(proposed: DataFrame, slice_bytes: int) -> int:
+    size = F.aggregate("words", F.lit(24), lambda a, w: a + F.octet_length(w) + 8)
+    return max(1, -(-(proposed.agg(F.sum(size)).first()[0] or 0) // slice_bytes))
+
+
+def _pass(docs: DataFrame, proposed: DataFrame | None, longest: int, least: int, words: bool, slice_bytes: int, further: bool = False) -> DataFrame:
     """One pass, or one for each slice of what is proposed (lang, words, old), written."""
     if proposed is None:
         return written(count_phrases(docs, None, longest, least, words), "phrases")
-    size = F.aggregate("words", F.lit(24), lambda a, w: a + F.octet_length(w) + 8)
-    slices = max(1, -(-(proposed.agg(F.sum(size)).first()[0] or 0) // slice_bytes))
+    slices = _slices(proposed, slice_bytes)
     out = None
     for i in range(slices):
         part = proposed if slices == 1 else proposed.filter(F.pmod(F.xxhash64("lang", F.col("words")[0]), F.lit(slices)) == i)
         table = part.select("lang", "words", "old").toArrow()
         held = {lang: Phrases.of(table.filter(pc.field("lang") == lang), longest) for lang in table["lang"].unique().to_pylist()}
-        found = written(count_phrases(docs, held, longest, least, words and i == 0, slices == 1), "phrases")
+        found = written(count_phrases(docs, held, longest, least, words and i == 0, slices == 1, further and slices == 1), "phrases")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -263,15 +282,19 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
         new = _pass(sample, proposed, longest, low, False, slice_bytes).select("lang", "words").distinct()
         proposed = proposed.select("lang", "words").withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
     proposed = proposed.select("lang", "words").distinct().withColumn("old", F.lit(False))
-    exact, passes = _pass(docs, proposed, longest, least, True, slice_bytes), 1
+    exact, passes, closed = _pass(docs, proposed, longest, least, True, slice_bytes), 1, False
     while True:
         exact = exact.distinct()  # slices may count a phrase twice, each time in full
         known = proposed.select("lang", "words").withColumn("old", F.lit(True))
         several = exact.filter(F.size("words") > 0).select("lang", "words").join(known, ["lang", "words"], "left").select("lang", "words", F.coalesce("old", F.lit(False)).alias("old"))
         proposed = written(several, "proposed")
-        if proposed.filter(~F.col("old") & (F.size("words") < longest)).isEmpty():
+        failed = F.col("old") == F.lit(False)
+        sizes = proposed.agg(F.count(F.when(failed & (F.size("words") < longest), 1)).alias("new"), F.count(F.lit(1)).alias("all")).first()
+        if closed or not sizes["new"]:
             return exact, passes
-        exact, passes = exact.unionByName(_pass(docs, proposed, longest, least, False, slice_bytes)), passes + 1
+        # few failures: what builds on them, and on that in turn, is counted in one go, which closes the search
+        closed = sizes["new"] * 10 <= sizes["all"] and _slices(proposed, slice_bytes) == 1
+        exact, passes = exact.unionByName(_pass(docs, proposed, longest, least, False, slice_bytes, closed)), passes + 1
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, cover: int = 100, first: int = 2000, **how) -> DataFrame:
