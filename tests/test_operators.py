@@ -150,7 +150,7 @@ def segment_struct_types(df):
 
 
 def test_a_cut_by_hand(spark):
-    """A path of a forward and a reverse segment, as the lab's own tool cuts it."""
+    """A path of a forward and a reverse segment, worked out by hand."""
     df = spark.createDataFrame([("r", [">a", "<b"], 0, 9, 9, 0, 9, 9, "4=1X4=", "AAAACGGTT", list(range(1, 10)))], ALN + ", seq string, phred array<int>")
     table = spark.createDataFrame([("a", 4), ("b", 5)], "name string, length int")
     a, b = cigar.cut_by_segment(df, table, with_cigar=True, seq="seq", phred="phred").orderBy("position").collect()
