@@ -442,6 +442,20 @@ def test_lineages_of_random_trenches(spark, buffer):
     assert got == {(g, *k): v for g, cells in trenches.items() for k, v in plain_lineages(cells, buffer).items()}
 
 
+def test_lineages_across_batches_without_a_table_a_trench(spark):
+    cells = [(g, t, p, float(9 - t + p % 2)) for g in (None, 1, 2) for t in range(4) for p in range(3)]
+    df = spark.createDataFrame([*cells, (1, None, 0, 5.0)], "g int, t int, p int, len double").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = traces.trench_lineages(df, ["g"], "t", "p", "len")
+        got = {(r["g"], r["t"], r["p"]): (r["lineage"], r["progeny_id"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = plain_lineages([(*c[1:], False) for c in cells if c[0] == 1], 0.0)
+    assert got == {(g, *k): v for g in (None, 1, 2) for k, v in plain.items()}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_bit_thresholds_equal_the_likeliest_split(spark):
     """Against all splits of the values into two normal classes, each tried."""
     rng = np.random.default_rng(12)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,34 +82,42 @@ def trench_lineages(cells: DataFrame, group: Sequence[str], time: str, position:
     more than ``buffer``, that one has divided: it and the next cell are its children 2n and 2n + 1; a predecessor that
     touches the image's edge (column ``at_edge``) has not, since it may have slid out. Each cell of the first frame
     starts a lineage of its own with id 1; cells pushed out at the open end go unmatched. Cells beyond all predecessors
-    start new lineages. A trench's cells are one call's: some dozens a frame.
+    start new lineages. Cells come sorted by trench, frame and place; of a trench only the frame before and the one at hand
+    are held, whatever batches the rows come in. Rows without a time stand in no frame and have no row.
     """
-    kind = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in [*group, time, position])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, position])
-        out, before, lineages = [], [], 0
-        for _, frame in pdf.groupby(time, sort=True):
-            now, i = [], 0
-            sizes = frame[length].tolist()
-            edges = frame[at_edge].tolist() if at_edge else [False] * len(sizes)
-            for lin, node, size, edge in before:
-                if i >= len(sizes):
-                    break
-                if sizes[i] + buffer < size and not edge:
-                    for child in (2 * node, 2 * node + 1):
-                        if i < len(sizes):
-                            now.append((lin, child, sizes[i], edges[i]))
-                            i += 1
+    kept = [*group, time, position]
+    kind = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in kept)
+    order = [time, F.asc_nulls_last(position)]
+    w = Window.partitionBy(*group).orderBy(*order)
+    edge = F.coalesce(F.col(at_edge).cast("boolean"), F.lit(False)) if at_edge else F.lit(False)
+    timed = cells.filter(F.col(time).isNotNull() & ~F.isnan(F.col(time).cast("double")) if cells.schema[time].dataType.typeName() in ("float", "double") else F.col(time).isNotNull())
+    rows = timed.select(*kept, F.coalesce(F.col(length).cast("double"), F.lit(float("nan"))).alias("_size"), edge.alias("_edge"))
+    rows = rows.withColumns({"_first": F.row_number().over(w) == 1, "_frame": ~F.col(time).eqNullSafe(F.lag(time).over(w))})
+    rows = rows.sortWithinPartitions(*group, *order)  # as the window leaves them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, now, at, twin, lineages = [], [], 0, None, 0
+        for batch in batches:
+            lins, nodes = [], []
+            for first, frame, size, edge in zip(*(batch.column(c).to_pylist() for c in ("_first", "_frame", "_size", "_edge"))):
+                if first:
+                    before, now, at, twin, lineages = [], [], 0, None, 0
+                elif frame:
+                    before, now, at, twin = now, [], 0, None
+                if twin:
+                    (lin, node), twin = twin, None
+                elif at < len(before):
+                    lin, node, was, touched = before[at]
+                    at += 1
+                    if size + buffer < was and not touched:
+                        node, twin = 2 * node, (lin, 2 * node + 1)
                 else:
-                    now.append((lin, node, sizes[i], edges[i]))
-                    i += 1
-            while i < len(sizes):
-                now.append((lineages, 1, sizes[i], edges[i]))
-                lineages += 1
-                i += 1
-            out.append(frame[[*group, time, position]].assign(lineage=[x[0] for x in now], progeny_id=[x[1] for x in now]))
-            before = now
-        return pd.concat(out)
-
-    return cells.groupBy(*group).applyInPandas(run, f"{kind}, lineage long, progeny_id long")
+                    lin, node = lineages, 1
+                    lineages += 1
+                now.append((lin, node, size, edge))
+                lins.append(lin)
+                nodes.append(node)
+            columns = [*(batch.column(c) for c in kept), pa.array(lins, pa.int64()), pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lineage", "progeny_id"])
+
+    return rows.mapInArrow(run, f"{kind}, lineage long, progeny_id long")
