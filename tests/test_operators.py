@@ -544,6 +544,13 @@ def test_median_vectors(spark, sf_dir):
     assert "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan
 
 
+def test_marks_on_a_line_without_frames_to_the_last_row(spark):
+    """Such a frame is added up anew for each row of a range."""
+    df = spark.createDataFrame([(1, 1, 2.0)], "g int, id long, x double")
+    plan = numbering.around_on_line(df, df.select("g", "x", F.col("id").alias("m")), ["g"], "x", "m")._jdf.queryExecution().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 @pytest.mark.parametrize("dims,within", [(1, None), (1, 4.0), (2, None), (2, 3.0), (3, None)])
 def test_mutual_nearest_equals_all_pairs(spark, dims, within):
     rng = random.Random(dims)

@@ -67,11 +67,11 @@ def around_on_line(asking: DataFrame, marks: DataFrame, group: Sequence[str], at
     here = F.when(F.col("_side") == 0, F.struct(F.col(at).alias("at"), F.col("_mark").alias("mark")))
     rows = rows.withColumn("_here", here)
     per = rows.groupBy(*group, "_part").agg(F.max("_here").alias("_last"), F.min("_here").alias("_first"))
-    w = Window.partitionBy(*group).orderBy("_part")  # one row a range
-    per = per.withColumns({"_up_to": F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_from": F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    earlier = lambda *order: Window.partitionBy(*group, *order[1:]).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)
+    # what follows is what comes earlier in the reverse order: a frame that ends at the last row is added up anew for each row
+    per = per.withColumns({"_up_to": F.last("_last", ignorenulls=True).over(earlier("_part")), "_from": F.last("_first", ignorenulls=True).over(earlier(F.desc("_part")))})  # one row a range
     per = per.select(*[F.col(g).alias(f"_own_{g}") for g in group], F.col("_part").alias("_p"), "_up_to", "_from")
-    inside = Window.partitionBy(*group, "_part").orderBy("_place")
-    rows = rows.withColumns({"before": F.last("_here", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first("_here", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))})
+    rows = rows.withColumns({"before": F.last("_here", ignorenulls=True).over(earlier("_place", "_part")), "after": F.last("_here", ignorenulls=True).over(earlier(F.desc("_place"), "_part"))})
     same = F.col("_part") == F.col("_p")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_own_{g}"))
