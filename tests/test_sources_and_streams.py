@@ -52,6 +52,21 @@ def test_stream_shifts_to_the_first_frame(spark, tmp_path):
     assert out == {(1, 4): (0.0, 4), (1, 5): (1.0, 5), (1, 6): (3.0, 6), (2, 1): (0.0, 1)}
 
 
+def test_stream_shifts_of_a_field_in_several_batches(spark, tmp_path):
+    kind = "type string, fov_num int, t int, value double"
+    rows = [("done" if t == 20 else "image", 1, t, float(t * t)) for t in range(40, 0, -1)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        run = measurements.shift_to_first_frame(stream).writeStream.format("memory").queryName("shifted_batches").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = {r["t"]: (r["shifted"], r["last_t"]) for r in spark.sql("select * from shifted_batches").collect()}
+    assert out == {t: (float(t * t - (1 if t < 20 else 21 * 21)), t) for t in range(1, 41) if t != 20}
+
+
 def test_routes_and_dead_letters(spark, tmp_path):
     spark.createDataFrame([("image", 1), ("done", 2), ("odd", 3), (None, 4)], "type string, x int").write.parquet(str(tmp_path / "in"))
     stream, seen = spark.readStream.schema("type string, x int").parquet(str(tmp_path / "in")), {}

@@ -37,28 +37,27 @@ def shift_to_first_frame(rows: DataFrame, group: str = "fov_num", time: str = "t
     """Each row's value less that of the first frame its field was seen with, and the latest frame so far (STR2, STR5).
 
     State is two numbers a field: the first frame's number and value. A field's ``done`` row drops its state, nothing else
-    does (``frame_states`` has the rule for newer frames, and timers); a frame before the first is late and dropped. Works
-    on streams with a ``type`` column.
+    does (``frame_states`` has the rule for newer frames, and timers); a frame before the first is late and dropped. A
+    micro-batch's rows of one field are ordered in memory. Works on streams with a ``type`` column.
     """
     kind = rows.schema[group].dataType.simpleString()
     out = f"{group} {kind}, {time} int, shifted double, last_t int"
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, base, last = state.get if state.exists else (None, None, None)
-        for pdf in batches:
-            pdf = pdf.sort_values([time, value])
-            keep = []
-            for r in pdf.to_dict("records"):
-                if r["type"] == "done":
-                    first = base = last = None
-                    continue
-                if first is None:
-                    first, base, last = int(r[time]), float(r[value]), int(r[time])
-                if r[time] < first:
-                    continue
-                last = max(last, int(r[time]))
-                keep.append((key[0], int(r[time]), float(r[value]) - base, last))
-            yield pd.DataFrame(keep, columns=[group, time, "shifted", "last_t"])
+        pdf = pd.concat(list(batches)).sort_values([time, value])  # a field's rows may come in several batches
+        keep = []
+        for kind, t, x in zip(pdf["type"].tolist(), pdf[time].tolist(), pdf[value].tolist()):
+            if kind == "done":
+                first = base = last = None
+                continue
+            if first is None:
+                first, base, last = int(t), float(x), int(t)
+            if t < first:
+                continue
+            last = max(last, int(t))
+            keep.append((key[0], int(t), float(x) - base, last))
+        yield pd.DataFrame(keep, columns=[group, time, "shifted", "last_t"])
         if first is None:
             if state.exists:
                 state.remove()
