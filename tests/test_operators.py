@@ -544,6 +544,24 @@ def test_median_vectors(spark, sf_dir):
     assert "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan
 
 
+def test_ranks_of_means_that_change_when_found_anew(spark):
+    anew = F.udf(random.random, "double").asNondeterministic()
+    df = spark.range(20).select((F.col("id") % 5).alias("g"), anew().alias("v"))
+    out = windows.rank_groups(df, ["g"], "v").collect()
+    assert [r["mean_rank"] for r in sorted(out, key=lambda r: r["mean"])] == [1, 2, 3, 4, 5]
+
+
+def test_lone_points_equal_all_pairs_and_dense_cells_stay_small(spark):
+    rng = random.Random(9)
+    pts = [(rng.choice("ab"), i, rng.uniform(-60, 60), rng.uniform(-60, 60)) for i in range(120)]
+    pts += [("a", 200 + i, 10.0, 10.0) for i in range(2000)] + [("b", 3000, 10.0, 12.1), ("b", 3000, 10.0, 12.2), ("b", 3001, None, 1.0), ("b", 3002, float("nan"), 1.0), (None, 3003, 1.0, 1.0), (None, 3004, 1.0, 1.0)]
+    df = spark.createDataFrame(pts, "g string, k long, x double, y double")
+    out = joins.lone_points(df, ["g"], "k", "x", "y", 6.0)
+    near = lambda p, q: p[0] is not None and p[0] == q[0] and p[1] != q[1] and None not in (p[2], q[2]) and math.hypot(p[2] - q[2], p[3] - q[3]) < 6.0
+    lone = [p[1] for p in pts if not any(near(p, q) for q in pts)]
+    assert sorted(r["k"] for r in out.collect()) == sorted(lone) and 3000 in lone
+
+
 def test_marks_on_a_line_without_frames_to_the_last_row(spark):
     """Such a frame is added up anew for each row of a range."""
     df = spark.createDataFrame([(1, 1, 2.0)], "g int, id long, x double")

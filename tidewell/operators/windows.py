@@ -99,8 +99,9 @@ def in_large_groups(df: DataFrame, group: Sequence[str], above: int = 1) -> Data
 
 
 def rank_groups(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Groups with their mean and its dense rank (WIN11)."""
-    means = df.groupBy(*group).agg(F.avg(value).alias("mean"))
+    """Groups with their mean and its dense rank (WIN11). Means are written once: the last digit of a sum may change with
+    the order of its parts, and a mean found anew would not meet its rank."""
+    means = written(df.groupBy(*group).agg(F.avg(value).alias("mean")), "means")
     ranks = dense_index(means.select("mean").distinct(), ["mean"], "mean_rank", start=1).withColumnRenamed("mean", "_mean")
     return means.join(sized_broadcast(ranks), F.col("mean").eqNullSafe(F.col("_mean"))).drop("_mean")
 
