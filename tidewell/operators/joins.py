@@ -138,14 +138,22 @@ def annotate_guides(guides: DataFrame, design: DataFrame, sequence: str, categor
 
 def lone_points(df: DataFrame, group: Sequence[str], key: str, x: str, y: str, min_dist: float, intensity: str | None = None, factor: float = 2.0) -> DataFrame:
     """Points without a neighbour nearer than ``min_dist`` and no brighter than ``factor`` times the group's median
-    (JON20). Points meet only within 3 x 3 grid cells of that size."""
-    cell = lambda c: F.floor(F.col(c) / min_dist)
-    base = df.withColumn("_cx", cell(x)).withColumn("_cy", cell(y))
-    around = F.explode(F.expr("flatten(transform(array(-1,0,1), i -> transform(array(-1,0,1), j -> struct(i as i, j as j))))")).alias("_s")
-    spread = base.select(*group, F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"), "_cx", "_cy", around)
-    spread = spread.select(*group, "_k", "_x", "_y", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"))
-    near = base.join(spread, [*group, "_cx", "_cy"]).filter((F.col(key) != F.col("_k")) & (F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")) < min_dist))
-    out = base.drop("_cx", "_cy").join(near.select(*group, key).distinct(), [*group, key], "left_anti")
+    (JON20). Points of one grid cell, whose diagonal is shorter than that, all have a neighbour; only a point alone in its
+    cell meets the points of the cells around, so that a point is met at most once for each of 24 cells, however dense."""
+    side = 0.7 * min_dist
+    cell = lambda c: F.floor(F.col(c) / side)
+    known = reduce(and_, [F.col(c).isNotNull() for c in [*group, key]])
+    finite = reduce(and_, [F.abs(F.col(c).cast("double")) < float("inf") for c in (x, y)])  # not null, not NaN
+    placed = df.filter(known & finite).select(*group, key, x, y, cell(x).alias("_cx"), cell(y).alias("_cy"))
+    at = [*group, "_cx", "_cy"]
+    cells = placed.groupBy(*at).agg((F.min(key) == F.max(key)).alias("_alone"))
+    marked = placed.join(cells, at)
+    around = F.explode(F.expr("filter(flatten(transform(sequence(-2, 2), i -> transform(sequence(-2, 2), j -> struct(i as i, j as j)))), s -> s.i <> 0 or s.j <> 0)")).alias("_s")
+    alone = marked.filter("_alone").select(*group, F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"), "_cx", "_cy", around)
+    alone = alone.select(*group, "_k", "_x", "_y", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"))
+    near = placed.join(alone, at).filter((F.col(key) != F.col("_k")) & (F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")) < min_dist))
+    near = near.select(*group, F.col("_k").alias(key)).unionByName(marked.filter(~F.col("_alone")).select(*group, key)).distinct()
+    out = df.join(near, [*group, key], "left_anti")
     if intensity:
         mid = df.groupBy(*group).agg(F.percentile(intensity, 0.5).alias("_mid"))
         out = out.join(sized_broadcast(mid), list(group)).filter(F.col(intensity) <= factor * F.col("_mid")).drop("_mid")
