@@ -15,6 +15,7 @@ from .paths import segment_name, variant_of
 from .sequences import reverse_complement
 
 EQ, X, I, D = map(ord, "=XID")  # noqa: E741
+_CODES = np.array(sorted((EQ, X, I, D)))
 
 
 def decode(cigar: Column) -> Column:
@@ -87,13 +88,19 @@ def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.nda
     inside = (where >= 0) & (where < 1 << 30)
     sides = np.where(where < 0, "upstream", "downstream").astype(object)
     sides[inside] = None
-    cigars = [None] * len(at)
-    if with_cigar:
-        for k, (a, z) in enumerate(zip(at, [*at[1:], len(code)])):
-            runs = np.concatenate(([a], np.flatnonzero(code[a + 1 : z] != code[a : z - 1]) + a + 1, [z]))
-            turned = inside[k] and backward[np.searchsorted(seg_read, owners[k]) + where[k]]
-            cigars[k] = "".join(f"{size[u:v].sum()}{chr(code[u])}" for u, v in list(zip(runs, runs[1:]))[:: -1 if turned else 1])
-    arrays = [pa.array(where, pa.int32(), mask=~inside), pa.array(sides, pa.string()), *[pa.array(x, pa.int32()) for x in (*sums, low, high)], pa.array(cigars, pa.string())]
+    cigars = pa.nulls(len(at), pa.string())
+    if with_cigar and len(at):
+        cut = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(code))))
+        run = np.flatnonzero(np.concatenate(([True], (cut[1:] != cut[:-1]) | (code[1:] != code[:-1]))))
+        turned = np.zeros(len(at), bool)
+        turned[inside] = backward[np.searchsorted(seg_read, owners[inside]) + where[inside]]
+        turn = np.where(turned[cut[run]], -1, 1) * np.arange(len(run))
+        run_of = np.lexsort((turn, cut[run]))
+        sizes, codes = np.add.reduceat(size, run)[run_of], code[run][run_of]
+        letters = pa.DictionaryArray.from_arrays(pa.array(np.searchsorted(_CODES, codes), pa.int32()), pa.array([chr(c) for c in _CODES])).cast(pa.string())
+        texts = pc.binary_join_element_wise(pa.array(sizes).cast(pa.string()), letters, "")
+        cigars = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.searchsorted(cut[run], np.arange(len(at) + 1)), pa.int32()), texts), "")
+    arrays = [pa.array(where, pa.int32(), mask=~inside), pa.array(sides, pa.string()), *[pa.array(x, pa.int32()) for x in (*sums, low, high)], cigars]
     offsets = np.searchsorted(owners, np.arange(n_reads + 1))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=_CUTS.elementType.names))
 
