@@ -562,6 +562,14 @@ def test_lone_points_equal_all_pairs_and_dense_cells_stay_small(spark):
     assert sorted(r["k"] for r in out.collect()) == sorted(lone) and 3000 in lone
 
 
+def test_adjusted_p_values_that_change_when_found_anew(spark):
+    anew = F.udf(random.random, "double").asNondeterministic()
+    out = stats.benjamini_hochberg(spark.range(20).select("id", anew().alias("p")), "p").collect()
+    p = sorted(r["p"] for r in out)
+    adjusted = [min(min(p[j] * 20 / (j + 1) for j in range(i, 20)), 1.0) for i in range(20)]
+    assert sorted(r["p_adjusted"] for r in out) == pytest.approx(adjusted)
+
+
 def test_marks_on_a_line_without_frames_to_the_last_row(spark):
     """Such a frame is added up anew for each row of a range."""
     df = spark.createDataFrame([(1, 1, 2.0)], "g int, id long, x double")

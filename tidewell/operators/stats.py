@@ -131,9 +131,10 @@ def pearson_t(r: Column, n: Column) -> Column:
 def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, family: Sequence[str] = (), key: str | None = None) -> DataFrame:
     """Adjusted p and whether it is at most ``alpha``, within each family of tests (AGG20).
 
-    Equal p values have equal ranks, the largest, so distinct values are ranked, not rows.
+    Equal p values have equal ranks, the largest, so distinct values are ranked, not rows. The tests are written once: p
+    values found anew may differ in the last digit and would not meet their own rank.
     """
-    tests = df.filter(F.col(p).isNotNull())
+    tests = written(df.filter(F.col(p).isNotNull()), "tests")
     per = tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_k"))
     ranked = written(running(per, p, {"_rank": "_k"}, group=family), "ranked")
     whole = ranked.groupBy(*[F.col(f).alias(f"_own_{f}") for f in family]).agg(F.max("_rank").alias("_m"))
