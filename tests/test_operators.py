@@ -570,6 +570,15 @@ def test_adjusted_p_values_that_change_when_found_anew(spark):
     assert sorted(r["p_adjusted"] for r in out) == pytest.approx(adjusted)
 
 
+def test_packed_counts_are_added_up_some_bytes_at_a_time(spark, monkeypatch):
+    pdf = pd.DataFrame({"block": 0, "cells": [b"\0" * n for n in (400, 400, 4000, 4, 4)]})
+    monkeypatch.setattr(matrices, "MERGED", 3000)
+    pieces = list(matrices._pieces(pdf))
+    assert pd.concat(pieces).equals(pdf) and max(len(p) for p in pieces) < 5
+    assert max(p["cells"].iloc[1:].map(len).sum() * 3 for p in pieces) <= 3000
+    assert list(matrices._pieces(pdf.iloc[:0])) == []
+
+
 def test_marks_on_a_line_without_frames_to_the_last_row(spark):
     """Such a frame is added up anew for each row of a range."""
     df = spark.createDataFrame([(1, 1, 2.0)], "g int, id long, x double")

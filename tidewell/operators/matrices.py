@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 #: Positions in a row of the matrix table, characters counted at a time, bytes of packed counts merged at a time.
 SPAN = 1024
-CHARS = 4_000_000
-MERGED = 24_000_000
+CHARS = 1_000_000
+MERGED = 6_000_000
 
 
 def _summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    key, at, count = np.unique(key, return_inverse=True, return_counts=True)
-    return key, count if n is None else np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+    if n is None:
+        return np.unique(key, return_counts=True)
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
 
 
 def count_matrices(df: DataFrame, group: Sequence[str], seq: str) -> DataFrame:
@@ -73,13 +75,23 @@ def _packed(pdf: pd.DataFrame, key: Sequence[str]) -> pd.DataFrame:
     return out.assign(cells=[cells[a:b].tobytes() for a, b in zip(cut, cut[1:])], counts=[n[a:b].tobytes() for a, b in zip(cut, cut[1:])])
 
 
+def _pieces(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows in turn, some MERGED bytes of packed counts at a time."""
+    piece = np.cumsum(pdf["cells"].map(len).to_numpy(np.int64) * 3) // MERGED
+    cut = [0, *(np.flatnonzero(np.diff(piece)) + 1), len(pdf)]
+    for a, b in zip(cut, cut[1:]):
+        if b > a:
+            yield pdf.iloc[a:b]
+
+
 def _by_key(matrices: DataFrame, key: Sequence[str], make, schema: str) -> DataFrame:
-    """``make`` of the rows of whole keys, some MERGED bytes at a time. A key's rows are added up as they come."""
+    """``make`` of the rows of whole keys, some MERGED bytes at a time. A key's rows are added up as they come, some MERGED
+    bytes at a time too: a batch counts rows, and each may hold a megabyte."""
     key = list(key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-        for pdf in batches:
+        for pdf in chain.from_iterable(map(_pieces, batches)):
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             number = pdf.groupby(key, sort=False, dropna=False).ngroup().to_numpy()  # rows come by key
             weight = np.cumsum(np.bincount(number, weights=pdf["cells"].map(len) * 3))[number] // MERGED
