@@ -138,7 +138,7 @@ def file_names(spark, sf_dir):
     """SRC7: numbers parsed out of the names of the files that events were written to, fields counted from 0."""
     where = scratch(spark, "frames")
     e = table(spark, sf_dir, "events").select("event_id", F.format_string("xy%03d", F.col("user_id") % 40 + 1).alias("fov"), F.format_string("t%d", F.col("event_id") % 3).alias("t"))
-    e.repartition(1).write.partitionBy("fov", "t").json(where)
+    e.repartition("fov", "t").write.partitionBy("fov", "t").json(where)  # a folder's rows by one task
     files = text_formats.file_metadata(spark, where, "fov=xy(\\d+)/t=t(\\d+)/", ["fov", "t"], one_based=["fov"], first_by=["fov", "t"])
     return files.select("fov", "t")
 
