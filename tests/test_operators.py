@@ -545,7 +545,7 @@ def test_median_vectors(spark, sf_dir):
 
 
 def test_ranks_of_means_that_change_when_found_anew(spark):
-    anew = F.udf(random.random, "double").asNondeterministic()
+    anew = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
     df = spark.range(20).select((F.col("id") % 5).alias("g"), anew().alias("v"))
     out = windows.rank_groups(df, ["g"], "v").collect()
     assert [r["mean_rank"] for r in sorted(out, key=lambda r: r["mean"])] == [1, 2, 3, 4, 5]
@@ -563,7 +563,7 @@ def test_lone_points_equal_all_pairs_and_dense_cells_stay_small(spark):
 
 
 def test_adjusted_p_values_that_change_when_found_anew(spark):
-    anew = F.udf(random.random, "double").asNondeterministic()
+    anew = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
     out = stats.benjamini_hochberg(spark.range(20).select("id", anew().alias("p")), "p").collect()
     p = sorted(r["p"] for r in out)
     adjusted = [min(min(p[j] * 20 / (j + 1) for j in range(i, 20)), 1.0) for i in range(20)]
