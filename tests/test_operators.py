@@ -838,3 +838,20 @@ def test_bit_thresholds_part_two_classes(spark):
         values = np.array([v for q, v in data if q == p])
         middle = (values[values < (lo + hi) / 2].max() + values[values > (lo + hi) / 2].min()) / 2
         assert abs(out[p] - middle) < (hi - lo) / 100
+
+
+def test_neighbour_steps_shuffle_objects_once_a_side(spark):
+    """Small and large groups by brute force; where all are small, objects go to their group once as each side, with their sizes."""
+    rng = random.Random(12)
+    rows = [(f, t, k, rng.randrange(40) / 4, rng.randrange(40) / 4, rng.random() + 1) for f, n in ((0, 5), (1, 200), (2, 9)) for t in range(3) for k in range(n)]
+    rows += [(0, 1, 77, None, 1.0, 1.0), (0, 1, 78, float("nan"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "f int, t int, k int, x double, y double, s double")
+    want = {}
+    for f, t, k, x, y, s in rows[:-2]:
+        if t < 2:
+            d, n, s2 = min(((x - x2) * (x - x2) + (y - y2) * (y - y2), k2, s2) for f2, t2, k2, x2, y2, s2 in rows[:-2] if (f2, t2) == (f, t + 1))
+            want[f, t, k] = (n, round(d**0.5 / s**0.5, 9), round((s2 - s) / s, 9))
+    got = {(r["f"], r["t"], r["k"]): (r["neighbour"], round(r["distance"], 9), round(r["size_change"], 9)) for r in traces.neighbour_steps(df, ["f"], "t", "k", "x", "y", "s").collect()}
+    assert got == want
+    plan = traces.neighbour_steps(df.filter("f <> 1"), ["f"], "t", "k", "x", "y", "s")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange", plan)) <= 3, plan

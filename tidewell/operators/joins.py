@@ -19,6 +19,11 @@ def exact_lookup(queries: DataFrame, codebook: DataFrame, barcode: str) -> DataF
     return queries.join(sized_broadcast(codebook), barcode)
 
 
+def placed(coords: Sequence[str]) -> Column:
+    """Whether a row has all its coordinates: none null, none NaN."""
+    return reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords])
+
+
 def nearest(left: DataFrame, right: DataFrame, group: Sequence[str], left_id: str, right_id: str, coords: Sequence[str], within: float | None = None) -> DataFrame:
     """(group, left_id, right_id, distance2): each left point's nearest right point of its group, ties to the smaller id;
     left points without one (at most ``within`` away) are left out. Rows with a null or NaN coordinate have no place.
@@ -26,7 +31,7 @@ def nearest(left: DataFrame, right: DataFrame, group: Sequence[str], left_id: st
     On a line, the marks next to each point; in more dimensions, leaves of k-d trees (``nearest_points``): no pair of a
     whole group is made.
     """
-    known = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords])
+    known = placed(coords)
     left, right = left.filter(known).select(*group, left_id, *coords), right.filter(known).select(*group, right_id, *coords)
     names = [*group, left_id, right_id, "distance2"]
     bound = F.lit(True) if within is None else F.col("distance2") <= within * within

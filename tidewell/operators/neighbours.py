@@ -84,11 +84,16 @@ def _closest(q: np.ndarray, c: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
     return ids[best], d2
 
 
-def nearest_points(left: DataFrame, right: DataFrame, group: Sequence[str], left_id: str, right_id: str, coords: Sequence[str], within: float | None = None) -> DataFrame:
+def nearest_points(
+    left: DataFrame, right: DataFrame, group: Sequence[str], left_id: str, right_id: str, coords: Sequence[str], within: float | None = None,
+    left_keep: Sequence[str] = (), right_keep: Sequence[str] = (),
+) -> DataFrame:
     """(group, left_id, right_id, distance2) in two dimensions or more: each left point's nearest right point of its group,
-    ties to the smaller id, at most ``within`` away.
+    ties to the smaller id, at most ``within`` away; beside them ``left_keep`` of the left point and ``right_keep`` of the
+    right one.
 
-    Right points of one place stand for one. Groups of few right points are joined. The others are cut into leaves of even
+    Groups of few right points stand in one list each, which every left point of the group meets in its own row. In larger
+    ones, right points of one place stand for one; they are cut into leaves of even
     size by k-d trees over a sample (16 points a leaf): a left point first meets its own leaf, whose nearest point bounds the
     distance, and then only the leaves that the ball of this radius touches. A far point stretches one leaf, no other. Trees
     are held by every task: at most 250,000 leaves together, which grow beyond 500 million points. A leaf that many points
@@ -96,21 +101,31 @@ def nearest_points(left: DataFrame, right: DataFrame, group: Sequence[str], left
     """
     if not group:
         left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
-        return nearest_points(left, right, ["_all"], left_id, right_id, coords, within).drop("_all")
+        return nearest_points(left, right, ["_all"], left_id, right_id, coords, within, left_keep, right_keep).drop("_all")
     group, coords = list(group), list(coords)
     spark = left.sparkSession
     kind = right.schema[right_id].dataType.simpleString()
     place = [*group, *coords]
+    points = right
+    large = written(right.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > JOINED), "large")
+    any_large = not large.isEmpty()
+    few_left, few_right = left, right
+    if any_large:
+        held = sized_broadcast(large.select(*group))
+        few_left, few_right = (t.join(held, group, "left_anti") for t in (left, right))
+        left, right = (t.join(held, group, "left_semi") for t in (left, right))
+    listed = few_right.groupBy(*group).agg(F.collect_list(F.struct(*coords, F.col(right_id).alias("_id"), *[F.col(c).alias(f"_kept_{c}") for c in right_keep])).alias("_there"))
+    d2 = lambda r: sum(((F.col(c) - r[c]) * (F.col(c) - r[c]) for c in coords), F.lit(0.0))
+    met = F.array_min(F.transform("_there", lambda r: F.struct(d2(r).alias("_d"), r["_id"].alias("_id"), *[r[f"_kept_{c}"].alias(f"_kept_{c}") for c in right_keep])))
+    few = few_left.select(*dict.fromkeys([*group, left_id, *coords, *left_keep])).join(listed, group).withColumn("_m", met)
+    few = few if within is None else few.filter(F.col("_m._d") <= within * within)
+    few = few.select(*group, left_id, F.col("_m._id").alias(right_id), F.col("_m._d").alias("distance2"), *left_keep, *[F.col(f"_m._kept_{c}").alias(c) for c in right_keep])
+    if not any_large:
+        return few
     right = right.groupBy(*place).agg(F.min(right_id).alias("_id"))
     asked = left.select(*place).distinct()
-    counts = written(right.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "counts")
-    d2 = sum(((F.col(c) - F.col(f"_r_{c}")) * (F.col(c) - F.col(f"_r_{c}")) for c in coords), F.lit(0.0))
-    few = counts.filter(F.col("_n") <= JOINED)
-    there = right.select(*group, "_id", *[F.col(c).alias(f"_r_{c}") for c in coords])
-    met = asked.join(there.join(few.select(*group), group, "left_semi"), group)
-    found = [met.withColumn("_d", d2).groupBy(*place).agg(F.min(F.struct("_d", "_id")).alias("_m")).select(*place, F.col("_m._d").alias("_d"), F.col("_m._id").alias("_id"))]
-
-    many = counts.filter(F.col("_n") > JOINED)
+    many, found = written(right.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "counts"), []
+
     total = many.agg(F.sum("_n")).first()[0] or 0
     if total:
         leaf = max(LEAF, -(-total // LEAVES))
@@ -188,7 +203,11 @@ def nearest_points(left: DataFrame, right: DataFrame, group: Sequence[str], left
     best = best.groupBy(*place).agg(F.min(F.struct("_d", "_id")).alias("_m"))
     if within is not None:
         best = best.filter(F.col("_m._d") <= within * within)
-    return left.select(*group, left_id, *coords).join(best, place).select(*group, left_id, F.col("_m._id").alias(right_id), F.col("_m._d").alias("distance2"))
+    best = left.select(*dict.fromkeys([*group, left_id, *coords, *left_keep])).join(best, place).select(*group, left_id, F.col("_m._id").alias(right_id), F.col("_m._d").alias("distance2"), *left_keep)
+    if right_keep:
+        kept = points.join(held, group, "left_semi").groupBy(*group, right_id).agg(F.min(F.struct(*right_keep)).alias("_kept"))
+        best = best.join(kept, [*group, right_id]).select(*best.columns, *[F.col(f"_kept.`{c}`").alias(c) for c in right_keep])
+    return few.unionByName(best)
 
 
 def _pivots(sample: np.ndarray, n: int) -> np.ndarray:

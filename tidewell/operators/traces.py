@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import sized_broadcast
+from ..session import sized_broadcast, written
 
 
 def kernel_traces(df: DataFrame, group: Sequence[str], time: str, values: Sequence[str], grid: Sequence[float], bandwidth: float) -> DataFrame:
@@ -65,13 +65,15 @@ def within_robust_sigma(df: DataFrame, group: Sequence[str], y: str, n_sigma: fl
 
 
 def neighbour_steps(objects: DataFrame, group: Sequence[str], time: str, key: str, x: str, y: str, size: str) -> DataFrame:
-    """Each object's nearest at the next time: neighbour, distance over the root of its size, relative size change (TSR7)."""
-    from .joins import nearest
+    """Each object's nearest at the next time: neighbour, distance over the root of its size, relative size change (TSR7).
 
-    now = objects.select(*group, time, key, x, y, size)
-    later = now.select(*group, (F.col(time) - 1).alias(time), F.col(key).alias("neighbour"), x, y, F.col(size).alias("_s"))
-    best = nearest(now, later, [*group, time], key, "neighbour", [x, y])
-    best = best.join(now.select(*group, time, key, F.col(size).alias("_own")), [*group, time, key]).join(later.select(*group, time, "neighbour", "_s"), [*group, time, "neighbour"])
+    Sizes go along with their objects, so nothing is joined back. Objects are written once and read as both sides."""
+    from .joins import placed
+    from .neighbours import nearest_points
+
+    now = written(objects.filter(placed([x, y])).select(*group, time, key, x, y, F.col(size).alias("_own")), "objects")
+    later = now.select(*group, (F.col(time) - 1).alias(time), F.col(key).alias("neighbour"), x, y, F.col("_own").alias("_s"))
+    best = nearest_points(now, later, [*group, time], key, "neighbour", [x, y], left_keep=["_own"], right_keep=["_s"])
     return best.select(*group, time, key, "neighbour", F.try_divide(F.sqrt("distance2"), F.sqrt("_own")).alias("distance"), F.try_divide(F.col("_s") - F.col("_own"), F.col("_own")).alias("size_change"))
 
 
