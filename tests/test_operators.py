@@ -855,3 +855,26 @@ def test_neighbour_steps_shuffle_objects_once_a_side(spark):
     assert got == want
     plan = traces.neighbour_steps(df.filter("f <> 1"), ["f"], "t", "k", "x", "y", "s")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("Exchange", plan)) <= 3, plan
+
+
+def test_bit_vectors_run_over_the_longer_text():
+    """A text of 40,000 characters and an item of 300: one column a character of the item, not of the text."""
+    rng = random.Random(13)
+    text, item = ("".join(rng.choices("abcdefgh ", k=k)) for k in (40_000, 300))
+    began = time.perf_counter()
+    assert distances.bit_distance(text, item) == distances.bit_distance(item, text) == 40_000 - 300
+    columns = 0
+
+    class Counted(str):
+        def __iter__(self):
+            nonlocal columns
+            for c in str(self):
+                columns += 1
+                yield c
+
+        def __getitem__(self, at):
+            return Counted(str(self)[at])
+
+    distances.bit_distance(Counted(text), Counted(item))
+    print("seconds:", time.perf_counter() - began)
+    assert columns <= 2 * len(item)
