@@ -878,3 +878,25 @@ def test_bit_vectors_run_over_the_longer_text():
     distances.bit_distance(Counted(text), Counted(item))
     print("seconds:", time.perf_counter() - began)
     assert columns <= 2 * len(item)
+
+
+def test_long_strings_are_compared_by_blocks(spark):
+    """Exact at any length, N and wide characters included; strings that differ in few places cost few characters."""
+    rng = random.Random(14)
+    rows = []
+    for n in (0, 1, 63, 64, 65, 128, 700):
+        a = [*rng.choices("ACGTNé𝄞\n", k=n)]
+        b = [rng.choice("ACGTNé𝄞\n") if rng.random() < 0.1 else c for c in a]
+        rows.append(("".join(a), "".join(b), sum(x != y and "N" not in (x, y) for x, y in zip(a, b))))
+    df = spark.createDataFrame([*rows, (None, "A", None)], "a string, b string, want int")
+    assert all(r["d"] == r["want"] for r in df.select("want", sequences.hamming(F.col("a"), F.col("b")).alias("d")).collect())
+    long = spark.createDataFrame([("ACGT" * 100_000, "TCGT" + "ACGT" * 99_999)] * 8, "a string, b string").coalesce(1).cache()
+    by_char = F.aggregate(F.zip_with(sequences.chars(F.col("a")), sequences.chars(F.col("b")), lambda x, y: F.when((x == y) | (x == "N") | (y == "N"), 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
+    took = []
+    for c in (by_char, sequences.hamming(F.col("a"), F.col("b"))) * 2:
+        began = time.perf_counter()
+        assert [r[0] for r in long.select(c).collect()] == [1] * 8
+        took.append(time.perf_counter() - began)
+    long.unpersist()
+    print("by character, by block:", took)
+    assert 2 * took[3] < took[2]

@@ -23,10 +23,22 @@ def chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
+#: Strings longer than this are compared by blocks of so many characters first.
+BLOCK = 64
+
+
 def hamming(a: Column, b: Column) -> Column:
-    """Differing positions of strings of one length; N differs from nothing; unequal lengths are an error."""
-    pairs = F.zip_with(chars(a), chars(b), lambda x, y: F.when((x == y) | (x == "N") | (y == "N"), 0).otherwise(1))
-    total = F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
+    """Differing positions of strings of one length; N differs from nothing; unequal lengths are an error. Long strings are
+    cut into blocks, and only blocks that differ are compared by character."""
+
+    def by_char(a: Column, b: Column) -> Column:
+        pairs = F.zip_with(chars(a), chars(b), lambda x, y: F.when((x == y) | (x == "N") | (y == "N"), 0).otherwise(1))
+        return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
+
+    blocks = lambda s: F.regexp_extract_all(s, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    differing = F.filter(F.arrays_zip(blocks(a).alias("a"), blocks(b).alias("b")), lambda p: p["a"] != p["b"])
+    by_block = F.aggregate(differing, F.lit(0), lambda s, p: s + by_char(p["a"], p["b"]))
+    total = F.when(F.length(a) > BLOCK, by_block).otherwise(by_char(a, b))
     return F.when(F.length(a) != F.length(b), F.raise_error(F.lit("strings of unequal length")).cast("int")).otherwise(total)
 
 
