@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
@@ -167,3 +168,14 @@ def test_key_ranges_open_few_files(spark, tmp_path):
         assert len(got.inputFiles()) <= most and (len(want) > 0 or hi == (60,) or lo == (36, 1999))
     index = spark.read.parquet(str(tmp_path / "t" / sinks.KEY_INDEX)).collect()
     assert sum(r["rows"] for r in index) == 2000 == spark.read.parquet(str(tmp_path / "t")).count()
+
+
+def test_small_ranges_grow_with_the_input(spark, tmp_path):
+    """Ranges as small as asked are kept while they are few; every record comes once whatever their size."""
+    formats.register(spark)
+    (tmp_path / "x.fastq").write_text("".join(f"@q{i} b\n{'ACGT' * (i % 9 + 1)}\n+\n{'@+I!' * (i % 9 + 1)}\n" for i in range(3000)))
+    rows = text_formats.read_fastq(spark, str(tmp_path / "x.fastq"), split_bytes=64)
+    assert {r["id"]: len(r["qual"]) for r in rows.collect()} == {f"q{i}": 4 * (i % 9 + 1) for i in range(3000)}
+    read = spark.read.format("fastq").option("splitBytes", 64).load(str(tmp_path / "x.fastq"))
+    assert read.count() == 3000 and max(rows.rdd.getNumPartitions(), read.rdd.getNumPartitions()) <= 257
+    assert [text_formats.range_bytes(*x) for x in ((100, 2_000), (100, 256_000), (200_000, 1 << 40), (1 << 30, 1 << 40))] == [100, 1000, 32 << 20, 1 << 30]

@@ -1,6 +1,6 @@
 """Alignments and reads as formats of Spark's reader: ``spark.read.format("gaf")`` and ``format("fastq")`` (SRC1, SRC2).
 
-``register(spark)`` makes both known. Files are cut into byte ranges, each a task's. The schema is found on the first line;
+``register(spark)`` makes both known. Files are cut into byte ranges (``range_bytes``), each a task's. The schema is found on the first line;
 a schema that is given names the columns to make, and no others are parsed. Comparisons with constants are pushed down to
 the lines, where ``spark.sql.python.filterPushdown.enabled`` is set, which ``register`` does.
 """
@@ -20,7 +20,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .text_formats import ARRAY_TYPES, GAF_COLUMNS, TAG_TYPES, _fastq_batches, _lines, discover_tags
+from .text_formats import ARRAY_TYPES, GAF_COLUMNS, TAG_TYPES, RANGE_BYTES, _fastq_batches, _lines, discover_tags, range_bytes
 
 ROWS = 10_000
 _CHECKS: dict[type, Callable] = {
@@ -64,7 +64,7 @@ class RangeReader(DataSourceReader):
 
     def __init__(self, options: dict[str, str], schema: T.StructType) -> None:
         self.path, self.schema = options["path"], schema
-        self.split = int(options.get("splitBytes", 32 << 20))
+        self.split = int(options.get("splitBytes", RANGE_BYTES))
         self.checks: list[tuple[str, Callable, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -76,10 +76,11 @@ class RangeReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Range]:
-        out = []
-        for _, name, size in _files(self.path):
+        out, files = [], list(_files(self.path))
+        split = range_bytes(self.split, sum(size for _, _, size in files))
+        for _, name, size in files:
             whole = name.endswith(".gz")
-            out += [Range(name, 0, None)] if whole else [Range(name, s, s + self.split) for s in range(0, size, self.split)]
+            out += [Range(name, 0, None)] if whole else [Range(name, s, s + split) for s in range(0, size, split)]
         return out
 
     def records(self, part: Range) -> Iterator:
@@ -107,7 +108,7 @@ class RangeReader(DataSourceReader):
     def lines(self, part: Range) -> Iterator[tuple[int, bytes]]:
         system, _ = _open(self.path)
         with system.open_input_stream(part.path) if part.end is None else system.open_input_file(part.path) as file:
-            yield from _lines(file, part.start)
+            yield from _lines(file, part.start, None if part.end is None else part.end - part.start)
 
 
 class GafReader(RangeReader):

@@ -81,11 +81,22 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.split_part(F.get(lines, 0), F.lit(" "), F.lit(1)).alias("id"), F.array_join(F.slice(lines, 2, 1 << 30), "").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
-    """id, seq, qual of four-line FASTQ records (SRC2). Files are cut into byte ranges, each a task's: it starts at the
-    first line that begins with @ and whose next but one begins with +, and owns the records that start in it. Gzipped
-    files are one range each. Ranges are opened by pyarrow's file systems."""
+#: Bytes of a range by default and at most, unless more are asked for, and the tasks up to which smaller ranges are cut.
+RANGE_BYTES, RANGES = 32 << 20, 256
+
+
+def range_bytes(asked: int, total: int) -> int:
+    """What a range measures: as asked, but where input of this size would be cut into more than 256 ranges, ranges grow
+    with it, up to 32 MB, so that tasks do not stay tiny and multiply."""
+    return max(asked, min(RANGE_BYTES, -(-total // RANGES)))
+
+
+def read_fastq(spark: SparkSession, path: str, split_bytes: int = RANGE_BYTES) -> DataFrame:
+    """id, seq, qual of four-line FASTQ records (SRC2). Files are cut into byte ranges (``range_bytes``), each a task's: it
+    starts at the first line that begins with @ and whose next but one begins with +, and owns the records that start in
+    it. Gzipped files are one range each. Ranges are opened by pyarrow's file systems."""
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length")
+    split_bytes = range_bytes(split_bytes, files.agg(F.sum("length")).first()[0] or 0)
     whole = F.col("path").endswith(".gz")
     starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long")))
     ranges = files.select("path", F.explode(starts).alias("start"), F.when(whole, F.lit(None).cast("long")).otherwise(F.lit(split_bytes).cast("long")).alias("size"))
@@ -96,19 +107,21 @@ def read_fastq(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> D
             for r in batch.to_pylist():
                 system, name = pa.fs.FileSystem.from_uri(r["path"] if "://" in r["path"] else re.sub(r"^(\w+):/+", r"\1:///", r["path"]))
                 with system.open_input_stream(name) if r["size"] is None else system.open_input_file(name) as file:
-                    yield from _fastq_batches(_lines(file, r["start"]), r["start"], None if r["size"] is None else r["start"] + r["size"])
+                    yield from _fastq_batches(_lines(file, r["start"], r["size"]), r["start"], None if r["size"] is None else r["start"] + r["size"])
 
     return ranges.mapInArrow(run, "id string, seq string, qual string")
 
 
-def _lines(file, start: int) -> Iterator[tuple[int, bytes]]:
-    """(place, line) of the lines that begin at or after ``start``, without their ends."""
+def _lines(file, start: int, size: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(place, line) of the lines that begin at or after ``start``, without their ends. ``size``: bytes that the range
+    holds; what is read beyond them, for its last record, comes in smaller pieces."""
     at, rest = start, b""
     if start:
         file.seek(start - 1)
         at -= 1
-    skip = start > 0
-    while piece := file.read(1 << 20):
+    skip, left = start > 0, size
+    while piece := file.read(1 << 20 if left is None else max(1 << 16, min(1 << 20, left))):
+        left = None if left is None else left - len(piece)
         *lines, rest = (rest + piece).split(b"\n")
         for line in lines:
             if not skip:
@@ -118,8 +131,8 @@ def _lines(file, start: int) -> Iterator[tuple[int, bytes]]:
         yield at, rest.removesuffix(b"\r")
 
 
-def _fastq_batches(lines: Iterator[tuple[int, bytes]], start: int, end: int | None, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    held, out = [], []
+def _fastq_batches(lines: Iterator[tuple[int, bytes]], start: int, end: int | None, size: int = 10_000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    held, out, n_bytes = [], [], 0
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i].decode("ascii") for x in out], pa.string()) for i in range(3)], names=["id", "seq", "qual"])
@@ -141,10 +154,11 @@ def _fastq_batches(lines: Iterator[tuple[int, bytes]], start: int, end: int | No
             if not head.startswith(b"@") or not plus.startswith(b"+") or len(seq) != len(qual):
                 raise ValueError("not a FASTQ file of four-line records")
             out.append((head[1:].split(b" ")[0], seq, qual))
+            n_bytes += 2 * len(seq)
             held = []
-            if len(out) == size:
+            if len(out) == size or n_bytes >= most_bytes:
                 yield batch()
-                out = []
+                out, n_bytes = [], 0
     else:
         if synced and any(line for _, line in held):
             raise ValueError("not a FASTQ file of four-line records")
