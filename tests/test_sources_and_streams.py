@@ -179,3 +179,17 @@ def test_small_ranges_grow_with_the_input(spark, tmp_path):
     read = spark.read.format("fastq").option("splitBytes", 64).load(str(tmp_path / "x.fastq"))
     assert read.count() == 3000 and max(rows.rdd.getNumPartitions(), read.rdd.getNumPartitions()) <= 257
     assert [text_formats.range_bytes(*x) for x in ((100, 2_000), (100, 256_000), (200_000, 1 << 40), (1 << 30, 1 << 40))] == [100, 1000, 32 << 20, 1 << 30]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_a_task_writes_many_files_by_bytes(spark, tmp_path, wide):
+    """Even rows, and rows of which some are larger than a file may be."""
+    df = spark.range(4000).withColumn("s", F.repeat(F.lit("x"), (F.col("id") % 17 + F.when((F.col("id") % 500 == 0) & F.lit(wide), 3000).otherwise(0)).cast("int")))
+    sinks.write_chunked(df, str(tmp_path / "t"), max_bytes=2_000)
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r["id"] for r in rows.select("id").collect()) == list(range(4000))
+    size = F.octet_length(F.to_json(F.struct("id", "s"))) + 1
+    per = rows.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()
+    assert all(r["bytes"] <= 2_000 or r["n"] == 1 for r in per)
+    least = df.agg(F.sum(size)).first()[0] / 2_000
+    assert len(per) <= 3 * least and len({r["f"][: len("part-00000-")] for r in per}) <= len(per) / 4

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import formats, sinks, text_formats
 from ..streaming import measurements
-from ..session import scratch, table
+from ..session import scratch, sized_broadcast, table
 from .registry import query
 
 
@@ -170,11 +170,14 @@ def chunked_rows(spark, sf_dir):
     for kind, how in (("rows", {"rows": 1000}), ("bytes", {"max_bytes": 50_000}), ("files", {"files": 7})):
         where = scratch(spark, "chunks")
         sinks.write_chunked(o, where, **how)
-        rows = spark.read.parquet(where).select("o_orderkey", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
-        per = rows.groupBy("f").agg(F.count(F.lit(1)).alias("k"))
-        n = per.count()
-        fits = {"rows": F.col("k") <= 1000, "bytes": F.col("b") <= 50_000, "files": F.lit(n == 7)}[kind]
-        out = out.join(rows.join(F.broadcast(per), "f").select("o_orderkey", fits.alias(f"{kind}_fit")), "o_orderkey", "full")
+        rows = spark.read.parquet(where).select("o_orderkey", F.xxhash64("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("b"))
+        if kind == "bytes":
+            rows = rows.withColumn("fit", F.col("b") <= 50_000)
+        else:
+            per = rows.groupBy("f").agg(F.count(F.lit(1)).alias("k"))
+            fits = F.col("k") <= 1000 if kind == "rows" else F.lit(per.count() == 7)
+            rows = rows.join(sized_broadcast(per.select("f", fits.alias("fit"))), "f")
+        out = out.join(rows.select("o_orderkey", F.col("fit").alias(f"{kind}_fit")), "o_orderkey", "full")
     return out
 
 

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import json_bytes
-
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
@@ -42,17 +40,32 @@ def write_split(df: DataFrame, path: str, keys: Sequence[str], chunks: int = 0)
     df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
 
 
+#: Files by bytes that one task writes.
+FILES_PER_TASK = 64
+
+
 def write_chunked(df: DataFrame, path: str, rows: int | None = None, files: int | None = None, max_bytes: int | None = None) -> None:
-    """Files of so many rows, so many files, or files of so many bytes at most as JSON text,
-    evenly dealt (Parquet is smaller): one of the three (SNK5)."""
+    """Files of so many rows, so many files, or files of so many bytes at most as JSON text, but for rows larger than that
+    (Parquet is smaller): one of the three (SNK5). By bytes, a task writes many files one after the other, each of as many
+    of the largest rows as fit; where rows are of uneven size, those of one power of two are written together."""
     if sum(x is not None for x in (rows, files, max_bytes)) != 1:
         raise ValueError("give rows, files or max_bytes")
     if rows:
         df.write.option("maxRecordsPerFile", rows).parquet(path)
         return
-    if max_bytes:
-        files = max(1, -(-json_bytes(df) // max_bytes))
-    df.repartition(files).write.parquet(path)
+    if files:
+        df.repartition(files).write.parquet(path)
+        return
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 1  # a line
+    power = F.floor(F.log2(size.cast("double"))).cast("int")
+    sizes = df.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("largest"), F.sum(size).alias("total")).collect()  # at most 31 rows
+    n, largest, total = sum(r["n"] for r in sizes), max((r["largest"] for r in sizes), default=1), sum(r["total"] for r in sizes)
+    df.limit(0).write.parquet(path)
+    even = n * largest <= 2 * total
+    for p, n, largest in [(None, n, largest)] if even else sorted((r["p"], r["n"], r["largest"]) for r in sizes):
+        per = max(1, max_bytes // largest)
+        part = df if even else df.filter(power == p)
+        part.repartition(max(1, -(-n // (per * FILES_PER_TASK)))).write.mode("append").option("maxRecordsPerFile", per).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
