@@ -193,3 +193,61 @@ def test_a_task_writes_many_files_by_bytes(spark, tmp_path, wide):
     assert all(r["bytes"] <= 2_000 or r["n"] == 1 for r in per)
     least = df.agg(F.sum(size)).first()[0] / 2_000
     assert len(per) <= 3 * least and len({r["f"][: len("part-00000-")] for r in per}) <= len(per) / 4
+
+
+def test_few_calls_on_state():
+    """A field's batch reads its state once, writes it once and leaves its timer, which is set anew when it runs out."""
+    calls, timers = [], []
+
+    class Value:
+        held = None
+
+        def __getattr__(self, name):
+            raise AssertionError(name)
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, x):
+            calls.append("update")
+            self.held = x
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    class Handle:
+        def getValueState(self, name, kind):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append("register")
+            timers.append(at)
+
+        def listTimers(self):
+            calls.append("list")
+            return iter(list(timers))
+
+        def deleteTimer(self, at):
+            timers.remove(at)
+
+    class Times:
+        def __init__(self, watermark):
+            self.getCurrentWatermarkInMs = lambda: watermark
+
+    state = measurements.FrameStates("f", "type", "t", "value", "event_time", ["n"], ["event_time", "n"], 3_600_000)
+    state.init(Handle())
+    at = lambda s: pd.Timestamp("1970-01-01") + pd.Timedelta(seconds=s)
+    batch = lambda *rows: iter([pd.DataFrame(rows, columns=["type", "f", "t", "value", "event_time", "n"])])
+    one = next(state.handleInputRows((1,), batch(("image", 1, 0, 5.0, at(0), 1), ("image", 1, 0, 7.0, at(1), 2)), None))
+    assert one.values.tolist() == [[1, 1, 0, 0.0, 0, 1], [1, 2, 0, 2.0, 0, 2]] and calls == ["get", "update", "register"] and timers == [3_601_001]
+    calls.clear()
+    two = next(state.handleInputRows((1,), batch(("image", 1, 1, 9.0, at(100), 3)), None))
+    assert two.values.tolist() == [[1, 3, 1, 4.0, 1, 1]] and calls == ["get", "update"]
+    timers.clear()
+    list(state.handleExpiredTimer((1,), Times(3_650_000), None))
+    assert timers == [3_700_001] and state.newest.held is not None
+    timers.clear()
+    list(state.handleExpiredTimer((1,), Times(3_700_001), None))
+    assert not timers and state.newest.held is None

@@ -69,7 +69,10 @@ def shift_to_first_frame(rows: DataFrame, group: str = "fov_num", time: str = "t
 
 class FrameStates(StatefulProcessor):
     """State of one field: its first frame, and of its newest frame the number, how many rows are held and when the last
-    one came. A newer frame drops what is held of the one before; a done row, or silence, drops all."""
+    one came. A newer frame drops what is held of the one before; a done row, or silence, drops all.
+
+    Every call on state or timers is a message to the JVM, so a field's batch takes one read and one write: all stands in
+    one variable, and a field has one timer, which is set anew only when it runs out."""
 
     def __init__(self, key: str, kind: str, time: str, value: str, event_time: str, keep: Sequence[str], order: Sequence[str], idle_ms: int) -> None:
         self.key, self.kind, self.time, self.value, self.event_time = key, kind, time, value, event_time
@@ -77,20 +80,22 @@ class FrameStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "t int, base double")
-        self.newest = handle.getValueState("newest", "t int, held long, at_ms long")
+        self.newest = handle.getValueState("newest", "t int, held long, at_ms long, first_t int, base double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, newest = self.first.get() if self.first.exists() else None, self.newest.get() if self.newest.exists() else None
+        held_before = self.newest.get()
+        newest, first = (tuple(held_before[:3]), tuple(held_before[3:])) if held_before is not None else (None, None)
         out = []
-        for r in pd.concat(list(rows)).sort_values(self.order, kind="stable").to_dict("records"):
-            at = int(pd.Timestamp(r[self.event_time]).value // 1_000_000)
+        parts = list(rows)
+        pdf = (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(self.order, kind="stable")
+        ms = pdf[self.event_time].astype("datetime64[ns]").astype("int64") // 1_000_000
+        for kind, t, value, at, *kept in zip(*(pdf[c].tolist() for c in (self.kind, self.time, self.value)), ms.tolist(), *(pdf[c].tolist() for c in self.keep)):
             if newest is not None and at - newest[2] > self.idle:
                 first = newest = None
-            if r[self.kind] == "done":
+            if kind == "done":
                 first = newest = None
                 continue
-            t, value = int(r[self.time]), float(r[self.value])
+            t, value = int(t), float(value)
             first = first or (t, value)
             held = 0
             if newest is None or t > newest[0]:
@@ -99,21 +104,23 @@ class FrameStates(StatefulProcessor):
                 held = newest[1] + 1
                 newest = (t, held, max(at, newest[2]))
             if t >= first[0]:
-                out.append((key[0], *[r[c] for c in self.keep], t, value - first[1], newest[0], held))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if newest is None:
-            self.first.clear()
+                out.append((key[0], *kept, t, value - first[1], newest[0], held))
+        if newest is not None:
+            self.newest.update((*newest, *first))
+            if held_before is None:
+                self.handle.registerTimer(newest[2] + self.idle + 1)
+        elif held_before is not None:
             self.newest.clear()
-        else:
-            self.first.update(tuple(first))
-            self.newest.update(tuple(newest))
-            self.handle.registerTimer(newest[2] + self.idle + 1)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         yield pd.DataFrame(out, columns=[self.key, *self.keep, self.time, "shifted", "newest_t", "held"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
-        self.newest.clear()
+        newest = self.newest.get()
+        if newest is not None and newest[2] + self.idle + 1 > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(newest[2] + self.idle + 1)  # rows came since the timer was set
+        else:
+            self.newest.clear()
         yield pd.DataFrame(columns=[self.key, *self.keep, self.time, "shifted", "newest_t", "held"])
 
     def close(self) -> None:
