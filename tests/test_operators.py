@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -900,3 +901,29 @@ def test_long_strings_are_compared_by_blocks(spark):
     long.unpersist()
     print("by character, by block:", took)
     assert 2 * took[3] < took[2]
+
+
+def test_operations_of_a_batch_are_those_decoded(spark):
+    texts = ["3=1X2I", "", None, "=3=", "12", "5Q6=", "é4D7", "0=00000000000012X", "2147483647=", "3==X 4N", "M1", "10M9S8H7P6B"]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices("0123456789=XIDMNSHPBé Q", k=rng.randrange(30))) for _ in range(300)]
+    texts = [t for t in texts if t is None or not re.search(r"[1-9]\d{9}", t) or t == "2147483647="]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, cg string").select("i", cigar.decode(F.col("cg")).alias("ops"))
+    want = [(r["i"], ord(o["op"]), o["len"]) for r in df.collect() for o in r["ops"] or []]
+    for part in (pa.array(texts), pa.array(["7=", *texts], pa.large_string()).slice(1)):
+        assert sorted(zip(*(x.tolist() for x in cigar._operations(part)))) == sorted(want)
+    assert [len(x) for x in cigar._operations(pa.array([], pa.string()))] == [0, 0, 0]
+    with pytest.raises(ValueError, match="32 bits"):
+        cigar._operations(pa.array(["2147483648="]))
+
+
+def test_structs_of_segments_parse_cigars_once_a_batch(spark):
+    """CIGARs are not decoded by functions of single rows, and columns that are not kept do not pass through Python."""
+    df = spark.createDataFrame([("r", [">a=1", "<b"], 0, 9, 9, 1, 10, 12, "4=1X4=", "x"), ("n", [">b"], 0, 5, 5, 0, 5, 5, None, "x")], ALN + ", more string").repartition(1)
+    table = spark.createDataFrame([("a=1", 4), ("b", 5)], "name string, length int")
+    out = cigar.segment_structs(df, table, ["a", "b", "downstream", "c"], keep=["name"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "lambda" not in plan and "more" not in plan.split("MapInArrow")[1].split("\n")[0]
+    r, n = out.orderBy(F.desc("name")).collect()
+    assert tuple(r) == ("r", ("a", 1, False, 4, 0, 0, 0, 1, 5), ("b", None, True, 4, 1, 0, 0, 5, 10), ("downstream", None, None, 0, 0, 2, 0, 10, 12), None)
+    assert tuple(n) == ("n", None, None, None, None)

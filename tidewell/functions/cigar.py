@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from .sequences import reverse_complement
 
 EQ, X, I, D = map(ord, "=XID")  # noqa: E741
 _CODES = np.array(sorted((EQ, X, I, D)))
+_LETTERS = np.isin(np.arange(256), [ord(c) for c in "MIDNSHP=XB"])
 
 
 def decode(cigar: Column) -> Column:
@@ -44,7 +46,55 @@ def encode(ops: Column) -> Column:
 _CUTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if n in ("side", "cigar") else T.IntegerType()) for n in ("position", "side", "matches", "mismatches", "insertions", "deletions", "query_start", "query_end", "cigar")]))
 
 
-def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.ndarray, seg_read: np.ndarray, backward: np.ndarray, n_reads: int, with_cigar: bool) -> pa.ListArray:
+def _operations(cg: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, one-letter code and length of all operations of a batch of CIGARs, in order: what ``decode`` gives."""
+    if not len(cg):
+        return (np.empty(0, np.int64),) * 3
+    cg = pc.fill_null(cg.cast(pa.large_string()), "")
+    at = np.frombuffer(cg.buffers()[1], np.int64)[cg.offset : cg.offset + len(cg) + 1]
+    text = np.frombuffer(cg.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    digit = (text >= ord("0")) & (text <= ord("9"))
+    end = np.flatnonzero(_LETTERS[text])
+    row = np.searchsorted(at, end, "right") - 1
+    known = (end > at[row]) & digit[end - 1]
+    end, row = end[known], row[known]
+    before = np.maximum.accumulate(np.where(digit, -1, np.arange(len(text))))
+    begin = np.maximum(before[end - 1] + 1, at[row])
+    n = np.zeros(len(end), np.int64)
+    for k in range(min(9, int((end - begin).max(initial=0)))):
+        n += np.where(k < end - begin, (text[np.maximum(end - 1 - k, 0)].astype(np.int64) - ord("0")) * 10**k, 0)
+    for i in np.flatnonzero(end - begin > 9):
+        n[i] = min(int(text[begin[i] : end[i]].tobytes()), 1 << 31)
+        if n[i] == 1 << 31:
+            raise ValueError("an operation of a CIGAR is longer than a whole number of 32 bits")
+    return row, text[end].astype(np.int64), n
+
+
+@dataclass
+class _Cuts:
+    """The cuts of a batch of reads, in order: their read, their place in its path (-1 and 1 << 30 beside it), sums of =, X,
+    I and D with the span on the read, and, where asked, their CIGAR."""
+
+    read: np.ndarray
+    place: np.ndarray
+    numbers: list[np.ndarray]
+    cigars: pa.Array
+
+    @property
+    def inside(self) -> np.ndarray:
+        return (self.place >= 0) & (self.place < 1 << 30)
+
+    def listed(self, here: np.ndarray) -> pa.ListArray:
+        """One list a read, null where it is not ``here``."""
+        sides = np.where(self.place < 0, "upstream", "downstream").astype(object)
+        sides[self.inside] = None
+        arrays = [pa.array(self.place, pa.int32(), mask=~self.inside), pa.array(sides, pa.string()), *[pa.array(x, pa.int32()) for x in self.numbers], self.cigars]
+        offsets = np.searchsorted(self.read, np.arange(len(here) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=_CUTS.elementType.names), mask=pa.array(~here))
+
+
+def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.ndarray, seg_read: np.ndarray, backward: np.ndarray, n_reads: int, with_cigar: bool) -> _Cuts:
     """The cuts of a batch of reads: their operations (one-letter codes and lengths) and path segments, in order. The
     operations of ``backward`` segments are given in the segment's own direction."""
     on_ref, on_query = np.isin(op, (EQ, X, D)), np.isin(op, (EQ, X, I))
@@ -86,8 +136,6 @@ def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.nda
     low, high = (np.minimum.reduceat(qa, at), np.maximum.reduceat(qb, at)) if len(at) else (at, at)
     where, owners = place[at], owner[at]
     inside = (where >= 0) & (where < 1 << 30)
-    sides = np.where(where < 0, "upstream", "downstream").astype(object)
-    sides[inside] = None
     cigars = pa.nulls(len(at), pa.string())
     if with_cigar and len(at):
         cut = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(code))))
@@ -100,58 +148,41 @@ def _cut_arrays(op: np.ndarray, n: np.ndarray, read: np.ndarray, seg_len: np.nda
         letters = pa.DictionaryArray.from_arrays(pa.array(np.searchsorted(_CODES, codes), pa.int32()), pa.array([chr(c) for c in _CODES])).cast(pa.string())
         texts = pc.binary_join_element_wise(pa.array(sizes).cast(pa.string()), letters, "")
         cigars = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.searchsorted(cut[run], np.arange(len(at) + 1)), pa.int32()), texts), "")
-    arrays = [pa.array(where, pa.int32(), mask=~inside), pa.array(sides, pa.string()), *[pa.array(x, pa.int32()) for x in (*sums, low, high)], cigars]
-    offsets = np.searchsorted(owners, np.arange(n_reads + 1))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=_CUTS.elementType.names))
+    return _Cuts(owners, where, [*sums, low, high], cigars)
 
 
 #: Bytes of segment names and lengths, or sequences, that every task may hold.
 HELD_BYTES = 64_000_000
 
 
-def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into: str = "cuts", with_cigar: bool = False, segments: Sequence[str] | None = None) -> DataFrame:
-    """``df`` with its alignments cut by path segment (SEG1), as an array of structs: position in the path, side
-    (``upstream``, ``downstream``; null for segments), matches, mismatches, insertions, deletions, query_start,
-    query_end and, if asked, the segment's own cigar, in the segment's direction. No shuffle: a read's path and CIGAR
-    stand in its row.
-
-    ``df``: key, path, path_start, path_end, path_length, query_start, query_end, query_length, cg. Unaligned path ends
-    count as deletions and unaligned query ends as insertions. An insertion on a boundary belongs to the segment after
-    it; what stands before the first and after the last base of the path is upstream and downstream. Null paths or
-    CIGARs give null. Errors: an operation other than = X I D, a segment twice in one path, whatever its variants
-    (``segments``: names, without variant, for which this counts; None: all), a segment without a length, a path with
-    more or fewer bases than its CIGAR. ``segment_lengths``: (name, length) of the graph, held by every task; where names
-    and lengths measure above 64 MB it is an error.
-    """
-    measured = segment_lengths.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
-    if measured > HELD_BYTES:
-        raise ValueError("the segment table is too large to be held by every task")
-    known = {r["name"]: int(r["length"]) for r in segment_lengths.select("name", "length").collect()}
+def _cut_rows(df: DataFrame, known: dict[str, int], key: str, kept: Sequence[str], made: Sequence[T.StructField], give: Callable, with_cigar: bool, segments: Sequence[str] | None) -> DataFrame:
+    """The columns ``kept`` of ``df`` and those ``made`` of its alignments' cuts: ``give`` makes their arrays from the cuts
+    of a batch, whether each read has a path and a CIGAR, the batch's different steps, each step's number among these, and
+    the reads' first steps. CIGARs are parsed for a whole batch at once."""
     shared = df.sparkSession.sparkContext.broadcast(known)
     single = None if segments is None else set(segments)
-    pad = lambda op, n: F.array(F.struct(F.lit(op).alias("op"), n.cast("int").alias("len")))
-    whole = F.concat(
-        pad("I", F.col("query_start")), pad("D", F.col("path_start")), decode(F.col("cg")),
-        pad("D", F.col("path_length") - F.col("path_end")), pad("I", F.col("query_length") - F.col("query_end")),
-    )
-    ops = F.transform(F.filter(whole, lambda x: x["len"] > 0), lambda x: F.struct(F.ascii(x["op"]).alias("op"), x["len"].alias("len")))
-    here = F.col("path").isNotNull() & F.col("cg").isNotNull()
-    rows = df.select("*", F.when(here, ops).alias("_ops"), F.when(here, F.col("path")).alias("_steps"))
+    pads = [F.col("query_start"), F.col("path_start"), F.col("path_length") - F.col("path_end"), F.col("query_length") - F.col("query_end")]
+    rows = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, key])], F.col("path").alias("_steps"), F.col("cg").alias("_cg"), *[F.coalesce(p.cast("int"), F.lit(0)).alias(f"_pad{i}") for i, p in enumerate(pads)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ops, steps = batch.column("_ops"), batch.column("_steps")
-            keys, null = batch.column(key), ops.is_null().to_numpy(zero_copy_only=False)
-            n_ops, n_steps = (pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (ops, steps))
-            flat = ops.flatten()
-            op, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            read, seg_read = np.repeat(np.arange(batch.num_rows), n_ops), np.repeat(np.arange(batch.num_rows), n_steps)
+            steps, cg, keys, n_rows = batch.column("_steps"), batch.column("_cg"), batch.column(key), batch.num_rows
+            here = pc.and_(steps.is_valid(), cg.is_valid()).to_numpy(zero_copy_only=False)
+            row, op, n = _operations(cg)
+            beside = [batch.column(f"_pad{i}").to_numpy().astype(np.int64) for i in range(4)]
+            every = np.arange(n_rows)
+            read, op, n = (np.concatenate(x) for x in ((every, every, row, every, every), [np.full(n_rows, I), np.full(n_rows, D), op, np.full(n_rows, D), np.full(n_rows, I)], (*beside[:2], n, *beside[2:])))
+            held = (n > 0) & here[read]
+            order = np.argsort(read[held], kind="stable")
+            read, op, n = (x[held][order] for x in (read, op, n))
+            seg_read = np.repeat(every, pc.fill_null(pc.list_value_length(steps), 0).to_numpy())
             coded = steps.flatten().dictionary_encode()
             listed = [x or "" for x in coded.dictionary.to_pylist()]
             names = [x[1:] if x[:1] in ("<", ">") else x for x in listed]
             bare = [x.split("=", 1)[0] for x in names]
             number = {x: i for i, x in enumerate(dict.fromkeys(bare))}
             code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            code, seg_read = code[here[seg_read]], seg_read[here[seg_read]]
             seg_len, backward, of = (np.array([*x, -1], np.int64)[code] for x in ([shared.value.get(x, -1) for x in names], [x[:1] == "<" for x in listed], [number[x] if single is None or x in single else -1 for x in bare]))
 
             def refuse(at: np.ndarray, why: str) -> None:
@@ -162,17 +193,48 @@ def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into
             refuse(seg_read[seg_len < 0], "a segment of the path is not in the segment table")
             pairs = np.sort((seg_read * (len(number) + 1) + of)[of >= 0])
             refuse(pairs[1:][pairs[1:] == pairs[:-1]] // (len(number) + 1), "a segment stands twice in a path")
-            total = np.bincount(seg_read, weights=seg_len, minlength=batch.num_rows)
-            aligned = np.bincount(read, weights=np.where(op == I, 0, n), minlength=batch.num_rows)
-            refuse(np.flatnonzero(~null & (total > aligned)), "the path holds more bases than the CIGAR")
-            refuse(np.flatnonzero(~null & (total < aligned)), "the path holds fewer bases than the CIGAR")
-            cuts = _cut_arrays(op, n, read, seg_len, seg_read, backward == 1, batch.num_rows, with_cigar)
-            kept = [c for c in batch.schema.names if c not in ("_ops", "_steps")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], cuts], names=[*kept, into])
+            total = np.bincount(seg_read, weights=seg_len, minlength=n_rows)
+            aligned = np.bincount(read, weights=np.where(op == I, 0, n), minlength=n_rows)
+            refuse(np.flatnonzero(here & (total > aligned)), "the path holds more bases than the CIGAR")
+            refuse(np.flatnonzero(here & (total < aligned)), "the path holds fewer bases than the CIGAR")
+            cuts = _cut_arrays(op, n, read, seg_len, seg_read, backward == 1, n_rows, with_cigar)
+            arrays = give(cuts, here, listed, code, np.searchsorted(seg_read, every))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *arrays], names=[*kept, *[f.name for f in made]])
+
+    return rows.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *made]))
+
+
+def _held_segments(segment_lengths: DataFrame) -> list:
+    """Name, length, bare name, variant and variant as a whole number of each segment; an error where names and lengths
+    measure above 64 MB."""
+    measured = segment_lengths.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
+    if measured > HELD_BYTES:
+        raise ValueError("the segment table is too large to be held by every task")
+    name, variant = F.col("name"), variant_of(F.col("name"))
+    return segment_lengths.select(name, "length", segment_name(name).alias("segment"), variant.alias("variant"), variant.try_cast("int").alias("whole")).collect()
 
-    kept = [f for f in df.schema.fields if f.name != into]
-    out = rows.drop(into).mapInArrow(run, T.StructType([*kept, T.StructField(into, _CUTS)]))
-    return out.withColumn(into, F.when(here, F.col(into)))
+
+def with_cuts(df: DataFrame, segment_lengths: DataFrame, key: str = "name", into: str = "cuts", with_cigar: bool = False, segments: Sequence[str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with its alignments cut by path segment (SEG1), as an array of structs: position in the path, side
+    (``upstream``, ``downstream``; null for segments), matches, mismatches, insertions, deletions, query_start,
+    query_end and, if asked, the segment's own cigar, in the segment's direction. No shuffle: a read's path and CIGAR
+    stand in its row.
+
+    ``df``: key, path, path_start, path_end, path_length, query_start, query_end, query_length, cg. Unaligned path ends
+    count as deletions and unaligned query ends as insertions. An insertion on a boundary belongs to the segment after
+    it; what stands before the first and after the last base of the path is upstream and downstream. Null paths or
+    CIGARs give null. Errors: an operation other than = X I D, a segment twice in one path, whatever its variants
+    (``segments``: names, without variant, for which this counts; None: all), a segment without a length, a path with
+    more or fewer bases than its CIGAR. ``segment_lengths``: (name, length) of the graph, held by every task; where names
+    and lengths measure above 64 MB it is an error. ``keep``: the columns of ``df`` that stay (None: all).
+    """
+    known = {r["name"]: int(r["length"]) for r in _held_segments(segment_lengths)}
+    kept = [c for c in (df.columns if keep is None else dict.fromkeys(keep)) if c != into]
+
+    def give(cuts: _Cuts, here: np.ndarray, *_) -> list[pa.Array]:
+        return [cuts.listed(here)]
+
+    return _cut_rows(df, known, key, kept, [T.StructField(into, _CUTS)], give, with_cigar, segments)
 
 
 def integer_variants(segment_lengths: DataFrame, segment: str | None = None) -> bool:
@@ -205,7 +267,7 @@ def cut_by_segment(
     after the path. Variants are whole numbers if all in the segment table are. Reads without a path or CIGAR have no
     rows; see ``with_cuts`` for what is an error."""
     asked = [c for c in dict.fromkeys([key, "path", seq, phred]) if c]
-    rows = with_cuts(df, segment_lengths, key, "_cuts", with_cigar, segments).select(*asked, F.explode("_cuts").alias("_c"))
+    rows = with_cuts(df, segment_lengths, key, "_cuts", with_cigar, segments, asked).select(*asked, F.explode("_cuts").alias("_c"))
     c = F.col("_c")
     span = (c["query_start"] + 1, c["query_end"] - c["query_start"])
     more = [c["cigar"].alias("cigar")] if with_cigar else []
@@ -225,18 +287,42 @@ def cut_by_segment(
     return out if separate_ends else out.filter(F.col("position").isNotNull())
 
 
-def segment_structs(df: DataFrame, segment_lengths: DataFrame, segments: Sequence[str], key: str = "name") -> DataFrame:
+def segment_structs(df: DataFrame, segment_lengths: DataFrame, segments: Sequence[str], key: str = "name", keep: Sequence[str] | None = None) -> DataFrame:
     """One row per read, a struct column for each of the given segments (names without variant; SEG1), null where the
     path does not hold it. A segment's variants are whole numbers if all of its in the segment table are. A path that
-    holds one of them twice is an error. No shuffle."""
-    cuts = with_cuts(df, segment_lengths, key, "_cuts", segments=segments)
-    described = cuts.withColumn("_cuts", F.transform("_cuts", lambda c: F.struct(*_described(c, F.col("path")))))
-
-    def of(name: str) -> Column:
-        found = F.get(F.filter("_cuts", lambda c: c["segment"] == name), F.lit(0))
-        return F.when(found.isNotNull(), found.withField("variant", found["variant"].cast("int"))) if integer_variants(segment_lengths, name) else found
-
-    return described.withColumns({s: of(s) for s in segments}).drop("_cuts")
+    holds one of them twice is an error. ``keep``: the columns of ``df`` that stay (None: all). No shuffle."""
+    asked, table = list(dict.fromkeys(segments)), _held_segments(segment_lengths)
+    whole = {r["name"]: r["whole"] for r in table}
+    variants = {s: [r["whole"] for r in table if r["segment"] == s and r["variant"] is not None] for s in asked}
+    integer = {s: bool(v) and None not in v for s, v in variants.items()}
+    names = ("matches", "mismatches", "insertions", "deletions", "query_start", "query_end")
+    fields = {s: T.StructType([T.StructField("segment", T.StringType()), T.StructField("variant", T.IntegerType() if integer[s] else T.StringType()), T.StructField("reverse_complement", T.BooleanType()), *[T.StructField(n, T.IntegerType()) for n in names]]) for s in asked}
+
+    def give(cuts: _Cuts, here: np.ndarray, listed: list[str], code: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+        step = np.full(len(cuts.read), len(listed))  # beside the path: none
+        step[cuts.inside] = code[(first[cuts.read] + cuts.place)[cuts.inside]]
+        bare = [x[1:] if x[:1] in ("<", ">") else x for x in listed]
+        back = np.array([*[x[:1] == "<" for x in listed], False])
+        out = []
+        for s in asked:
+            held = np.array([*[x.split("=", 1)[0] == s for x in bare], False])[step]
+            held |= (cuts.place == {"upstream": -1, "downstream": 1 << 30}.get(s, -2))
+            at = np.flatnonzero(held)
+            reads, one = np.unique(cuts.read[at], return_index=True)
+            cut = np.full(len(here), -1)
+            cut[reads] = at[one]
+            none, of = cut < 0, np.append(step, len(listed))[cut]
+            known = [whole.get(x) if integer[s] else x.split("=", 1)[1] if "=" in x else None for x in bare]
+            variant = pa.array([*known, None], pa.int32() if integer[s] else pa.string()).take(pa.array(of))
+            arrays = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(here), np.int32)), pa.array([s])).cast(pa.string()), variant, pa.array(back[of], mask=of == len(listed))]
+            arrays += [pa.array(np.append(x, 0)[cut], pa.int32()) for x in cuts.numbers]
+            out.append(pa.StructArray.from_arrays(arrays, names=fields[s].names, mask=pa.array(none)))
+        return out
+
+    kept = df.columns if keep is None else list(dict.fromkeys(keep))
+    made = [T.StructField(f"_segment{i}", fields[s]) for i, s in enumerate(asked)]
+    out = _cut_rows(df, {r["name"]: int(r["length"]) for r in table}, key, kept, made, give, False, segments)
+    return out.withColumns({s: F.col(f"_segment{i}") for i, s in enumerate(asked)}).drop(*[f.name for f in made])
 
 
 def gapped(read: Column, cigar: Column, start: Column, reference_length: Column) -> Column:

@@ -306,7 +306,7 @@ def segment_structs(spark, sf_dir):
     """SEG1: the struct form, one row a read."""
     from .barcode_queries import _cigar_reads, _segment_lengths
 
-    cut = cigar.segment_structs(_cigar_reads(spark, sf_dir), _segment_lengths(spark), ["tail", "s7"])
+    cut = cigar.segment_structs(_cigar_reads(spark, sf_dir), _segment_lengths(spark), ["tail", "s7"], keep=["name"])
     return cut.select("name", F.col("tail.matches").alias("tail_matches"), F.col("tail.reverse_complement").alias("tail_reverse"), F.col("tail.query_start").alias("tail_start"), F.col("s7.insertions").alias("s7_insertions"))
 
 
