@@ -927,3 +927,42 @@ def test_structs_of_segments_parse_cigars_once_a_batch(spark):
     r, n = out.orderBy(F.desc("name")).collect()
     assert tuple(r) == ("r", ("a", 1, False, 4, 0, 0, 0, 1, 5), ("b", None, True, 4, 1, 0, 0, 5, 10), ("downstream", None, None, 0, 0, 2, 0, 10, 12), None)
     assert tuple(n) == ("n", None, None, None, None)
+
+
+def test_closest_in_cells_meets_few_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs, plain = [], neighbours._closest_of_all
+    monkeypatch.setattr(neighbours, "_closest_of_all", lambda q, c: pairs.append(len(q) * len(c)) or plain(q, c))
+    for n, digits, dims in ((2_048, 9, 2), (2_048, 1, 2), (700, 1, 3), (600, 0, 2), (40, 1, 2), (1_500, 0, 1), (600, 9, 2)):
+        q, c = (np.round(rng.normal(size=(m, dims)) * [9.0, 2.0, 5.0][:dims], digits) for m in (1_000, n))
+        d2 = sum((q[:, k, None] - c[:, k]) ** 2 for k in range(dims))
+        pairs.clear()
+        best, d = neighbours._closest(q, c)
+        assert (best == d2.argmin(1)).all() and (d == d2.min(1)).all()
+        if n == 2_048:
+            assert sum(pairs) < 1_000 * n / 4
+    q[0], c[5] = np.inf, -np.inf
+    assert neighbours._closest(q, c)[0][1:].tolist() == plain(q, c)[0][1:].tolist()
+
+
+def test_nearest_points_find_touched_leaves_once(spark, monkeypatch):
+    """Points on leaves' borders, leaves of a stretched sample, groups without a point: as by all pairs; what is found in
+    a point's own leaf is not joined back to it."""
+    monkeypatch.setattr(neighbours, "LEAF", 32)
+    tables, write = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, name="table": tables.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    rng = random.Random(5)
+    at = lambda: (rng.randrange(2), float(rng.randrange(40)), round(rng.expovariate(0.1), 1))
+    a, b = ([(i, *at()) for i in range(n)] for n in (600, 900))
+    a.append((9_999, 7, 0.0, 0.0))
+    for within in (None, 1.0):
+        l, r = (spark.createDataFrame(t, f"{k} int, g int, x double, y double") for t, k in ((a, "i"), (b, "j")))
+        got = {p["i"]: (p["j"], p["distance2"]) for p in neighbours.nearest_points(l, r, ["g"], "i", "j", ["x", "y"], within).collect()}
+        want = {}
+        for i, g, x, y in a:
+            d, j = min((((x - u) * (x - u) + (y - v) * (y - v), j) for j, h, u, v in b if h == g), default=(math.inf, None))
+            if j is not None and (within is None or d <= within):
+                want[i] = (j, d)
+        assert got == want
+    plans = dict(tables)
+    assert "Join" not in plans["own"].split("FlatMapCoGroups")[0] and "ArrowEvalPython" not in plans["sent"] and "Join" not in plans["sent"]

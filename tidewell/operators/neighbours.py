@@ -19,6 +19,8 @@ from .numbering import in_ranges
 #: Points of a leaf, sampled points a leaf, and leaves of all trees together, at most; groups up to so many points are joined.
 LEAF, SAMPLED, LEAVES = 2_048, 16, 250_000
 JOINED = 64
+#: Points of a cell within a leaf, and pairs of points compared at once.
+CELL, PAIRS = 128, 32_768
 #: Asking points that meet one copy of a leaf, and queries that meet one copy of a block of vectors.
 ASKING = 50_000
 QUERIES = 1_000_000
@@ -69,19 +71,50 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
 
 
-def _closest(q: np.ndarray, c: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The id and squared distance of the row of ``c`` closest to each row of ``q``, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    c, ids = c[order], ids[order]
+def _closest_of_all(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of ``c`` closest to each row of ``q``, and its squared distance, by all pairs."""
     best, d2 = np.empty(len(q), np.int64), np.empty(len(q))
-    for s in range(0, len(q), 512):
-        part = np.zeros((min(512, len(q) - s), len(c)))
-        for k in range(q.shape[1]):
-            step = q[s : s + 512, k, None] - c[None, :, k]
-            part += step * step
-        best[s : s + 512] = part.argmin(1)
-        d2[s : s + 512] = part[np.arange(len(part)), best[s : s + 512]]
-    return ids[best], d2
+    columns, size = [np.ascontiguousarray(c[:, k]) for k in range(c.shape[1])], max(1, PAIRS // len(c))
+    for s in range(0, len(q), size):
+        part = 0.0
+        for k, x in enumerate(columns):
+            step = q[s : s + size, k, None] - x
+            part = part + step * step
+        best[s : s + size] = part.argmin(1)
+        d2[s : s + size] = part[np.arange(len(part)), best[s : s + size]]
+    return best, d2
+
+
+def _closest(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of ``c`` closest to each row of ``q``, and its squared distance. Rows of ``c`` stand in cells of even
+    size, strips along the widest coordinate cut along the next; a row of ``q`` first meets the nearest cell, and then only
+    cells whose box is no farther than what it has found."""
+    n = int(np.sqrt(len(c) // CELL))
+    if n < 2 or c.shape[1] < 2 or not (np.isfinite(q).all() and np.isfinite(c).all()):
+        return _closest_of_all(q, c)
+    u, v = np.argsort(-np.ptp(c, axis=0), kind="stable")[:2]
+    strip = np.empty(len(c), np.int64)
+    strip[np.argsort(c[:, u], kind="stable")] = np.arange(len(c)) * n // len(c)
+    order, sizes = np.lexsort((c[:, v], strip)), np.bincount(strip, minlength=n)
+    strip = strip[order]
+    cell = strip * n + (np.arange(len(c)) - (np.cumsum(sizes) - sizes)[strip]) * n // sizes[strip]
+    at = np.searchsorted(cell, np.arange(n * n + 1))
+    low, high = np.minimum.reduceat(c[order], at[:-1]), np.maximum.reduceat(c[order], at[:-1])
+    gap = np.zeros((n * n, len(q)))  # found as distances are, so that it never exceeds one by rounding
+    for k in range(c.shape[1]):
+        step = np.maximum(np.maximum(low[:, k, None] - q[:, k], q[:, k] - high[:, k, None]), 0)
+        gap += step * step
+    first, best, d2 = gap.argmin(0), np.full(len(q), len(c)), np.full(len(q), np.inf)
+    for again in (False, True):
+        for j in range(n * n):
+            of = np.flatnonzero((gap[j] <= d2) & (first != j) if again else first == j)
+            if len(of):
+                rows = np.sort(order[at[j] : at[j + 1]])
+                near, d = _closest_of_all(q[of], c[rows])
+                near = rows[near]
+                less = (d < d2[of]) | ((d == d2[of]) & (near < best[of]))
+                best[of[less]], d2[of[less]] = near[less], d[less]
+    return best, d2
 
 
 def nearest_points(
@@ -95,8 +128,8 @@ def nearest_points(
     Groups of few right points stand in one list each, which every left point of the group meets in its own row. In larger
     ones, right points of one place stand for one; they are cut into leaves of even
     size by k-d trees over a sample (16 points a leaf): a left point first meets its own leaf, whose nearest point bounds the
-    distance, and then only the leaves that the ball of this radius touches. A far point stretches one leaf, no other. Trees
-    are held by every task: at most 250,000 leaves together, which grow beyond 500 million points. A leaf that many points
+    distance, and then only the leaves that the ball of this radius touches; within a leaf, it meets the cells near it. Each
+    point finds the leaves it touches in the task that found its bound. A far point stretches one leaf, no other. Trees are held by every task: at most 250,000 leaves together, which grow beyond 500 million points. A leaf that many points
     ask for is copied to several tasks.
     """
     if not group:
@@ -122,9 +155,10 @@ def nearest_points(
     few = few.select(*group, left_id, F.col("_m._id").alias(right_id), F.col("_m._d").alias("distance2"), *left_keep, *[F.col(f"_m._kept_{c}").alias(c) for c in right_keep])
     if not any_large:
         return few
-    right = right.groupBy(*place).agg(F.min(right_id).alias("_id"))
+    right = written(right.groupBy(*place).agg(F.min(right_id).alias("_id")), "places")
     asked = left.select(*place).distinct()
-    many, found = written(right.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "counts"), []
+    many = written(right.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    settled = best = right.select(*place, F.lit(0.0).alias("_d"), "_id").limit(0)
 
     total = many.agg(F.sum("_n")).first()[0] or 0
     if total:
@@ -159,48 +193,49 @@ def nearest_points(
             return pd.Series(out)
 
         xs = F.struct(*[F.col(c).cast("double").alias(c) for c in coords])
-        with_tree = lambda t: t.join(sized_broadcast(numbered), group)
-        there = written(with_tree(right).select("_id", *[F.col(c).cast("double").alias(f"_r{k}") for k, c in enumerate(coords)], leaf_of("_tree", xs).alias("_leaf")), "leaves")
-        here = written(with_tree(asked).withColumn("_leaf", leaf_of("_tree", xs)), "asking")
-
-        def meet(asking: DataFrame) -> DataFrame:
-            """What asking points (with _leaf) find there. A leaf goes to as many tasks as its points ask for."""
+        numbered, firsts = sized_broadcast(numbered), np.array([x for _, x in listed])
+        there = written(right.join(numbered, group).select("_id", *[F.col(c).cast("double").alias(f"_r{k}") for k, c in enumerate(coords)], leaf_of("_tree", xs).alias("_leaf")), "leaves")
+        here = written(asked.join(numbered, group).withColumn("_leaf", leaf_of("_tree", xs)).drop("_tree"), "asking")
+
+        def touched(points: np.ndarray, d2: np.ndarray, leaf: int) -> pa.ListArray:
+            """The other leaves that each point's ball touches, of points of one leaf."""
+            tree, start = shared.value[int(np.searchsorted(firsts, leaf, "right")) - 1]
+            radius = np.sqrt(d2) * (1 + 1e-9) + 1e-300
+            who, what = tree.reached(points, radius if within is None else np.minimum(radius, within * (1 + 1e-9)))
+            who, what = who[what + start != leaf], what[what + start != leaf] + start
+            order = np.argsort(who, kind="stable")
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(who[order], np.arange(len(points) + 1)), pa.int32()), pa.array(what[order], pa.int64()))
+
+        def meet(asking: DataFrame, own: bool) -> DataFrame:
+            """What asking points (with _leaf) find there, and in their own leaf also which others they touch. A leaf goes to
+            as many tasks as its points ask for."""
             loads = asking.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("_parts"))
             parts = written(loads, "loads")
-            left = asking.join(parts, "_leaf").withColumn("_part", F.pmod(F.xxhash64(*coords), F.col("_parts")).cast("int")).select(*place, "_leaf", "_part")
+            left = asking.join(parts, "_leaf").withColumn("_part", F.pmod(F.xxhash64(*coords), F.col("_parts")).cast("int")).select(*place, *[F.col(c).cast("double").alias(f"_q{k}") for k, c in enumerate(coords)], "_leaf", "_part")
             copies = there.join(parts, "_leaf").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-
-            def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-                if q.empty or c.empty:
-                    return q[place].iloc[:0].assign(_d=pd.Series(dtype=float), _id=c["_id"].iloc[:0])
-                ids, d = _closest(q[coords].to_numpy(float), c[[f"_r{k}" for k in range(len(coords))]].to_numpy(), c["_id"].to_numpy())
-                return q[place].assign(_d=d, _id=ids)
-
-            kinds = ", ".join([*[f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in place], "_d double", f"_id {kind}"])
-            return left.groupBy("_leaf", "_part").cogroup(copies.groupBy("_leaf", "_part")).applyInPandas(run, kinds)
-
-        own = written(meet(here), "own")
-        found.append(own)
-
-        @F.pandas_udf("array<long>")
-        def touched(tree: pd.Series, at: pd.DataFrame, radius: pd.Series, leaf: pd.Series) -> pd.Series:
-            points, r, out = at.to_numpy(float), radius.to_numpy(float), [[] for _ in range(len(at))]
-            for t, of in tree.groupby(tree).indices.items():
-                who, what = shared.value[t][0].reached(points[of], r[of])
-                for i, x in zip(of[who], what + shared.value[t][1]):
-                    if x != leaf.iat[i]:
-                        out[i].append(int(x))
-            return pd.Series(out)
-
-        bound = F.sqrt(F.coalesce("_d", F.lit(float("inf")))) * (1 + 1e-9) + 1e-300
-        bound = bound if within is None else F.least(bound, F.lit(within * (1 + 1e-9)))
-        back = [F.col(f"h.`{g}`").eqNullSafe(F.col(f"o.`{g}`")) for g in place]
-        rest = here.alias("h").join(own.alias("o"), back, "left").select("h.*", "o._d")
-        found.append(meet(rest.withColumn("_leaf", F.explode(touched("_tree", xs, bound, "_leaf"))).drop("_d")))
-    best = found[0]
-    for more in found[1:]:
-        best = best.unionByName(more)
-    best = best.groupBy(*place).agg(F.min(F.struct("_d", "_id")).alias("_m"))
+            points = lambda t, name: np.stack([t.column(f"{name}{k}").to_numpy() for k in range(len(coords))], 1)
+
+            def run(q: pa.Table, c: pa.Table) -> pa.Table:
+                asks = points(q, "_q")
+                if c.num_rows:
+                    c = c.sort_by("_id")
+                    near, d = _closest(asks, points(c, "_r"))
+                    ids, far = c.column("_id").take(pa.array(near)), pa.array(d)
+                else:  # a leaf without points
+                    d = np.full(len(asks), np.inf)
+                    ids, far = pa.nulls(len(asks), c.schema.field("_id").type), pa.nulls(len(asks), pa.float64())
+                others = [touched(asks, d, (q if q.num_rows else c).column("_leaf")[0].as_py())] if own else []
+                return pa.table([*[q.column(p) for p in place], far, ids, *others], names=[*place, "_d", "_id", *["_others"] * own])
+
+            kinds = ", ".join([*[f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in place], "_d double", f"_id {kind}", *["_others array<bigint>"] * own])
+            return left.groupBy("_leaf", "_part").cogroup(copies.groupBy("_leaf", "_part")).applyInArrow(run, kinds)
+
+        first = written(meet(here, True), "own")
+        sent = written(first.select(*place, F.explode("_others").alias("_leaf")), "sent")
+        settled = first.filter(F.size("_others") == 0).drop("_others")
+        best = first.filter(F.size("_others") > 0).drop("_others").unionByName(meet(sent, False))
+    best = best.filter("_id is not null").groupBy(*place).agg(F.min(F.struct("_d", "_id")).alias("_m"))
+    best = best.unionByName(settled.filter("_id is not null").select(*place, F.struct("_d", "_id").alias("_m")))
     if within is not None:
         best = best.filter(F.col("_m._d") <= within * within)
     best = left.select(*dict.fromkeys([*group, left_id, *coords, *left_keep])).join(best, place).select(*group, left_id, F.col("_m._id").alias(right_id), F.col("_m._d").alias("distance2"), *left_keep)
