@@ -150,6 +150,39 @@ def test_signatures_meet():
                 assert len(np.intersect1d(ngram_join.signatures(a, t), ngram_join.signatures(b, t)))
 
 
+def test_signatures_of_unlike_sets_do_not_meet():
+    """Parts that are empty in both said that two long sets meet, and made signatures as the square of their length."""
+    rng, t = np.random.default_rng(5), ngram_join.Threshold(80, 100)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (40, 900, 3000, 3000, 3100, 3200)]
+    signs = [ngram_join.signatures(s, t) for s in sets]
+    assert all(0 < len(x) < len(s) for x, s in zip(signs, sets))
+    assert not any(len(np.intersect1d(a, b)) for i, a in enumerate(signs) for b in signs[:i])
+
+
+@pytest.mark.parametrize("num", [30, 50, 80, 95])
+def test_signatures_of_sets_with_empty_parts_meet(num):
+    """Hashes that lie close leave most parts empty; for low thresholds there are more parts than shingles."""
+    rng, t, linked = np.random.default_rng(num), ngram_join.Threshold(num, 100), 0
+    for n in (2, 3, 6, 12, 25, 60, 300):
+        for spread in (40, 56, 63):
+            for _ in range(15):
+                a = np.unique(rng.integers(0, 1 << spread, n).astype(np.uint64))
+                b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * (1 - num / 100)], rng.integers(0, 1 << spread, rng.integers(0, 1 + n * (100 - num) // 200)).astype(np.uint64)]))
+                if len(b) and t.linked(len(np.intersect1d(a, b)), len(a), len(b)) and not np.array_equal(a, b):
+                    linked += 1
+                    assert len(np.intersect1d(ngram_join.signatures(a, t), ngram_join.signatures(b, t)))
+    assert linked > 5
+
+
+def test_unshared_by_slices(spark):
+    """Slices of all hashes add up to the whole, and a task keeps several buckets, so that packed rows hold many shingles."""
+    docs = spark.createDataFrame([(" ".join(f"w{i % 7}x{j}" if j % 3 else f"all{j}" for j in range(30 + i)),) for i in range(40)], "text string").repartition(2)
+    count = lambda **how: Counter({r["cls"]: r["unshared"] for r in ngram_join._unshared(docs, 2, 4000, **how).collect()})
+    whole = count()
+    assert sum(whole.values()) > 40 and whole == count(low=0, high=20_000) + count(low=20_000, high=1 << 16)
+    assert ngram_join._unshared(docs, 2, 4000, per_bucket=4, high=20_000).rdd.getNumPartitions() <= 1 << 7
+
+
 def test_join_of_negative_ids_and_long_sets(spark, tmp_path):
     text = " ".join(f"n{i}" for i in range(50))
     rows = [(-5, text), (7, text), (-9, text + " more"), (None, text), (3, "alone")]

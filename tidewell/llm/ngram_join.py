@@ -1,11 +1,12 @@
 """N-gram Jaccard join of whole texts, by T-occurrence search.
 
 1. Texts with equal shingle sets are one class (128-bit digest of the set).
-2. A class most of whose shingles no other class has can have no partner and is set aside; twice, since that leaves
-   more shingles unshared. Every shingle is sent once for this, in packed form.
-3. Classes meet by exact signatures: sets within the threshold differ in at most d shingles, so of d + 1 parts of the
-   hash range at least one is equal in both. d grows with the size, so sizes are banded; a set signs its own band and
-   the bands below that may hold partners. Classes that share a signature form the group of its smallest class.
+2. A class most of whose shingles no other class has can have no partner and is set aside: first by a slice of all
+   hashes that is just large enough to tell, then by the rest of them, sent only for the classes that are left.
+3. Classes meet by exact signatures: sets within the threshold differ in at most d shingles, so if more than d of k parts
+   of the hash range are not empty in one, at least one of these is equal in both. d grows with the size, so sizes are
+   banded; a set signs its own band and the bands below that may hold partners. A set with too many empty parts also
+   signs by its first shingles. Classes that share a signature form the group of its smallest class.
 4. Within each group, T-occurrence search over an inverted index of shingles (DivideSkip): the short lists of a query
    are merged, the longest ones are probed by binary search, and sets that reach the required overlap are linked.
    Groups within another are left out; groups beyond a size are cut into blocks by set size, and blocks that may hold partners meet pairwise, after
@@ -17,6 +18,8 @@ Shingles are compared by 64-bit hash, sets within a few thousand such hashes at
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,26 +109,49 @@ def _sums(mixed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _n_parts(size: int, most: int) -> int:
+    """So many parts that of a set of ``size`` shingles more than ``most`` are hardly ever empty; 0 if there are none."""
+    k = most + 1
+    while k <= min(2 * most + 4, size + 1):
+        empty = math.exp(-size / k)
+        if k * (1 - empty) - 2 * math.sqrt(k * empty) > most:
+            return k
+        k += 1 + k // 256
+    return 0
+
+
+@functools.cache
+def _band(band: int, t: Threshold) -> tuple[int, int]:
+    """For pairs whose smaller set is in this band: how many shingles they differ in at most, and the number of parts."""
+    most = t.most_different(int(_BANDS[band + 1]) - 1)
+    return most, _n_parts(int(_BANDS[band]), most) if most else 0
+
+
 def signatures(hashes: np.ndarray, t: Threshold) -> np.ndarray:
-    """Signatures of one set: two linked, different sets share at least one."""
+    """Signatures of one set: two linked, different sets share at least one.
+
+    Parts that are empty sign nothing. The difference touches at most ``most`` parts, so a set with more parts than that
+    which hold anything has one that is equal in the other. Sets with fewer also sign each of their first shingles, one
+    more than they may lack: two linked sets share one of those."""
     n = len(hashes)
-    out = []
+    out, few = [], False
     first = int(np.searchsorted(_BANDS, t.smallest_partner(n), "right")) - 1
     last = int(np.searchsorted(_BANDS, n, "right")) - 1
     with np.errstate(over="ignore"):
         mixed = _mix(hashes + GOLD)
         for band in range(first, last + 1):
-            k = t.most_different(int(_BANDS[band + 1]) - 1) + 1
-            if k < 2:
+            most, k = _band(band, t)
+            if not most:  # linked sets are equal
                 continue
-            at = _parts(hashes, k)
-            tag = _mix(np.arange(k, dtype=U64) + U64(band << 32))
-            full = np.diff(at) > 0
-            out.append(_mix(_sums(mixed, at) + tag)[full])
-            for i in np.flatnonzero(~full):  # an empty part says little: part the rest by another hash
-                other = np.sort(mixed)
-                again = _sums(_mix(other), _parts(other, k))
-                out.append(_mix(again + _mix(tag + tag[i] * GOLD)))
+            full = np.zeros(1, bool)
+            if k:
+                at = _parts(hashes, k)
+                tag = _mix(np.arange(k, dtype=U64) + U64(band << 32))
+                full = np.diff(at) > 0
+                out.append(_mix(_sums(mixed, at) + tag)[full])
+            few |= int(full.sum()) <= most
+        if few:
+            out.append(_mix(mixed[: n - t.smallest_partner(n) + 1]))
     return np.unique(np.concatenate(out)) if out else np.empty(0, U64)
 
 
@@ -324,23 +350,31 @@ def _new_classes(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.nd
             yield number, s
 
 
-def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_000_000, most_task_bits: int = MOST_TASK_BITS) -> DataFrame:
-    """(cls, unshared): how many of a class's shingles no other class of these texts has. Classes without any are left
-    out. Every shingle is sent once a task, packed; only counts come back."""
+#: Parts that the hashes are cut into, by their lowest bits, for slices of them.
+SLICED = 1 << 16
+
+
+def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_000_000, most_task_bits: int = MOST_TASK_BITS, low: int = 0, high: int = SLICED) -> DataFrame:
+    """(cls, unshared): how many of a class's shingles no other class of these texts has, among those that lie in the slice
+    from ``low`` to ``high`` of all hashes. Classes without any are left out. Every shingle is sent once a task, packed;
+    only counts come back. A task has several buckets: what a class sends to each, and gets back, holds its number."""
     bits = int(max(6, np.ceil(np.log2(max(1, n_shingles / per_bucket)))))
-    coarse = min(bits, most_task_bits)
+    coarse = min(max(6, bits - 3), bits, most_task_bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, numbers, held = [], [], 0
             for number, s in _new_classes(batch, width):
+                if high - low < SLICED:
+                    part = s & U64(SLICED - 1)
+                    s = s[(part >= U64(low)) & (part < U64(high))]
                 sets.append(s)
                 numbers.append(np.full(len(s), number))
                 held += len(s)
                 if held > FLUSH:
                     yield _packed_batch(list(_packed(np.concatenate(sets), np.concatenate(numbers), coarse)))
                     sets, numbers, held = [], [], 0
-            if sets:
+            if held:
                 yield _packed_batch(list(_packed(np.concatenate(sets), np.concatenate(numbers), coarse)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,18 +404,21 @@ def _unshared(docs: DataFrame, width: int, n_shingles: int, per_bucket: int = 3_
     return _dealt(sent, bits, coarse, "bucket").mapInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("unshared"))
 
 
-def _with_partners(classes: DataFrame, docs: DataFrame, width: int, t: Threshold, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def _with_partners(classes: DataFrame, docs: DataFrame, width: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
     """The classes, and texts of their representatives, that may have a partner at all: a linked set holds at least
-    num / den of a class's shingles, so a class with more unshared ones has none. What goes in one round unshares more
-    shingles for the next."""
-    for _ in range(rounds):
+    num / den of a class's shingles, so a class with more unshared ones has none. Half as many again as that are in the
+    slice that is sent of all classes, so most of those without a partner go by it; the other slice is sent of the rest,
+    among whom more is unshared."""
+    cut = min(SLICED, SLICED * 3 * (t.den - t.num) // (2 * t.den) + SLICED // 32)
+    classes = classes.withColumn("unshared", F.lit(0).cast("long"))
+    for low, high in ((0, cut), (cut, SLICED)) if cut < SLICED else ((0, SLICED),):
         n = classes.agg(F.sum("n")).first()[0] or 0
-        alone = _unshared(docs, width, n)
-        kept = classes.join(alone, "cls", "left").filter((F.col("n") - F.coalesce("unshared", F.lit(0))) * t.den >= F.col("n") * t.num).drop("unshared")
-        classes = written(kept, "sharing")
+        alone = _unshared(docs, width, n * (high - low) // SLICED, low=low, high=high).withColumnRenamed("unshared", "more")
+        counted = classes.join(alone, "cls", "left").withColumn("unshared", F.col("unshared") + F.coalesce("more", F.lit(0))).drop("more")
+        classes = written(counted.filter((F.col("n") - F.col("unshared")) * t.den >= F.col("n") * t.num), "sharing")
         nodes = classes.select("node").distinct()
         docs = docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi")
-    return classes, docs
+    return classes.drop("unshared"), docs
 
 
 def _meetings(docs: DataFrame, width: int, t: Threshold, n_shingles: int, per_bucket: int = 1_000_000, most_task_bits: int = MOST_TASK_BITS) -> DataFrame:
