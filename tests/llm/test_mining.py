@@ -61,6 +61,34 @@ def test_collocations(texts, least, cover, first, how):
     assert got == want and len(want) > 5
 
 
+def test_passes_by_language(texts, monkeypatch):
+    """Phrases that do not fit together go by language, each over its own texts, and are not dealt by their first words."""
+    rows, table = texts
+    proposed = table.select("lang", F.array(F.lit("word")).alias("words")).filter("lang in ('en', 'fr')").distinct()
+    assert sorted(collocations._slices(proposed, 30)) == [(["en"], 1), (["fr"], 1)] and collocations._slices(proposed, 21) == [(["fr"], 2), (["en"], 2)]
+    assert [sorted(x) for x, n in collocations._slices(proposed, 44)] == [["en", "fr"]] and collocations._slices(proposed.limit(0), 44) == [([], 1)]
+    found, _ = collocations.frequent_phrases(table, least=20)
+    whole, counted = [], collocations.count_phrases
+    monkeypatch.setattr(collocations, "count_phrases", lambda d, p, longest, least, words, w=True, f=False: (whole.append((len(p or ()), w)), counted(d, p, longest, least, words, w, f))[1])
+    split, _ = collocations.frequent_phrases(table, least=20, slice_bytes=700)
+    as_rows = lambda df: sorted((r["lang"], tuple(r["words"]), r["n"]) for r in df.collect())
+    assert as_rows(split) == as_rows(found)
+    assert all(w for _, w in whole) and min(n for n, _ in whole[1:]) < 3
+
+
+def test_words_are_found_by_hash():
+    names = [f"w{i}" for i in range(500)] + ["é", "élan", "x" * 3000, "ab", "ba"]
+    held = collocations.Phrases.of(pa.table({"words": [[w] for w in names], "old": [False] * len(names)}), 3)
+    asked = pa.array(["none", "w7", "ab", "ba", "abc", "x" * 3000, "x" * 2999, "é", *names[::-1]])
+    want = [held.words.to_pylist().index(w) if w in names else -1 for w in asked.to_pylist()]
+    assert held.hashes is not None and held.place(asked).tolist() == want == held.place(asked.slice(0)).tolist()
+    assert held.place(asked.slice(3, 4)).tolist() == want[3:7] and held.place(asked.slice(0, 0)).tolist() == []
+    held.hashes = None  # as where two words have one hash
+    assert held.place(asked).tolist() == want
+    none = collocations.Phrases.of(pa.table({"words": pa.array([], pa.list_(pa.string())), "old": pa.array([], pa.bool_())}), 3)
+    assert none.place(asked).tolist() == [-1] * len(asked)
+
+
 def test_border_failures_cost_passes_only(texts):
     _, table = texts
     found = [collocations.frequent_phrases(table, least=10, share=share) for share in (1.0, 0.0)]

@@ -7,8 +7,9 @@ counted in a further pass, until a pass finds none. Few failures take one such p
 whatever their length. So the sample decides how many passes there are, never the result.
 
 Tasks cut texts in numpy over Arrow batches and add phrases up as pairs of numbers (the phrase without its last word,
-the last word); only those sums are shuffled. Proposed phrases are sent to the tasks while they measure at most
-``slice_bytes``; beyond that they are dealt into slices by their first word, with a pass for each slice.
+the last word); only those sums are shuffled. Proposed phrases are sent to the tasks while what a task holds of them is
+at most ``slice_bytes``; beyond that by some languages at a time, each with a pass over the texts of these. Only those of
+a language that is larger alone are dealt into slices by their first word, with a pass for each slice.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import written
 
 #: Bytes of text that are cut at a time; sums a task holds before it passes them on.
 CHUNK = 1_500_000
-HELD = 300_000
+HELD = 1_000_000
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
@@ -36,6 +37,19 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 COUNTED = "lang string, level int, key long, word string, n long"
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word: its bytes times a number of their place, added up."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
+    at, size = at - at[0], np.diff(at)
+    with np.errstate(over="ignore"):
+        factors = np.cumprod(np.full(int(size.max(initial=0)), 0x9E3779B97F4A7C15, np.uint64))
+        products = (data.astype(np.uint64) + np.uint64(1)) * factors[np.arange(len(data)) - np.repeat(at[:-1], size)]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(products, dtype=np.uint64)])
+        h = total[at[1:]] - total[at[:-1]]
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+
+
 @dataclass
 class Phrases:
     """Phrases of one language. A phrase of two words or more is a key: the number of the phrase without its last word,
@@ -45,6 +59,8 @@ class Phrases:
     own: np.ndarray
     old: list[np.ndarray]
     keys: list[np.ndarray] = field(default_factory=list)
+    hashes: np.ndarray | None = None  # of the words, in order; None if two are equal
+    order: np.ndarray | None = None
 
     @classmethod
     def of(cls, table: pa.Table, longest: int) -> Phrases:
@@ -55,10 +71,14 @@ class Phrases:
         first = single.dictionary_encode().dictionary
         more = lists.flatten().unique()
         more = more.filter(pc.is_null(pc.index_in(more, value_set=first)))
-        words = pa.concat_arrays([first, more])
+        words = pa.concat_arrays([first, more]).cast(pa.string())
         known = np.zeros(len(words), bool)
         known[pc.index_in(single, value_set=words).to_numpy()] = old[size == 1]
         out = cls(words, np.arange(len(words)) < len(first), [known])
+        h = word_hashes(words)
+        order = np.argsort(h).astype(np.int32)
+        if (np.diff(h[order]) > 0).all():
+            out.hashes, out.order = h[order], order
         for k in range(2, longest + 1):
             of = np.flatnonzero(size == k)
             w = pc.index_in(lists.take(pa.array(of)).flatten(), value_set=words).to_numpy().astype(np.int64).reshape(-1, k)
@@ -68,6 +88,21 @@ class Phrases:
             out.old.append(old[of][order])
         return out
 
+    def place(self, words: pa.Array) -> np.ndarray:
+        """Numbers of these words, or -1. They are looked up by their hashes, so that no table of all words that are held
+        is built for each run of texts, and compared then."""
+        if self.hashes is None or not len(self.hashes):
+            return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        h = word_hashes(words)
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        hit = np.flatnonzero(self.hashes[at] == h)
+        number = self.order[at[hit]]
+        same = pc.equal(self.words.take(pa.array(number)), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1)
+        out[hit[same]] = number[same]
+        return out
+
     def number(self, w: np.ndarray) -> np.ndarray:
         """Numbers of phrases that are held, from rows of word numbers."""
         at = w[:, 0]
@@ -176,7 +211,7 @@ def _counted(texts: pa.Array, lang: str, held: Phrases | None, longest: int, wor
         sums.add_words(lang, names, n)
     if held is None or len(local) < 2:
         return
-    w = pc.fill_null(pc.index_in(names, value_set=held.words), -1).to_numpy().astype(np.int64)[local]
+    w = held.place(names)[local]
     at = np.where(held.own[w], w, -1) if len(held.own) else np.full(len(w), -1)
     at[w < 0] = -1
     size, known = len(held.words), len(held.words)
@@ -247,23 +282,42 @@ def count_phrases(docs: DataFrame, proposed: dict[str, Phrases] | None, longest:
     return counts.filter((F.col("n") >= least) | (F.col("level") == 0)).mapInArrow(spell, "lang string, words array<string>, n long")
 
 
-def _slices(proposed: DataFrame, slice_bytes: int) -> int:
-    size = F.aggregate("words", F.lit(24), lambda a, w: a + F.octet_length(w) + 8)
-    return max(1, -(-(proposed.agg(F.sum(size)).first()[0] or 0) // slice_bytes))
+def _slices(proposed: DataFrame, slice_bytes: int) -> list[tuple[list[str], int]]:
+    """Languages whose phrases are sent together, and into how many slices: what a task holds of phrases is a number and a
+    mark for each one, and of words their text, too. A language alone may have several slices; others share one."""
+    size = F.when(F.size("words") == 1, F.octet_length(F.col("words")[0]) + 18).otherwise(9)
+    sizes = sorted(((r["size"], r["lang"]) for r in proposed.groupBy("lang").agg(F.sum(size).alias("size")).collect()), reverse=True)
+    out, held = [], slice_bytes
+    for n, lang in sizes:
+        if n > slice_bytes:
+            out.append(([lang], -(-n // slice_bytes)))
+        elif held + n > slice_bytes:
+            out.append(([lang], 1))
+            held = n
+        else:
+            out[-1][0].append(lang)
+            held += n
+    return out or [([], 1)]
 
 
 def _pass(docs: DataFrame, proposed: DataFrame | None, longest: int, least: int, words: bool, slice_bytes: int, further: bool = False) -> DataFrame:
-    """One pass, or one for each slice of what is proposed (lang, words, old), written."""
+    """One pass, or one for each slice of what is proposed (lang, words, old) over the texts of its languages, written."""
     if proposed is None:
         return written(count_phrases(docs, None, longest, least, words), "phrases")
-    slices = _slices(proposed, slice_bytes)
+    shares = _slices(proposed, slice_bytes)
     out = None
-    for i in range(slices):
-        part = proposed if slices == 1 else proposed.filter(F.pmod(F.xxhash64("lang", F.col("words")[0]), F.lit(slices)) == i)
-        table = part.select("lang", "words", "old").toArrow()
-        held = {lang: Phrases.of(table.filter(pc.field("lang") == lang), longest) for lang in table["lang"].unique().to_pylist()}
-        found = written(count_phrases(docs, held, longest, least, words and i == 0, slices == 1, further and slices == 1), "phrases")
-        out = found if out is None else out.unionByName(found)
+    for j, (langs, slices) in enumerate(shares):
+        if j:
+            some, own = docs.filter(F.col("lang").isin(langs)), proposed.filter(F.col("lang").isin(langs))
+        else:  # along with the languages of which nothing is proposed
+            others = [lang for x, _ in shares[1:] for lang in x]
+            some, own = (x.filter(~F.col("lang").isin(others)) if others else x for x in (docs, proposed))
+        for i in range(slices):
+            part = own if slices == 1 else own.filter(F.pmod(F.xxhash64("lang", F.col("words")[0]), F.lit(slices)) == i)
+            table = part.select("lang", "words", "old").toArrow()
+            held = {lang: Phrases.of(table.filter(pc.field("lang") == lang), longest) for lang in table["lang"].unique().to_pylist()}
+            found = written(count_phrases(some, held, longest, least, words and i == 0, slices == 1, further and slices == 1), "phrases")
+            out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -293,7 +347,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
         if closed or not sizes["new"]:
             return exact, passes
         # few failures: what builds on them, and on that in turn, is counted in one go, which closes the search
-        closed = sizes["new"] * 10 <= sizes["all"] and _slices(proposed, slice_bytes) == 1
+        closed = sizes["new"] * 10 <= sizes["all"] and all(n == 1 for _, n in _slices(proposed, slice_bytes))
         exact, passes = exact.unionByName(_pass(docs, proposed, longest, least, False, slice_bytes, closed)), passes + 1
 
 
